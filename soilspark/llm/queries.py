@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from soilspark.llm import packing, sharding
+from soilspark.llm import decontaminate, packing, sharding
 
 SHARDS = 64
 
@@ -20,9 +20,17 @@ def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placed(docs, "doc_id", sharding.shard_names(SHARDS))
 
 
+def op9_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return decontaminate.contamination(docs, benchmark)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": op1_pack_sequences,
     "op4_shard_documents": op4_shard_documents,
+    "op9_benchmark_windows": op9_benchmark_windows,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_benchmark_windows": decontaminate.ORACLE_SQL,
+}
