@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from soilspark.llm import decontaminate, packing, sharding
+from soilspark.llm import decontaminate, fingerprint, packing, sharding
 
 SHARDS = 64
 
@@ -25,10 +25,15 @@ def op9_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, benchmark)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_likeness(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": op1_pack_sequences,
     "op4_shard_documents": op4_shard_documents,
     "op9_benchmark_windows": op9_benchmark_windows,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {
