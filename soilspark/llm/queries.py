@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from soilspark.llm import decontaminate, fingerprint, packing, sharding
+from soilspark.llm import bagminhash, decontaminate, fingerprint, packing, sharding
 
 SHARDS = 64
 
@@ -15,6 +15,10 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
     return sharding.placed(docs, "doc_id", sharding.shard_names(SHARDS))
@@ -31,6 +35,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": op1_pack_sequences,
+    "op2_near_duplicates": op2_near_duplicates,
     "op4_shard_documents": op4_shard_documents,
     "op9_benchmark_windows": op9_benchmark_windows,
     "op10_fingerprints": op10_fingerprints,

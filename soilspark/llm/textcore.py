@@ -105,6 +105,6 @@ class Words:
         out = np.zeros(len(doc), dtype=np.uint64)
         padded = np.concatenate([self.hash, np.zeros(k, dtype=np.uint64)])
         for j in range(k):
-            step = padded[j : j + len(doc)] + np.uint64(j + 1) * _GOLD
+            step = padded[j : j + len(doc)] + np.uint64((j + 1) * int(_GOLD) & 0xFFFFFFFFFFFFFFFF)
             out = np.where(j < width, (out ^ step) * _BASE + (step >> np.uint64(29)), out)
         return mix64(out[keep]), doc[keep]
