@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from soilspark.llm import bagminhash, decontaminate, fingerprint, packing, sharding, toxicity
+from soilspark.llm import bagminhash, decontaminate, fingerprint, html_extract, packing, sharding, toxicity
 
 SHARDS = 64
 
@@ -24,6 +24,11 @@ def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placed(docs, "doc_id", sharding.shard_names(SHARDS))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_extract.main_text(pages, html_extract.train(pages))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return toxicity.judged(docs.select("doc_id", "text"), toxicity.train(docs, labels)).drop("text")
@@ -42,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": op1_pack_sequences,
     "op2_near_duplicates": op2_near_duplicates,
     "op4_shard_documents": op4_shard_documents,
+    "op7_main_text": op7_main_text,
     "op8_toxicity": op8_toxicity,
     "op9_benchmark_windows": op9_benchmark_windows,
     "op10_fingerprints": op10_fingerprints,
