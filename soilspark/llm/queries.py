@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from soilspark.llm import bagminhash, decontaminate, fingerprint, html_extract, packing, sharding, toxicity
+from soilspark.llm import bagminhash, decontaminate, fingerprint, html_extract, packing, sharding, toxicity, warc
+from soilspark.llm.storage import shared_dir
 
 SHARDS = 64
 
@@ -24,6 +26,13 @@ def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placed(docs, "doc_id", sharding.shard_names(SHARDS))
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(warc.resolved(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
+    back = warc.read_archives(spark, path, payload=False, verify=True)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return html_extract.main_text(pages, html_extract.train(pages))
@@ -47,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": op1_pack_sequences,
     "op2_near_duplicates": op2_near_duplicates,
     "op4_shard_documents": op4_shard_documents,
+    "op5_warc_round_trip": op5_warc_round_trip,
     "op7_main_text": op7_main_text,
     "op8_toxicity": op8_toxicity,
     "op9_benchmark_windows": op9_benchmark_windows,
@@ -54,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc_round_trip": warc.ORACLE_SQL,
     "op9_benchmark_windows": decontaminate.ORACLE_SQL,
 }
