@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from soilspark.llm import bagminhash, decontaminate, fingerprint, html_extract, packing, sharding, toxicity, warc
+from soilspark.llm import bagminhash, decontaminate, fingerprint, html_extract, packing, secret_scan, sharding, toxicity, warc
 from soilspark.llm.storage import shared_dir
 
 SHARDS = 64
@@ -33,6 +33,11 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return secret_scan.scan(docs, secret_scan.train(docs))
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return html_extract.main_text(pages, html_extract.train(pages))
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op4_shard_documents": op4_shard_documents,
     "op5_warc_round_trip": op5_warc_round_trip,
+    "op6_secrets": op6_secrets,
     "op7_main_text": op7_main_text,
     "op8_toxicity": op8_toxicity,
     "op9_benchmark_windows": op9_benchmark_windows,
