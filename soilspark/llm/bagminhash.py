@@ -13,16 +13,16 @@ similarity. Points are drawn interval by interval up to a time by which every co
 have one, which is doubled for the documents where one has none: hierarchy and stop make it quick for
 large counts and long texts alike.
 
-Candidates. ``BANDS`` bands of ``ROWS`` components; documents that agree in a band share a bucket. Equal
-signatures' texts (same words in the same order) are represented by their smallest id first. Then each
-bucket's documents are compared with its smallest id; classes are the connected components of the links
-that hold exactly. Buckets whose documents are still in different classes are joined with themselves
-across classes, bounded by length and by the agreement of the whole signature (``SURE`` standard errors
-below the threshold), and what holds exactly is linked as well. So no link is lost to the choice of the
-representative, and a group of thousands of copies costs a few comparisons a document.
-
-Hot buckets are only aggregated or joined by ordinary joins, which Spark splits; no group is collected
-anywhere. Intermediate tables are written to the shared folder.
+Candidates. ``BANDS`` bands of ``ROWS`` components; documents that agree in a band share a bucket. Texts of
+the same words in the same order are represented by their smallest id. Each document is compared with
+one bucket's smallest id; classes are the connected components of the links that hold exactly. What
+buckets of several classes hold is then compared across classes in blocks of bounded size: documents
+whose length or signature (``SURE`` standard errors below the threshold) rule out all others go, the rest
+is compared exactly, and each block returns the links that connect its classes. So no link is lost to
+the choice of representatives, and a group of thousands of copies costs a few comparisons a document.
+
+Hot buckets are aggregated, joined by ordinary joins, which Spark splits, or cut in blocks; no group is
+collected anywhere and no pairs but links are emitted. Intermediate tables are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ COMPONENTS = BANDS * ROWS
 SURE = 6.0
 ELEMENT_BITS = 40  # of a shingle's hash; two texts of a thousand shingles share one by chance in a millionth of cases
 MAX_BROADCAST_IDS = 1_000_000  # 8 MB
+BLOCK = 384
+WIDTH = 8192  # columns of the matrix that counts common shingles, at once
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -200,6 +202,112 @@ def components(edges: DataFrame) -> DataFrame:
         edges = small
 
 
+def _dealt(labelled: DataFrame) -> DataFrame:
+    """(id, root, bucket, i, j): the rows of ``labelled`` in buckets of several classes, in groups of at most two blocks of about ``BLOCK`` rows each.
+
+    The rows outside a bucket's largest class meet in a group with every other row of the bucket; rows of the largest class don't meet one
+    another, as they need no further link. So a bucket of one huge class and a few others costs in proportion to its rows.
+    """
+    sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    per = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    blocks = per.select("bucket", "main", F.ceil(F.col("n_main") / BLOCK).cast("int").alias("p"), F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int").alias("q"))
+    rows = labelled.join(blocks, "bucket")
+    is_main = F.col("root") == F.col("main")
+    own = F.pmod(F.xxhash64("id"), F.when(is_main, F.col("p")).otherwise(F.col("q"))).cast("int")
+    key = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    rows = rows.withColumn("own", own)
+    with_main = F.transform(F.sequence(F.lit(1), F.col("q")), lambda k: key(k - 1, -1 - F.col("own")))
+    among = F.transform(F.sequence(F.lit(1), F.col("q")), lambda k: key(F.least(k - 1, F.col("own")), F.greatest(k - 1, F.col("own"))))
+    to_main = F.transform(F.sequence(F.lit(1), F.col("p")), lambda k: key(F.col("own"), -k))
+    keyed = rows.select("id", "root", "bucket", F.explode(F.when(is_main, with_main).otherwise(F.concat(among, to_main))).alias("g"))
+    return keyed.select("id", "root", "bucket", "g.i", "g.j")
+
+
+def _grouped(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` over the rows of each (bucket, i, j). Groups are bounded, small and many, so they are cut out of sorted batches here."""
+    keys = ["bucket", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            k = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in keys])
+            cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1), k.shape[1]]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                now = tuple(k[:, a])
+                if held and now != last:
+                    yield from work(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, z - a))
+                last = now
+        if held:
+            yield from work(pa.Table.from_batches(held))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _alike(group: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The ids of the group that, by length and signature, may be near an id of another class."""
+    ids, root, weight = (group.column(c).to_numpy() for c in ("id", "root", "weight"))
+    if len(ids) < 2 or (root == root[0]).all():
+        return
+    low = group.column("low").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.int32)
+    least = COMPONENTS * (threshold - SURE * (threshold * (1 - threshold) / COMPONENTS) ** 0.5)
+    found = np.zeros(len(ids), dtype=bool)
+    for i in range(len(ids)):
+        other = (root != root[i]) & (np.minimum(weight, weight[i]) >= threshold * np.maximum(weight, weight[i]))
+        if other.any():
+            found[i] = ((low[other] == low[i]).sum(axis=1) >= least).any()
+    if found.any():
+        yield pa.RecordBatch.from_arrays([pa.array(ids[found])], ["id"])
+
+
+def overlaps(texts: pa.Array, k: int = SHINGLE) -> np.ndarray:
+    """The exact weighted Jaccard similarity of each two texts."""
+    doc, element, count = multisets(Words(texts), k)
+    total = np.bincount(doc, weights=count, minlength=len(texts))
+    copies = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)  # a shingle's second copy is an element of its own
+    doc, element = np.repeat(doc, count), mix64(np.repeat(element, count) + mix64(copies.astype(np.uint64)))
+    _, column, seen = np.unique(element, return_inverse=True, return_counts=True)
+    shared = seen[column] > 1
+    doc, (_, column) = doc[shared], np.unique(column[shared], return_inverse=True)
+    both = np.zeros((len(texts), len(texts)))
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, WIDTH):
+        a, z = np.searchsorted(column, (at, at + WIDTH))
+        part = np.zeros((len(texts), WIDTH), dtype=np.float32)
+        part[doc[a:z], column[a:z] - at] = 1
+        both += part @ part.T
+    either = total[:, None] + total[None, :] - both
+    return np.divide(both, either, out=np.ones_like(both), where=either > 0)
+
+
+def _linked(group: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links of the group across classes, enough to connect what is connected here."""
+    ids, root = group.column("id").to_numpy(), group.column("root").to_numpy()
+    if len(ids) < 2 or (root == root[0]).all():
+        return
+    x, y = np.nonzero(np.triu(overlaps(group.column("text").combine_chunks()) >= threshold, 1))
+    top = {int(r): int(r) for r in root}
+
+    def find(r: int) -> int:
+        while top[r] != r:
+            top[r] = r = top[top[r]]
+        return r
+
+    out = []
+    for i, j in zip(x, y, strict=True):
+        p, q = find(int(root[i])), find(int(root[j]))
+        if p != q:
+            top[max(p, q)] = min(p, q)
+            out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array([int(p) for p, _ in out]), pa.array([int(q) for _, q in out])], ["a", "b"])
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, n_words_shingled) for each row of ``docs`` (doc_id, text): class_id is the smallest id of its class, itself if alone.
 
@@ -214,25 +322,23 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     member = stored(signed.join(first, "key").select("id", "rep", "weight"), "member")
     reps = stored(signed.where("weight > 0").join(first, "key").where("id = rep").select("id", "weight", "bands", "low").dropDuplicates(["id"]), "reps")
     buckets = stored(reps.select("id", "weight", F.explode("bands").alias("bucket")), "buckets")
+    near = lambda p, q: F.least(p, q) >= threshold * F.greatest(p, q)
+    # first each document with the smallest id of a bucket, the one that it shares most buckets with
     leaders = buckets.groupBy("bucket").agg(F.min_by(F.struct("id", "weight"), "id").alias("l"), F.count("*").alias("n")).where("n > 1")
-    close = F.least("weight", "l.weight") >= threshold * F.greatest("weight", "l.weight")
-    pairs = buckets.join(leaders, "bucket").where((F.col("id") != F.col("l.id")) & close).select(F.col("id").alias("a"), F.col("l.id").alias("b")).distinct()
-    pairs = stored(pairs, "pairs")
+    met = buckets.join(leaders, "bucket").where((F.col("id") != F.col("l.id")) & near(F.col("weight"), F.col("l.weight")))
+    shared = met.groupBy(F.col("id").alias("a"), F.col("l.id").alias("b")).count()
+    pairs = stored(shared.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b")), "pairs")
     links = stored(verified(pairs, known, threshold), "links")
-    roots = components(links)
-    # buckets that still hold more than one class: all pairs across classes that length and signature allow
-    labelled = buckets.join(roots, "id", "left").select("id", "weight", "bucket", F.coalesce("root", "id").alias("root"))
-    labelled = stored(labelled, "labelled")
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    open_rows = stored(labelled.join(mixed, "bucket", "left_semi").join(reps.select("id", "low"), "id"), "open")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    least_agree = COMPONENTS * (threshold - SURE * (threshold * (1 - threshold) / COMPONENTS) ** 0.5)
-    agree = F.aggregate(F.zip_with("x.low", "y.low", lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda n, v: n + v)
-    across = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & (F.least("x.weight", "y.weight") >= threshold * F.greatest("x.weight", "y.weight")) & (agree >= least_agree)
-    rest = x.join(y, across).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = stored(rest, "rest")
-    if not rest.isEmpty():
-        more = verified(rest, known, threshold)
+    roots = stored(components(links), "roots")
+    # then what buckets of several classes hold, across classes
+    labelled = stored(buckets.select("id", "bucket").join(roots, "id", "left").select("id", "bucket", F.coalesce("root", "id").alias("root")), "labelled")
+    dealt = stored(_dealt(labelled), "dealt")
+    alive = _grouped(dealt.join(reps.select("id", "weight", "low"), "id"), lambda g: _alike(g, threshold), "id long").distinct()
+    alive = stored(alive, "alive")
+    n = alive.count()
+    if n:
+        texts = stored(known.join(_near(alive, n), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+        more = _grouped(dealt.join(texts, "id"), lambda g: _linked(g, threshold), "a long, b long").distinct()
         roots = components(links.union(more))
     roots = stored(roots, "roots")
     out = member.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("c"), "weight")
