@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from soilspark.llm import bagminhash, decontaminate, fingerprint, html_extract, packing, secret_scan, sharding, toxicity, warc
+from soilspark.llm import bagminhash, decontaminate, fingerprint, html_extract, packing, secret_scan, sharding, toxicity, url_filter, warc
 from soilspark.llm.storage import shared_dir
 
 SHARDS = 64
@@ -21,6 +21,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
     return sharding.placed(docs, "doc_id", sharding.shard_names(SHARDS))
@@ -60,6 +64,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": op1_pack_sequences,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_url_verdicts": op3_url_verdicts,
     "op4_shard_documents": op4_shard_documents,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_secrets": op6_secrets,
