@@ -350,6 +350,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its class, all columns as they are; of repeated ids one row. Rows without id stay."""
-    kept = classes(docs.select("doc_id", "text"), threshold).where("doc_id = class_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return known.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    kept = stored(classes(docs.select("doc_id", "text"), threshold).where("doc_id = class_id").select("doc_id").distinct(), "kept")
+    known = docs.where("doc_id is not null").join(_near(kept, kept.count()), "doc_id", "left_semi").select(*docs.columns)
+    repeated = known.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = stored(repeated, "repeated")
+    n = repeated.count()
+    if n:
+        once = known.join(_near(repeated, n), "doc_id", "left_anti").select(*docs.columns)
+        known = once.unionByName(known.join(_near(repeated, n), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return known.unionByName(docs.where("doc_id is null"))

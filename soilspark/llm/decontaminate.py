@@ -26,6 +26,7 @@ from soilspark.llm.storage import stored
 WINDOW = 10
 SHINGLE = 3
 MAX_BROADCAST_WINDOWS = 200_000
+MAX_BROADCAST_IDS = 1_000_000  # 8 MB
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -96,6 +97,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+    """The rows of ``docs`` without any hit, all columns as they are. Rows that share a doc_id go together; rows without id stay."""
+    windows = stored(item_windows(benchmark, window), "windows")
+    n, least = windows.select("key", F.size("win").alias("n")).agg(F.count_distinct("key"), F.min("n")).first()
+    hits = _hit_windows(docs.select("doc_id", "text"), windows.groupBy("key").agg(F.first("win").alias("win")), min(SHINGLE, least or SHINGLE), n <= max_broadcast_windows)
+    bad = stored(hits.where("doc_id is not null").select("doc_id").distinct(), "contaminated")
+    return docs.join(F.broadcast(bad) if bad.count() <= MAX_BROADCAST_IDS else bad, "doc_id", "left_anti").select(*docs.columns)
+
+
 # DuckDB: windows joined with every run of as many words of each document, by their text.
 ORACLE_SQL = r"""
 WITH d AS (
