@@ -14,6 +14,8 @@ expressions; a text of any length is one array of hashes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,10 +100,11 @@ def _piece(doc_id: Column, bounds: list[int]) -> Column:
     return F.coalesce(F.when(doc_id.isNotNull(), skip + below(F.slice(whole, skip + 1, step))), F.lit(0))
 
 
-def with_next(docs: DataFrame, carried: list[str], rows_a_piece: int = ROWS_A_PIECE) -> DataFrame:
-    """``docs`` with ``next_<c>`` of each carried column: its value in the row of the next doc_id (equal ids by text, null ids first; after the last the first).
+def with_next(docs: DataFrame, carried: list[str], made: Callable[[DataFrame], DataFrame] = lambda df: df, rows_a_piece: int = ROWS_A_PIECE) -> DataFrame:
+    """``made(docs)`` with ``next_<c>`` of each carried column: its value in the row of the next doc_id (equal ids by text, null ids first; after the last the first).
 
     Rows are dealt by ranges of ids, each range is ordered by itself, and the first row of each range is added to the one before as its end.
+    ``made`` adds columns, to the rows of ``docs`` and to those few once more.
     """
     n, = docs.agg(F.count("*")).first()
     pieces = max(1, min(MAX_PIECES, -(-n // rows_a_piece)))
@@ -115,9 +118,11 @@ def with_next(docs: DataFrame, carried: list[str], rows_a_piece: int = ROWS_A_PI
     ends = first.select(F.lag("__piece").over(in_order).alias("__of"), "__id", F.max("__piece").over(Window.partitionBy(F.lit(0))).alias("__last"))
     ends = ends.select(F.coalesce("__of", "__last").alias("__of"), "__id")
     added = docs.join(F.broadcast(ends), docs["doc_id"].eqNullSafe(ends["__id"])).select(*docs.columns, F.col("__of").alias("__piece"), F.lit(True).alias("__end"))
+    own, added = made(own), made(added)
+    names = [c for c in own.columns if c not in ("__piece", "__end")]
     ordered = Window.partitionBy("__piece").orderBy("__end", F.col("doc_id").asc_nulls_first(), "text")
-    both = own.select(*docs.columns, "__piece", "__end").unionByName(added)
-    return both.select(*docs.columns, "__end", *[F.lead(c).over(ordered).alias(f"next_{c}") for c in carried]).where(~F.col("__end")).drop("__end")
+    both = own.unionByName(added)
+    return both.select(*names, "__end", *[F.lead(c).over(ordered).alias(f"next_{c}") for c in carried]).where(~F.col("__end")).drop("__end")
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
@@ -128,10 +133,9 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     gives no rows; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    own = with_fingerprint(docs, "text", "fp")
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
-    joined = with_next(own, ["text", "fp"])
+    joined = with_next(docs, ["text", "fp"], lambda df: with_fingerprint(df, "text", "fp"))
     edited = joined.select("doc_id", n.cast("long").alias("n_chars"), "fp", "next_fp", F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter)).alias("edited"))
     done = with_fingerprint(edited, "edited", "edited_fp")
     return done.select(
