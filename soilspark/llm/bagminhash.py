@@ -320,7 +320,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     signed = stored(known.mapInArrow(_sign, "id long, key binary, weight long, bands array<long>, low array<int>"), "signed")
     first = signed.groupBy("key").agg(F.min("id").alias("rep"))
     member = stored(signed.join(first, "key").select("id", "rep", "weight"), "member")
-    reps = stored(signed.where("weight > 0").join(first, "key").where("id = rep").select("id", "weight", "bands", "low").dropDuplicates(["id"]), "reps")
+    reps = stored(signed.where("weight > 0").join(first.withColumnRenamed("rep", "id"), ["key", "id"]).select("id", "weight", "bands", "low").dropDuplicates(["id"]), "reps")
     buckets = stored(reps.select("id", "weight", F.explode("bands").alias("bucket")), "buckets")
     near = lambda p, q: F.least(p, q) >= threshold * F.greatest(p, q)
     # first each document with the smallest id of a bucket, the one that it shares most buckets with
