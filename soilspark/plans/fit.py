@@ -131,7 +131,11 @@ def fitted(psi: np.ndarray, theta: np.ndarray, method: str = "least_squares", in
         residual = lambda p: np.log10(np.maximum(suction(p, theta), 1e-3)) - target
     else:
         residual = lambda p: curve(p, psi) - theta
+    if inverse:  # suctions are steep at both ends, so the curve itself gives the start
+        p0 = levenberg(lambda p: curve(p, psi) - theta, p0, low, high)
     p = METHODS[method](residual, p0, low, high)
+    if inverse and residual(p0) @ residual(p0) < residual(p) @ residual(p):
+        p = p0
     r = residual(p)
     chi, n, k = float(r @ r), len(psi), len(p)
     if not np.isfinite(chi):

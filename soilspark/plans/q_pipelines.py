@@ -54,7 +54,7 @@ def influence_curves(t: Tables) -> DataFrame:
     return compare.influence(params(t).withColumnsRenamed({"tr": "theta_r", "ts": "theta_s", "a": "alpha"}), "alpha").select("stat", "i", F.round("theta", 6).alias("theta"))
 
 
-@query("""SELECT profile_id, depth_cm, suction_cm, theta FROM (SELECT CAST(l_partkey AS VARCHAR) AS profile_id, l_linenumber * 5.0 AS depth_cm, round(abs(l_extendedprice) * 10.19716, 4) AS suction_cm, round(l_quantity / 100, 6) AS theta, count(*) OVER (PARTITION BY l_partkey, l_linenumber) AS c FROM lineitem WHERE l_returnflag <> 'N') WHERE c >= 4""")
+@query("""SELECT profile_id, depth_cm, suction_cm, theta FROM (SELECT CAST(l_partkey AS VARCHAR) AS profile_id, CAST(l_linenumber * 5 AS DOUBLE) AS depth_cm, round(abs(l_extendedprice) * 10.19716, 4) AS suction_cm, round(l_quantity / 100, 6) AS theta, count(*) OVER (PARTITION BY l_partkey, l_linenumber) AS c FROM lineitem WHERE l_returnflag <> 'N') WHERE c >= 4""")
 def standardised_network(t: Tables) -> DataFrame:
     raw = t.lineitem.where("l_returnflag <> 'N'").select(F.col("l_partkey").alias("Sample_ID"), (F.col("l_linenumber") * 5.0).alias("Depth_cm"), (-F.col("l_extendedprice")).alias("KPA"), F.col("l_quantity").alias("VWC"))
     out = standardize.network(raw, key="Sample_ID", depth="Depth_cm", suction="KPA", unit="kPa", water="VWC", percent=True, least=4)

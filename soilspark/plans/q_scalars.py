@@ -81,7 +81,7 @@ def depth_levels(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", depth.level(F.col("p_size") * 6.0).alias("level"), depth.sensor_level(F.col("p_size")).alias("sensor"))
 
 
-@query("""SELECT p_partkey, CAST(p_size AS DOUBLE) AS lo, p_size + 10.0 AS hi, p_size AS cm FROM part""")
+@query("""SELECT p_partkey, CAST(p_size AS DOUBLE) AS lo, CAST(p_size + 10 AS DOUBLE) AS hi, p_size AS cm FROM part""")
 def regex_suffix_parse(t: Tables) -> DataFrame:
     name = F.concat(F.lit("alpha_"), F.col("p_size").cast("string"), F.lit("_"), (F.col("p_size") + 10).cast("string"), F.lit("cm"))
     lo, hi = depth.suffix_bounds(name)
@@ -94,7 +94,7 @@ def norm_difference(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(geo.normalised_difference(d, x), 6).alias("nd"), F.round(geo.enhanced_index(d, x, F.lit(0.01)), 6).alias("evi"))
 
 
-@query("SELECT event_id, (CAST(json_extract(props, '$.k') AS BIGINT) & 62) = 0 AND user_id % 4 = 0 AS clear, round(CAST(json_extract(props, '$.k') AS BIGINT) * 0.0000275 - 0.2, 7) AS sr FROM events")
+@query("SELECT event_id, (CAST(json_extract(props, '$.k') AS BIGINT) & 62) = 0 AND user_id % 4 = 0 AS clear, round(CAST(json_extract(props, '$.k') AS BIGINT) * 0.0000275::DOUBLE - 0.2, 7) AS sr FROM events")
 def qa_bitmask(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("bigint")
     return t.events.select("event_id", geo.clear_pixel(k, F.col("user_id") % 4).alias("clear"), F.round(geo.surface_reflectance(k), 7).alias("sr"))

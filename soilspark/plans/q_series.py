@@ -60,7 +60,7 @@ def run_lengths(t: Tables) -> DataFrame:
 @query(f"""WITH {DAYS}, y AS (SELECT x.user_id, x.date, coalesce(x.value, 0) AS a, coalesce(c.n, 0)::DOUBLE AS b FROM x LEFT JOIN (SELECT user_id, CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY ALL) c USING (user_id, date)),
 g AS (SELECT user_id, date, row_number() OVER w - 1 AS start, abs(a - lag(a) OVER w) AS da, abs(b - lag(b) OVER w) AS db FROM y WINDOW w AS (PARTITION BY user_id ORDER BY date)),
 o AS (SELECT user_id, start, 0.7 * sum(da) OVER i + 0.3 * sum(db) OVER i AS score, count(*) OVER k AS c FROM g WINDOW i AS (PARTITION BY user_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING), k AS (PARTITION BY user_id ORDER BY date ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING))
-SELECT user_id, start, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 6) DESC, start) AS rank FROM o WHERE c = 7 AND start % 3 = 0) WHERE rank <= 2""")
+SELECT user_id, start::INT AS start, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 6) DESC, start) AS rank FROM o WHERE c = 7 AND start % 3 = 0) WHERE rank <= 2""")
 def window_score_topk(t: Tables) -> DataFrame:
     n = t.events.groupBy("user_id", F.to_date("ts").alias("date")).agg(F.count("*").alias("n"))
     rows = _days(t).join(n, ["user_id", "date"], "left").select("user_id", "date", F.coalesce("value", F.lit(0.0)).alias("a"), F.coalesce("n", F.lit(0)).cast("double").alias("b"))
