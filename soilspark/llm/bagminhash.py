@@ -282,7 +282,9 @@ def overlaps(texts: pa.Array, k: int = SHINGLE) -> np.ndarray:
         part[doc[a:z], column[a:z] - at] = 1
         both += part @ part.T
     either = total[:, None] + total[None, :] - both
-    return np.divide(both, either, out=np.ones_like(both), where=either > 0)
+    out = np.divide(both, either, out=np.ones_like(both), where=either > 0)
+    np.fill_diagonal(out, 1.0)  # what only one text has is not in the matrix
+    return out
 
 
 def _linked(group: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@
 A page is a sequence of tags and texts. Each word scores a positive weight, each tag a negative one, and
 the contiguous run of tokens with the largest sum is the content region, found by one linear scan. The
 weights come from labelled pages: on pages that mark their article, a token is content or not, and a tag
-costs more the more often it stands outside. A text of usual length weighs as much as one odds' worth, so
+costs its odds of standing outside, or next to nothing if it stands inside more often. A text of usual length weighs as much as one odds' worth, so
 that a few words beyond a telling tag do not pay for crossing it.
 
 Elements that are never content (menus, forms, scripts, notices ...), by name or by the words of their
@@ -115,7 +115,7 @@ def counted(page: str) -> Counter:
     found: Counter = Counter()
     for (name, text, _), within, skip in zip(items, inside or [], skipped(items), strict=False):
         if name:
-            found[name, within and not skip] += 1
+            found[name, within] += 1
         elif n := len(text.split()):
             found["#texts", within and not skip] += 1
             found["#words", within and not skip] += n
@@ -126,8 +126,10 @@ def weights(counts: Counter) -> dict[str, float]:
     """Positive for ``#word``, negative for tags and (``#tag``) for a tag that the labelled pages lack."""
     odds = {k: math.log((counts[k, True] + 0.5) / (counts[k, False] + 0.5)) for k in {k for k, _ in counts}}
     usual = (counts["#words", True] + 1) / (counts["#texts", True] + 1)
-    out = {k: -math.log1p(math.exp(-max(-20.0, v))) for k, v in odds.items() if not k.startswith("#")}
-    return out | {"#word": max(1.0, odds.get("#words", 1.0)) / usual, "#tag": -0.5}
+    word = max(1.0, odds.get("#words", 1.0)) / usual
+    out = {k: min(v, 0.0) - 0.01 * word for k, v in odds.items() if not k.startswith("#")}
+    inline = {k: max(v, -word) for k, v in out.items() if k.lstrip("/") in INLINE}  # a link or emphasis costs no more than a word
+    return out | inline | {"#word": word, "#tag": -0.5}
 
 
 def extract(page: str | None, weight: dict[str, float]) -> str:
