@@ -160,7 +160,7 @@ def _overlaps(texts: pa.Array, left: np.ndarray, right: np.ndarray, k: int = SHI
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = batch.column(2), batch.column(3)
-        for a, z in chunks(left, 2_000_000):
+        for a, z in chunks(left, 700_000):
             n = z - a
             texts = pa.concat_arrays([left.slice(a, n).cast(pa.large_string()), right.slice(a, n).cast(pa.large_string())])
             sim = _overlaps(texts, np.arange(n), np.arange(n, 2 * n))

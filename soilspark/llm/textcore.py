@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4_000_000  # text handled at once; a longer single text makes a chunk of its own
+CHUNK_BYTES = 1_500_000  # text handled at once; a longer single text makes a chunk of its own
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3 * 2 + 0x5851F42D4C957F2D | 1)
