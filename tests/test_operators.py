@@ -210,3 +210,57 @@ def test_daily_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.read.schema("k string, date date, v double, n long").parquet(str(tmp_path / "out"))
     assert [(str(r[0]), r[1]) for r in values(got, "date", "v")][:1] == [("2024-01-01", 2.0)]
+
+
+# --- sites and composites ------------------------------------------------------------------------------------------------------------------
+
+
+def test_tower_days(spark):
+    from soilspark.plans import site
+
+    rows = [("s", f"2024-01-0{d} 00:{m:02d}:00", 30.0 + d, 100.0 if d < 3 else None, 2.0) for d in (1, 2, 3) for m in (0, 30)]
+    df = spark.createDataFrame(rows, "site_id string, ts string, SWC_1 double, LE_F double, GPP double").withColumn("ts", F.to_timestamp("ts"))
+    got = {str(r["date"]): r for r in site.tower_days(df).collect()}
+    assert sorted(got) == ["2024-01-01", "2024-01-02"]  # no evaporation is known of the third day
+    assert got["2024-01-01"]["theta"] == pytest.approx(0.31) and got["2024-01-01"]["ET"] == pytest.approx(2 * 100 * 1800 / 2.45e6)
+    none = site.tower_days(df.drop("SWC_1", "LE_F"))
+    assert none.count() == 3 and none.where("theta is not null").count() == 0
+    params = spark.createDataFrame([("s", 0.05, 0.45, 0.02, 1.5)], "site_id string, theta_r double, theta_s double, alpha double, n double")
+    assert site.with_suction(site.tower_days(df), params).where("psi_cm > 0").count() == 2
+
+
+def test_network_days(spark):
+    from soilspark.plans import site
+
+    rows = [("n", "a", 45.0, None, 0.05, 0.05, "2024-01-01 01:00:00", 0.2, "G"), ("n", "a", 45.0, None, 0.05, 0.05, "2024-01-01 02:00:00", 0.9, "D01"), ("n", "a", None, -110.0, 0.1, None, "2024-01-02 01:00:00", 0.3, "D01")]
+    df = spark.createDataFrame(rows, "network string, station string, latitude double, longitude double, depth_from double, depth_to double, date_time string, soil_moisture double, soil_moisture_flag string").withColumn("date_time", F.to_timestamp("date_time"))
+    days = site.network_days(df)
+    assert sorted(values(days, "depth_cm", "theta")) == [(5, 0.2), (10, 0.3)]
+    assert values(site.station_table(df), "station", "latitude", "longitude", "depths") == [("a", 45.0, -110.0, 2)]
+    assert "soil_vwc_0005" in site.wide_days(days, [5, 10]).columns
+
+
+def test_overlapping_periods(spark):
+    from soilspark.operators import composites
+
+    df = spark.createDataFrame([("s", "2024-05-01", 1.0), ("s", "2024-12-31", 3.0)], "k string, d string, v double").withColumn("d", F.to_date("d"))
+    out = composites.composite(df, ["k"], ["v"], "d").first()
+    assert out["v_mean_1"] == out["v_mean_gs"] == 1.0 and out["v_mean_0"] == 3.0 and out["v_mean_2"] is None
+
+
+def test_masks_hide_the_share(spark):
+    from soilspark.operators import composites
+
+    df = spark.range(50)
+    for kind, exact in (("patch", True), ("end", True), ("speckled", False), ("mixed", False)):
+        n = [r[0] for r in df.select(F.size(F.filter(composites.masked_positions(40, 0.25, kind, F.col("id")), lambda x: x))).collect()]
+        assert set(n) == {10} if exact else 5 < sum(n) / 50 < 15
+
+
+def test_feature_families(spark):
+    from soilspark.plans import features
+
+    assert [features.family(c) for c in ("e07", "A63", "B5_mean_gs", "clay_0-5cm_mean", "xyz")] == ["embedding", "embedding", "landsat", "soil", "other"]
+    assert features.without(["e00", "lat", "xyz"], ("embedding", "location")) == ["xyz"]
+    df = spark.createDataFrame([("nd_stdDev_3",), ("A07",), ("odd",)], "c string")
+    assert [r[0] for r in values(df, features.label(F.col("c")))] == ["NDVI deviation, autumn", "Embedding 07", "odd"]
