@@ -71,3 +71,14 @@ def test_registered():
 
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_intermediate_tables_can_be_deleted(spark):
+    import os
+
+    from soilspark.llm import storage
+
+    df = storage.stored(spark.range(3), "x")
+    path = storage._written[-1].removeprefix("file://")
+    assert df.count() == 3 and os.path.isdir(path)
+    assert storage.forget(spark) > 0 and not os.path.isdir(path)
