@@ -24,7 +24,7 @@ from soilspark.llm.sqltext import words
 SHINGLE = 5
 BINS = 256
 BITS = 8
-ATTEMPTS = 16  # hashed attempts of an empty bin before the permutation
+ATTEMPTS = 64  # hashed attempts of an empty bin before the permutation
 PER_LONG = 64 // BITS
 ROWS_A_PIECE = 128  # documents of neighbouring ids that are handled together
 MAX_PIECES = 16_384
@@ -43,12 +43,13 @@ def _filled(bins: Column, b: Column) -> Column:
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with the fingerprint of column ``text`` as array<bigint> in ``out``: ``BINS * BITS / 64`` numbers; null if the text has no words."""
-    w, h, s, m, d = (f"__{out}_{x}" for x in "whsmd")
+    w, v, h, s, m, d = (f"__{out}_{x}" for x in "wvhsmd")
     every = df.select("*", words(F.col(text)).alias(w))
     # each array is named at least twice in what reads it: named once, its computation would be moved into the lambda
-    shifted = [F.slice(w, j + 1, F.greatest(F.size(w) - (SHINGLE - 1), F.lit(0))).alias(f"s{j}") for j in range(SHINGLE)]
-    runs = F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(*[z[f"s{j}"] for j in range(SHINGLE)]))
-    every = every.select(*[c for c in every.columns if c != w], F.when(F.size(w) >= SHINGLE, runs).when(F.size(w) > 0, F.array(F.xxhash64(w))).alias(h))
+    every = every.select(*[c for c in every.columns if c != w], F.when(F.size(w) > 0, F.transform(w, lambda x: F.xxhash64(x))).alias(v))
+    last = F.greatest(F.size(v) - (SHINGLE - 1), F.lit(0))
+    runs = F.transform(F.slice(v, 1, last), lambda x, i: F.xxhash64(x, *[F.get(v, i + j) for j in range(1, SHINGLE)]))
+    every = every.select(*[c for c in every.columns if c != v], F.when(F.size(v) >= SHINGLE, runs).when(F.size(v) > 0, F.array(F.xxhash64(v))).alias(h))
     marked = F.concat(F.transform(F.col(h), lambda x: F.shiftrightunsigned(x, 1).bitwiseOR(F.lit(1).cast("long"))), F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.shiftleft(b.cast("long"), _SHIFT)), F.array(F.lit(_END)))
     every = every.select(*[c for c in every.columns if c != h], F.when(F.size(h) > 0, F.sort_array(marked)).alias(s))
     even = lambda x: x.bitwiseAND(F.lit(1).cast("long")) == 0
