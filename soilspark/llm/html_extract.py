@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from soilspark.llm.sampling import sampled
+
 LABELLED_PAGES = 2_000
 
 # fixed values: names and hints of HTML
@@ -176,11 +178,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(pages: DataFrame, sample: int = LABELLED_PAGES) -> dict[str, float]:
-    """Weights from at most ``sample`` labelled pages, those of the smallest hashes. Without any, every tag costs the same."""
+    """Weights from at most ``sample`` labelled pages, of twice as many of the smallest hashes. Without any, every tag costs the same."""
     html_ = F.col("html")
-    marked = pages.where(html_.isNotNull() & F.lower(html_).rlike("<(article|main)[\\s>]")).withColumn("h", F.xxhash64("page_id", "html"))
-    # hashes alone are sorted; pages move only if they are among the sample
-    some = marked.join(F.broadcast(marked.select("h").orderBy("h").limit(sample).distinct()), "h", "left_semi").select("html")
+    marked = html_.isNotNull() & F.lower(html_).rlike("<(article|main)[\\s>]")
+    some = sampled(pages.select("page_id", "html"), ["page_id", "html"], 2 * sample, pages.count()).where(marked).limit(sample).select("html")
     rows = some.repartition(8).mapInArrow(_counts, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n"))
     # tag names of a bounded sample; those seen once or twice say nothing
     return weights(Counter({(r["kind"], r["inside"]): r["n"] for r in rows.where("n > 2").collect()}))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from soilspark.llm.sampling import sampled
 from soilspark.llm.textcore import _VALUE, Words, _powers_to, chunks, mix64
 
 BUCKETS = 1 << 22
@@ -126,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     Without any toxic document in the sample every text is of grade 0.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    taken = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
+    taken = [sampled(known.where(F.col("toxic") == k), ["doc_id"], sample) for k in (0, 1)]
     rows = docs.select("doc_id", "text").join(F.broadcast(taken[0].unionByName(taken[1])), "doc_id").select(F.col("toxic").cast("int"), F.col("text").cast("string"))
     got = rows.mapInArrow(_counted, "toxic int, f binary, c binary, n long").toArrow()
     cols = [got.column(k).to_pylist() for k in range(4)]

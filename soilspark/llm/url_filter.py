@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from soilspark.llm.sampling import sampled
+
 ALLOW, BLOCK = "allow", "block"
 SAMPLE = 4_000
 TREES, DEPTH, RATE, CUTS, RIDGE = 30, 3, 0.3, 16, 1.0
@@ -185,7 +187,7 @@ def _statistics(names: list[str], y: np.ndarray) -> dict[str, tuple[float, float
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from URLs (url, blocked 0/1), at most ``sample`` of them. Without any of one kind the model knows only the other."""
-    some = labelled.where("url is not null and blocked is not null").orderBy(F.xxhash64("url"), "url").limit(sample)
+    some = sampled(labelled.where("url is not null and blocked is not null"), ["url", "blocked"], sample)
     own = described(some.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url"))))
     plain = FEATURES[:-4]
     rows = own.select("blocked", "suffix1", "suffix2", *plain).collect()
