@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1_500_000  # text handled at once; a longer single text makes a chunk of its own
+SEGMENT_BYTES = 1 << 19  # of these the bytes that are hashed at once
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3 * 2 + 0x5851F42D4C957F2D | 1)
@@ -27,6 +28,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 _VALUE = mix64((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _GOLD)[_LOWER] | np.uint64(1)
+_HASHED = np.where(_WORD, _VALUE, np.uint64(0))  # separators add nothing to a word's hash
 _powers = np.cumprod(np.full(1024, _BASE, dtype=np.uint64))
 
 
@@ -77,17 +79,20 @@ class Words:
         head[1:] &= ~inside[:-1]
         begins = at[:-1][(at[:-1] < at[1:])]
         head[begins] = inside[begins]  # a word never spans two texts
-        index = np.flatnonzero(inside)
-        starts = np.flatnonzero(head[index])
-        self.start_byte = index[starts]
-        size = np.diff(np.append(starts, len(index)))
-        if len(index):
-            within = np.arange(len(index), dtype=np.int64) - np.repeat(starts, size)
-            terms = _VALUE[data[index]] * _powers_to(int(size.max()))[within]
-            self.hash = mix64(np.add.reduceat(terms, starts))
-        else:
-            self.hash = np.zeros(0, dtype=np.uint64)
-        self.size = size
+        last = inside.copy()
+        last[:-1] &= ~inside[1:] | head[1:]
+        self.start_byte = np.flatnonzero(head)
+        end = np.flatnonzero(last) + 1
+        self.size = end - self.start_byte
+        self.hash = np.zeros(len(end), dtype=np.uint64)
+        powers = _powers_to(int(self.size.max()) + 1 if len(end) else 1)
+        cuts = np.unique(np.append(np.searchsorted(self.start_byte, np.arange(0, len(data), SEGMENT_BYTES)), len(end)))
+        for p, q in zip(cuts, cuts[1:], strict=False):  # a few words' bytes at once, however long the texts are
+            begin = self.start_byte[p:q]
+            s, e = int(begin[0]), int(end[q - 1])
+            within = np.arange(s, e) - np.repeat(begin, np.diff(np.append(begin, e)))
+            terms = _HASHED[data[s:e]] * powers[np.minimum(within, len(powers) - 1)]
+            self.hash[p:q] = mix64(np.add.reduceat(terms, begin - s))
         self.data, self.at = data, at
         self.first = np.searchsorted(self.start_byte, at)
 
