@@ -36,11 +36,16 @@ def band_join(df: DataFrame, bands: DataFrame, value: Column, lo: str = "lo", hi
     return df.join(F.broadcast(bands), (value >= F.col(lo)) & (value < F.col(hi)), how)
 
 
-def nearest_join(df: DataFrame, centres: DataFrame, by: list[str], value: Column, centre: str, tie: str) -> DataFrame:
-    """Rows with the centre nearest to their value, the smaller ``tie`` of two. ``centres`` is a dimension table of a few rows."""
-    crossed = df.join(F.broadcast(centres), how="cross")
-    w = Window.partitionBy(*by).orderBy(F.abs(value - F.col(centre)), F.col(tie))
-    return crossed.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+def nearest_join(df: DataFrame, centres: DataFrame, value: Column, centre: str, tie: str) -> DataFrame:
+    """Rows with the columns of the centre nearest to their value, the smaller ``tie`` of two; null where the value is.
+
+    ``centres`` is a dimension table of a few rows: it travels as one array beside each row, so rows are neither multiplied nor shuffled.
+    """
+    names = [centre, tie, *[c for c in centres.columns if c not in (centre, tie)]]
+    table = centres.agg(F.collect_list(F.struct(*names)).alias("__c"))
+    apart = F.transform("__c", lambda c: F.struct(F.abs(value - c[centre]).alias("d"), c[tie].alias("t"), c.alias("c")))
+    rows = df.join(F.broadcast(table)).withColumn("__b", F.when(value.isNotNull(), F.array_min(apart)["c"])).drop("__c")
+    return rows.select(*df.columns, *[F.col(f"__b.{c}").alias(c) for c in names])
 
 
 def unmatched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

@@ -104,7 +104,7 @@ def range_band_join(t: Tables) -> DataFrame:
 @query("""SELECT p_partkey, level FROM (SELECT p_partkey, level, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(p_size * 5 - centre), level) AS n FROM part,
 (VALUES (1, 1.25), (2, 6.25), (3, 16.25), (4, 33.75), (5, 62.5), (6, 115.0), (7, 200.0)) AS c(level, centre)) WHERE n = 1""")
 def nearest_level_join(t: Tables) -> DataFrame:
-    return joins.nearest_join(t.part.select("p_partkey", "p_size"), depth.level_table(t.spark).select("level", "centre"), ["p_partkey"], F.col("p_size") * 5, "centre", "level").select("p_partkey", "level")
+    return joins.nearest_join(t.part.select("p_partkey", "p_size"), depth.level_table(t.spark).select("level", "centre"), F.col("p_size") * 5, "centre", "level").select("p_partkey", "level")
 
 
 @query("""WITH a AS (SELECT CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id END AS k, count(*) AS n FROM events GROUP BY 1), b AS (SELECT CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id END AS k, max(event_id) AS m FROM events GROUP BY 1)

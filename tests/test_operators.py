@@ -49,6 +49,12 @@ def test_many_to_one_refuses_repeated_keys(spark):
         joins.many_to_one(left, right, ["k"])
 
 
+def test_nearest_centre(spark):
+    centres = spark.createDataFrame([(1, 0.0, "a"), (2, 10.0, "b")], "level int, centre double, name string")
+    df = spark.createDataFrame([(1, 2.0), (2, 5.0), (3, 5.1), (4, None), (4, None)], "id int, v double")
+    assert values(joins.nearest_join(df, centres, F.col("v"), "centre", "level").orderBy("id"), "id", "level", "name") == [(1, 1, "a"), (2, 1, "a"), (3, 2, "b"), (4, None, None), (4, None, None)]
+
+
 def test_polygons_both_ways(spark):
     points = spark.createDataFrame([(1, 0.5, 0.5), (2, 5.0, 5.0), (3, 1.5, 0.5)], "id int, x double, y double")
     ring = [{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}, {"x": 1.0, "y": 1.0}, {"x": 0.0, "y": 1.0}]
