@@ -68,9 +68,9 @@ def semi_min_points(t: Tables) -> DataFrame:
     return joins.at_least(t.lineitem.select("l_partkey", "l_linenumber", "l_orderkey"), ["l_partkey", "l_linenumber"], 4)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def anti_unmatched_report(t: Tables) -> DataFrame:
-    return joins.unmatched(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return joins.unmatched(t.customer.select("c_custkey"), t.orders.where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("""WITH a AS (SELECT user_id, CAST(ts AS DATE) AS date, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY ALL), b AS (SELECT user_id, CAST(ts AS DATE) AS date, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY ALL)
