@@ -16,22 +16,23 @@ LEAST_POINTS = 4
 
 
 def curve(p: np.ndarray, psi: np.ndarray) -> np.ndarray:
-    tr, ts, a, n = p
+    """Water contents of many curves at once: ``p`` is (..., 4), ``psi`` (..., points)."""
+    tr, ts, a, n = (p[..., k, None] for k in range(4))
     return tr + (ts - tr) / (1 + (a * np.maximum(psi, 1e-9)) ** n) ** (1 - 1 / n)
 
 
 def suction(p: np.ndarray, theta: np.ndarray) -> np.ndarray:
-    tr, ts, a, n = p
-    se = np.clip((theta - tr) / max(ts - tr, 1e-9), 1e-9, 1 - 1e-9)
+    tr, ts, a, n = (p[..., k, None] for k in range(4))
+    se = np.clip((theta - tr) / np.maximum(ts - tr, 1e-9), 1e-9, 1 - 1e-9)
     return (se ** (-n / (n - 1)) - 1) ** (1 / n) / a
 
 
-def start_and_bounds(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def start_and_bounds(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Saturated near the largest content (10 % either way), residual from 0 to 1.1 times the smallest, alpha 0.05 in [1e-5, 5], n 1.5 in [1.001, 10]."""
-    lo, hi = float(theta.min()), float(theta.max())
-    low = np.array([0.0, 0.9 * hi, 1e-5, 1.001])
-    high = np.array([max(1.1 * lo, 1e-6), 1.1 * hi, 5.0, 10.0])
-    return np.clip(np.array([lo, hi, 0.05, 1.5]), low + 1e-9, high - 1e-9), low, high
+    one = np.ones_like(lo)
+    low = np.stack([0 * one, 0.9 * hi, 1e-5 * one, 1.001 * one], axis=-1)
+    high = np.stack([np.maximum(1.1 * lo, 1e-6), 1.1 * hi, 5 * one, 10 * one], axis=-1)
+    return np.clip(np.stack([lo, hi, 0.05 * one, 1.5 * one], axis=-1), low + 1e-9, high - 1e-9), low, high
 
 
 def _free(p, low, high):
@@ -44,35 +45,53 @@ def _bound(u, low, high):
 
 
 def _jacobian(f, p: np.ndarray) -> np.ndarray:
-    h = 1e-6 * np.maximum(np.abs(p), 1e-3)
-    return np.stack([(f(p + e) - f(p - e)) / (2 * e.sum()) for e in np.diag(h)], axis=1)
+    """(groups, points, parameters) by central differences."""
+    cols = []
+    for k in range(p.shape[1]):
+        h = np.zeros_like(p)
+        h[:, k] = 1e-6 * np.maximum(np.abs(p[:, k]), 1e-3)
+        cols.append((f(p + h) - f(p - h)) / (2 * h[:, k, None]))
+    return np.stack(cols, axis=-1)
 
 
-def levenberg(residual, p0: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Damped least squares on parameters that a logistic map keeps in their bounds."""
-    f = lambda u: residual(_bound(u, low, high))
-    u, damp = _free(p0, low, high), 1e-2
-    r = f(u)
+def levenberg(residual, p0: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 120) -> np.ndarray:
+    """Damped least squares of many groups side by side, on parameters that a logistic map keeps in their bounds.
+
+    ``residual(p, rows)`` gives the residuals (rows, points) of the groups ``rows`` at ``p``. Groups that no longer gain drop out.
+    """
+    u = _free(p0, low, high)
+    damp = np.full(len(u), 1e-2)
+    rows = np.arange(len(u))
+    r = residual(p0, rows)
     for _ in range(rounds):
-        j = _jacobian(f, u)
-        a, g = j.T @ j, j.T @ r
-        step = np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-12), -g, rcond=None)[0]
-        step = np.clip(step, -5, 5)
-        new = f(u + step)
-        if new @ new < r @ r:
-            done = r @ r - new @ new < 1e-14 * (r @ r + 1e-30)
-            u, r, damp = u + step, new, max(damp / 3, 1e-12)
-            if done:
-                break
-        else:
-            damp *= 4
-            if damp > 1e12:
-                break
+        if not len(rows):
+            break
+        f = lambda v: residual(_bound(v, low[rows], high[rows]), rows)  # noqa: B023, E731
+        j = _jacobian(f, u[rows])
+        a = np.einsum("gnk,gnl->gkl", j, j)
+        g = np.einsum("gnk,gn->gk", j, r[rows])
+        d = np.einsum("gkk->gk", a).copy()
+        held = a + np.einsum("gk,kl->gkl", damp[rows, None] * d + 1e-12, np.eye(a.shape[1]))
+        step = np.clip(-np.linalg.solve(held, g[..., None])[..., 0], -5, 5)
+        new = f(u[rows] + step)
+        before, after = (r[rows] ** 2).sum(axis=1), (new**2).sum(axis=1)
+        better = after < before
+        won = rows[better]
+        u[won] += step[better]
+        r[won] = new[better]
+        damp[won] = np.maximum(damp[won] / 3, 1e-12)
+        damp[rows[~better]] *= 4
+        done = better & (before - after < 1e-9 * before + 1e-24) | (damp[rows] > 1e8)
+        rows = rows[~done]
     return _bound(u, low, high)
 
 
 def nelder(residual, p0: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 800) -> np.ndarray:
-    """Downhill simplex on the same free parameters."""
+    """Downhill simplex on the same free parameters, group by group."""
+    return np.stack([_simplex(lambda p, k=k: residual(p[None], np.array([k]))[0], p0[k], low[k], high[k], rounds) for k in range(len(p0))]) if len(p0) else p0
+
+
+def _simplex(residual, p0, low, high, rounds: int) -> np.ndarray:
     cost = lambda u: float(np.sum(residual(_bound(u, low, high)) ** 2))
     x0 = _free(p0, low, high)
     s = np.vstack([x0, x0 + 0.5 * np.eye(len(x0))])
@@ -102,68 +121,85 @@ def nelder(residual, p0: np.ndarray, low: np.ndarray, high: np.ndarray, rounds:
     return _bound(s[np.argmin(v)], low, high)
 
 
-def gauss(residual, p0, low, high) -> np.ndarray:
-    """Damped least squares from several starts of alpha and n, the best kept."""
-    best = None
+def multistart(residual, p0, low, high) -> np.ndarray:
+    """Damped least squares from several starts of alpha and n, the best of each group kept."""
+    rows = np.arange(len(p0))
+    best, least = p0, np.full(len(p0), np.inf)
     for a in (0.005, 0.05, 0.5):
         for n in (1.2, 2.0):
-            start = np.clip(np.array([p0[0], p0[1], a, n]), low + 1e-9, high - 1e-9)
+            start = np.clip(np.stack([p0[:, 0], p0[:, 1], np.full(len(p0), a), np.full(len(p0), n)], axis=1), low + 1e-9, high - 1e-9)
             p = levenberg(residual, start, low, high, 60)
-            r = residual(p)
-            if best is None or r @ r < best[0]:
-                best = (float(r @ r), p)
-    return best[1]
-
-
-METHODS = {"least_squares": levenberg, "nelder": nelder, "multistart": gauss}
-
-
-def fitted(psi: np.ndarray, theta: np.ndarray, method: str = "least_squares", inverse: bool = False) -> dict:
-    """One fit with its statistics. ``inverse``: log10 suctions are fitted at the observed contents instead."""
-    ok = np.isfinite(psi) & np.isfinite(theta) & (psi >= 0)
-    psi, theta = psi[ok], theta[ok]
-    out = {"method": method, "status": "Failed", "n_obs": len(psi)}
-    if len(psi) < LEAST_POINTS or theta.max() <= 0:
-        return out
-    p0, low, high = start_and_bounds(theta)
-    if inverse:
-        target = np.log10(np.maximum(psi, 1e-3))
-        residual = lambda p: np.log10(np.maximum(suction(p, theta), 1e-3)) - target
-    else:
-        residual = lambda p: curve(p, psi) - theta
-    if inverse:  # suctions are steep at both ends, so the curve itself gives the start
-        p0 = levenberg(lambda p: curve(p, psi) - theta, p0, low, high)
-    p = METHODS[method](residual, p0, low, high)
-    if inverse and residual(p0) @ residual(p0) < residual(p) @ residual(p):
-        p = p0
-    r = residual(p)
-    chi, n, k = float(r @ r), len(psi), len(p)
-    if not np.isfinite(chi):
-        return out
-    per = n * np.log(max(chi, 1e-250) / n)
-    red = chi / (n - k) if n > k else None
-    j = _jacobian(residual, p)
-    spread = np.sqrt(np.maximum(np.diag(np.linalg.pinv(j.T @ j)) * red, 0)) if red is not None else [None] * k
-    return out | {"status": "Success"} | dict(zip(NAMES, map(float, p), strict=True)) | {f"{c}_stderr": None if s is None else float(s) for c, s in zip(NAMES, spread, strict=True)} | {
-        "chi_squared": chi, "reduced_chi_squared": red, "aic": float(per + 2 * k), "bic": float(per + np.log(n) * k)
-    }
+            chi = (residual(p, rows) ** 2).sum(axis=1)
+            best = np.where((chi < least)[:, None], p, best)
+            least = np.minimum(chi, least)
+    return best
+
+
+METHODS = {"least_squares": levenberg, "nelder": nelder, "multistart": multistart}
+
+
+def fit_many(points: list[tuple[np.ndarray, np.ndarray]], method: str = "least_squares", inverse: bool = False) -> list[dict]:
+    """Fits of many (suction, water content) series with their statistics. ``inverse``: log10 suctions are fitted at the observed contents instead."""
+    out: list[dict] = []
+    for psi, theta in points:
+        ok = np.isfinite(psi) & np.isfinite(theta) & (psi >= 0)
+        out.append({"method": method, "status": "Failed", "n_obs": int(ok.sum()), "_x": psi[ok], "_y": theta[ok]})
+    able = [o for o in out if o["n_obs"] >= LEAST_POINTS and o["_y"].max() > 0]
+    if able:
+        width = max(o["n_obs"] for o in able)
+        pad = lambda k, fill: np.stack([np.append(o[k], np.full(width - o["n_obs"], fill)) for o in able])
+        psi, theta = pad("_x", 1.0), pad("_y", 0.0)
+        seen = np.arange(width)[None, :] < np.array([o["n_obs"] for o in able])[:, None]
+        p0, low, high = start_and_bounds(np.array([o["_y"].min() for o in able]), np.array([o["_y"].max() for o in able]))
+        forward = lambda p, rows: np.where(seen[rows], curve(p, psi[rows]) - theta[rows], 0.0)
+        residual = forward
+        if inverse:  # suctions are steep at both ends, so the curve itself gives the start
+            target = np.log10(np.maximum(psi, 1e-3))
+            residual = lambda p, rows: np.where(seen[rows], np.log10(np.maximum(suction(p, theta[rows]), 1e-3)) - target[rows], 0.0)
+            p0 = levenberg(forward, p0, low, high)
+        every = np.arange(len(able))
+        p = METHODS[method](residual, p0, low, high)
+        if inverse:
+            worse = (residual(p0, every) ** 2).sum(axis=1) < (residual(p, every) ** 2).sum(axis=1)
+            p = np.where(worse[:, None], p0, p)
+        chi = (residual(p, every) ** 2).sum(axis=1)
+        j = _jacobian(lambda v: residual(v, every), p)
+        cov = np.linalg.pinv(np.einsum("gnk,gnl->gkl", j, j))
+        for g, o in enumerate(able):
+            n, k, c = o["n_obs"], 4, float(chi[g])
+            if not np.isfinite(c):
+                continue
+            red = c / (n - k) if n > k else None
+            per = n * np.log(max(c, 1e-250) / n)
+            spread = [None] * k if red is None else np.sqrt(np.maximum(np.diag(cov[g]) * red, 0)).tolist()
+            o |= {"status": "Success", "chi_squared": c, "reduced_chi_squared": red, "aic": float(per + 2 * k), "bic": float(per + np.log(n) * k)}
+            o |= dict(zip(NAMES, p[g].tolist(), strict=True)) | {f"{x}_stderr": s for x, s in zip(NAMES, spread, strict=True)}
+    return [{k: v for k, v in o.items() if k[0] != "_"} for o in out]
 
 
 def fits(obs: DataFrame, by: list[str], methods: list[str] | None = None, inverse: bool = False, psi: str = "suction_cm", theta: str = "theta") -> DataFrame:
     """A row for each key and method: parameters, standard errors, chi squared, AIC and BIC; ``Failed`` below four observations.
 
-    Groups are one profile's observations at one depth, tens of points; each (key, method) is a group of its own, so methods run side by side.
+    A key is one profile at one depth, tens of points: they are gathered in arrays, and the fits of a whole batch of keys run side by side in
+    vectorised least squares. Each (key, method) is a row of its own, so methods spread over tasks.
     """
     methods = methods or ["least_squares"]
     keys = [f"{f.name} {f.dataType.simpleString()}" for f in obs.select(*by).schema.fields]
-    rows = obs.select(*by, F.col(psi).cast("double").alias("__psi"), F.col(theta).cast("double").alias("__theta")).withColumn("__method", F.explode(F.array(*[F.lit(m) for m in methods])))
+    point = F.struct(F.col(psi).cast("double").alias("x"), F.col(theta).cast("double").alias("y"))
+    rows = obs.groupBy(*by).agg(F.sort_array(F.collect_list(point)).alias("__p")).withColumn("__method", F.explode(F.array(*[F.lit(m) for m in methods])))
+    rows = rows.select(*by, "__method", F.transform("__p", lambda p: F.coalesce(p["x"], F.lit(float("nan")))).alias("__x"), F.transform("__p", lambda p: F.coalesce(p["y"], F.lit(float("nan")))).alias("__y"))
     names = [*by, *[c.split()[0] for c in SCHEMA_TAIL.split(", ")]]
 
-    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        got = fitted(group["__psi"].to_numpy(dtype=float), group["__theta"].to_numpy(dtype=float), key[-1], inverse)
-        return pd.DataFrame([{**dict(zip(by, key[:-1], strict=True)), **got}]).reindex(columns=names)
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                for method, group in part.groupby("__method"):
+                    points = [(np.asarray(x, dtype=float), np.asarray(y, dtype=float)) for x, y in zip(group["__x"], group["__y"], strict=True)]
+                    got = pd.DataFrame(fit_many(points, method, inverse), index=group.index).reindex(columns=names[len(by) :])
+                    yield pd.concat([group[by], got], axis=1)
 
-    return rows.groupBy(*by, "__method").applyInPandas(one, ", ".join(keys) + ", " + SCHEMA_TAIL)
+    return rows.mapInPandas(run, ", ".join(keys) + ", " + SCHEMA_TAIL)
 
 
 def compared(all_fits: DataFrame, by: list[str]) -> DataFrame:
