@@ -506,3 +506,22 @@ def test_every_empty_bin_is_filled(spark):
     got = fingerprint.with_fingerprint(df, "text", "fp").collect()
     assert all(len(r["fp"]) == fingerprint.BINS // fingerprint.PER_LONG and None not in r["fp"] for r in got)
     assert len({b for x in got[0]["fp"] for b in x.to_bytes(8, "big", signed=True)}) == 1
+
+
+# --- samples -----------------------------------------------------------------------------------------------------------------------------
+
+
+def test_samples_are_bounded_and_placeless(spark):
+    from soilspark.llm.sampling import sampled
+
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    one = sorted(r[0] for r in sampled(df.repartition(2), ["k"], 100).collect())
+    assert one == sorted(r[0] for r in sampled(df.repartition(7), ["k"], 100).collect()) and len(one) == 100
+    assert sampled(df.limit(30), ["k"], 100).count() == 30 and sampled(df.limit(0), ["k"], 100).count() == 0
+    assert sampled(df.withColumn("k", df["k"] % 2), ["k"], 100).count() <= 100
+
+
+def test_long_texts_are_hashed_in_segments(monkeypatch, texts):
+    whole = textcore.Words(pa.array(texts)).hash
+    monkeypatch.setattr(textcore, "SEGMENT_BYTES", 50)
+    assert (textcore.Words(pa.array(texts)).hash == whole).all()
