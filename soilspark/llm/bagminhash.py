@@ -320,7 +320,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     known = docs.where("id is not null")
     signed = stored(known.mapInArrow(_sign, "id long, key binary, weight long, bands array<long>, low array<int>"), "signed")
-    first = signed.groupBy("key").agg(F.min("id").alias("rep"))
+    first = stored(signed.groupBy("key").agg(F.min("id").alias("rep")), "first")  # else the join would inherit its dealing by key, which Spark can't split
     member = stored(signed.join(first, "key").select("id", "rep", "weight"), "member")
     reps = stored(signed.where("weight > 0").join(first.withColumnRenamed("rep", "id"), ["key", "id"]).select("id", "weight", "bands", "low").dropDuplicates(["id"]), "reps")
     buckets = stored(reps.select("id", "weight", F.explode("bands").alias("bucket")), "buckets")
