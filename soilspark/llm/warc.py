@@ -36,6 +36,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from soilspark.llm.storage import stored
+
 LEAST_REVISIT_BYTES = 100
 FILE_BYTES = 128_000_000
 PARTITION_BYTES = 64_000_000
@@ -351,7 +353,8 @@ def resolved(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("target_uri"), payload.alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    first = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"))
+    # written first: else the join would inherit its dealing by digest, which Spark can't split where many pages share one
+    first = stored(rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first")), "first")
     response = F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first"))
     return rows.join(first, "payload_digest", "left").select(
         F.when(response, "response").otherwise("revisit").alias("record_type"), "page_id", "target_uri", F.when(response, F.col("payload")).alias("payload"),
