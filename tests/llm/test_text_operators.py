@@ -304,7 +304,6 @@ def test_predicates_are_pushed_down(spark, tmp_path):
     path = str(tmp_path / "w")
     warc.write_archives(warc.resolved(df), path)
     revisits = warc.read_archives(spark, path).where("record_type = 'revisit' AND target_uri LIKE 'http://a/%' AND page_id >= 2")
-    assert "Filters: [" not in revisits._jdf.queryExecution().executedPlan().toString() or True
     assert sorted(r["page_id"] for r in revisits.collect()) == [2, 3, 4]
     reader = warc.WarcReader({"path": path})
     left = list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit"), warc.EqualTo(("payload_bytes",), 3)]))
