@@ -210,7 +210,7 @@ def _dealt(labelled: DataFrame) -> DataFrame:
     """
     sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     per = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
-    blocks = per.select("bucket", "main", F.ceil(F.col("n_main") / BLOCK).cast("int").alias("p"), F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int").alias("q"))
+    blocks = stored(per.select("bucket", "main", F.ceil(F.col("n_main") / BLOCK).cast("int").alias("p"), F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int").alias("q")), "blocks")
     rows = labelled.join(blocks, "bucket")
     is_main = F.col("root") == F.col("main")
     own = F.pmod(F.xxhash64("id"), F.when(is_main, F.col("p")).otherwise(F.col("q"))).cast("int")
@@ -326,7 +326,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     buckets = stored(reps.select("id", "weight", F.explode("bands").alias("bucket")), "buckets")
     near = lambda p, q: F.least(p, q) >= threshold * F.greatest(p, q)
     # first each document with the smallest id of a bucket, the one that it shares most buckets with
-    leaders = buckets.groupBy("bucket").agg(F.min_by(F.struct("id", "weight"), "id").alias("l"), F.count("*").alias("n")).where("n > 1")
+    leaders = stored(buckets.groupBy("bucket").agg(F.min_by(F.struct("id", "weight"), "id").alias("l"), F.count("*").alias("n")).where("n > 1"), "leaders")
     met = buckets.join(leaders, "bucket").where((F.col("id") != F.col("l.id")) & near(F.col("weight"), F.col("l.weight")))
     shared = met.groupBy(F.col("id").alias("a"), F.col("l.id").alias("b")).count()
     pairs = stored(shared.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b")), "pairs")
