@@ -185,15 +185,16 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every id in ``edges`` (a, b): root is the smallest id that it is connected with.
 
-    Alternates two contractions, of neighbours above and below each id, until every edge ends in a root; each round is written out.
+    Alternates two contractions, of neighbours above and below each id, until every edge ends in a root; each round is written out, and so are the smallest neighbours, so
+    that the join with the edges of an id of very many neighbours can be split.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = stored(large, "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         small = stored(small, "small")
         ends = small.select(F.col("b").alias("a")).distinct()
