@@ -2,7 +2,7 @@
 
 Features of a text are its words and the beginnings of its words, hashed to ``BUCKETS`` numbers and counted. One weight a feature is
 shared by all thresholds: P(grade > k) = logistic(w.x - t_k). The severity of a text is its expected grade, the sum of these
-probabilities; it is rejected if grade 0 is less likely than not.
+probabilities; it is rejected if a grade above 0 has at least probability ``REJECT``.
 
 Training. Labels say toxic or not. A sample of at most ``SAMPLE`` labelled documents of either kind is taken, the smallest by a hash
 of their id, so the bound holds however many labels there are. Grades are 0 (not toxic), and for toxic documents 1 or 2: a word that
@@ -32,6 +32,7 @@ SEEN = 2
 SHARE = 0.005
 RATIO = 25
 GRADES = 3
+REJECT = 0.3  # least probability of a grade above 0: to keep a toxic document costs more than to lose a clean one
 PENALTY = 2e-5
 ROUNDS = 2000
 
@@ -156,7 +157,7 @@ def judged(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 hit = np.flatnonzero(weight)
                 score = np.bincount(doc[hit], weights=weight[hit], minlength=z - a)
                 above = _logistic(score[:, None] - model.thresholds[None, :])
-                extra = [pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= 0.5)]
+                extra = [pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= REJECT)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=schema.names)
 
     return docs.mapInArrow(run, schema)
