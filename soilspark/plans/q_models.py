@@ -15,8 +15,8 @@ SUCTIONS = [1.0, 10.0, 30.0, 60.0, 100.0, 330.0, 500.0, 1000.0, 3000.0, 5000.0,
 
 
 def curves(t: Tables) -> DataFrame:
-    """Twelve points of a curve with small deterministic deviations for each part of a tenth of parts."""
-    p = t.part.where("p_partkey % 10 = 0").select(
+    """Twelve points of a curve with small deterministic deviations for each part."""
+    p = t.part.select(
         "p_partkey", (0.03 + F.col("p_size") / 1000).alias("tr"), (0.4 + (F.col("p_partkey") % 7) / 100).alias("ts"), (0.005 + F.col("p_size") / 1000).alias("a"), (1.2 + (F.col("p_partkey") % 13) / 10).alias("n")
     )
     rows = p.withColumn("suction_cm", F.explode(F.array(*map(F.lit, SUCTIONS))))

@@ -270,3 +270,41 @@ def test_feature_families(spark):
     assert features.without(["e00", "lat", "xyz"], ("embedding", "location")) == ["xyz"]
     df = spark.createDataFrame([("nd_stdDev_3",), ("A07",), ("odd",)], "c string")
     assert [r[0] for r in values(df, features.label(F.col("c")))] == ["NDVI deviation, autumn", "Embedding 07", "odd"]
+
+
+def brute_chi(psi, theta):
+    """The least sum of squares over a dense grid of alpha and n; the best contents of each are linear, and held to the bounds of the fit."""
+    import numpy as np
+
+    least = np.inf
+    for n in np.linspace(1.05, 3.0, 118):
+        for a in np.geomspace(0.003, 0.12, 120):
+            se = (1 + (a * psi) ** n) ** -(1 - 1 / n)
+            (tr, ts), *_ = np.linalg.lstsq(np.stack([1 - se, se], axis=1), theta, rcond=None)
+            if 0 <= tr <= 1.1 * theta.min() and 0.9 * theta.max() <= ts <= 1.1 * theta.max():
+                least = min(least, float(((tr + (ts - tr) * se - theta) ** 2).sum()))
+    return least
+
+
+@pytest.fixture
+def few_parts(spark, tmp_path):
+    from soilspark.plans.catalog import Tables
+
+    spark.createDataFrame([(k, 1 + 7 * k % 50) for k in range(1, 13)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    return Tables(spark, str(tmp_path))
+
+
+def test_every_part_is_fitted_as_well_as_by_brute_force(few_parts):
+    import numpy as np
+
+    from soilspark.plans import q_models
+
+    points = {}
+    for r in q_models.curves(few_parts).collect():
+        points.setdefault(r["p_partkey"], []).append((r["suction_cm"], r["theta"]))
+    for run in (q_models.vg_fit_grouped, q_models.inverse_fit):
+        got = {r["p_partkey"]: r for r in run(few_parts).collect()}
+        assert sorted(got) == list(range(1, 13)) and all(r["status"] == "Success" and r["n_obs"] == 12 for r in got.values())
+        if run is q_models.vg_fit_grouped:
+            for k, r in got.items():
+                assert r["chi_squared"] <= 1.001 * brute_chi(*np.array(sorted(points[k])).T)
