@@ -31,8 +31,7 @@ def vg_fit_grouped(t: Tables) -> DataFrame:
 
 @query()
 def fit_method_compare(t: Tables) -> DataFrame:
-    some = curves(t).where("p_partkey % 50 = 0")
-    return fit.compared(fit.fits(some, ["p_partkey", "depth_cm"], list(fit.METHODS)), ["p_partkey", "depth_cm"])
+    return fit.compared(fit.fits(curves(t), ["p_partkey", "depth_cm"], list(fit.METHODS)), ["p_partkey", "depth_cm"])
 
 
 @query()
@@ -42,7 +41,7 @@ def inverse_fit(t: Tables) -> DataFrame:
 
 @query()
 def posterior_fit(t: Tables) -> DataFrame:
-    return fit.posterior(curves(t).where("p_partkey % 200 = 0"), ["p_partkey", "depth_cm"], draws=1000, tune=600)
+    return fit.posterior(curves(t), ["p_partkey", "depth_cm"])
 
 
 def _table(t: Tables) -> DataFrame:

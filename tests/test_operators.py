@@ -308,3 +308,13 @@ def test_every_part_is_fitted_as_well_as_by_brute_force(few_parts):
         if run is q_models.vg_fit_grouped:
             for k, r in got.items():
                 assert r["chi_squared"] <= 1.001 * brute_chi(*np.array(sorted(points[k])).T)
+
+
+def test_every_part_is_compared_and_has_a_posterior_of_full_length(few_parts):
+    from soilspark.plans import q_models
+
+    compared = values(q_models.fit_method_compare(few_parts), "p_partkey", "method")
+    assert sorted(compared) == sorted((k, m) for k in range(1, 13) for m in fit.METHODS)
+    want = {(r["p_partkey"], r["param"]): r["mean"] for r in fit.posterior(q_models.curves(few_parts), ["p_partkey", "depth_cm"], draws=2000, tune=1000).collect()}
+    got = {(r["p_partkey"], r["param"]): r["mean"] for r in q_models.posterior_fit(few_parts).collect()}
+    assert len(got) == 48 and got == want
