@@ -52,13 +52,13 @@ def _table(t: Tables) -> DataFrame:
 @query()
 def rf_train_metrics(t: Tables) -> DataFrame:
     rows = _table(t)
-    model = forest.trained(rows.where("role = 'train'"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], trees=20, depth=6)
+    model = forest.trained(rows.where("role = 'train'"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
     return forest.scored(forest.inferred(model, rows.where("role = 'test'")), ["l_extendedprice"])
 
 
 @query()
 def rf_importance(t: Tables) -> DataFrame:
-    model = forest.trained(_table(t), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], trees=20, depth=6)
+    model = forest.trained(_table(t), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
     return forest.importances(model, t.spark)
 
 

@@ -318,3 +318,20 @@ def test_every_part_is_compared_and_has_a_posterior_of_full_length(few_parts):
     want = {(r["p_partkey"], r["param"]): r["mean"] for r in fit.posterior(q_models.curves(few_parts), ["p_partkey", "depth_cm"], draws=2000, tune=1000).collect()}
     got = {(r["p_partkey"], r["param"]): r["mean"] for r in q_models.posterior_fit(few_parts).collect()}
     assert len(got) == 48 and got == want
+
+
+def test_registered_forests_are_of_full_size(spark, monkeypatch):
+    from soilspark.plans import q_models
+    from soilspark.plans.catalog import Tables
+
+    sizes, train = [], forest.trained
+
+    def spied(*args, **more):
+        model = train(*args, **more)
+        sizes.append((model.stages[1].getNumTrees, model.stages[1].getMaxDepth()))
+        return model
+
+    monkeypatch.setattr(forest, "trained", spied)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert q_models.rf_train_metrics(t).count() == 1 and q_models.rf_importance(t).count() == 3
+    assert sizes == [(250, 8)] * 2
