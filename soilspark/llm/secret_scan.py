@@ -6,7 +6,7 @@ words, how much of it dictionary words cover, whether it stands in a path or add
 before it. It is trained here from labelled findings: a fixed, seeded set of strings in the public
 formats of keys and of what is mistaken for them (identifiers, digests, numbers, names, placeholders) in
 typical surroundings, and long words of a bounded sample of the documents as further negatives. More
-labelled findings can be given.
+labelled findings can be given. What ordinary words look like is counted over all documents.
 """
 
 from __future__ import annotations
@@ -25,11 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from soilspark.llm.sampling import sampled
+from soilspark.llm.storage import stored
 
 LEAST = 16
 SAMPLE_DOCUMENTS = 500
-SAMPLE_CHARS = 4_000  # of each of these, for the dictionary and the transitions only
+LONG_WORDS = 2_000  # of these, as negatives
 DICTIONARY = 4_000
+HELD, BLOCK = 200_000, 1 << 20  # words that a task counts before it hands them on, characters that it looks at together
+AROUND = 60
 TREES, DEPTH, CUTS = 48, 9, 12
 MARK = "[secret]"
 
@@ -81,15 +84,60 @@ class Model:
     forest: Forest
 
 
-def words_of(texts: list[str]) -> Words:
-    seen = Counter(w for t in texts for w in _WORD.findall(t.lower()))
-    pairs = np.full((27, 27), 0.5)
-    for w, n in seen.items():
-        codes = [0, *(ord(c) - 96 for c in w), 0]
-        for a, b in zip(codes, codes[1:], strict=False):
-            pairs[a, b] += min(n, 50)
-    ranked = sorted((w for w in seen if len(w) >= 4 and len(w) < LEAST), key=lambda w: (-seen[w], w))
-    return Words(np.log(pairs / pairs.sum(axis=1, keepdims=True)), frozenset(ranked[:DICTIONARY]) | SECRET_NAMES)
+def _codes(text: str) -> np.ndarray:
+    """1 to 26 for the letters a to z of either case, 0 for all else."""
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.where((c >= 97) & (c <= 122), c - 96, 0).astype(np.int16)
+
+
+def _transitions(text: str) -> np.ndarray:
+    """How often each of the 27 x 27 transitions occurs in the words of a text; those between two characters that are no letters are left out."""
+    out = np.zeros(27 * 27, dtype=np.int64)
+    text = f" {text} "
+    for at in range(0, len(text), BLOCK):
+        c = _codes(text[at : at + BLOCK + 1])
+        out += np.bincount(c[:-1] * 27 + c[1:], minlength=27 * 27)
+    out[0] = 0
+    return out
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of the words that the dictionary may hold, and (null, place, n) of the transitions."""
+    seen, pairs = Counter(), np.zeros(27 * 27, dtype=np.int64)
+    names = ["word", "place", "n"]
+    told = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.nulls(len(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names)
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            seen.update(w for w in _WORD.findall(text.lower()) if 4 <= len(w) < LEAST)
+            pairs += _transitions(text)
+            if len(seen) > HELD:
+                yield told()
+                seen.clear()
+    yield told()
+    at = np.flatnonzero(pairs)
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(at, pa.int32()), pa.array(pairs[at], pa.int64())], names)
+
+
+def words_of(texts: DataFrame) -> Words:
+    """Counted over the whole of all ``texts`` (one column); the driver gets the frequent words and the table of transitions."""
+    told = texts.mapInArrow(_tally, "word string, place int, n long").groupBy("word", "place").agg(F.sum("n").alias("n"))
+    told = stored(told, "words")
+    pairs = np.zeros(27 * 27)
+    for r in told.where("word is null").collect():
+        pairs[r["place"]] = r["n"]
+    pairs = pairs.reshape(27, 27)
+    pairs += 0.5 + 0.001 * pairs.sum(axis=1, keepdims=True)  # in proportion, so that what never occurs is as unlikely in a small corpus as in a large one
+    top = told.where("word is not null").orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()
+    return Words(np.log(pairs / pairs.sum(axis=1, keepdims=True)), frozenset(r["word"] for r in top) | SECRET_NAMES)
+
+
+def _long_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The long words of texts with what stands around them."""
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            found = [(text[max(0, m.start() - AROUND) : m.end() + 2], min(AROUND, m.start()), len(m[0])) for m in _CANDIDATE.finditer(text) if m[0].isalpha() and m[0][1:].islower()]
+            cols = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, ["around", "start", "n"])
 
 
 def _covered(text: str, dictionary: frozenset) -> float:
@@ -111,7 +159,7 @@ def described(text: str, start: int, end: int, words: Words) -> list[float]:
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(s).values())
     codes = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in s[:200].lower()]
     unlikely = -float(words.transitions[codes[:-1], codes[1:]].mean())
-    before = text[max(0, start - 60) : start]
+    before = text[max(0, start - AROUND) : start]
     names = _WORD.findall(before.lower())[-3:]
     near = before.rstrip("\"' ")
     after = text[end : end + 2]
@@ -196,13 +244,17 @@ def grow(x: np.ndarray, y: np.ndarray, seed: int = 11, trees: int = TREES, depth
 
 
 def train(docs: DataFrame, findings: list[tuple[str, int, int, int]] | None = None, sample: int = SAMPLE_DOCUMENTS) -> Model:
-    """A model from the labelled findings and the beginnings of at most ``sample`` documents (those of the smallest hashes of their ids)."""
-    some = sampled(docs.where("text is not null").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("t")), ["doc_id", "t"], sample, docs.count())
-    texts = [r["t"] for r in some.collect()]
+    """A model from the labelled findings and the words of all documents.
+
+    Further negatives are at most ``LONG_WORDS`` long words, of at most ``sample`` documents (in either case those of the smallest hashes).
+    """
     labelled = labelled_findings() if findings is None else findings
-    words = words_of(texts + [t for t, _, _, label in labelled if not label])
-    long_words = [(t, m.start(), m.end(), 0) for t in texts for m in _CANDIDATE.finditer(t) if m[0].isalpha() and m[0][1:].islower()]
-    every = labelled + long_words[:2000]
+    texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("t"))
+    harmless = docs.sparkSession.createDataFrame([(t,) for t, _, _, label in labelled if not label], "t string")
+    words = words_of(texts.select("t").unionByName(harmless))
+    some = sampled(texts, ["doc_id", "t"], sample, docs.count())
+    long_words = sampled(stored(some.select("t").mapInArrow(_long_words, "around string, start int, n int"), "long_words"), ["around", "start", "n"], LONG_WORDS)
+    every = labelled + [(r["around"], r["start"], r["start"] + r["n"], 0) for r in long_words.collect()]
     x = np.array([described(t, a, z, words) for t, a, z, _ in every], dtype=float)
     return Model(words, grow(x, np.array([label for *_, label in every])))
 

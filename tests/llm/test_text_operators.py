@@ -354,6 +354,25 @@ def test_redaction(spark, docs):
     assert secret_scan.scan(df.limit(0), model).count() == 0
 
 
+def test_words_are_counted_over_all_texts(spark, monkeypatch):
+    filler = "plain words here " * 600
+    rows = [(k, filler + f" x{k} " + "zzyzxa" * (k >= 700) + " Ééa") for k in range(800)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(rows, DOCS).repartition(7)
+    words = secret_scan.train(df).words
+    assert "zzyzxa" in words.dictionary  # beyond the first 10,000 characters of one text in eight
+    texts = [t for _, t in rows if t] + [t for t, *_, label in secret_scan.labelled_findings() if not label]
+    pairs, seen = np.zeros((27, 27)), Counter(w for t in texts for w in re.findall("[a-z]+", t.lower()))
+    for w, n in seen.items():
+        codes = [0, *(ord(c) - 96 for c in w), 0]
+        for a, b in itertools.pairwise(codes):
+            pairs[a, b] += n
+    pairs += 0.5 + 0.001 * pairs.sum(axis=1, keepdims=True)
+    assert np.allclose(words.transitions, np.log(pairs / pairs.sum(axis=1, keepdims=True)))
+    assert words.dictionary == frozenset(sorted((w for w in seen if 4 <= len(w) < 16), key=lambda w: (-seen[w], w))[:4000]) | secret_scan.SECRET_NAMES
+    monkeypatch.setattr(secret_scan, "BLOCK", 7)
+    assert (secret_scan._transitions("Some wörds, cut in blocks") == sum(secret_scan._transitions(w) for w in ("some", "w", "rds", "cut", "in", "blocks"))).all()
+
+
 # --- 7 pages -----------------------------------------------------------------------------------------------------------------------------
 
 
