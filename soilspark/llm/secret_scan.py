@@ -1,9 +1,10 @@
 """Scan for secrets: candidate strings by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least ``LEAST`` characters that keys are written in, or a block of a private
-key. The forest judges its length and make-up, how likely its character transitions are in ordinary
+A candidate is a value of at least ``SHORT`` printable characters that is assigned (= or :) to a name of
+secrets or stands as the password of user:password@host, a run of at least ``LEAST`` characters that keys
+are written in (with dots between such runs), or a block of a private key. The forest judges its length and make-up, how likely its character transitions are in ordinary
 words, how much of it dictionary words cover, whether it stands in a path or address, and the words
-before it. It is trained here from labelled findings: a fixed, seeded set of strings in the public
+before it, always over the whole candidate. It is trained here from labelled findings: a fixed, seeded set of strings in the public
 formats of keys and of what is mistaken for them (identifiers, digests, numbers, names, placeholders) in
 typical surroundings, and long words of a bounded sample of the documents as further negatives. More
 labelled findings can be given. What ordinary words look like is counted over all documents.
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from soilspark.llm.sampling import sampled
 from soilspark.llm.storage import stored
 
-LEAST = 16
+LEAST, SHORT = 16, 6
 SAMPLE_DOCUMENTS = 500
 LONG_WORDS = 2_000  # of these, as negatives
 DICTIONARY = 4_000
@@ -36,15 +37,24 @@ AROUND = 60
 TREES, DEPTH, CUTS = 48, 9, 12
 MARK = "[secret]"
 
-_CANDIDATE = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]|-(?!----))*-----END [A-Z ]*PRIVATE KEY-----|(?<![A-Za-z0-9_+/\-])[A-Za-z0-9_+/\-]{16,}={0,2}")
+_CANDIDATE = re.compile(
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]|-(?!----))*-----END [A-Z ]*PRIVATE KEY-----|(?<![A-Za-z0-9_+/\-])[A-Za-z0-9_+/\-]{%d,}(?:\.[A-Za-z0-9_+/\-]{%d,})*={0,2}" % (LEAST, LEAST)
+)
+_LOGIN = re.compile(r"(?<![^\s/\"'<>])[^\s/\"'<>:@]+:([^\s/\"'<>]{%d,})@(?=[A-Za-z0-9\[])" % SHORT)
+_ASSIGN = re.compile(r"[=:]")
+_VALUE = re.compile(  # quoted, or up to a space or the next assignment of a list
+    r"[=>]*[ \t]*(?:\"((?:[^\"\\\n]|\\.){%d,})\"|'((?:[^'\\\n]|\\.){%d,})'|`([^`\n]{%d,})`|[\"'`]?((?:(?![&;,]\w[\w .\-]{0,30}=)\S){%d,}))" % (SHORT, SHORT, SHORT, SHORT)
+)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[a-z]+")
 
 # fixed values: words that name secrets, and words that name other identifiers
 SECRET_NAMES = set("password passwd pwd pass secret token key apikey api auth bearer credential credentials access private signature session".split())
 OTHER_NAMES = set("commit sha sha1 sha256 md5 checksum digest hash uuid guid id revision build version order invoice card phone isbn doi page ref file path trace etag".split())
+_NAMED = re.compile(r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:%s)\d*[\"'\]]*\s*$" % "|".join(sorted(SECRET_NAMES, key=lambda w: (-len(w), w))))
 PLACEHOLDERS = ("example", "xxxx", "your", "placeholder", "changeme", "redacted", "dummy", "sample", "aaaa", "0000", "1234567")
 
-FEATURES = "length digits upper lower symbols switches entropy unlikely covered hex slashes in_path assigned quoted named_secret named_other placeholder prefix_upper".split()
+FEATURES = "length digits upper lower symbols switches entropy unlikely covered hex slashes in_path assigned quoted named_secret named_other placeholder prefix_upper login".split()
 
 
 @dataclass(frozen=True)
@@ -149,24 +159,40 @@ def _covered(text: str, dictionary: frozenset) -> float:
     return hit / len(low)
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of all candidates, which may overlap."""
+    found = {m.span() for m in _CANDIDATE.finditer(text)} | {m.span(1) for m in _LOGIN.finditer(text)}
+    done = 0
+    for m in _ASSIGN.finditer(text):
+        at = m.end()
+        if at <= done or text.startswith("//", at) or not _NAMED.search(text[max(0, at - 1 - AROUND) : at - 1]) or not (v := _VALUE.match(text, at)):
+            continue
+        start, done = v.start(v.lastindex), v.end()
+        end = start + len(v[4].rstrip("\"'`.,;:)]}>") if v[4] else v[v.lastindex])
+        if end - start >= SHORT and not text.startswith("-----BEGIN", start):
+            found.add((start, end))
+    return sorted(found)
+
+
 def described(text: str, start: int, end: int, words: Words) -> list[float]:
     """The features of the candidate ``text[start:end]``, in the order of ``FEATURES``."""
     s = text[start:end]
     n = len(s)
     digits, upper, lower = (sum(map(f, s)) for f in (str.isdigit, str.isupper, str.islower))
-    kinds = [0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in s[:200]]
+    kinds = [0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in s]
     switches = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(s).values())
-    codes = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in s[:200].lower()]
+    codes = _codes(s)
     unlikely = -float(words.transitions[codes[:-1], codes[1:]].mean())
     before = text[max(0, start - AROUND) : start]
-    names = _WORD.findall(before.lower())[-3:]
+    names = _WORD.findall(_CAMEL.sub(" ", before).lower())[-3:]
     near = before.rstrip("\"' ")
     after = text[end : end + 2]
+    login = (1 + ("://" in before)) * (before.endswith(":") and after[:1] == "@")
     return [
-        n, digits / n, upper / n, lower / n, (n - digits - upper - lower) / n, switches / n, entropy, unlikely, _covered(s[:200], words.dictionary), all(c in "0123456789abcdefABCDEF" for c in s),
+        n, digits / n, upper / n, lower / n, (n - digits - upper - lower) / n, switches / n, entropy, unlikely, _covered(s, words.dictionary), all(c in "0123456789abcdefABCDEF" for c in s),
         s.count("/"), before.endswith(("/", ".", "://", "\\", "@")) or after[:1] in ("/", "@") or (after[:1] == "." and after[1:].isalnum()), near.endswith(("=", ":")), before.endswith(('"', "'", "`")),
-        any(w in SECRET_NAMES for w in names), any(w in OTHER_NAMES for w in names), any(p in s.lower() for p in PLACEHOLDERS), sum(1 for c in s[:4] if c.isupper()),
+        any(w in SECRET_NAMES for w in names), any(w in OTHER_NAMES for w in names), any(p in s.lower() for p in PLACEHOLDERS), sum(1 for c in s[:4] if c.isupper()), login,
     ]
 
 
@@ -180,11 +206,29 @@ def labelled_findings(seed: int = 7, n: int = 160) -> list[tuple[str, int, int,
     digest = lambda: some(hexes, int(rng.choice([18, 20, 32, 40, 64])))
     name = lambda: rng.choice(sorted(SECRET_NAMES))
     other = lambda: rng.choice(sorted(OTHER_NAMES))
+    marks = "!@#$%^*._-+?~"
+
+    def chosen(marks: str = marks) -> str:
+        """A password as people make them: a word or a jumble, with digits and marks."""
+        jumble = some(b64 + marks, int(rng.integers(6, 18))) if rng.random() < 0.5 else word(int(rng.integers(2, 5)))
+        if rng.random() < 0.4:
+            jumble = jumble.capitalize()
+        return jumble.strip(".") + some("0123456789", int(rng.integers(1, 5))) + some(marks.replace(".", ""), int(rng.integers(1, 3))) + some(b64, int(rng.integers(0, 3)))
+
+    def block() -> str:
+        kind, size = rng.choice(["RSA ", "EC ", "OPENSSH ", "ENCRYPTED ", ""]), int(rng.integers(64, 3300))
+        body = some(b64 + "+/", size)
+        return f"-----BEGIN {kind}PRIVATE KEY-----\n" + "\n".join(body[k : k + 64] for k in range(0, size, 64)) + f"\n-----END {kind}PRIVATE KEY-----"
+
+    host = lambda: rng.choice(["db.example.com", "10.0.0.7:5432", "localhost", "mail3.example.com", "queue.internal:5672"])
     secret = {
         "assigned": lambda: (f"{name()}=", digest(), ""), "quoted": lambda: (f'{name()} = "', digest(), '"'), "colon": lambda: (f"{name()}: ", some(b64, int(rng.integers(20, 48))), ""),
         "cloud": lambda: ("", "AKIA" + some(upper, 16), ""), "cloud named": lambda: (f"{name()}=", "AKIA" + some(upper, 16), ""), "hosted": lambda: ("", rng.choice(["ghp_", "gho_", "glpat-", "npm_"]) + some(b64, 36), ""),
         "chat": lambda: ("", f"xoxb-{some('0123456789', 12)}-{some(b64, 24)}", ""), "bearer": lambda: ("Bearer ", some(b64, 40), ""), "payment": lambda: ("", "sk_live_" + some(b64, 24), ""),
-        "bare": lambda: ("", some(b64 + "+/", 40), ""), "block": lambda: ("", f"-----BEGIN RSA PRIVATE KEY-----\n{some(b64, 64)}\n-----END RSA PRIVATE KEY-----", ""),
+        "bare": lambda: ("", some(b64 + "+/", 40), ""), "block": lambda: ("", f"-----BEGIN RSA PRIVATE KEY-----\n{some(b64, 64)}\n-----END RSA PRIVATE KEY-----", ""), "full block": lambda: ("", block(), ""),
+        "password": lambda: (f"{name()}=", chosen(), ""), "password colon": lambda: (f"{name()}: ", chosen(), rng.choice(["", ",", "."])), "password quoted": lambda: (f'{name()} = "', chosen(marks + " ,;&"), '"'),
+        "login": lambda: (f"{rng.choice(['postgres', 'https', 'amqp', 'ftp'])}://{word(2)}:", chosen(marks), f"@{host()}/{word(2)}"), "bare login": lambda: (f"{word(2)}:", chosen(marks), f"@{host()}"),
+        "dotted": lambda: (rng.choice(["", "Bearer ", f"{name()}="]), f"eyJ{some(b64, 33)}.eyJ{some(b64, int(rng.integers(40, 160)))}.{some(b64 + '-_', 43)}", ""), "short key": lambda: (f"{name()}=", some(b64, int(rng.integers(8, 16))), ""),
     }
     harmless = {
         "digest": lambda: (f"{other()} ", some(hexes, int(rng.choice([32, 40, 64]))), ""), "digest assigned": lambda: (f"{other()}=", some(hexes, int(rng.choice([32, 40]))), ""),
@@ -193,6 +237,10 @@ def labelled_findings(seed: int = 7, n: int = 160) -> list[tuple[str, int, int,
         "camel": lambda: ("", "".join(word(2).capitalize() for _ in range(4)), ""), "path": lambda: ("/", "/".join(word(2) for _ in range(5)), ".html"), "slug": lambda: ("https://host.example/", "-".join(word(2) for _ in range(5)), "/"),
         "placeholder": lambda: (f"{name()}=", rng.choice(["your_api_key_goes_here", "xxxxxxxxxxxxxxxxxxxxxxxx", "EXAMPLE_TOKEN_PLACEHOLDER", "0000000000000000000000", "changeme_changeme_changeme"]), ""),
         "named word": lambda: (f"{name()}=", "_".join(word(2) for _ in range(4)), ""), "date": lambda: ("", f"20{some('0123456789', 2)}-01-{some('012', 2)}-{word(2)}-{some('0123456789', 4)}", ".log"), "rule": lambda: ("", str(rng.choice(list("-_=+"))).replace("=", "-") * 24, ""),
+        "plain value": lambda: (f"{name()}: ", word(int(rng.integers(3, 6))), rng.choice(["", ",", "."])), "plain assigned": lambda: (f"{name()}=", rng.choice(["required", "optional", "string", "undefined", "disabled", word(4)]), ""),
+        "quoted phrase": lambda: (f'{name()}: "', " ".join(word(2) for _ in range(int(rng.integers(2, 6)))), '"'), "reference": lambda: (f"{name()}=", rng.choice(["${" + word(3).upper() + "}", f"self.{word(3)}", f"{word(2)}_{word(2)}()", f"os.environ['{word(3).upper()}']", f"<{word(3)}"]), ""),
+        "mail": lambda: (f"{rng.choice(['mailto', 'contact', 'email', 're', word(2)])}:", f"{word(int(rng.integers(2, 6)))}{rng.choice(['.', '_', '-', ''])}{some('0123456789', int(rng.integers(0, 5))) if rng.random() < 0.7 else word(2)}", f"@{host()}"),
+        "named address": lambda: (f"{name()}: ", f"https://host.example/{'-'.join(word(2) for _ in range(3))}", ""), "dotted name": lambda: ("", ".".join(word(8) for _ in range(3)), ""), "masked": lambda: (f"{name()}=", rng.choice(["********", "xxxxxxxx", "........x", "--------"]), ""),
     }
     out = []
     for label, makers in ((1, secret), (0, harmless)):
@@ -260,13 +308,18 @@ def train(docs: DataFrame, findings: list[tuple[str, int, int, int]] | None = No
 
 
 def findings(texts: list[str | None], model: Model) -> list[list[tuple[int, int, float]]]:
-    """For each text the (start, end, score) of its secrets, in order."""
-    found = [(i, m.start(), m.end()) for i, t in enumerate(texts) if t for m in _CANDIDATE.finditer(t)]
+    """For each text the (start, end, score) of its secrets, in order; those that overlap are one."""
+    found = [(i, a, z) for i, t in enumerate(texts) if t for a, z in candidates(t)]
     out: list[list[tuple[int, int, float]]] = [[] for _ in texts]
     if found:
         scores = model.forest.score(np.array([described(texts[i], a, z, model.words) for i, a, z in found], dtype=float))
         for (i, a, z), s in zip(found, scores, strict=True):
-            if s >= 0.5:
+            if s < 0.5:
+                continue
+            if out[i] and a < out[i][-1][1]:
+                begin, end, score = out[i].pop()
+                out[i].append((begin, max(end, z), max(score, float(s))))
+            else:
                 out[i].append((a, z, float(s)))
     return out
 
