@@ -7,7 +7,7 @@ costs its odds of standing outside, or next to nothing if it stands inside more
 that a few words beyond a telling tag do not pay for crossing it.
 
 Elements that are never content (menus, forms, scripts, notices ...), by name or by the words of their
-class, id or role, are passed over inside and outside the region. An element of this kind that is never
+class, id or role, are passed over inside and outside the region: neither their texts nor their tags score. An element of this kind that is never
 closed ends at the next block.
 """
 
@@ -142,8 +142,10 @@ def extract(page: str | None, weight: dict[str, float]) -> str:
     best = (0.0, 0, 0)
     total, begin = 0.0, 0
     for i, (name, text, _) in enumerate(items):
-        if not name:
-            score = 0.0 if skip[i] else word * len(html.unescape(text).split())
+        if skip[i]:
+            score = 0.0
+        elif not name:
+            score = word * len(html.unescape(text).split())
         else:
             score = weight.get(name, unknown)
         if total <= 0:

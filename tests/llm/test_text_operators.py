@@ -425,6 +425,18 @@ def test_main_text(spark):
     assert html_extract.main_text(df.limit(0), html_extract.train(df.limit(0))).count() == 0
 
 
+def test_skipped_blocks_do_not_cut_the_article(spark):
+    rows = [(k, f"u{k}", page(f"<p>Text number {k} has some words.</p><p>Second block of {k}.</p>", k)) for k in range(2000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    weight = html_extract.train(df)
+    assert weight["aside"] < -5 and weight["li"] < -5
+    half = "<p>" + "many words stand here " * 5 + "</p>"
+    want = " ".join(["many words stand here"] * 5)
+    related = "<div class='related'><ul>" + "<li><a href='/x'>another page to read</a></li>" * 80 + "</ul></div>"
+    for block in ("<aside>" + "<ul><li>note</li></ul>" * 30 + "</aside>", "<form action='/s'>" + "<ul><li><input name='q'>ask</li></ul>" * 30 + "</form>", related):
+        assert html_extract.extract(page(half + block + half), weight) == f"Head & line 0\n\n{want}\n\n{want}"
+
+
 def test_region_is_the_best_run():
     weight = {"#word": 1.0, "#tag": -2.0}
     html = "<x>a b<y>c<z>d e f g<x>h i j<q>k</q></q></q>"
