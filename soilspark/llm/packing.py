@@ -16,6 +16,7 @@ partition number in the high bits, a counter in the low ones.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ SEQ_LEN = 2048
 END_ID = 1
 VOCABULARY = "byte_bpe_50k"
 BUFFER_TOKENS = 1_000_000
+LONG_SPACE = re.compile(r"\s{20000}")  # the pattern of the ranks file steps back through a run of white space, on a stack that ends at some 500,000
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024  # cost of a token itself and of a pair of tokens that attend to each other
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -36,7 +38,7 @@ SCHEMA_IDS = SCHEMA + ", ids array<int>"
 
 def encoder(name: str = VOCABULARY):
     """text -> ids as the JSON vocabulary gives them. The ranks file of the same vocabulary gives the same ids several times faster;
-    texts that spell a special token go through the JSON one, which alone knows it."""
+    texts that spell a special token, which that file doesn't know, or hold a very long run of white space, which it can't cut, go through the JSON one."""
     import base64
 
     import public_tokenizers as P
@@ -50,7 +52,7 @@ def encoder(name: str = VOCABULARY):
     fast = tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or LONG_SPACE.search(text):
             return np.array(exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return np.array(fast.encode_ordinary(text), dtype=np.uint32)
 

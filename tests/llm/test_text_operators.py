@@ -113,6 +113,19 @@ def test_packing_places_every_id_once(docs, texts):
         assert at == 2048 or at & (at - 1) == 0
 
 
+def test_packing_of_very_long_runs(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    n = 2_000_000
+    runs = [" " * n, "a" + "\n" * n + "b", "a" * n, "7" * n, "word " * 30_000 + " \t" * 15_000 + "end"]
+    got = packing.pack(spark.createDataFrame(list(enumerate(runs)), DOCS).repartition(2), with_ids=True).collect()
+    for i, t in enumerate(runs):
+        own = [x for r in sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["start"]) for x in r["ids"]]
+        assert own == [*exact.encode(t, add_special_tokens=False).ids, 1]
+
+
 def test_packing_balances_cost():
     sizes = np.array([1000, 900, 600, 500, 500, 400, 100, 96])
     out = packing.place(sizes, [2048, 2048])
