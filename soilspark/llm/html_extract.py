@@ -4,11 +4,12 @@ A page is a sequence of tags and texts. Each word scores a positive weight, each
 the contiguous run of tokens with the largest sum is the content region, found by one linear scan. The
 weights come from labelled pages: on pages that mark their article, a token is content or not, and a tag
 costs its odds of standing outside, or next to nothing if it stands inside more often. A text of usual length weighs as much as one odds' worth, so
-that a few words beyond a telling tag do not pay for crossing it.
+that a few words beyond a telling tag do not pay for crossing it. On a page that marks its article no tag within it has ever stood outside one,
+so there all of them cost next to nothing.
 
 Elements that are never content (menus, forms, scripts, notices ...), by name or by the words of their
 class, id or role, are passed over inside and outside the region: neither their texts nor their tags score. An element of this kind that is never
-closed ends at the next block.
+closed ends at the next block; one that holds the page's article is passed over as little as the article.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ from pyspark.sql import functions as F
 from soilspark.llm.sampling import sampled
 
 LABELLED_PAGES = 2_000
+RARE = 2  # tags that the labelled pages hold no more often say nothing
+PARAGRAPHS = 3
+INSIDE = -0.01  # of a word's weight: what a tag costs that stands in articles only
 
 # fixed values: names and hints of HTML
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -35,6 +39,10 @@ HINTS = set(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer masthead menu menubar nav navbar navigation newsletter "
     "notice notification pagination pager popup promo promotion promoted related replies reply share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+COMMENTS = set("comment comments disqus replies reply".split())
+# of a class: what only says that something is held, and what says how a page looks
+HOLDERS = set("area bar block body box btn button buttons container content count form group head header holder icons inner item items link links list panel row section text title wrap wrapper".split())
+STATES = set("has hide is no not show with without".split())
 NEVER_SKIPPED = set("html body article main".split())
 ROLES = set("banner navigation complementary contentinfo search form menu menubar toolbar alert dialog".split())
 
@@ -67,34 +75,97 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
     return out
 
 
-def _hinted(attributes: str) -> bool:
+def _kind(attributes: str) -> str:
+    """``comments`` or ``other`` if a class, id or role names something that is never content, else nothing.
+
+    Of a class or id like ``site-footer`` or ``share-buttons`` the last part has to be a hint, or the first one before a part that only says what holds it;
+    ``share-price`` and ``has-sidebar`` name neither.
+    """
+    found = ""
     for m in _MARKED.finditer(attributes):
-        words = _PARTS.findall((m[2] or m[3] or m[4] or "").lower())
-        if (words and words[0] in ROLES) if m[1].lower() == "role" else any(w in HINTS for w in words):
-            return True
-    return False
+        for token in (m[2] or m[3] or m[4] or "").lower().split():
+            words = _PARTS.findall(token)
+            if m[1].lower() == "role":
+                hint = words[0] if words and words[0] in ROLES else ""
+            else:
+                ends = [words[-1], words[0] if words[-1] in HOLDERS else ""] if words and words[0] not in STATES else []
+                hint = next((w for w in ends if w in HINTS), "")
+            if hint in COMMENTS:
+                return "comments"
+            found = found or ("other" if hint else "")
+    return found
+
+
+def _matched(items: list[tuple[str, str, bool]]) -> list[int]:
+    """For each tag that opens an element, where the one that closes it stands; 0 if none does."""
+    out = [0] * len(items)
+    open_: dict[str, list[int]] = {}
+    for i, (name, _, opens) in enumerate(items):
+        if opens:
+            open_.setdefault(name, []).append(i)
+        elif name.startswith("/") and (waiting := open_.get(name[1:])):
+            out[waiting.pop()] = i
+    return out
 
 
-def skipped(items: list[tuple[str, str, bool]]) -> list[bool]:
-    """Which tokens stand inside elements that are never content (the tags of these included)."""
+def _article(items: list[tuple[str, str, bool]], closes: list[int], words: list[int]) -> tuple[int, int]:
+    """Where the page's article opens and what follows it; (-1, -1) if the page marks none.
+
+    It is the main element, or of the articles that stand neither in an aside nor in reader comments (else of all) the one of most words; an article that holds
+    more than half of the main element's words goes before it.
+    """
+    apart, plain, beside = 0, [], []
+    main = -1
+    for i, (name, rest, opens) in enumerate(items):
+        if not opens:
+            continue
+        if name == "article":
+            (beside if i < apart else plain).append(i)
+        elif name == "main":
+            main = i if main < 0 else main
+        elif i >= apart and (name == "aside" or "=" in rest and _kind(rest) == "comments"):
+            apart = closes[i]
+    past = lambda i: closes[i] + 1 if closes[i] else len(items)
+    held = lambda i: words[past(i)] - words[i]
+    best = max(plain or beside, key=lambda i: (held(i), -i), default=-1)
+    if main >= 0 and not (main < best < past(main) and 2 * held(best) > held(main)):
+        best = main
+    return (best, past(best)) if best >= 0 else (-1, -1)
+
+
+def skipped(items: list[tuple[str, str, bool]]) -> tuple[list[bool], int, int]:
+    """Which tokens stand inside elements that are never content (the tags of these included), and where the page's article opens and ends.
+
+    An element that holds the page's article is not one of them, whatever it is called; nor, on a page that marks no article, a form or an element with a hint
+    (but for reader comments) that holds more than half of the page's words in ``PARAGRAPHS`` paragraphs or more.
+    """
     out = [False] * len(items)
+    closes = _matched(items)
+    words, paragraphs = [0], [0]
+    for name, text, opens in items:
+        words.append(words[-1] + (0 if name else len(text.split())))
+        paragraphs.append(paragraphs[-1] + (name == "p" and opens))
+    article, past = _article(items, closes, words)
     i = 0
     while i < len(items):
         name, rest, opens = items[i]
-        if not opens or not (name in NEVER_CONTENT or name not in NEVER_SKIPPED and "=" in rest and _hinted(rest)):
+        kind = ("other" if name in NEVER_CONTENT else name not in NEVER_SKIPPED and "=" in rest and _kind(rest)) if opens else ""
+        if not kind:
             i += 1
             continue
-        depth, j = 1, i + 1
-        while j < len(items) and depth:
-            depth += (items[j][0] == name and items[j][2]) - (items[j][0] == "/" + name)
-            j += 1
-        if depth:  # never closed
+        j = closes[i] + 1
+        if closes[i]:
+            main = article < 0 and kind != "comments" and (name == "form" or name not in NEVER_CONTENT) and 2 * (words[j] - words[i]) > words[-1] and paragraphs[j] - paragraphs[i] >= PARAGRAPHS
+            if i < article < j or main:
+                i += 1
+                continue
+        else:  # never closed
             j = i + 1
             while j < len(items) and (items[j][0] in ("", "!") or items[j][0].lstrip("/") in INLINE):
                 j += 1
         out[i:j] = [True] * (j - i)
         i = j
-    return out
+    return out, article, past
 
 
 def labelled(items: list[tuple[str, str, bool]]) -> list[bool] | None:
@@ -115,7 +186,7 @@ def counted(page: str) -> Counter:
     items = tokens(page)
     inside = labelled(items)
     found: Counter = Counter()
-    for (name, text, _), within, skip in zip(items, inside or [], skipped(items), strict=False):
+    for (name, text, _), within, skip in zip(items, inside or [], skipped(items)[0], strict=False):
         if name:
             found[name, within] += 1
         elif n := len(text.split()):
@@ -129,7 +200,7 @@ def weights(counts: Counter) -> dict[str, float]:
     odds = {k: math.log((counts[k, True] + 0.5) / (counts[k, False] + 0.5)) for k in {k for k, _ in counts}}
     usual = (counts["#words", True] + 1) / (counts["#texts", True] + 1)
     word = max(1.0, odds.get("#words", 1.0)) / usual
-    out = {k: min(v, 0.0) - 0.01 * word for k, v in odds.items() if not k.startswith("#")}
+    out = {k: min(v, 0.0) + INSIDE * word for k, v in odds.items() if not k.startswith("#")}
     inline = {k: max(v, -word) for k, v in out.items() if k.lstrip("/") in INLINE}  # a link or emphasis costs no more than a word
     return out | inline | {"#word": word, "#tag": -0.5}
 
@@ -137,7 +208,7 @@ def weights(counts: Counter) -> dict[str, float]:
 def extract(page: str | None, weight: dict[str, float]) -> str:
     """The main text: blocks in order, joined by an empty line."""
     items = tokens(page or "")
-    skip = skipped(items)
+    skip, first, past = skipped(items)
     word, unknown = weight["#word"], weight["#tag"]
     best = (0.0, 0, 0)
     total, begin = 0.0, 0
@@ -147,7 +218,7 @@ def extract(page: str | None, weight: dict[str, float]) -> str:
         elif not name:
             score = word * len(html.unescape(text).split())
         else:
-            score = weight.get(name, unknown)
+            score = weight.get(name, unknown) if not first < i < past - 1 else INSIDE * word
         if total <= 0:
             total, begin = 0.0, i
         total += score
@@ -185,8 +256,7 @@ def train(pages: DataFrame, sample: int = LABELLED_PAGES) -> dict[str, float]:
     marked = html_.isNotNull() & F.lower(html_).rlike("<(article|main)[\\s>]")
     some = sampled(pages.select("page_id", "html"), ["page_id", "html"], 2 * sample, pages.count()).where(marked).limit(sample).select("html")
     rows = some.repartition(8).mapInArrow(_counts, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n"))
-    # tag names of a bounded sample; those seen once or twice say nothing
-    return weights(Counter({(r["kind"], r["inside"]): r["n"] for r in rows.where("n > 2").collect()}))
+    return weights(Counter({(r["kind"], r["inside"]): r["n"] for r in rows.where(F.col("n") > RARE).collect()}))
 
 
 def main_text(pages: DataFrame, weight: dict[str, float]) -> DataFrame:

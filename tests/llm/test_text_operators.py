@@ -450,6 +450,44 @@ def test_skipped_blocks_do_not_cut_the_article(spark):
         assert html_extract.extract(page(half + block + half), weight) == f"Head & line 0\n\n{want}\n\n{want}"
 
 
+def test_wrapped_articles_stay(spark):
+    rows = [(k, f"u{k}", page(f"<p>Text number {k} has some words.</p><p>Second block of {k}.</p>", k)) for k in range(300)]
+    weight = html_extract.train(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    body = "".join(f"<p>paragraph {k} of the text has ten words or so</p>" for k in range(6))
+    text = "\n\n".join(f"paragraph {k} of the text has ten words or so" for k in range(6))
+    comments = "<div class='comments-area'><article class='comment'><p>" + "a reader says so " * 60 + "</p></article></div>"
+    around = lambda x: "<body><nav><a href='/'>home</a></nav>" + x + "<footer>foot of the page</footer>"
+    article = f"<article><h1>Head</h1>{body}</article>"
+    for wrapped in (f"<form action='/x'>{article}</form>", f"<div class='page has-sidebar'>{article}</div>", f"<div class='sidebar'>{article}</div>", f"<div id='comments-wrapper'><main>{body}</main></div>", f"{article}{comments}", f"<main>{body}</main><aside><article>{body}</article></aside>"):
+        assert html_extract.extract(around(wrapped), weight) == ("" if "<main>" in wrapped else "Head\n\n") + text
+    for plain in (f"<form>{body}</form>", f"<div class='page has-sidebar'>{body}</div>", f"<div class='widget'>{body}</div>", f"<div class='share-price'>{body}</div>"):
+        assert html_extract.extract(around(plain), weight) == text
+    for never in ("<div class='site-footer'>said at the foot</div>", "<div class='ads share-buttons'>tell others</div>", f"<div class='comment-list'>{body}</div>", f"<aside>{body}</aside>"):
+        assert html_extract.extract(around(f"<p>one short line</p>{never}"), weight) == "one short line"
+
+
+def test_scores_and_skipped_elements_do_not_replace_each_other(spark):
+    """A list without any telling name is left out by its tags' scores alone, an advert within the text by its name alone."""
+    rows = [(k, f"u{k}", page(f"<p>Text number {k} has some words.</p><p>Second block of {k}.</p>", k)) for k in range(300)]
+    weight = html_extract.train(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    block = "<p>" + "many words stand here " * 8 + "</p>"
+    want = " ".join(["many words stand here"] * 8)
+    unnamed = "<div class='x7'><ul>" + "<li><a href='/x'>go</a></li>" * 12 + "</ul></div>"
+    html = f"<body>{unnamed}<article>{block}<div class='ad'>Buy this now</div>{block}</article>{unnamed}</body>"
+    assert html_extract.extract(html, weight) == f"{want}\n\n{want}"
+    free = {k: 0.0 if k != "#word" else v for k, v in weight.items()}
+    assert html_extract.extract(html, free).startswith("go\n\ngo")  # without scores
+    assert "Buy this now" in html_extract.extract(html.replace("'ad'", "'x8'"), weight)  # without the name
+
+
+def test_many_unclosed_elements_take_linear_time(spark):
+    import time
+
+    began = time.time()
+    assert html_extract.extract("<div class='ad'>" * 60_000 + "<p>text of a page", {"#word": 1.0, "#tag": 0.0}) == "text of a page"
+    assert time.time() - began < 20
+
+
 def test_region_is_the_best_run():
     weight = {"#word": 1.0, "#tag": -2.0}
     html = "<x>a b<y>c<z>d e f g<x>h i j<q>k</q></q></q>"
