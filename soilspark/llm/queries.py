@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from soilspark.llm import bagminhash, decontaminate, fingerprint, html_extract, packing, secret_scan, sharding, toxicity, url_filter, warc
-from soilspark.llm.storage import shared_dir
+from soilspark.llm.storage import scratch
 
 SHARDS = 64
 
@@ -31,7 +30,7 @@ def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     warc.write_archives(warc.resolved(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
     back = warc.read_archives(spark, path, payload=False, verify=True)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

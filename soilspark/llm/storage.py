@@ -14,26 +14,33 @@ _written: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none, as in tests, is a temporary folder made.
+    Only where none is named and everything runs on this machine, as in tests, is a temporary folder made.
     """
     said = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("soilspark.sharedDir", None)
     if not said:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         said = "file://" + tempfile.mkdtemp(prefix="soilspark-")
         spark.conf.set("soilspark.sharedDir", said)
     return said.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which ``forget`` deletes."""
+    _written.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: its lineage is cut, and a lost executor costs a re-read only."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(spark: SparkSession) -> int:
-    """Deletes the intermediate tables of this process, once the results that read them are written; returns how many there were."""
+    """Deletes the intermediate tables and archives of this process, once the results that read them are written; returns how many there were."""
     n = len(_written)
     while _written:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())

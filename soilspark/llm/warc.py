@@ -8,8 +8,12 @@ option asks for them, and are checked against their digest where ``verify`` does
 
 ``df.write.format("warc").save(folder)`` writes archives of one gzip member a record. Each member states
 its compressed and plain lengths in an extra field, so readers can step over it. Each task attempt writes
-files of its own; only those of successful attempts are listed in the folder's manifest when the job
-commits, so a lost executor leaves nothing that counts.
+files of its own, named after the job; when the job commits, a manifest of its own lists those of
+successful attempts, so a lost executor leaves nothing that counts. Appending leaves earlier archives,
+of whatever writer, as they are; overwriting replaces them after the new ones are committed.
+
+Archives of others are read as they come: plain, of one gzip member a record, or compressed as a whole,
+with folded header lines, and digests of any kind (``verify`` checks the kinds that it knows).
 
 Files are reached through Arrow's file systems, so local or mounted folders and the object stores that
 Arrow knows both work; ``read_anywhere`` reads by Spark's own readers what only these can open.
@@ -17,9 +21,12 @@ Arrow knows both work; ``read_anywhere`` reads by Spark's own readers what only
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -38,10 +45,13 @@ from pyspark.sql.types import StructType
 
 from soilspark.llm.storage import stored
 
+MAX_BROADCAST_DIGESTS = 500_000  # of payloads that several pages share; some 100 bytes each
 LEAST_REVISIT_BYTES = 100
 FILE_BYTES = 128_000_000
 PARTITION_BYTES = 64_000_000
-MANIFEST = "_manifest.json"
+MANIFEST = re.compile(r"_manifest-([0-9a-f]{32})\.json")
+OWN = re.compile(r"part-[0-9a-f]{32}-[0-9a-f]{32}\.warc\.gz")
+DIGESTS = {"md5", "sha1", "sha256", "sha512"}
 SCHEMA = "record_type string, record_id string, target_uri string, page_id long, refers_to long, payload_digest string, payload_bytes long, payload binary"
 _BLOCK = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _LENGTHS = b"sl"  # gzip extra field: compressed and plain length of the member
@@ -53,8 +63,10 @@ _LENGTHS = b"sl"  # gzip extra field: compressed and plain length of the member
 def record(row: dict) -> bytes:
     """One record. ``row``: record_type, page_id, target_uri, payload (bytes, None for a revisit), payload_digest, payload_bytes, refers_to."""
     lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{row["page_id"]}|{row["target_uri"]}|{row["payload_digest"]}')}>", "WARC-Date: 1970-01-01T00:00:00Z"]
-    if row["target_uri"] is not None:
-        lines.append("WARC-Target-URI: " + row["target_uri"].encode("unicode_escape").decode("ascii"))
+    if (uri := row["target_uri"]) is not None:
+        lines.append("WARC-Target-URI: " + uri.replace("\r", "%0D").replace("\n", "%0A"))
+        if uri != uri.strip() or "\r" in uri or "\n" in uri:  # what a header line can't hold as it is
+            lines.append("WARC-X-Target-URI-As-JSON: " + json.dumps(uri))
     if row["page_id"] is not None:
         lines.append(f"WARC-X-Page-ID: {row['page_id']}")
     lines += [f"WARC-Payload-Digest: sha256:{row['payload_digest']}", f"WARC-X-Payload-Bytes: {row['payload_bytes']}"]
@@ -79,7 +91,15 @@ def _fields(head: bytes) -> dict[str, str]:
     lines = head.split(b"\r\n")
     if not lines[0].startswith(b"WARC/"):
         raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-    return {k.strip().lower().decode(): v.strip().decode("utf-8", "replace") for k, _, v in (x.partition(b":") for x in lines[1:])}
+    found: list[tuple[str, str]] = []
+    for line in lines[1:]:
+        text = line.decode("utf-8", "replace")
+        if text[:1] in (" ", "\t") and found:  # a folded line
+            found[-1] = (found[-1][0], f"{found[-1][1]} {text.strip()}")
+        else:
+            name, _, value = text.partition(":")
+            found.append((name.strip().lower(), value.strip()))
+    return dict(found)
 
 
 def _number(value: str | None) -> int | None:
@@ -87,16 +107,28 @@ def _number(value: str | None) -> int | None:
 
 
 def header(head: bytes) -> dict:
-    """The columns that the header block gives, and its content length."""
+    """The columns that the header block gives, and its content length and kind. A SHA-256 digest in hex is given bare, others with their kind."""
     h = _fields(head)
-    uri = h.get("warc-target-uri")
+    uri, exact, digest = h.get("warc-target-uri"), h.get("warc-x-target-uri-as-json"), h.get("warc-payload-digest")
+    if digest and re.fullmatch("sha256:[0-9a-fA-F]{64}", digest):
+        digest = digest[7:].lower()
     return {
-        "record_type": h.get("warc-type"), "record_id": h.get("warc-record-id"), "target_uri": uri.encode("ascii", "backslashreplace").decode("unicode_escape") if uri is not None else None,
-        "page_id": _number(h.get("warc-x-page-id")), "refers_to": _number(h.get("warc-x-refers-to-page-id")), "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha256:") or None,
-        "payload_bytes": _number(h.get("warc-x-payload-bytes")), "length": int(h.get("content-length", 0)),
+        "record_type": h.get("warc-type"), "record_id": h.get("warc-record-id"), "target_uri": json.loads(exact) if exact else uri, "page_id": _number(h.get("warc-x-page-id")),
+        "refers_to": _number(h.get("warc-x-refers-to-page-id")), "payload_digest": digest or None, "payload_bytes": _number(h.get("warc-x-payload-bytes")),
+        "length": int(h.get("content-length", 0)), "http": h.get("content-type", "").lower().startswith("application/http"), "cut": "warc-truncated" in h,
     }
 
 
+def fits(digest: str, body: bytes) -> bool | None:
+    """Whether a payload has the digest, in hex or base32; None if its kind is unknown."""
+    kind, _, value = digest.rpartition(":")
+    kind = kind.lower().replace("-", "") or "sha256"
+    if kind not in DIGESTS:
+        return None
+    made = hashlib.new(kind, body).digest()
+    return value.lower() == made.hex() or value.upper().rstrip("=") == base64.b32encode(made).decode().rstrip("=")
+
+
 class _Plain:
     """Reads a plain archive: header, then the payload or a step over it."""
 
@@ -104,7 +136,11 @@ class _Plain:
         self.file, self.buffer = file, b""
 
     def head(self) -> bytes | None:
-        while (end := self.buffer.find(b"\r\n\r\n")) < 0:
+        while True:
+            while self.buffer.startswith(b"\r\n"):  # more empty lines than there should be
+                self.buffer = self.buffer[2:]
+            if (end := self.buffer.find(b"\r\n\r\n")) > 0:
+                break
             if not (more := self.file.read(65536)):
                 if self.buffer.strip():
                     raise ValueError("the archive ends within a header")
@@ -181,26 +217,36 @@ class _Members:
         self.at = self.at + self.size if self.size is not None else self.file.tell() - len(self.inflate.unused_data)
 
 
-def records(file, wanted: Callable[[dict], bool] = lambda h: True, payload: bool = True, verify: bool = False) -> Iterator[dict]:
-    """The records of an open archive that ``wanted`` takes by their header. ``verify``: a payload that doesn't fit its digest is an error."""
-    start = file.read(2)
+def _archive(file):
+    start = file.read(14)
     file.seek(0)
-    archive = _Members(file) if start == b"\x1f\x8b" else _Plain(file)
+    if start[:2] != b"\x1f\x8b":
+        return _Plain(file)
+    return _Members(file) if start[3:4] == b"\x04" and start[12:14] == _LENGTHS else _Plain(gzip.GzipFile(fileobj=file))
+
+
+def records(file, wanted: Callable[[dict], bool] = lambda h: True, payload: bool = True, verify: bool = False) -> Iterator[dict]:
+    """The records of an open archive that ``wanted`` takes by their header. ``verify``: a payload that doesn't fit its digest is an error.
+
+    Digests of unknown kinds, and those of payloads that are cut or were sent in chunks, can't be checked and are passed over.
+    """
+    archive = _archive(file)
     while (head := archive.head()) is not None:
         found = header(head)
+        length, http, cut = found.pop("length"), found.pop("http"), found.pop("cut")
         if not wanted(found):
-            archive.skip(found["length"])
+            archive.skip(length)
             continue
         found["payload"] = None
         if found["record_type"] != "revisit" and (payload or verify):
-            block = archive.block(found["length"])
-            body = block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
-            if verify and found["payload_digest"] and hashlib.sha256(body).hexdigest() != found["payload_digest"]:
+            block = archive.block(length)
+            top, _, body = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+            if verify and found["payload_digest"] and not cut and b"transfer-encoding:" not in top.lower() and fits(found["payload_digest"], body) is False:
                 raise ValueError(f"{found['record_id']}: the payload does not fit its digest")
             found["payload_bytes"] = len(body)
             found["payload"] = body if payload else None
         else:
-            archive.skip(found["length"])
+            archive.skip(length)
         yield found
 
 
@@ -226,6 +272,16 @@ _TESTS: dict[type, Callable] = {
 _HEADER_COLUMNS = {"record_type", "record_id", "target_uri", "page_id", "refers_to", "payload_digest"}
 
 
+def _listed(store: fs.FileSystem, found: list[fs.FileInfo]) -> set[str]:
+    """The archives that the manifests among the files ``found`` list."""
+    out: set[str] = set()
+    for x in found:
+        if MANIFEST.fullmatch(x.base_name):
+            with store.open_input_stream(x.path) as f:
+                out |= {f"{x.path.rpartition('/')[0]}/{n}" for n in json.loads(f.read())}
+    return out
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -246,13 +302,9 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         store, folder = _at(self.path)
-        manifest = f"{folder}/{MANIFEST}"
-        if store.get_file_info(manifest).type == fs.FileType.File:
-            with store.open_input_stream(manifest) as f:
-                names = [f"{folder}/{x}" for x in json.loads(f.read())]
-            infos = store.get_file_info(names)
-        else:
-            infos = [x for x in store.get_file_info(fs.FileSelector(folder, recursive=True)) if x.path.endswith((".warc", ".warc.gz"))]
+        found = store.get_file_info(fs.FileSelector(folder, recursive=True))
+        listed = _listed(store, found)
+        infos = [x for x in found if x.path.endswith((".warc", ".warc.gz")) and (not OWN.fullmatch(x.base_name) or x.path in listed)]
         out, room = [], 0
         for x in sorted(infos, key=lambda x: x.path):
             if not out or room < x.size:
@@ -285,8 +337,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
         self.size = int(options.get("filebytes", FILE_BYTES))
 
     def write(self, iterator):
@@ -296,7 +348,7 @@ class WarcWriter(DataSourceArrowWriter):
         for batch in iterator:
             for row in batch.to_pylist():
                 if out is None:
-                    names.append(f"part-{uuid.uuid4().hex}.warc.gz")
+                    names.append(f"part-{self.job}-{uuid.uuid4().hex}.warc.gz")
                     out, size = store.open_output_stream(f"{folder}/{names[-1]}", compression=None, buffer_size=1 << 20), 0
                 data = member(record(row))
                 out.write(data)
@@ -310,12 +362,15 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages):
         store, folder = _at(self.path)
-        names = sorted(n for m in messages if m for n in m.names)
+        names = {n for m in messages if m for n in m.names}
         store.create_dir(folder, recursive=True)
-        with store.open_output_stream(f"{folder}/{MANIFEST}") as f:
-            f.write(json.dumps(names).encode())
-        for x in store.get_file_info(fs.FileSelector(folder)):  # of attempts that were lost
-            if x.path.endswith(".warc.gz") and x.path.rpartition("/")[2] not in set(names):
+        before = store.get_file_info(fs.FileSelector(folder))
+        with store.open_output_stream(f"{folder}/_manifest-{self.job}.json") as f:
+            f.write(json.dumps(sorted(names)).encode())
+        for x in before:
+            lost = x.base_name.startswith(f"part-{self.job}-") and x.base_name not in names  # of attempts that were lost
+            old = self.overwrite and x.base_name not in names and (x.base_name.endswith((".warc", ".warc.gz")) or MANIFEST.fullmatch(x.base_name))
+            if lost or old:
                 store.delete_file(x.path)
 
     def abort(self, messages):
@@ -337,7 +392,7 @@ class Warc(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool):
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 # --- operators -----------------------------------------------------------------------------------------------------------------------
@@ -347,27 +402,29 @@ def resolved(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
     """The rows of ``pages`` (page_id, url, html) as records: of equal payloads of at least ``least`` bytes the smallest page_id is response, the others revisit it.
 
     Null html is an empty payload. Rows that repeat the smallest page_id are responses as well; where no row of a payload has an id, all are.
-    Only digests and ids meet before payloads are joined with them; a payload that many pages share is one digest on the small side, and
-    its pages are split by Spark's skew handling.
+    What is joined are only the digests that several rows share, broadcast while there are at most ``MAX_BROADCAST_DIGESTS`` of them, so payloads stay in the
+    tasks that read them; beyond that they are shuffled.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("target_uri"), payload.alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    # written first: else the join would inherit its dealing by digest, which Spark can't split where many pages share one
-    first = stored(rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first")), "first")
+    shared = rows.where(F.col("payload_bytes") >= least).groupBy(F.unhex("payload_digest").alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    # written first: else a join by shuffle would inherit its dealing by digest, which Spark can't split where many pages share one
+    first = stored(shared.where("n > 1").select("digest", "first"), "first")
+    near = F.broadcast(first) if first.count() <= MAX_BROADCAST_DIGESTS else first
     response = F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(first, "payload_digest", "left").select(
+    return rows.join(near, F.unhex(rows["payload_digest"]) == near["digest"], "left").select(
         F.when(response, "response").otherwise("revisit").alias("record_type"), "page_id", "target_uri", F.when(response, F.col("payload")).alias("payload"),
         "payload_digest", "payload_bytes", F.when(~response, F.col("first")).alias("refers_to"),
     )
 
 
-def write_archives(records_: DataFrame, path: str) -> None:
-    """Archives of ``resolved`` records in the new folder ``path``."""
+def write_archives(records_: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Archives of ``resolved`` records in the folder ``path``, beside those that it holds or in their place."""
     store, folder = _at(path)
     store.create_dir(folder, recursive=True)
     records_.sparkSession.dataSource.register(Warc)
-    records_.write.format("warc").mode("append").option("path", path).save()
+    records_.write.format("warc").mode("overwrite" if overwrite else "append").option("path", path).save()
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True, verify: bool = False) -> DataFrame:
@@ -383,7 +440,7 @@ def read_anywhere(spark: SparkSession, path: str, payload: bool = True, verify:
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                rows = [{k: v for k, v in r.items() if k != "length"} for r in records(io.BytesIO(content.as_py()), payload=payload, verify=verify)]
+                rows = list(records(io.BytesIO(content.as_py()), payload=payload, verify=verify))
                 for a in range(0, len(rows), 1000):
                     yield pa.RecordBatch.from_pylist(rows[a : a + 1000], schema=out)
 

@@ -312,6 +312,58 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.resolved(df.limit(0)).count() == 0
 
 
+def test_later_writes_keep_or_replace_archives(spark, tmp_path):
+    make = lambda ids: spark.createDataFrame([(i, f"http://a/{i}", "x" * 200) for i in ids], "page_id long, url string, html string")
+    path = tmp_path / "w"
+    ids = lambda: sorted(r["page_id"] for r in warc.read_archives(spark, str(path), verify=True).collect())
+    warc.write_archives(warc.resolved(make(range(3))), str(path))
+    warc.write_archives(warc.resolved(make(range(5, 8))), str(path))
+    assert ids() == [0, 1, 2, 5, 6, 7]
+    row = {"record_type": "response", "page_id": 9, "target_uri": "u", "payload": b"z", "payload_digest": hashlib.sha256(b"z").hexdigest(), "payload_bytes": 1, "refers_to": None}
+    (path / "other.warc").write_bytes(warc.record(row))
+    (path / f"part-{'0' * 32}-{'1' * 32}.warc.gz").write_bytes(warc.member(warc.record(row | {"page_id": 99})))  # of a job that never ended
+    assert ids() == [0, 1, 2, 5, 6, 7, 9]
+    lost = warc.WarcWriter({"path": str(path)})
+    (path / f"part-{lost.job}-{'2' * 32}.warc.gz").write_bytes(b"half")
+    lost.commit([warc.Written([])])
+    assert ids() == [0, 1, 2, 5, 6, 7, 9] and not list(path.glob(f"part-{lost.job}*"))
+    warc.write_archives(warc.resolved(make([11])), str(path), overwrite=True)
+    assert ids() == [11] and len(list(path.glob("*.warc*"))) == 1
+
+
+def test_foreign_archives(spark, tmp_path):
+    body = b"<p>some page</p>"
+    sha1 = "sha1:" + __import__("base64").b32encode(hashlib.sha1(body).digest()).decode()
+
+    def rec(kind, digest, uri="http://a/\\users\\%5C?q=\u00e9", extra="", block=None, http=True):
+        block = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + body if block is None else block
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Target-URI: {uri}", "X-Folded: one", "  two", *([f"WARC-Payload-Digest: {digest}"] if digest else []), *([extra] if extra else [])]
+        return "\r\n".join([*lines, f"Content-Type: {'application/http; msgtype=response' if http else 'text/plain'}", f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n0\r\n\r\n"
+    good = [rec("warcinfo", None, block=b"software: x", http=False), rec("response", sha1), rec("response", "sha1:" + hashlib.sha1(body).hexdigest()), rec("response", "SHA-256:" + hashlib.sha256(body).hexdigest()), rec("response", "blake3:abc"), rec("response", sha1, block=chunked), rec("response", sha1, extra="WARC-Truncated: length", block=b"HTTP/1.1 200 OK\r\n\r\n<p>"), rec("request", None, block=b"GET / HTTP/1.1\r\n\r\n")]
+    folder = tmp_path / "f"
+    folder.mkdir()
+    (folder / "a.warc").write_bytes(b"\r\n".join(good))  # with an empty line too many
+    (folder / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, good)))
+    (folder / "c.warc.gz").write_bytes(gzip.compress(b"".join(good)))
+    got = warc.read_archives(spark, str(folder), verify=True).collect()
+    assert len(got) == 3 * len(good) and {r["target_uri"] for r in got} == {"http://a/\\users\\%5C?q=\u00e9"}
+    assert sum(r["payload"] == body for r in got) == 12 and {r["payload_digest"] for r in got if r["payload"] == body} == {sha1, "sha1:" + hashlib.sha1(body).hexdigest(), "SHA-256:" + hashlib.sha256(body).hexdigest(), "blake3:abc"}
+    assert sorted(r["record_type"] for r in warc.read_anywhere(spark, str(folder), verify=True).collect()) == sorted(r["record_type"] for r in got)
+    with pytest.raises(ValueError):
+        list(warc.records(io.BytesIO(rec("response", sha1, block=b"HTTP/1.1 200 OK\r\n\r\nother")), verify=True))
+
+
+def test_payloads_are_not_shuffled(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 7, f"u{i}", ("x" if i % 3 else f"y{i}") * 200) for i in range(30)], "page_id long, url string, html string")
+    few = warc.resolved(df)
+    assert "Exchange hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(warc, "MAX_BROADCAST_DIGESTS", 0)
+    assert sorted(map(str, few.collect())) == sorted(map(str, warc.resolved(df).collect()))
+    assert few.where("record_type = 'revisit'").count() == sum(1 for i in range(30) if i % 3 and i % 7 != 0)
+
+
 def test_predicates_are_pushed_down(spark, tmp_path):
     df = spark.createDataFrame([(i, f"http://a/{i}", "x" * 200) for i in range(5)], "page_id long, url string, html string")
     path = str(tmp_path / "w")
