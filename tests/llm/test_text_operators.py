@@ -571,6 +571,45 @@ def test_toxicity_held_out(spark, vocabulary):
     assert severe[True] > severe[False]
 
 
+def test_severity_is_the_sum_of_weights(spark, texts):
+    """Against a plain sum over the words and their beginnings, of whole texts."""
+    pieces = lambda w: [w.encode(), *(w.encode()[:n] for n in toxicity.BEGINNINGS if len(w.encode()) > n)]
+    of = {}
+    for w in {w for t in texts for w in words(t)}:
+        _, f = toxicity.features(textcore.Words(pa.array([w])))
+        of |= dict(zip(((len(p), p, k > 0) for k, p in enumerate(pieces(w))), f.tolist(), strict=True))
+    rng = np.random.default_rng(2)
+    names = np.unique(rng.choice(sorted(of.values()), 80))
+    model = toxicity.Model(names.astype(np.int32), rng.random(len(names)), np.array([2.0, 5.0]), 0.4)
+    weight = dict(zip(names.tolist(), model.weight, strict=True))
+    got = {r["doc_id"]: r for r in toxicity.judged(spark.createDataFrame(list(enumerate(texts)), DOCS), model).collect()}
+    for i, t in enumerate(texts):
+        score = sum(weight.get(of[len(p), p, k > 0], 0.0) for w in words(t) for k, p in enumerate(pieces(w)))
+        above = [1 / (1 + np.exp(-np.clip(score - x, -40, 40))) for x in model.thresholds]
+        assert got[i]["severity"] == pytest.approx(sum(above), rel=1e-3) and got[i]["rejected"] == (got[i]["p_toxic"] >= 0.4)
+
+
+def test_threshold_is_chosen_on_rows_that_did_not_train(spark, vocabulary):
+    rng = random.Random(11)
+    rows = [(i, " ".join([rng.choice(vocabulary) for _ in range(60)] + (["vlaxotig" + rng.choice(vocabulary)] * rng.randint(1, 3) if i % 2 else [])), i % 2) for i in range(900)]
+    rows += [(1, "zz a second text of one id", 1)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, df.where("doc_id < 450"))
+    assert model.reject in toxicity.REJECTS
+    assert toxicity.labelled(df, df.where("doc_id < 450")).count() == 450
+    held = toxicity.judged(df.where("doc_id >= 450"), model)
+    assert held.where("rejected = (toxic = 1)").count() / held.count() > 0.99
+    again = toxicity.train(df.repartition(5), df.where("doc_id < 450").repartition(3))
+    assert (again.feature == model.feature).all() and np.allclose(again.weight, model.weight) and again.reject == model.reject
+
+
+def test_counts_have_no_bound(spark):
+    rows = [(i, "plain words of a text" + " zgrumf" * (100_000 if i == 1 else i % 2), i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.judged(df, toxicity.train(df, df))
+    assert got.where("rejected = (toxic = 1)").count() == 40 and toxicity._counts(pa.array(["zgrumf " * 100_000]))[2].max() == 100_000
+
+
 def test_toxicity_without_labels_or_text(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "some words")], DOCS)
     none = toxicity.train(df, spark.createDataFrame([], "doc_id long, toxic int"))
