@@ -14,9 +14,10 @@ expressions; a text of any length is one array of hashes.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from soilspark.llm.sqltext import words
@@ -27,7 +28,8 @@ BITS = 8
 ATTEMPTS = 64  # hashed attempts of an empty bin before the permutation
 PER_LONG = 64 // BITS
 ROWS_A_PIECE = 128  # documents of neighbouring ids that are handled together
-MAX_PIECES = 16_384
+MAX_PIECES = 32_768
+SAMPLED = 8
 
 _SHIFT = 63 - (BINS.bit_length() - 1)
 _END = (1 << 63) - 2
@@ -89,39 +91,53 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(both)
 
 
-def _piece(doc_id: Column, bounds: list[int]) -> Column:
-    """How many of the ascending ``bounds`` are at most ``doc_id``, found in two steps of about the square root of their number."""
+KEY = "struct<id:bigint,h:bigint,t:bigint>"
+
+
+def _piece(key: Column, bounds: list[Row]) -> Column:
+    """How many of the ascending ``bounds`` are at most ``key``, found in two steps of about the square root of their number."""
     if not bounds:
         return F.lit(0)
     step = max(1, int(len(bounds) ** 0.5))
-    whole = F.array(*[F.lit(int(b)) for b in bounds])
-    coarse = F.array(*[F.lit(int(b)) for b in bounds[step - 1 :: step]])
-    below = lambda a: F.size(F.filter(a, lambda b: b <= doc_id))
-    skip = below(coarse) * step
-    return F.coalesce(F.when(doc_id.isNotNull(), skip + below(F.slice(whole, skip + 1, step))), F.lit(0))
+    literal = lambda some: F.from_json(F.lit(json.dumps([b.asDict() for b in some])), f"array<{KEY}>")  # noqa: E731  one constant, whatever its length
+    below = lambda a: F.size(F.filter(a, lambda b: b <= key))
+    skip = below(literal(bounds[step - 1 :: step])) * step
+    return skip + below(F.slice(literal(bounds), skip + 1, step))
+
+
+def in_pieces(docs: DataFrame, rows_a_piece: int = ROWS_A_PIECE) -> DataFrame:
+    """``docs`` (doc_id, text and others) with ``__key``, by which rows are ordered, and ``__piece``, ascending numbers of ranges of about ``rows_a_piece`` rows each.
+
+    The key is doc_id (null first), then a hash of the text, then the place where a row was read, so that equal ids, and equal rows, are cut into pieces like others.
+    The ends of pieces come from a sample by hash of ``SAMPLED`` keys a piece; there are at most ``MAX_PIECES``, beyond which pieces get longer (a window spills
+    what it can't hold).
+    """
+    own = docs.withColumn("__key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("t")))
+    n = docs.count()
+    pieces = min(MAX_PIECES, -(-n // rows_a_piece))
+    bounds: list[Row] = []
+    if pieces > 1:
+        some = own.select("__key").where(F.pmod(F.xxhash64("__key"), F.lit(1 << 32)) < min(1 << 32, int(SAMPLED * pieces / n * (1 << 32)) + 1))
+        ranked = some.withColumn("r", F.row_number().over(Window.orderBy("__key")))  # of the sample
+        bounds = sorted((r["__key"] for r in ranked.where(F.pmod("r", F.lit(SAMPLED)) == 0).select("__key").collect()), key=lambda k: (k["id"] is not None, k))
+    return own.withColumn("__piece", _piece(F.col("__key"), bounds))
 
 
 def with_next(docs: DataFrame, carried: list[str], made: Callable[[DataFrame], DataFrame] = lambda df: df, rows_a_piece: int = ROWS_A_PIECE) -> DataFrame:
-    """``made(docs)`` with ``next_<c>`` of each carried column: its value in the row of the next doc_id (equal ids by text, null ids first; after the last the first).
+    """``made(docs)`` with ``next_<c>`` of each carried column: its value in the row of the next doc_id (null ids first, equal ids by a hash of their text; after the last the first).
 
-    Rows are dealt by ranges of ids, each range is ordered by itself, and the first row of each range is added to the one before as its end.
+    Rows are dealt by ranges of keys, each range is ordered by itself, and the first row of each range is added to the one before as its end.
     ``made`` adds columns, to the rows of ``docs`` and to those few once more.
     """
-    n, = docs.agg(F.count("*")).first()
-    pieces = max(1, min(MAX_PIECES, -(-n // rows_a_piece)))
-    bounds: list[int] = []
-    if pieces > 1:
-        at, = docs.agg(F.percentile_approx("doc_id", [i / pieces for i in range(1, pieces)], 100 * pieces)).first()
-        bounds = sorted(set(at or []))
-    own = docs.withColumn("__piece", _piece(F.col("doc_id"), bounds)).withColumn("__end", F.lit(False))
+    own = in_pieces(docs, rows_a_piece)
     in_order = Window.orderBy("__piece")  # one row a piece, MAX_PIECES at most
-    first = own.groupBy("__piece").agg(F.min_by("doc_id", F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("__id"))
-    ends = first.select(F.lag("__piece").over(in_order).alias("__of"), "__id", F.max("__piece").over(Window.partitionBy(F.lit(0))).alias("__last"))
-    ends = ends.select(F.coalesce("__of", "__last").alias("__of"), "__id")
-    added = docs.join(F.broadcast(ends), docs["doc_id"].eqNullSafe(ends["__id"])).select(*docs.columns, F.col("__of").alias("__piece"), F.lit(True).alias("__end"))
-    own, added = made(own), made(added)
-    names = [c for c in own.columns if c not in ("__piece", "__end")]
-    ordered = Window.partitionBy("__piece").orderBy("__end", F.col("doc_id").asc_nulls_first(), "text")
+    first = own.groupBy("__piece").agg(F.min("__key").alias("__first"))
+    ends = first.select(F.lag("__piece").over(in_order).alias("__of"), "__first", F.max("__piece").over(Window.partitionBy(F.lit(0))).alias("__last"))
+    ends = ends.select(F.coalesce("__of", "__last").alias("__of"), "__first")
+    added = own.join(F.broadcast(ends), F.col("__key") == F.col("__first")).select(*docs.columns, "__key", F.col("__of").alias("__piece"), F.lit(True).alias("__end"))
+    own, added = made(own.withColumn("__end", F.lit(False))), made(added)
+    names = [c for c in own.columns if c not in ("__key", "__piece", "__end")]
+    ordered = Window.partitionBy("__piece").orderBy("__end", "__key")
     both = own.unionByName(added)
     return both.select(*names, "__end", *[F.lead(c).over(ordered).alias(f"next_{c}") for c in carried]).where(~F.col("__end")).drop("__end")
 
@@ -130,7 +146,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     """For each row of ``docs``: the fingerprint of its text and of its edited text, and how like its own are the edited text's and the next document's.
 
     The edited text has the last quarter of the code points replaced by the first as many (or all) of the next document's. Null texts are
-    empty; a null doc_id comes first in the order; rows of equal id are ordered by text; one document alone is its own next; an empty table
+    empty; a null doc_id comes first in the order; rows of equal id are ordered by a hash of their text; one document alone is its own next; an empty table
     gives no rows; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -694,14 +694,54 @@ def test_fingerprints(spark, docs, texts):
 def test_next_document_in_order(spark):
     rows = [(5, "five"), (None, "none"), (5, "a five"), (1, "one"), (9, None)]
     df = spark.createDataFrame(rows, DOCS)
+    h = {r["text"]: r["h"] for r in df.withColumn("h", F.xxhash64("text")).collect()}
+    fives = sorted(["five", "a five"], key=h.get)  # equal ids go by a hash of their text
     for size in (1, 2, 100):
         got = fingerprint.with_next(df.repartition(3), ["text", "doc_id"], rows_a_piece=size)
-        assert sorted((r["text"] or "", r["next_text"]) for r in got.collect()) == [("", "none"), ("a five", "five"), ("five", None), ("none", "one"), ("one", "a five")]
+        want = [("none", "one"), ("one", fives[0]), (fives[0], fives[1]), (fives[1], None), ("", "none")]
+        assert sorted((r["text"] or "", r["next_text"] or "") for r in got.collect()) == sorted((a, b or "") for a, b in want)
     assert fingerprint.edited_likeness(df.limit(0)).count() == 0
     one = fingerprint.edited_likeness(spark.createDataFrame([(1, "abcdefgh")], DOCS)).first()
     assert one["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest() and one["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("doc_id", ["7", "null", "doc_id"])
+def test_equal_and_null_ids_are_cut_in_pieces(spark, doc_id):
+    df = spark.createDataFrame([(None if doc_id == "null" else 7 if doc_id == "7" else i, f"text {i % 200}") for i in range(600)], DOCS)
+    sizes = [r["count"] for r in fingerprint.in_pieces(df, 20).groupBy("__piece").count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 100
+    got = [(r["doc_id"], r["text"], r["next_doc_id"], r["next_text"]) for r in fingerprint.with_next(df, ["doc_id", "text"], rows_a_piece=20).collect()]
+    assert Counter(g[:2] for g in got) == Counter(g[2:] for g in got) == Counter((r[0], r[1]) for r in df.collect())
+    if doc_id == "doc_id":
+        assert all(b[2] == (b[0] + 1) % 600 for b in got)
+    else:  # equal rows follow one another: of each three all but one lead to an equal one
+        assert sum(a[1] == a[3] for a in got) == 400
+
+
+def test_fingerprint_is_the_packed_minima(spark, texts):
+    """Against a plain version that takes the hashes of words from Spark."""
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {r["doc_id"]: r["fp"] for r in fingerprint.with_fingerprint(df, "text", "fp").collect()}
+    some = [i for i in range(len(texts)) if len(words(texts[i])) < 400]
+    runs = {i: [w[k : k + 5] for k in range(max(1, len(w) - 4))] if (w := words(texts[i])) else [] for i in some}
+    each = sorted({(len(r), *r) for v in runs.values() for r in v})
+    frame = spark.createDataFrame([(k, list(r[1:])) for k, r in enumerate(each)], "k int, w array<string>")
+    hashed = frame.select("k", F.transform("w", lambda x: F.xxhash64(x)).alias("v")).select("k", F.when(F.size("v") == 5, F.xxhash64(*[F.get("v", F.lit(j)) for j in range(5)])).otherwise(F.xxhash64("v")).alias("h"))
+    of = {each[r["k"]][1:]: r["h"] for r in hashed.collect()}
+    orders = spark.range(fingerprint.BINS).select(F.col("id").cast("int").alias("b")).select("b", F.array(*[F.xxhash64("b", F.lit(a)) for a in range(fingerprint.ATTEMPTS)]).alias("o"), F.xxhash64("b", F.lit(-1)).alias("s"))
+    order = {r["b"]: [x & 255 for x in r["o"]] + [(r["b"] + a * ((r["s"] & 254) + 1)) & 255 for a in range(1, 257)] for r in orders.collect()}
+    for i in some:
+        bins = {}
+        for r in runs[i]:
+            x = (of[tuple(r)] & (1 << 64) - 1) >> 1 | 1
+            bins[x >> 55] = min(x, bins.get(x >> 55, 1 << 63))
+        if not bins:
+            assert got[i] is None
+            continue
+        low = [next(bins[c] for c in [b, *order[b]] if c in bins) >> 1 & 255 for b in range(256)]
+        assert b"".join(x.to_bytes(8, "little", signed=True) for x in got[i]) == bytes(low)
+
+
 def test_every_empty_bin_is_filled(spark):
     df = spark.createDataFrame([(1, "one"), (2, "one two three four five six")], DOCS)
     got = fingerprint.with_fingerprint(df, "text", "fp").collect()
