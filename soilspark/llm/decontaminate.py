@@ -5,11 +5,13 @@ window). A document word inside any occurrence of a window is hit. Each window i
 shingle only, the rarest of those it holds, counted over all documents: a text that contains the window
 contains that shingle at a known offset (with containment 1 the necessary prefix is a single token). So
 documents' shingles are joined with one token a window; the offset and both lengths bound the position,
-and the words there are compared with the window's one by one.
+and the words there are compared with the window's one by one. Shingles are of ``SHINGLE`` words, those of
+shorter windows of as many as these have.
 
-Documents are read in place; windows are broadcast while there are at most ``MAX_BROADCAST_WINDOWS`` of
-them (some 300 bytes each), beyond that the join shuffles shingles with the few words around them. What
-is found is grouped by document only as counts and intervals.
+Documents are read in place, twice: to count shingles, and to find windows and count words at once; windows
+are broadcast while there are at most ``MAX_BROADCAST_WINDOWS`` of them (some 300 bytes each), beyond that
+the join shuffles shingles with the few words around them. What is found is grouped by document only as
+counts and intervals.
 
 Rows that share a doc_id count as one document's; null text has no words; a null doc_id is kept, without
 hits. Benchmark rows without id mark hits but are not listed. Without benchmark nothing is hit.
@@ -26,7 +28,12 @@ from soilspark.llm.storage import stored
 WINDOW = 10
 SHINGLE = 3
 MAX_BROADCAST_WINDOWS = 200_000
-MAX_BROADCAST_IDS = 1_000_000  # 8 MB
+MAX_BROADCAST_IDS = 300_000  # some 100 bytes each with what is known of them
+
+
+def _near(df: DataFrame, most: int) -> DataFrame:
+    """``df``, broadcast if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -41,54 +48,66 @@ def _token(parts: list[Column]) -> Column:
     return F.xxhash64(*parts)
 
 
-def _document_tokens(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, words, pos, token of each position. The tail's tokens cover fewer words; comparing the words sorts them out."""
+def _document_tokens(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """doc_id, words, pos, kind, token of each position, for shingles of each of the ``lengths``. The tail's tokens cover fewer words; comparing the words sorts them
+    out. A position more, behind the last word, stands for the document itself."""
     split = docs.select("doc_id", words(F.col("text")).alias("words"))
-    shifted = [F.slice("words", j + 1, F.size("words")).alias(f"s{j}") for j in range(shingle)]
+    n = F.size("words")
+    shifted = [F.slice("words", j + 1, n).alias(f"s{j}") for j in range(max(lengths))]
     # outer: else the plan would split each text once more only to drop empty ones first
-    turned = split.select("doc_id", "words", F.posexplode_outer(F.arrays_zip(*shifted)).alias("pos", "z"))
-    return turned.select("doc_id", "words", "pos", _token([F.col(f"z.s{j}") for j in range(shingle)]).alias("token"))
-
-
-def _hit_windows(docs: DataFrame, windows: DataFrame, shingle: int, small: bool) -> DataFrame:
-    """doc_id, start, length, key: each occurrence of each window."""
-    near = F.broadcast if small else lambda df: df
-    tokens = windows.select("key", "win", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("win") - shingle), lambda o: _token([F.get("win", o + j) for j in range(shingle)]))).alias("at", "token"))
-    seen = _document_tokens(docs, shingle)
+    turned = split.select("doc_id", "words", F.posexplode_outer(F.arrays_zip(*shifted, F.array_repeat(F.lit(0), n + 1).alias("end"))).alias("pos", "z"))
+    tokens = [_token([F.col(f"z.s{j}") for j in range(k)]) for k in lengths]
+    each = F.posexplode(F.array(*tokens)).alias("kind", "token")
+    return turned.select("doc_id", "words", "pos", *([F.lit(0).alias("kind"), tokens[0].alias("token")] if len(tokens) == 1 else [each]))
+
+
+def _found(docs: DataFrame, windows: DataFrame, max_broadcast: int) -> DataFrame:
+    """doc_id, start, length, key: each occurrence of each of the ``windows`` (key, win; distinct), and n_words alone for each row of ``docs``."""
+    n = windows.count()
+    near = F.broadcast if n <= max_broadcast else lambda df: df
+    counted = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("string").alias("key"))
+    if not n:
+        return counted
+    windows = windows.withColumn("k", F.least(F.size("win"), F.lit(SHINGLE)))
+    lengths = sorted(r["k"] for r in windows.select("k").distinct().collect())
+    parts = lambda o, k: _token([F.get("win", o + j) for j in range(k)])
+    token = lambda o: F.coalesce(*[F.when(F.col("k") == k, parts(o, k)) for k in lengths])
+    tokens = windows.select("key", "win", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("win") - F.col("k")), token)).alias("at", "token"))
+    seen = _document_tokens(docs, lengths)
     counts = seen.select("token").join(near(tokens.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     rarest = F.min_by(F.struct("at", "token"), F.struct(F.coalesce("n", F.lit(0)), "token", "at"))
     prefix = stored(tokens.join(near(counts), "token", "left").groupBy("key", "win").agg(rarest.alias("r")).select("key", "win", "r.at", "r.token"), "prefix")
     start, length = F.col("pos") - F.col("at"), F.size("win")
-    if small:
+    if n <= max_broadcast:
         held = F.slice("words", F.greatest(start, F.lit(0)) + 1, length)
-        found = seen.join(F.broadcast(prefix), (seen["token"] == prefix["token"]) & (start >= 0) & (start + length <= F.size("words")) & (held == F.col("win")))
-        return found.select("doc_id", start.alias("start"), length.alias("length"), "key")
+        fits = (seen["token"] == prefix["token"]) & (start >= 0) & (start + length <= F.size("words")) & (held == F.col("win"))
+        own = F.col("key").isNull() & (F.col("kind") == 0) & (F.col("pos") == F.size("words"))
+        both = seen.join(F.broadcast(prefix), fits, "left").where(own | F.col("key").isNotNull())
+        return both.select("doc_id", F.when(own, F.size("words")).cast("long").alias("n_words"), start.alias("start"), F.when(~own, length).alias("length"), "key")
     begin = F.greatest(F.col("pos") - (WINDOW - 1), F.lit(0))
-    around = seen.where("pos is not null").select("doc_id", "pos", "token", begin.alias("begin"), F.slice("words", begin + 1, 2 * WINDOW - 1).alias("around"))
+    around = seen.where("doc_id is not null").select("doc_id", "pos", "token", begin.alias("begin"), F.slice("words", begin + 1, 2 * WINDOW - 1).alias("around"))
     first = start - F.col("begin")
     held = F.slice("around", F.greatest(first, F.lit(0)) + 1, length)
-    found = around.join(prefix, (around["token"] == prefix["token"]) & (first >= 0) & (held == F.col("win")))
-    return found.select("doc_id", start.alias("start"), length.alias("length"), "key")
+    hits = around.join(prefix, (around["token"] == prefix["token"]) & (first >= 0) & (held == F.col("win")))
+    return counted.unionByName(hits.select("doc_id", F.lit(None).cast("long").alias("n_words"), start.alias("start"), length.alias("length"), "key"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     windows = stored(item_windows(benchmark, window), "windows")
-    n, least = windows.select("key", F.size("win").alias("n")).agg(F.count_distinct("key"), F.min("n")).first()
     docs = docs.select("doc_id", "text")
-    out = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    hits = _hit_windows(docs, windows.groupBy("key").agg(F.first("win").alias("win")), min(SHINGLE, least or SHINGLE), n <= max_broadcast_windows)
-    hits = stored(hits, "hits")
+    found = stored(_found(docs, windows.groupBy("key").agg(F.first("win").alias("win")), max_broadcast_windows), "found")
+    hits = found.where("key is not null and doc_id is not null")
     before = Window.partitionBy("doc_id").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("length")
     spans = hits.select("doc_id", "start", "length").distinct().withColumn("past", F.max(end).over(before))
     covered = F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce("past", F.lit(0))))
     words_hit = spans.groupBy("doc_id").agg(F.sum(covered).cast("long").alias("n_hit"))
-    of = windows.select("key", "item_id").where("item_id is not null")
-    pairs = hits.select("doc_id", "key").distinct().join(F.broadcast(of) if n <= max_broadcast_windows else of, "key").select("doc_id", "item_id").distinct()
+    of = windows.select("key", "item_id").where("item_id is not null").distinct()
+    pairs = hits.select("doc_id", "key").distinct().join(_near(of, max_broadcast_windows), "key").select("doc_id", "item_id").distinct()
     items = pairs.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item_id")), ","), 256).alias("items_sha256"))
-    marked = words_hit.join(items, "doc_id", "left")
-    return out.join(marked, "doc_id", "left").select(
+    marked = stored(words_hit.join(items, "doc_id", "left"), "marked")
+    return found.where("key is null").select("doc_id", "n_words").join(_near(marked, MAX_BROADCAST_IDS), "doc_id", "left").select(
         "doc_id", "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
@@ -100,10 +119,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """The rows of ``docs`` without any hit, all columns as they are. Rows that share a doc_id go together; rows without id stay."""
     windows = stored(item_windows(benchmark, window), "windows")
-    n, least = windows.select("key", F.size("win").alias("n")).agg(F.count_distinct("key"), F.min("n")).first()
-    hits = _hit_windows(docs.select("doc_id", "text"), windows.groupBy("key").agg(F.first("win").alias("win")), min(SHINGLE, least or SHINGLE), n <= max_broadcast_windows)
-    bad = stored(hits.where("doc_id is not null").select("doc_id").distinct(), "contaminated")
-    return docs.join(F.broadcast(bad) if bad.count() <= MAX_BROADCAST_IDS else bad, "doc_id", "left_anti").select(*docs.columns)
+    found = _found(docs.select("doc_id", "text"), windows.groupBy("key").agg(F.first("win").alias("win")), max_broadcast_windows)
+    bad = stored(found.where("key is not null and doc_id is not null").select("doc_id").distinct(), "contaminated")
+    return docs.join(_near(bad, MAX_BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
 
 
 # DuckDB: windows joined with every run of as many words of each document, by their text.

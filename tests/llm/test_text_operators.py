@@ -661,6 +661,16 @@ def test_contamination_equals_brute_force(spark, docs, texts, limit, short):
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(i for i, v in want.items() if not v[4])
 
 
+def test_contamination_of_null_and_equal_ids(spark, texts):
+    rows = [(None, texts[70])] * 5 + [(7, texts[70]), (7, "free of it"), (8, None)]
+    benchmark = spark.createDataFrame([(1, " ".join(words(texts[70])[20:45])), (2, "free")], "item_id long, text string")
+    df = spark.createDataFrame(rows, DOCS)
+    got = decontaminate.contamination(df, benchmark).collect()
+    assert len(got) == 8 and sorted((r["n_hit"], r["n_items"]) for r in got if r["doc_id"] is None) == [(0, 0)] * 5
+    assert {(r["n_hit"], r["n_items"]) for r in got if r["doc_id"] == 7} == {(26, 2)} and sum(r["contaminated"] for r in got) == 2
+    assert decontaminate.clean(df, benchmark).count() == 6
+
+
 def test_contamination_without_benchmark(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(docs, none).where("contaminated").count() == 0
