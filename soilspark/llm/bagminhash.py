@@ -111,7 +111,7 @@ def bands(sig: np.ndarray, n_bands: int = BANDS, rows: int = ROWS) -> np.ndarray
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, key (of the words in order), weight, band hashes, sixteen bits of each component."""
+    """id, hash of the text, key (of the words in order), weight, band hashes, sixteen bits of each component."""
     for batch in batches:
         for a, z in chunks(batch.column(1)):
             words = Words(batch.column(1).slice(a, z - a))
@@ -130,12 +130,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, n),
+                    batch.column(2).slice(a, n),
                     pa.array([key[16 * i : 16 * i + 16] for i in range(n)], type=pa.binary()),
                     pa.array(weight),
                     pa.FixedSizeListArray.from_arrays(pa.array(bands(sig).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())),
                     pa.FixedSizeListArray.from_arrays(pa.array(low.astype(np.int32).ravel()), COMPONENTS).cast(pa.list_(pa.int32())),
                 ],
-                ["id", "key", "weight", "bands", "low"],
+                ["id", "h", "key", "weight", "bands", "low"],
             )
 
 
@@ -172,11 +173,17 @@ def _near(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= MAX_BROADCAST_IDS else df
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts in ``docs`` (id, text; an id once) are similar enough."""
+def _texts(nodes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of the ``nodes`` (id), whose documents ``reps`` (id, doc, h) names and ``docs`` (id, h, text) holds, perhaps in several equal rows."""
+    wanted = stored(nodes.join(reps.select("id", "doc", "h"), "id").withColumnsRenamed({"id": "node", "doc": "id"}), "wanted")
+    found = docs.join(_near(wanted, wanted.count()), ["id", "h"]).groupBy("node").agg(F.min("text").alias("text"))
+    return stored(found.withColumnRenamed("node", "id"), "texts")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are similar enough."""
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    texts = docs.join(_near(ids, ids.count()), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    texts = stored(texts, "texts")
+    texts = _texts(ids, reps, docs)
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return both.mapInArrow(lambda batches: _verify(batches, threshold), "a long, b long")
@@ -311,54 +318,88 @@ def _linked(group: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([int(p) for p, _ in out]), pa.array([int(q) for _, q in out])], ["a", "b"])
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, n_words_shingled) for each row of ``docs`` (doc_id, text): class_id is the smallest id of its class, itself if alone.
-
-    Null and empty texts (and texts without words) have no shingles and are copies of one another. Rows that share an id are one node and
-    get one class each; a null id is a class of its own (null). Equal texts always share a class. An empty table gives no rows; other
-    columns are ignored.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    known = docs.where("id is not null")
-    signed = stored(known.mapInArrow(_sign, "id long, key binary, weight long, bands array<long>, low array<int>"), "signed")
-    first = stored(signed.groupBy("key").agg(F.min("id").alias("rep")), "first")  # else the join would inherit its dealing by key, which Spark can't split
-    member = stored(signed.join(first, "key").select("id", "rep", "weight"), "member")
-    reps = stored(signed.where("weight > 0").join(first.withColumnRenamed("rep", "id"), ["key", "id"]).select("id", "weight", "bands", "low").dropDuplicates(["id"]), "reps")
+def _nodes(signed: DataFrame) -> tuple[DataFrame, bool]:
+    """(key, id, doc): the documents of the same words in the same order are one node; doc is the smallest of their ids, and id the node's own number, which is doc
+    unless rows that share that id differ in their words; then it is a negative number of its own. And whether there are such."""
+    first = stored(signed.groupBy("key").agg(F.min("id").alias("doc")), "first")  # else joins would inherit its dealing by key, which Spark can't split
+    shared = stored(first.groupBy("doc").count().where("count > 1").select("doc", F.lit(True).alias("shared")), "shared")
+    n = shared.count()
+    if not n:
+        return first.withColumn("id", F.col("doc")), False
+    lowest = first.agg(F.min("doc")).first()[0]
+    own = F.least(F.lit(lowest), F.lit(0)) - 1 - F.monotonically_increasing_id()
+    numbered = first.join(_near(shared, n), "doc", "left").select("key", F.when(F.col("shared"), own).otherwise(F.col("doc")).alias("id"), "doc")
+    return stored(numbered, "nodes"), True  # written, so that the numbers stay
+
+
+def _classified(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of ``docs`` (id, h, text; no null id): (id, h, node, weight) of each row, and (node, doc, root) of each node; root is the same for the nodes of a class."""
+    signed = stored(docs.select("id", "text", "h").mapInArrow(_sign, "id long, h long, key binary, weight long, bands array<long>, low array<int>"), "signed")
+    nodes, several = _nodes(signed)
+    member = stored(signed.join(nodes.select("key", F.col("id").alias("node")), "key").select("id", "h", "node", "weight"), "member")
+    own = nodes.withColumnsRenamed({"id": "node", "doc": "id"})
+    reps = signed.where("weight > 0").join(own, ["key", "id"]).select(F.col("node").alias("id"), F.col("id").alias("doc"), "h", "weight", "bands", "low")
+    reps = stored(reps.groupBy("id").agg(F.min("h").alias("h"), *[F.first(c).alias(c) for c in ("doc", "weight", "bands", "low")]), "reps")  # but for h alike in all rows of a node
     buckets = stored(reps.select("id", "weight", F.explode("bands").alias("bucket")), "buckets")
     near = lambda p, q: F.least(p, q) >= threshold * F.greatest(p, q)
-    # first each document with the smallest id of a bucket, the one that it shares most buckets with
+    # first each node with the smallest id of a bucket, the one that it shares most buckets with
     leaders = stored(buckets.groupBy("bucket").agg(F.min_by(F.struct("id", "weight"), "id").alias("l"), F.count("*").alias("n")).where("n > 1"), "leaders")
     met = buckets.join(leaders, "bucket").where((F.col("id") != F.col("l.id")) & near(F.col("weight"), F.col("l.weight")))
     shared = met.groupBy(F.col("id").alias("a"), F.col("l.id").alias("b")).count()
     pairs = stored(shared.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b")), "pairs")
-    links = stored(verified(pairs, known, threshold), "links")
+    links = stored(verified(pairs, reps, docs, threshold), "links")
     roots = stored(components(links), "roots")
     # then what buckets of several classes hold, across classes
     labelled = stored(buckets.select("id", "bucket").join(roots, "id", "left").select("id", "bucket", F.coalesce("root", "id").alias("root")), "labelled")
     dealt = stored(_dealt(labelled), "dealt")
     alive = _grouped(dealt.join(reps.select("id", "weight", "low"), "id"), lambda g: _alike(g, threshold), "id long").distinct()
     alive = stored(alive, "alive")
-    n = alive.count()
-    if n:
-        texts = stored(known.join(_near(alive, n), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
-        more = _grouped(dealt.join(texts, "id"), lambda g: _linked(g, threshold), "a long, b long").distinct()
-        roots = components(links.union(more))
-    roots = stored(roots, "roots")
-    out = member.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("c"), "weight")
-    # an id of several rows belongs to the smallest of its classes
-    out = out.withColumnRenamed("id", "doc_id").withColumnRenamed("c", "class_id").withColumnRenamed("weight", "n_shingles")
+    if alive.count():
+        more = _grouped(dealt.join(_texts(alive, reps, docs), "id"), lambda g: _linked(g, threshold), "a long, b long").distinct()
+        roots = stored(components(links.union(more)), "roots")
+    whole = nodes.select(F.col("id").alias("node"), "doc").join(roots.withColumnRenamed("id", "node"), "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
+    if several:  # the smallest number of a class need not be one of its documents
+        whole = stored(whole, "whole")
+        least = stored(whole.groupBy("root").agg(F.min("doc").alias("class_id")), "least")
+        whole = whole.join(least, "root")
+    else:
+        whole = whole.withColumn("class_id", F.col("root"))
+    return member, stored(whole, "classes")
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, n_shingles) for each row of ``docs`` (doc_id, text): class_id is the smallest id of its class, itself if alone.
+
+    Null and empty texts (and texts without words) have no shingles and are copies of one another. Equal texts always share a class. Rows that share an id but differ
+    in their words are documents of their own: each has the class of its text, wherever rows lie. A null id is a class of its own (null). An empty table gives no rows;
+    other columns are ignored.
+    """
+    docs = _documents(docs)
+    member, whole = _classified(docs.where("id is not null"), threshold)
+    out = member.join(whole, "node").select(F.col("id").alias("doc_id"), "class_id", F.col("weight").alias("n_shingles"))
     lost = docs.where("id is null").select(F.col("id").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("n_shingles"))
     return out.unionByName(lost)
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its class, all columns as they are; of repeated ids one row. Rows without id stay."""
-    kept = stored(classes(docs.select("doc_id", "text"), threshold).where("doc_id = class_id").select("doc_id").distinct(), "kept")
-    known = docs.where("doc_id is not null").join(_near(kept, kept.count()), "doc_id", "left_semi").select(*docs.columns)
-    repeated = known.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    repeated = stored(repeated, "repeated")
-    n = repeated.count()
-    if n:
-        once = known.join(_near(repeated, n), "doc_id", "left_anti").select(*docs.columns)
-        known = once.unionByName(known.join(_near(repeated, n), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
-    return known.unionByName(docs.where("doc_id is null"))
+    """Of each class the row of the smallest id, all columns as they are. Rows without id stay.
+
+    Of rows that share this id and the class the one whose text has the smallest hash stays, of rows that also share this text one; so no text goes without a copy or
+    near copy that stays.
+    """
+    member, whole = _classified(_documents(docs).where("id is not null"), threshold)
+    heads = whole.groupBy("root").agg(F.min(F.struct("doc", "node")).alias("r")).select(F.col("r.doc").alias("id"), F.col("r.node").alias("node"))
+    kept = stored(member.join(heads, ["id", "node"]).groupBy("node").agg(F.min("id").alias("__id"), F.min("h").alias("__h"), F.count("*").alias("n")), "kept")
+    once, repeated = kept.where("n = 1").select("__id", "__h"), kept.where("n > 1").select("__id", "__h")
+    n, m = once.count(), repeated.count()
+    rows = docs.withColumns({"__i": F.col("doc_id").cast("long"), "__t": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    own = lambda some: (F.col("__i") == some["__id"]) & (F.col("__t") == some["__h"])
+    out = rows.join(_near(once, n), own(once), "left_semi").select(*docs.columns)
+    if m:  # one row of those that share id and text, or one of the several texts of a node
+        out = out.unionByName(rows.join(_near(repeated, m), own(repeated), "left_semi").dropDuplicates(["__i", "__t"]).select(*docs.columns))
+    return out.unionByName(docs.where("doc_id is null"))
