@@ -74,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_shard_documents": sharding.oracle_sql("documents", "doc_id", sharding.shard_names(SHARDS)),
     "op5_warc_round_trip": warc.ORACLE_SQL,
     "op9_benchmark_windows": decontaminate.ORACLE_SQL,
 }

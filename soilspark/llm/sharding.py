@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLOTS = 65_537
@@ -28,6 +28,11 @@ def _number(text: str) -> int:
     return int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "big")
 
 
+def _hashed(text: Column) -> Column:
+    """The number that the first 15 hexadecimal digits of a text's MD5 make."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def lookup_table(shards: list[str], slots: int = SLOTS) -> list[int]:
     """For each slot the position in ``shards`` of the shard that claimed it. ``slots`` must be a prime of at least as many as shards."""
     if not shards or len(set(shards)) < len(shards):
@@ -61,10 +66,22 @@ def placed(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> Da
     spark: SparkSession = df.sparkSession
     table = lookup_table(shards, slots)
     lookup = spark.createDataFrame([(s, shards[i]) for s, i in enumerate(table)], "slot int, shard string")
-    hashed = df.drop("slot", "shard").withColumn("slot", F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0null"))), F.lit(slots)).cast("int"))
+    hashed = df.drop("slot", "shard").withColumn("slot", F.pmod(_hashed(F.coalesce(F.col(key).cast("string"), F.lit("null"))), F.lit(slots)).cast("int"))
     return hashed.join(F.broadcast(lookup) if slots <= MAX_BROADCAST_SLOTS else lookup, "slot")
 
 
 def write_shards(df: DataFrame, key: str, shards: list[str], path: str, slots: int = SLOTS) -> None:
     """One folder a shard under ``path``. Rows are spread by slot, so that a shard's rows are written by many tasks."""
     placed(df, key, shards, slots).repartition("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def oracle_sql(table: str, key: str, shards: list[str], slots: int = SLOTS) -> str:
+    """DuckDB: the shard of each row of ``table``, the filled table being given as values (a test fills it by another way)."""
+    values = ",".join(map(str, lookup_table(shards, slots)))
+    names = ",".join(f"'{s}'" for s in shards)
+    return f"""
+WITH placed AS (
+  SELECT {key}, CAST(CAST('0x' || substr(md5(coalesce(CAST({key} AS VARCHAR), 'null')), 1, 15) AS BIGINT) % {slots} AS INTEGER) AS slot FROM {table}
+), lookup AS (SELECT [{values}] AS of_slot, [{names}] AS name)
+SELECT {key}, slot, name[of_slot[slot + 1] + 1] AS shard FROM placed, lookup
+"""

@@ -2,16 +2,19 @@
 
 A rule names a host and the beginning of a path; it fits its host and all subdomains, and the longest
 that fits decides. What no rule decides is judged by boosted trees on the URL's length, depth, digit
-ratio, character entropy, parameter counts and how often URLs of the same host suffixes were blocked. They
-are trained from labelled URLs: by default those that rules decide, at most ``SAMPLE`` of them, the
-smallest by hash. The trees become column expressions, so rows never leave the JVM; only the sample's
-numbers come to the driver.
+ratio, character entropy, parameter counts, telling words and how often labelled URLs of the same host suffixes
+were blocked. They are trained from labelled URLs, at most ``SAMPLE`` of them, the smallest by hash; a row's
+suffix statistics come from the half of these that it is not in. The verdicts of rules are no labels, as trees
+would only learn the rules from them: without URLs of the caller's, a fixed, seeded set of generated ones is
+taken, of ordinary sites and of the habits of advertising, gambling, adult and spam sites. The trees become column
+expressions, so rows never leave the JVM; only the sample's numbers come to the driver.
 """
 
 from __future__ import annotations
 
 import math
 import string
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +29,12 @@ TREES, DEPTH, RATE, CUTS, RIDGE = 30, 3, 0.3, 16, 1.0
 RULES_AS_LITERALS = 64
 MAX_BROADCAST_RULES = 200_000
 
-FEATURES = "n_url n_host n_path depth digits entropy n_params n_query has_fragment n_dots n_hyphens n_digits_path secure extension odds1 seen1 odds2 seen2".split()
+FEATURES = "n_url n_host n_path depth digits entropy n_params n_query has_fragment n_dots n_hyphens n_digits_path secure extension n_telling odds1 seen1 odds2 seen2".split()
+# fixed values: words that URLs of unwanted sites are made of
+TELLING = set(
+    "ads adserver adult affiliate banner bet bets betting bingo bonus cams cash casino cheap click clicks crypto dating deals discount escort farm free gamble hot jackpot loan loans lotto lucky meds money "
+    "offer offers pharma pharmacy pill pills poker popup porn prize promo replica sale sex slot slots spam tracker track tracking viagra vip warez win winner xxx".split()
+)
 
 
 @dataclass(frozen=True)
@@ -107,6 +115,7 @@ def described(urls: DataFrame) -> DataFrame:
         "n_url": n.cast("double"), "n_host": F.char_length("host").cast("double"), "n_path": F.char_length("path").cast("double"), "depth": number(F.col("path"), "/"),
         "digits": F.when(n > 0, digits(u) / n).otherwise(0.0), "entropy": F.when(n > 0, entropy).otherwise(0.0), "n_params": F.when(query == "", 0.0).otherwise(number(query, "&") + 1),
         "n_query": F.char_length(query).cast("double"), "has_fragment": F.contains(u, F.lit("#")).cast("double"), "n_dots": number(F.col("host"), "."), "n_hyphens": number(u, "-"),
+        "n_telling": F.size(F.array_intersect(F.split(F.translate(F.concat("host", F.lit("/"), "path"), string.ascii_uppercase, string.ascii_lowercase), "[^a-z]+"), F.array(*map(F.lit, sorted(TELLING))))).cast("double"),
         "n_digits_path": digits(F.col("path")), "secure": u.startswith("https:").cast("double"), "extension": F.col("path").rlike(r"\.[A-Za-z0-9]{1,5}$").cast("double"),
         "suffix1": F.element_at(labels, -1), "suffix2": F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."),
     })
@@ -185,17 +194,52 @@ def _statistics(names: list[str], y: np.ndarray) -> dict[str, tuple[float, float
     return {s: (math.log((b + 1) / (a + 1)), math.log1p(a + b)) for s, (a, b) in out.items()}
 
 
+def labelled_urls(seed: int = 3, n: int = SAMPLE) -> list[tuple[str, int]]:
+    """(url, blocked 0/1): ``n`` URLs, half of them as unwanted sites make them."""
+    rng = np.random.default_rng(seed)
+    pick = lambda x: x[int(rng.integers(len(x)))]
+    syllables = "an ber co dan el fer gra hol in ka lo mar ne or pa ri sol ta ul ver wen yo".split()
+    word = lambda: "".join(pick(syllables) for _ in range(int(rng.integers(2, 5))))
+    digits = lambda a, z: "".join(str(int(rng.integers(10))) for _ in range(int(rng.integers(a, z))))
+    jumble = lambda k: "".join(pick(string.ascii_lowercase + string.digits) for _ in range(k))
+    telling, ends = sorted(TELLING), "com net org info biz de fr es io co.uk example.com example.net example.org".split()
+
+    def ordinary() -> str:
+        host = pick(["", "www.", "m.", "blog.", "news.", "en."]) + (word() if rng.random() < 0.8 else f"{word()}-{word()}") + "." + pick(ends)
+        path = pick([f"/{pick(['en', 'de', 'fr', 'es'])}/{digits(1, 6)}", "/" + "-".join(word() for _ in range(int(rng.integers(2, 7)))), f"/{word()}/{word()}", f"/20{digits(2, 3)}/{digits(2, 3)}/{word()}-{word()}", "/", f"/{word()}?id={digits(1, 5)}", f"/{pick(['shop', 'news', 'free', 'track', 'sale'])}/{word()}"])
+        return pick(["http", "https"]) + "://" + host + path + pick(["", "", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top"])
+
+    def unwanted() -> str:
+        name = pick([f"{pick(telling)}-{pick(telling)}", f"{pick(telling)}-{pick(telling)}", f"{pick(telling)}{digits(1, 4)}", f"{word()}-{pick(telling)}", f"{pick(telling)}-{jumble(1)}", jumble(14), f"{pick(telling)}.{word()}"])
+        host = pick(["", "www.", "m.", f"{pick(telling)}.", "blog."]) + (name + "." + pick(ends) if rng.random() < 0.93 else ".".join(str(int(rng.integers(256))) for _ in range(4)))
+        params = "&".join(f"{jumble(3)}={jumble(int(rng.integers(4, 20)))}" for _ in range(int(rng.integers(3, 9))))
+        path = pick([f"/{pick(['en', 'de', 'fr', 'es'])}/{digits(1, 6)}", f"/{pick(telling)}/{jumble(12)}", f"/{jumble(8)}/{jumble(8)}/{jumble(8)}", "/", f"/{word()}", f"/c?{params}", f"/{pick(telling)}-{pick(telling)}-{digits(2, 6)}"])
+        return pick(["http", "http", "https"]) + "://" + host + path + pick(["", "", "/", ".html", "#top", "" if "?" in path else "?page=2&ref=x", "" if "?" in path else f"?{params}"])
+
+    return [(unwanted(), 1) if k % 2 else (ordinary(), 0) for k in range(n)]
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from URLs (url, blocked 0/1), at most ``sample`` of them. Without any of one kind the model knows only the other."""
     some = sampled(labelled.where("url is not null and blocked is not null"), ["url", "blocked"], sample)
     own = described(some.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url"))))
     plain = FEATURES[:-4]
-    rows = own.select("blocked", "suffix1", "suffix2", *plain).collect()
+    rows = own.select("blocked", "url", "suffix1", "suffix2", *plain).collect()
     y = np.array([float(r["blocked"]) for r in rows])
-    stats = tuple(_statistics([r[s] for r in rows], y) for s in ("suffix1", "suffix2"))
-    x = np.array([[*(r[f] for f in plain), *stats[0][r["suffix1"]], *stats[1][r["suffix2"]]] for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
+    half = np.array([zlib.crc32(r["url"].encode()) & 1 for r in rows])
+    x = np.zeros((len(rows), len(FEATURES)))
+    if rows:
+        x[:, : len(plain)] = [[r[f] for f in plain] for r in rows]
+    stats = []
+    for k, s in enumerate(("suffix1", "suffix2")):
+        names = [r[s] for r in rows]
+        stats.append(_statistics(names, y))
+        for h in (0, 1):
+            other = _statistics([n for n, o in zip(names, half, strict=True) if o != h], y[half != h])
+            for i in np.flatnonzero(half == h):
+                x[i, len(plain) + 2 * k : len(plain) + 2 * k + 2] = other.get(names[i], (0.0, 0.0))
     start, trees = boosted(x, y)
-    return Model(start, trees, stats)
+    return Model(start, trees, tuple(stats))
 
 
 def scored(urls: DataFrame, model: Model) -> DataFrame:
@@ -215,12 +259,12 @@ def judged(pages: DataFrame, rules: list[Rule] | None = None, model: Model | Non
     """page_id, host, path, rule, verdict, p_block for each row of ``pages`` (page_id, url).
 
     Null URLs and those without ``://`` have an empty host and path and no rule. Repeated rows stay; a null page_id is passed on; an empty
-    table gives no rows; other columns are left out. Without a model one is trained from the URLs that rules decide.
+    table gives no rows; other columns are left out. Without a model one is trained from ``labelled_urls``.
     """
     rules = RULES if rules is None else rules
     urls = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"))
     urls = ruled(urls.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url"))), rules)
     if model is None:
-        model = train(urls.where("rule is not null").select("url", (F.col("rule_verdict") == BLOCK).cast("int").alias("blocked")))
+        model = train(pages.sparkSession.createDataFrame(labelled_urls(), "url string, blocked int"))
     out = scored(urls, model)
     return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.when(F.col("p_block") >= 0.5, BLOCK).otherwise(ALLOW)).alias("verdict"), "p_block")

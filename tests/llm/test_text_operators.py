@@ -204,6 +204,39 @@ def test_overlap_matrix_is_exact(texts):
         assert got[i, j] == pytest.approx(want, abs=1e-6)
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 4])
+def test_rows_that_share_an_id(spark, partitions):
+    w, x, y = (" ".join(f"{c}{k}" for k in range(40)) for c in "wxy")
+    rows = [(3, x), (5, w), (5, x), (7, w), (8, y), (8, w + " more"), (8, y), (9, y.upper())]
+    df = spark.createDataFrame(rows, DOCS).repartition(partitions)
+    got = bagminhash.classes(df).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in got) == [(3, 3), (5, 3), (5, 5), (7, 5), (8, 5), (8, 8), (8, 8), (9, 8)]
+    assert sorted(tuple(r) for r in bagminhash.deduplicated(df).collect()) == [(3, x), (5, w), (8, y)]
+    df = spark.createDataFrame([(8, w), (8, x), (8, y), (8, y + "!")], DOCS).repartition(partitions)
+    assert [r["class_id"] for r in bagminhash.classes(df).collect()] == [8] * 4
+    kept = {r["text"] for r in bagminhash.deduplicated(df).collect()}
+    assert {w, x} <= kept and len(kept) == 3
+
+
+def test_links_of_given_documents():
+    """Every pair of the small tables that overlaps by 0.8 or more shares a class."""
+    import duckdb
+
+    rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    held = {i: shingles(t) for i, t in rows}
+    where = defaultdict(list)
+    for i, c in held.items():
+        for g in c:
+            where[g].append(i)
+    shared = Counter(p for ids in where.values() if len(ids) < 60 for p in itertools.combinations(sorted(ids), 2))
+    links = [p for p in shared if overlap(held[p[0]], held[p[1]]) >= 0.8]
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.classes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert len(links) > 50 and all(got[a] == got[b] for a, b in links)
+
+
 def test_deduplicated_keeps_columns_and_rows_without_id(spark):
     long = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([(2, long, "a", 1), (1, long + " x", "b", 2), (None, long, "c", 3), (5, "other text", "d", 4), (5, "other text", "d", 4), (7, None, None, None)], "doc_id long, text string, id string, weight int")
@@ -260,6 +293,28 @@ def test_trees_hold_out(spark):
     assert got.where("(verdict = 'block') = (blocked = 1)").count() / got.count() > 0.95
 
 
+def test_verdicts_without_a_rule(spark):
+    """By the default model: generated URLs of another seed, and hosts by whose names a reader would tell them."""
+    held = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(url_filter.labelled_urls(seed=77, n=1500))], "page_id long, url string, blocked int")
+    got = url_filter.judged(held.select("page_id", "url"), []).join(held, "page_id")
+    assert got.where("(verdict = 'block') = (blocked = 1)").count() / 1500 > 0.93
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    free = url_filter.judged(pages).where("rule is null")
+    bad = F.col("host").rlike("casino-win|free-bets|ads-track|spam-farm|cheap-pills|adult-x")
+    n = {(r["bad"], r["verdict"]): r["count"] for r in free.groupBy(bad.alias("bad"), "verdict").count().collect()}
+    assert n.get((True, "allow"), 0) == 0 and n.get((False, "block"), 0) <= 0.03 * n[False, "allow"]
+
+
+def test_suffix_statistics_come_from_the_other_half(spark):
+    """Suffixes that occur once can't tell the label of their own row."""
+    rng = random.Random(5)
+    rows = [(f"http://h.s{i}.org/p", rng.randint(0, 1)) for i in range(600)]
+    model = url_filter.train(spark.createDataFrame(rows, "url string, blocked int"))
+    own = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(rows)], "page_id long, url string, blocked int")
+    got = url_filter.judged(own.select("page_id", "url"), [], model).join(own, "page_id")
+    assert got.where("(verdict = 'block') = (blocked = 1)").count() < 0.85 * 600
+
+
 # --- 4 shards ----------------------------------------------------------------------------------------------------------------------------
 
 
@@ -278,6 +333,20 @@ def test_lookup_table():
     assert table[first[0]] == 0
 
 
+def test_lookup_table_by_whole_permutations():
+    """Each shard's whole order of preference first, then turns over these lists."""
+    names, m = [f"n{k}" for k in range(9)], 251
+    number = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:16], 16)
+    orders = [[(number(f"offset:{s}") % m + j * (number(f"skip:{s}") % (m - 1) + 1)) % m for j in range(m)] for s in names]
+    assert all(sorted(o) == list(range(m)) for o in orders)
+    owner, turn = {}, 0
+    while len(owner) < m:
+        slot = next(x for x in orders[turn % 9] if x not in owner)
+        owner[slot] = turn % 9
+        turn += 1
+    assert sharding.lookup_table(names, m) == [owner[k] for k in range(m)]
+
+
 def test_placing(spark, tmp_path):
     df = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z"), (2, "w")], "doc_id long, slot string")
     names = sharding.shard_names(4)
