@@ -85,12 +85,13 @@ def surface_reflectance(dn: Column) -> Column:
 
 
 def texture_percent(sand: Column, silt: Column, clay: Column) -> tuple[Column, Column, Column]:
-    """Whole percents that sum to 100, what rounding leaves going to the largest part (sand, silt, clay on a tie); null if any part is or the sum is not positive."""
+    """Whole percents that sum to 100, what rounding leaves going to the largest rounded part (sand, silt, clay on a tie); null if any part is or the sum is not positive."""
     total = sand + silt + clay
     ok = (sand >= 0) & (silt >= 0) & (clay >= 0) & (total > 0)
     parts = [F.when(ok, F.bround(F.try_divide(c * 100, total)).cast("int")) for c in (sand, silt, clay)]
-    rest = 100 - parts[0] - parts[1] - parts[2]
-    top = [(sand >= silt) & (sand >= clay), (silt > sand) & (silt >= clay), (clay > sand) & (clay > silt)]
+    a, b, c = parts
+    rest = 100 - a - b - c
+    top = [(a >= b) & (a >= c), (b > a) & (b >= c), (c > a) & (c > b)]
     return tuple(F.when(t, p + rest).otherwise(p) for t, p in zip(top, parts, strict=True))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from soilspark.functions import clean, vg
 from soilspark.operators import aggregates, joins, reshape
 
+MAX_CODES = 100_000  # some megabytes
+# fixed values: the columns that lead the training table
 FIRST_COLUMNS = ["sample_id", "source", "rosetta_level", "depth_cm", "data_ct", "theta_r", "theta_s", "alpha", "n"]
 
 
@@ -44,8 +46,10 @@ def requiring_fits() -> list[Source]:
 
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:
-    """(column, code): whole numbers from 1 in the order of the values; of a column of few values."""
+    """(column, code): whole numbers from 1 in the order of the values; more than ``MAX_CODES`` of them are an error, as such a column is no category."""
     few = df.select(column).where(F.col(column).isNotNull()).distinct()
+    if few.limit(MAX_CODES + 1).count() > MAX_CODES:
+        raise ValueError(f"{column} has more than {MAX_CODES} values")
     return few.withColumn("code", F.dense_rank().over(Window.orderBy(column)))
 
 

@@ -41,6 +41,6 @@ def query(sql: str | None = None, name: str | None = None):
 
 def everything() -> dict[str, Query]:
     """All queries, those of every module."""
-    from soilspark.plans import q_aggregates, q_composites, q_joins, q_models, q_pipelines, q_scalars, q_series, q_shapes  # noqa: F401
+    from soilspark.plans import q_aggregates, q_composites, q_files, q_joins, q_models, q_pipelines, q_scalars, q_series, q_shapes  # noqa: F401
 
     return QUERIES

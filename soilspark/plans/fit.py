@@ -138,8 +138,9 @@ def multistart(residual, p0, low, high) -> np.ndarray:
 METHODS = {"least_squares": levenberg, "nelder": nelder, "multistart": multistart}
 
 
-def fit_many(points: list[tuple[np.ndarray, np.ndarray]], method: str = "least_squares", inverse: bool = False) -> list[dict]:
-    """Fits of many (suction, water content) series with their statistics. ``inverse``: log10 suctions are fitted at the observed contents instead."""
+def fit_many(points: list[tuple[np.ndarray, np.ndarray]], method: str = "least_squares", inverse: bool | str = False) -> list[dict]:
+    """Fits of many (suction, water content) series with their statistics. ``inverse``: log10 suctions are fitted at the observed contents instead, or with
+    ``weighted`` suctions themselves, each weighted by its inverse (of at least 1 cm)."""
     out: list[dict] = []
     for psi, theta in points:
         ok = np.isfinite(psi) & np.isfinite(theta) & (psi >= 0)
@@ -155,7 +156,10 @@ def fit_many(points: list[tuple[np.ndarray, np.ndarray]], method: str = "least_s
         residual = forward
         if inverse:  # suctions are steep at both ends, so the curve itself gives the start
             target = np.log10(np.maximum(psi, 1e-3))
-            residual = lambda p, rows: np.where(seen[rows], np.log10(np.maximum(suction(p, theta[rows]), 1e-3)) - target[rows], 0.0)
+            if inverse == "weighted":
+                residual = lambda p, rows: np.where(seen[rows], (np.minimum(suction(p, theta[rows]), 1e9) - psi[rows]) / np.maximum(psi[rows], 1.0), 0.0)
+            else:
+                residual = lambda p, rows: np.where(seen[rows], np.log10(np.maximum(suction(p, theta[rows]), 1e-3)) - target[rows], 0.0)
             p0 = levenberg(forward, p0, low, high)
         every = np.arange(len(able))
         p = METHODS[method](residual, p0, low, high)
@@ -177,7 +181,7 @@ def fit_many(points: list[tuple[np.ndarray, np.ndarray]], method: str = "least_s
     return [{k: v for k, v in o.items() if k[0] != "_"} for o in out]
 
 
-def fits(obs: DataFrame, by: list[str], methods: list[str] | None = None, inverse: bool = False, psi: str = "suction_cm", theta: str = "theta") -> DataFrame:
+def fits(obs: DataFrame, by: list[str], methods: list[str] | None = None, inverse: bool | str = False, psi: str = "suction_cm", theta: str = "theta") -> DataFrame:
     """A row for each key and method: parameters, standard errors, chi squared, AIC and BIC; ``Failed`` below four observations.
 
     A key is one profile at one depth, tens of points: they are gathered in arrays, and the fits of a whole batch of keys run side by side in
@@ -209,11 +213,27 @@ def compared(all_fits: DataFrame, by: list[str]) -> DataFrame:
     return top(all_fits.where("status = 'Success'"), by, ["aic", "method"], 100)
 
 
-def posterior(obs: DataFrame, by: list[str], draws: int = 2000, tune: int = 1000, seed: int = 42, psi: str = "suction_cm", theta: str = "theta") -> DataFrame:
+THETA_S_UPPER = 0.99  # of curves without a measured series
+
+
+def series_bounds(days: DataFrame, by: list[str], theta: str = "theta", upper: float = 0.65) -> DataFrame:
+    """(by, theta_r_cap, theta_s_floor, theta_s_upper) from the least and the largest water content of each series: residual water is below what was ever measured,
+    saturation above it. Where the largest leaves no room below ``upper``, that is raised."""
+    ends = days.groupBy(*by).agg(F.min(theta).alias("lo"), F.max(theta).alias("hi")).where("lo is not null")
+    floor = F.greatest(F.lit(0.0), F.least(F.col("hi"), F.lit(0.99)))
+    room = F.when(floor >= upper - 1e-3, F.least(F.lit(0.99), floor + 0.02)).otherwise(F.lit(upper))
+    return ends.select(*by, F.greatest(F.lit(1e-6), F.col("lo") - 1e-5).alias("theta_r_cap"), floor.alias("theta_s_floor"), room.alias("theta_s_upper"))
+
+
+def posterior(obs: DataFrame, by: list[str], draws: int = 2000, tune: int = 1000, seed: int = 42, psi: str = "suction_cm", theta: str = "theta", bounds: DataFrame | None = None) -> DataFrame:
     """(by, param, mean, q025, q975, n_obs): adaptive random-walk sampling of the four parameters and the noise.
 
-    Priors: theta_r normal(0.01, 0.05) and theta_s normal(0.45, 0.1), both cut to their bounds, log alpha normal(log 0.0098, 1), n - 1 half-normal(1), log noise flat.
+    Priors: theta_r normal(0.01, 0.05) and theta_s normal(0.45, 0.1), both cut to their bounds, log alpha normal(log 0.0098, 1), n - 1 half-normal(1), log noise flat. ``bounds`` are those of
+    ``series_bounds``; a key that they lack has 0 <= theta_r < theta_s <= ``THETA_S_UPPER`` only.
     """
+    limits = ["theta_r_cap", "theta_s_floor", "theta_s_upper"]
+    rows = obs.select(*by, psi, theta)
+    rows = rows.join(bounds.select(*by, *limits), by, "left") if bounds is not None else rows.withColumns({c: F.lit(None).cast("double") for c in limits})
     keys = [f"{f.name} {f.dataType.simpleString()}" for f in obs.select(*by).schema.fields]
 
     def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -222,16 +242,19 @@ def posterior(obs: DataFrame, by: list[str], draws: int = 2000, tune: int = 1000
         x, y = x[ok], y[ok]
         if len(x) < LEAST_POINTS:
             return pd.DataFrame([], columns=[*by, "param", "mean", "q025", "q975", "n_obs"])
+        cap, floor, upper = (float(group[c].iloc[0]) for c in limits)
+        cap, floor, upper = cap if np.isfinite(cap) else 1.0, floor if np.isfinite(floor) else 0.0, upper if np.isfinite(upper) else THETA_S_UPPER
         rng = np.random.default_rng([seed, len(x), int(abs(y.sum()) * 1e6) % 2**31])
 
         def log_density(u: np.ndarray) -> float:
             tr, ts, la, m, s = u
-            if not (0 <= tr < ts <= 0.99 and 0.001 < m < 9 and -15 < s < 0):
+            if not (0 <= tr < ts <= upper and tr <= cap and ts >= floor and 0.001 < m < 9 and -15 < s < 0):
                 return -np.inf
             r = curve(np.array([tr, ts, np.exp(la), 1 + m]), x) - y
             return float(-0.5 * (((tr - 0.01) / 0.05) ** 2 + ((ts - 0.45) / 0.1) ** 2 + (la - np.log(0.0098)) ** 2 + m**2) - len(x) * s - 0.5 * (r @ r) / np.exp(2 * s))
 
-        u = np.array([min(0.05, 0.5 * y.min()), max(y.max(), 0.06), np.log(0.0098), 0.5, -3.0])
+        first = min(0.05, 0.5 * y.min(), 0.5 * cap)
+        u = np.array([first, min(max(y.max(), 0.06, floor + 1e-6, first + 1e-3), upper), np.log(0.0098), 0.5, -3.0])
         now, chain, scale = log_density(u), [], np.diag([0.02, 0.02, 0.4, 0.2, 0.3]) ** 2
         for i in range(draws + tune):
             if 200 <= i <= tune and i % 100 == 0:
@@ -245,4 +268,4 @@ def posterior(obs: DataFrame, by: list[str], draws: int = 2000, tune: int = 1000
         values = np.column_stack([s[:, 0], s[:, 1], np.exp(s[:, 2]), 1 + s[:, 3]])
         return pd.DataFrame([{**dict(zip(by, key, strict=True)), "param": c, "mean": v.mean(), "q025": np.quantile(v, 0.025), "q975": np.quantile(v, 0.975), "n_obs": len(x)} for c, v in zip(NAMES, values.T, strict=True)])
 
-    return obs.select(*by, psi, theta).groupBy(*by).applyInPandas(one, ", ".join(keys) + ", param string, mean double, q025 double, q975 double, n_obs int")
+    return rows.groupBy(*by).applyInPandas(one, ", ".join(keys) + ", param string, mean double, q025 double, q975 double, n_obs int")

@@ -24,22 +24,77 @@ def scaled(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def trained(df: DataFrame, target: str, features: list[str], trees: int = 250, depth: int = 8, seed: int = 42, weight: str | None = None):
-    """A fitted forest over the rows whose target is known."""
+    """A fitted forest over the rows whose target and features are all known; fill what is missing before (``imputed``) for the others to train as well."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     more = {"weightCol": weight} if weight else {}
     forest = RandomForestRegressor(featuresCol="features", labelCol=target, predictionCol=f"{target}_pred", numTrees=trees, maxDepth=depth, seed=seed, **more)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), forest]).fit(df.where(F.col(target).isNotNull()))
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), forest]).fit(df.na.drop("any", subset=[target, *features]))
 
 
 def inferred(model, df: DataFrame) -> DataFrame:
-    """Predictions, after the check that the table has every feature."""
-    lacking = missing_features(model.stages[0].getInputCols(), df)
+    """Predictions for every row, after the check that the table has every feature; null where a feature is unknown."""
+    features, prediction = model.stages[0].getInputCols(), model.stages[-1].getPredictionCol()
+    lacking = missing_features(features, df)
     if lacking:
         raise ValueError(f"the table lacks the features {', '.join(lacking)}")
-    return model.transform(df).drop("features")
+    known = F.lit(True)
+    for f in features:
+        known = known & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
+    return model.transform(df).withColumn(prediction, F.when(known, F.col(prediction))).drop("features")
+
+
+def trained_targets(df: DataFrame, targets: list[str], features: list[str], **more) -> dict:
+    """A forest for each target."""
+    return {y: trained(df, y, features, **more) for y in targets}
+
+
+def inferred_targets(models: dict, df: DataFrame) -> DataFrame:
+    """Every row with ``<target>_pred`` of each model."""
+    for model in models.values():
+        df = inferred(model, df)
+    return df
+
+
+def trained_levels(df: DataFrame, level: str, levels: list[int], targets: list[str], features: list[str], least: int = 10, **more) -> dict:
+    """(level, target) -> forest, for the few depth levels that have ``least`` rows or more with this target."""
+    known = df.where(F.col(level).isin(levels)).groupBy(level).agg(*[F.count(y).alias(y) for y in targets]).collect()
+    able = [(r[level], y) for r in sorted(known, key=lambda r: r[level]) for y in targets if r[y] >= least]
+    return {(k, y): trained(df.where(F.col(level) == k), y, features, **more) for k, y in able}
+
+
+def inferred_levels(models: dict, df: DataFrame, level: str) -> DataFrame:
+    """Every row with ``<target>_pred`` by the forest of its level; null where there is none."""
+    out = df
+    for (k, y), model in models.items():
+        name = f"{y}_pred"
+        out = inferred(model, out.withColumnRenamed(name, "__before")) if name in out.columns else inferred(model, out).withColumn("__before", F.lit(None).cast("double"))
+        out = out.withColumn(name, F.when(F.col(level) == k, F.col(name)).otherwise(F.col("__before"))).drop("__before")
+    return out
+
+
+def saved(models: dict[str, object], path: str) -> None:
+    """Forests by name in a new folder, with the list of their features as JSON lines."""
+    from pyspark.sql import SparkSession
+
+    for name, model in models.items():
+        model.write().save(f"{path}/models/{name}")
+    rows = [(name, list(model.stages[0].getInputCols()), model.stages[-1].getPredictionCol()) for name, model in models.items()]
+    SparkSession.getActiveSession().createDataFrame(rows, "name string, features array<string>, prediction string").coalesce(1).write.json(f"{path}/features")
+
+
+def loaded(spark, path: str) -> dict:
+    """What ``saved`` wrote; a forest whose features are not those of the list is an error."""
+    from pyspark.ml import PipelineModel
+
+    out = {}
+    for r in spark.read.schema("name string, features array<string>, prediction string").json(f"{path}/features").collect():
+        out[r["name"]] = PipelineModel.load(f"{path}/models/{r['name']}")
+        if list(out[r["name"]].stages[0].getInputCols()) != r["features"]:
+            raise ValueError(f"{r['name']}: features differ from the list")
+    return out
 
 
 def importances(model, spark) -> DataFrame:
@@ -67,10 +122,10 @@ def multi_regression_cv(rows: DataFrame, by: list[str], features: list[str], tar
             train, test = part[part.role == "train"], part[part.role == "test"]
             if len(train) < 2 or not len(test):
                 continue
-            x = np.column_stack([np.ones(len(train)), train[features].to_numpy(dtype=float)])
-            beta = np.linalg.lstsq(x, train[target].to_numpy(dtype=float), rcond=None)[0]
+            x, z = train[features].to_numpy(dtype=float), train[target].to_numpy(dtype=float)
+            beta = np.linalg.lstsq(x - x.mean(axis=0), z - z.mean(), rcond=None)[0]  # of what can't be told apart the least
             y = test[target].to_numpy(dtype=float)
-            err = y - np.column_stack([np.ones(len(test)), test[features].to_numpy(dtype=float)]) @ beta
+            err = y - z.mean() - (test[features].to_numpy(dtype=float) - x.mean(axis=0)) @ beta
             spread = ((y - y.mean()) ** 2).sum()
             r2.append(1 - (err**2).sum() / spread if spread > 0 else np.nan)
             rmse.append(np.sqrt((err**2).mean()))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from soilspark.functions import vg
 from soilspark.operators import series, split
-from soilspark.plans import fit, forest
+from soilspark.plans import assemble, battery, fit, forest
 from soilspark.plans.catalog import Tables, query
 
 # fixed values: suctions (cm) of a measured curve
@@ -44,9 +44,14 @@ def posterior_fit(t: Tables) -> DataFrame:
     return fit.posterior(curves(t), ["p_partkey", "depth_cm"])
 
 
+@query()
+def inverse_fit_weighted(t: Tables) -> DataFrame:
+    return fit.fits(curves(t), ["p_partkey", "depth_cm"], inverse="weighted")
+
+
 def _table(t: Tables) -> DataFrame:
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice", F.col("l_suppkey").alias("station"))
-    return split.by_hash(rows, ["station"], 0.3)
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_returnflag", F.col("l_suppkey").alias("station"))
+    return split.by_number(rows, F.col("station"), 0.3)
 
 
 @query()
@@ -62,11 +67,17 @@ def rf_importance(t: Tables) -> DataFrame:
     return forest.importances(model, t.spark)
 
 
-@query()
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_tax > 0.02 THEN l_tax END AS l_tax, CASE WHEN l_orderkey % 5 <> 0 THEN l_returnflag END AS l_returnflag,
+CASE WHEN (l_suppkey * 2654435761) % 1000 < 300 THEN 'test' ELSE 'train' END AS role FROM lineitem),
+s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_tax) AS mt, stddev_pop(l_tax) AS st FROM r WHERE role = 'train'),
+m AS (SELECT l_returnflag AS mode FROM r WHERE role = 'train' AND l_returnflag IS NOT NULL GROUP BY l_returnflag ORDER BY count(*) DESC, l_returnflag LIMIT 1)
+SELECT l_orderkey, l_linenumber, role, round((l_quantity - mq) / sq, 6) AS l_quantity, round((coalesce(l_tax, mt) - mt) / st, 6) AS l_tax,
+CAST(dense_rank() OVER (ORDER BY coalesce(l_returnflag, mode)) AS INTEGER) AS l_returnflag FROM r, s, m""")
 def tabular_preparation(t: Tables) -> DataFrame:
-    rows = _table(t).withColumn("l_tax", F.when(F.col("l_tax") > 0.02, F.col("l_tax")))
+    rows = _table(t).withColumn("l_tax", F.when(F.col("l_tax") > 0.02, F.col("l_tax"))).withColumn("l_returnflag", F.when(F.col("l_orderkey") % 5 != 0, F.col("l_returnflag")))
     train = rows.where("role = 'train'")
-    return forest.scaled(forest.imputed(rows, train, ["l_tax"], []), train, ["l_quantity", "l_tax"])
+    out = assemble.encoded(forest.scaled(forest.imputed(rows, train, ["l_tax"], ["l_returnflag"]), train, ["l_quantity", "l_tax"]), ["l_returnflag"])
+    return out.select("l_orderkey", "l_linenumber", "role", F.round("l_quantity", 6).alias("l_quantity"), F.round("l_tax", 6).alias("l_tax"), "l_returnflag")
 
 
 def _site_days(t: Tables) -> DataFrame:
@@ -75,17 +86,29 @@ def _site_days(t: Tables) -> DataFrame:
     return days.join(n, ["user_id", "date"], "left").where("value is not null").withColumn("doy", F.dayofyear("date").cast("double"))
 
 
-@query()
+@query("""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS date, avg(value) AS y, count(*)::DOUBLE AS n FROM events GROUP BY ALL HAVING avg(value) IS NOT NULL),
+p AS (SELECT *, dayofyear(date)::DOUBLE AS doy, row_number() OVER (PARTITION BY user_id ORDER BY date) - 1 AS p, count(*) OVER (PARTITION BY user_id) AS c FROM d), r AS (SELECT *, p < floor(c * 0.7) AS train FROM p),
+m AS (SELECT user_id, count(*) AS k, avg(y) AS my, avg(n) AS mn, avg(doy) AS md, var_pop(n) * count(*) AS a, var_pop(doy) * count(*) AS b, covar_pop(n, doy) * count(*) AS g,
+  covar_pop(n, y) * count(*) AS u, covar_pop(doy, y) * count(*) AS v FROM r WHERE train GROUP BY user_id),
+f AS (SELECT *, a * b - g * g > 1e-9 * a * b AS whole FROM m WHERE k >= 2),
+c AS (SELECT user_id, my, mn, md, CASE WHEN whole THEN (b * u - g * v) / (a * b - g * g) ELSE coalesce(u / nullif(a + b, 0), 0) END AS b1, CASE WHEN whole THEN (a * v - g * u) / (a * b - g * g) ELSE coalesce(v / nullif(a + b, 0), 0) END AS b2 FROM f),
+e AS (SELECT r.user_id, y, y - my - b1 * (n - mn) - b2 * (doy - md) AS err FROM r JOIN c USING (user_id) WHERE NOT train),
+s AS (SELECT user_id, 1 - sum(err * err) / nullif(var_pop(y) * count(*), 0) AS r2, sqrt(avg(err * err)) AS rmse FROM e GROUP BY user_id)
+SELECT user_id, round(r2, 4) AS r2_mean, round(rmse, 4) AS rmse_mean, CASE WHEN rmse IS NULL THEN 0 ELSE 1 END AS folds FROM (SELECT DISTINCT user_id FROM d) LEFT JOIN s USING (user_id)""")
 def cv_multi_feature(t: Tables) -> DataFrame:
-    return forest.multi_regression_cv(series.folds(_site_days(t), ["user_id"], "date"), ["user_id"], ["n", "doy"], "value")
+    out = forest.multi_regression_cv(series.folds(_site_days(t), ["user_id"], "date"), ["user_id"], ["n", "doy"], "value")
+    return out.select("user_id", F.round("r2_mean", 4).alias("r2_mean"), F.round("rmse_mean", 4).alias("rmse_mean"), "folds")
 
 
 @query()
 def site_battery(t: Tables) -> DataFrame:
-    """One-feature regressions at several lags, over all days and over drydown days, and the best lag of each scope."""
-    rows = series.drydown(_site_days(t), ["user_id"], "date", "value", below=0.6, least=1)
-    lagged = series.lags(rows, ["user_id"], "date", ["n"], [0, 3, 7])
-    long = lagged.select("user_id", "date", "value", F.when(F.col("drydown"), F.array(F.lit("all"), F.lit("drydown"))).otherwise(F.array(F.lit("all"))).alias("scopes"), F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"n_lag{k}").alias("x")) for k in (0, 3, 7)])).alias("p"))
-    long = long.select("user_id", F.explode("scopes").alias("scope"), "p.lag", "p.x", "value", "date").where("x is not null")
-    keys = ["user_id", "scope", "lag"]
-    return series.cross_validated(series.folds(long, keys, "date"), keys, "x", "value")
+    """Numbers of events a day explained by their mean value and two transforms of it, alone, with covariates, and lagged."""
+    days = _site_days(t).withColumns({"psi_cm_a": F.log10(1 + F.abs("value")), "psi_cm_b": F.sqrt(F.abs("value")), "dow": F.dayofweek("date").cast("double")})
+    return battery.battery(days, ["user_id"], "date", ["n"], "value", ["psi_cm_a", "psi_cm_b"], ["doy", "dow"], below=0.6, least=1)
+
+
+@query()
+def posterior_fit_bounded(t: Tables) -> DataFrame:
+    """Posteriors held to what a measured series of the same part shows."""
+    days = curves(t).select("p_partkey", "depth_cm", "theta")
+    return fit.posterior(curves(t), ["p_partkey", "depth_cm"], bounds=fit.series_bounds(days, ["p_partkey", "depth_cm"]))

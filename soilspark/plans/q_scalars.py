@@ -101,7 +101,7 @@ def qa_bitmask(t: Tables) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT p_partkey, p_size AS a, p_partkey % 17 AS b, p_partkey % 7 AS c FROM part), r AS (SELECT *, CAST(round_even(a * 100.0 / nullif(a + b + c, 0), 0) AS INT) AS x, CAST(round_even(b * 100.0 / nullif(a + b + c, 0), 0) AS INT) AS y, CAST(round_even(c * 100.0 / nullif(a + b + c, 0), 0) AS INT) AS z FROM p)
-SELECT p_partkey, CASE WHEN a >= b AND a >= c THEN 100 - y - z ELSE x END AS sand, CASE WHEN b > a AND b >= c THEN 100 - x - z ELSE y END AS silt, CASE WHEN c > a AND c > b THEN 100 - x - y ELSE z END AS clay FROM r""")
+SELECT p_partkey, CASE WHEN x >= y AND x >= z THEN 100 - y - z ELSE x END AS sand, CASE WHEN y > x AND y >= z THEN 100 - x - z ELSE y END AS silt, CASE WHEN z > x AND z > y THEN 100 - x - y ELSE z END AS clay FROM r""")
 def texture_normalise(t: Tables) -> DataFrame:
     sand, silt, clay = geo.texture_percent(F.col("p_size").cast("double"), (F.col("p_partkey") % 17).cast("double"), (F.col("p_partkey") % 7).cast("double"))
     return t.part.select("p_partkey", sand.alias("sand"), silt.alias("silt"), clay.alias("clay"))

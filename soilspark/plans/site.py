@@ -19,7 +19,7 @@ def tower_days(rows: DataFrame, met: tuple[str, ...] = ("WS", "TA", "RH", "VPD")
     swc, le, gpp = (family(rows, p) for p in ("SWC", "LE", "GPP"))
     mean = lambda cols: aggregates.row_mean([F.col(c).cast("double") for c in cols]) if cols else F.lit(None).cast("double")
     step = aggregates.modal_step(rows, ["site_id"], "ts")
-    wide = rows.join(F.broadcast(step), "site_id", "left").select(
+    wide = rows.join(step, "site_id", "left").select(
         "site_id", "ts", mean(swc).alias("theta"), clean.et_from_latent_heat(mean(le), F.col("step")).alias("ET"), mean(gpp).alias("GPP"), *[mean(family(rows, m)).alias(m) for m in met if family(rows, m)]
     )
     wide = clean.percent_to_fraction(wide, "theta", ["site_id"])

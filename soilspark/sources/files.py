@@ -14,6 +14,7 @@ FIT_DOCUMENT = (
     "map<string, struct<status: string, n_obs: int, chi_squared: double, reduced_chi_squared: double, aic: double, bic: double, "
     "parameters: map<string, struct<value: double, stderr: double, q025: double, q975: double>>, data: struct<suction_cm: array<double>, theta: array<double>>>>"
 )
+MAX_COMPARED = 10_000_000
 METADATA = "struct<metadata: map<string, map<string, string>>>"
 
 
@@ -104,11 +105,22 @@ def candidates(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
 
 
 def for_ids(ids: DataFrame, files: DataFrame, key: str) -> DataFrame:
-    """Each id with the file that is named as it, else the first that begins with it and ``_``, else the first that holds it."""
-    k, name = F.col(key), F.col("name")
-    rank = F.when(name == k, 1).when(name.startswith(F.concat(k, F.lit("_"))), 2).when(name.contains(k), 3)
-    both = ids.join(F.broadcast(files), name.contains(k), "left")
-    return both.groupBy(key).agg(F.min_by("path", F.struct(rank, name)).alias("path"))
+    """Each id with the file that is named as it, else the first that begins with it and ``_``, else the first that holds it, else null.
+
+    The first two are joins on the beginnings of names. Only ids that these leave are looked for within names, which compares each with every file: more than
+    ``MAX_COMPARED`` such comparisons are an error, and ids then have to be told from names by a rule of their own.
+    """
+    parts = F.split("name", "_")
+    begins = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "_"))
+    named = files.select("path", "name", F.explode(begins).alias(key))
+    first = F.min_by("path", F.struct(F.col("name") != F.col(key), "name")).alias("path")
+    found = ids.select(key).distinct().join(named, key, "left").groupBy(key).agg(first)
+    rest = found.where("path is null").select(key)
+    n, m = rest.count(), files.count()
+    if n * m > MAX_COMPARED:
+        raise ValueError(f"{n} ids without a file of their name and {m} files")
+    held = rest.join(F.broadcast(files), F.col("name").contains(F.col(key)), "left").groupBy(key).agg(F.min_by("path", "name").alias("path"))
+    return found.where("path is not null").unionByName(held)
 
 
 def tower_site(name: Column) -> Column:

@@ -14,9 +14,9 @@ def csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "error").option("header", True).csv(path)
 
 
-def by_group(df: DataFrame, key: str, path: str, kind: str = "parquet") -> None:
-    """A folder for each key. Rows of a key meet in few tasks, so folders don't hold a file of every task."""
-    writer = df.repartition(key).write.mode("overwrite").partitionBy(key)
+def by_group(df: DataFrame, key: str, path: str, kind: str = "parquet", spread: int = 8) -> None:
+    """A folder for each key. Rows of a key are dealt to at most ``spread`` tasks by a hash, so folders hold few files and a hot key is no single task."""
+    writer = df.repartition(F.col(key), F.pmod(F.xxhash64(*df.columns), F.lit(spread))).write.mode("overwrite").partitionBy(key)
     writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)
 
 
@@ -31,10 +31,29 @@ def fit_documents(fits: DataFrame, key: str, path: str) -> None:
 
 
 def merged_daily(existing: DataFrame, new: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Both tables as one: the mean over all observations of a key. Keep sums and counts to merge again without loss."""
+    """Both tables of single observations as one: the mean over all of a key. Means are merged by ``merged_state``."""
     return existing.select(*by, value).unionByName(new.select(*by, value)).groupBy(*by).agg(F.avg(value).alias(value))
 
 
+def daily_state(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(by, <column>_sum, <column>_n): what daily means of observations can be merged from."""
+    return df.groupBy(*by).agg(*[x for c in columns for x in (F.coalesce(F.sum(c), F.lit(0.0)).alias(f"{c}_sum"), F.count(c).alias(f"{c}_n"))])
+
+
+def merged_state(existing: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
+    """Two states as one, by an outer join of their keys: sums and counts add up, a column that only one has (another depth) is kept, and other keys stay as they are.
+    Merging the parts of a record in any order gives the state of the whole record."""
+    every = existing.unionByName(new, allowMissingColumns=True)
+    values = [c for c in every.columns if c not in by]
+    return every.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in values])
+
+
+def state_means(state: DataFrame, by: list[str]) -> DataFrame:
+    """The daily means of a state; null where nothing was observed."""
+    names = [c.removesuffix("_sum") for c in state.columns if c.endswith("_sum")]
+    return state.select(*by, *[F.try_divide(F.col(f"{c}_sum"), F.col(f"{c}_n")).alias(c) for c in names])
+
+
 def missing_only(df: DataFrame, existing: DataFrame, by: list[str]) -> DataFrame:
     """The rows whose keys are not there yet."""
     return df.join(existing.select(*by).distinct(), by, "left_anti")

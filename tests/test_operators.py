@@ -130,6 +130,135 @@ def test_registry_and_features(spark):
     assert sorted(values(assemble.encoded(df, ["c"]), "c"), key=str) == [(1,), (2,), (None,)]
 
 
+def test_rounding_goes_to_the_largest_rounded_part(spark):
+    df = spark.createDataFrame([(33.4, 33.45, 33.15), (10.4, 44.8, 44.8)], "a double, b double, c double")
+    assert values(df, *geo.texture_percent(F.col("a"), F.col("b"), F.col("c"))) == [(34, 33, 33), (10, 45, 45)]
+
+
+def test_forests_keep_all_rows(spark, tmp_path):
+    df = spark.range(120).select((F.col("id") % 10).cast("double").alias("x"), F.when(F.col("id") % 4 != 0, F.col("id") % 5).cast("double").alias("w"), (F.col("id") % 10 * 2).cast("double").alias("y"), (F.col("id") % 3).cast("double").alias("z"), (F.col("id") % 2 + 1).cast("int").alias("level"))
+    models = forest.trained_targets(df, ["y", "z"], ["x", "w"], trees=3, depth=3)
+    got = forest.inferred_targets(models, df)
+    assert got.count() == 120 and got.where("y_pred is null").count() == got.where("w is null").count() == got.where("z_pred is null").count() == 30
+    levels = forest.trained_levels(df, "level", [1, 2, 3], ["y", "z"], ["x"], trees=3, depth=3)
+    assert sorted(levels) == [(1, "y"), (1, "z"), (2, "y"), (2, "z")]
+    by_level = forest.inferred_levels(levels, df.withColumn("level", F.when(F.col("x") == 9, 3).otherwise(F.col("level"))), "level")
+    assert by_level.count() == 120 and by_level.where("y_pred is null").count() == 12
+    assert by_level.where("level = 1 and abs(y - y_pred) > 1e-6").count() == 0
+    forest.saved(models, str(tmp_path / "m"))
+    back = forest.loaded(spark, str(tmp_path / "m"))
+    assert sorted(back) == ["y", "z"] and values(forest.inferred_targets(back, df).orderBy("x", "w"), "y_pred") == values(got.orderBy("x", "w"), "y_pred")
+
+
+def plain_battery(days, lags, n_splits=5, min_test=30):
+    """One site's battery by loops: ``days`` are dicts in order, with theta, psi, y, p, q and drydown."""
+    import numpy as np
+
+    def scored(rows):
+        n = len(rows)
+        if n <= 2 * min_test:
+            folds = [(range(int(n * 0.7)), range(int(n * 0.7), n))]
+        else:
+            size = n // (n_splits + 1)
+            starts = range(n - n_splits * size, n, size)
+            folds = [(range(s), range(s, s + size)) for s in starts if size >= min_test]
+        r2, rmse = [], []
+        for train, test in folds:
+            if len(train) < 2 or not len(test):
+                continue
+            x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+            a = np.column_stack([np.ones(len(train)), x[list(train)]])
+            beta = np.linalg.lstsq(a, y[list(train)], rcond=None)[0]
+            err = y[list(test)] - np.column_stack([np.ones(len(test)), x[list(test)]]) @ beta
+            spread = ((y[list(test)] - y[list(test)].mean()) ** 2).sum()
+            r2.append(1 - (err**2).sum() / spread)
+            rmse.append((err**2).mean() ** 0.5)
+        return (np.mean(r2), np.mean(rmse), len(rmse)) if rmse else None
+
+    out = {}
+    for name in ("theta", "psi"):
+        for scope in ("all", "drydown"):
+            use = [i for i, d in enumerate(days) if scope == "all" or d["drydown"]]
+            known = lambda *v: all(x is not None for x in v)
+            rows = lambda lag, cov: [([days[i - lag][name], *[days[i][c] for c in cov]], days[i]["y"]) for i in use if i >= lag and known(days[i - lag][name], days[i]["y"], *[days[i][c] for c in cov], *([] if cov else [days[i]["theta"]]))]  # noqa: B023, E731
+            out[name, "uni", scope] = (0, scored(rows(0, [])))
+            out[name, "mv", scope] = (0, scored(rows(0, ["p", "q"])))
+            each = [(k, s) for k in lags if (s := scored(rows(k, ["p", "q"])))]
+            out[name, "lagged", scope] = max(each, key=lambda e: (e[1][0], -e[0])) if each else (0, None)
+    return {k: v for k, v in out.items() if v[1]}
+
+
+def test_battery_equals_plain_loops(spark):
+    import math
+    import random
+
+    from soilspark.operators import series
+    from soilspark.plans import battery
+
+    rng = random.Random(4)
+    rows = []
+    for site, n in (("a", 70), ("b", 210)):
+        for k in range(n):
+            theta = 0.3 + 0.1 * math.sin(k / 9) + 0.02 * rng.random()
+            rows.append((site, k, None if rng.random() < 0.05 else theta, None if rng.random() < 0.05 else 1 / theta, 2 * theta + 0.01 * k + rng.random() * 0.1, math.cos(k / 20), None if rng.random() < 0.03 else rng.random()))
+    df = spark.createDataFrame(rows, "site string, day int, theta double, psi double, y double, p double, q double")
+    got = {}
+    for r in battery.battery(df, ["site"], "day", ["y"], "theta", ["psi"], ["p", "q"]).collect():
+        got.setdefault(r["site"], {})[r["replicate"], r["model"], r["scope"]] = (r["lag"], (r["r2_mean"], r["rmse_mean"], r["folds"]))
+    for site in ("a", "b"):
+        days = [r.asDict() for r in series.drydown(df.where(F.col("site") == site), ["site"], "day", "theta").orderBy("day").collect()]
+        want = plain_battery(days, battery.LAGS)
+        assert set(got[site]) == set(want) and any(k[2] == "drydown" for k in want)
+        for k, (lag, values_) in want.items():
+            assert got[site][k][0] == lag and got[site][k][1] == pytest.approx(values_, rel=1e-6)
+
+
+def test_posteriors_stay_within_series_bounds(spark):
+    days = spark.createDataFrame([("a", 0.11), ("a", 0.41), ("b", 0.2), ("b", 0.648)], "k string, theta double")
+    bounds = fit.series_bounds(days, ["k"])
+    got = {r["k"]: r for r in bounds.collect()}
+    assert got["a"]["theta_r_cap"] == pytest.approx(0.10999) and got["a"]["theta_s_floor"] == 0.41 and got["a"]["theta_s_upper"] == 0.65
+    assert got["b"]["theta_s_upper"] == pytest.approx(0.65) or got["b"]["theta_s_upper"] == pytest.approx(0.668)
+    psi = [1.0, 10.0, 100.0, 1000.0, 15000.0]
+    curve = lambda x: 0.15 + 0.2 * (1 + (0.02 * x) ** 1.4) ** -(1 - 1 / 1.4)
+    obs = spark.createDataFrame([(k, x, curve(x)) for k in ("a", "c") for x in psi], "k string, suction_cm double, theta double")
+    post = {(r["k"], r["param"]): r for r in fit.posterior(obs, ["k"], draws=400, tune=400, bounds=bounds).collect()}
+    assert post["a", "theta_r"]["q975"] <= 0.11 and post["a", "theta_s"]["q025"] >= 0.41 and post["a", "theta_s"]["q975"] <= 0.65
+    assert post["c", "theta_s"]["mean"] < 0.41
+
+
+def test_weighted_inverse_fit_finds_the_curve(spark):
+    psi = [2.0, 10.0, 60.0, 330.0, 1000.0, 5000.0, 15000.0]
+    curve = lambda x: 0.06 + 0.38 * (1 + (0.03 * x) ** 1.5) ** -(1 - 1 / 1.5)
+    obs = spark.createDataFrame([("a", x, curve(x)) for x in psi], "k string, suction_cm double, theta double")
+    r = fit.fits(obs, ["k"], inverse="weighted").first()
+    assert r["status"] == "Success" and r["alpha"] == pytest.approx(0.03, rel=0.05) and r["n"] == pytest.approx(1.5, rel=0.02)
+
+
+def test_seeded_shuffle(spark):
+    df = spark.range(50)
+    one = [r[0] for r in split.shuffled(df.repartition(3), ["id"]).collect()]
+    assert one == [r[0] for r in split.shuffled(df, ["id"]).collect()] != list(range(50)) and sorted(one) == list(range(50))
+
+
+def test_states_merge_in_any_order(spark):
+    df = spark.createDataFrame([("a", 1.0, None), ("a", 2.0, 4.0), ("b", None, None), ("a", 6.0, 2.0)], "k string, v double, w double").coalesce(1).withColumn("n", F.monotonically_increasing_id())
+    part = lambda k: sinks.daily_state(df.where(F.col("n") == k), ["k"], ["v", "w"])
+    one = sinks.merged_state(sinks.merged_state(part(0), part(1), ["k"]), sinks.merged_state(part(3), part(2), ["k"]), ["k"])
+    two = sinks.merged_state(part(2), sinks.merged_state(part(3), sinks.merged_state(part(1), part(0), ["k"]), ["k"]), ["k"])
+    assert sorted(values(sinks.state_means(one, ["k"]), "k", "v", "w")) == sorted(values(sinks.state_means(two, ["k"]), "k", "v", "w")) == [("a", 3.0, 3.0), ("b", None, None)]
+
+
+def test_categories_and_comparisons_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(assemble, "MAX_CODES", 3)
+    monkeypatch.setattr(files, "MAX_COMPARED", 5)
+    df = spark.range(4).select(F.col("id").cast("string").alias("c"))
+    with pytest.raises(ValueError):
+        assemble.category_codes(df, "c")
+    with pytest.raises(ValueError):
+        files.for_ids(df.withColumnRenamed("c", "id"), spark.createDataFrame([("p", "zz"), ("q", "yy")], "path string, name string"), "id")
+
+
 def test_forest_checks_its_features(spark):
     df = spark.range(200).select((F.col("id") % 10).cast("double").alias("x"), (F.col("id") % 10 * 2).cast("double").alias("y"))
     model = forest.trained(df, "y", ["x"], trees=5, depth=4)
