@@ -45,10 +45,12 @@ def harmonised(df: DataFrame, spacecraft: str = "spacecraft_id") -> DataFrame:
 
 
 def focal_difference(pixels: DataFrame, row: str, col: str, value: str, radius: int, offset: float = 0.5) -> DataFrame:
-    """Each pixel's value less the mean of the square of ``radius`` cells around it, plus ``offset``; every pixel is dealt to its neighbours and summed there."""
-    span = F.sequence(F.lit(-radius), F.lit(radius))
-    dealt = pixels.select(F.col(row), F.col(col), F.col(value).alias("__v")).withColumn("__dr", F.explode(span)).withColumn("__dc", F.explode(span))
-    mean = dealt.groupBy((F.col(row) + F.col("__dr")).alias(row), (F.col(col) + F.col("__dc")).alias(col)).agg(F.avg("__v").alias("__m"))
+    """Each pixel's value less the mean of the square of ``radius`` cells around it, plus ``offset``. Every pixel is dealt to the rows around it and summed there by column;
+    a moving sum along the row does the rest."""
+    dealt = pixels.select(F.col(row), F.col(col), F.col(value).alias("__v"), F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("__d"))
+    upright = dealt.groupBy((F.col(row) + F.col("__d")).alias(row), F.col(col)).agg(F.sum("__v").alias("__s"), F.count("__v").alias("__n"))
+    along = Window.partitionBy(row).orderBy(col).rangeBetween(-radius, radius)
+    mean = upright.select(row, col, (F.sum("__s").over(along) / F.sum("__n").over(along)).alias("__m"))
     return pixels.join(mean, [row, col]).withColumn("tpi", F.floor(F.col(value) - F.col("__m") + offset)).drop("__m")
 
 

@@ -19,9 +19,14 @@ def abs_change(v: Column) -> Column:
     return total(F.zip_with(F.slice(v, 2, F.size(v)), F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0))), lambda a, b: F.abs(a.cast("double") - b.cast("double"))))
 
 
-def cosine_pairs(df: DataFrame, key: str, vector: str, by: str) -> DataFrame:
-    """(a, b, cosine) of each two vectors of a group, a < b. Norms are taken once a vector."""
+def cosine_pairs(df: DataFrame, key: str, vector: str, by: str, every: int = 50, blocks: int = 64) -> DataFrame:
+    """(a, b, cosine) of each vector ``a`` whose key is divisible by ``every`` with each other vector ``b`` of its group.
+
+    Norms are taken once a vector. Vectors are dealt to ``blocks`` of each group by a hash, and the asked ones meet every block, so a group of very many is spread;
+    an ``every`` of 1 asks for all pairs, which grows with the square of a group. A null group has no pairs.
+    """
     rows = df.select(by, key, vector, F.sqrt(dot(F.col(vector), F.col(vector))).alias("norm"))
-    a, b = rows.alias("a"), rows.alias("b")
-    both = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
+    asked = rows.where(F.col(key) % every == 0).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).alias("a")
+    held = rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).alias("b")
+    both = asked.join(held, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.block") == F.col("b.block")) & (F.col(f"a.{key}") != F.col(f"b.{key}")))
     return both.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), F.try_divide(dot(F.col(f"a.{vector}"), F.col(f"b.{vector}")), F.col("a.norm") * F.col("b.norm")).alias("cosine"))
