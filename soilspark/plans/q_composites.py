@@ -98,9 +98,12 @@ def band_harmonise(t: Tables) -> DataFrame:
     return C.harmonised(scenes).select("s_suppkey", "s_nationkey", F.round("B5", 6).alias("b5"), F.round("B10", 6).alias("b10"))
 
 
-@query("""SELECT p_partkey, 'Precipitation ' || CASE WHEN p_partkey % 2 = 0 THEN 'mean' ELSE 'deviation' END || ', ' || CASE p_partkey % 4 WHEN 0 THEN 'winter' WHEN 1 THEN 'spring' WHEN 2 THEN 'summer' ELSE 'autumn' END AS label FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'NDVI ' || CASE WHEN p_partkey % 2 = 0 THEN 'mean' ELSE 'std dev' END || ' (Q' || (p_partkey % 4 + 1) || ')'
+WHEN 1 THEN 'SoilGrids bulk density std dev (' || p_size || '-200cm)' ELSE 'Headwaters Hydrology Project Embedding ' || p_size END AS label FROM part""")
 def feature_labels(t: Tables) -> DataFrame:
-    name = F.concat(F.lit("pr_"), F.when(F.col("p_partkey") % 2 == 0, "mean").otherwise("stdDev"), F.lit("_"), (F.col("p_partkey") % 4).cast("string"))
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    index = F.concat(F.lit("nd_"), F.when(k % 2 == 0, "mean").otherwise("stdDev"), F.lit("_"), (k % 4 + 1).cast("string"))
+    name = F.when(k % 3 == 0, index).when(k % 3 == 1, F.concat(F.lit("bdod_"), size, F.lit("-200cm_stdDev"))).otherwise(F.concat(F.lit("e"), F.lpad(size, 3, "0")))
     return t.part.select("p_partkey", features.label(name).alias("label"))
 
 

@@ -40,6 +40,20 @@ def comparison_table(t: Tables) -> DataFrame:
     return out.select("role", "level", "n", *[F.round(c, 6).alias(c) for c in ("r2", "rmse", "bias")])
 
 
+@query("""WITH b AS (SELECT l_partkey AS k, l_linenumber AS level, avg(l_discount) AS tr, avg(l_quantity) / 100 AS ts, avg(l_tax) AS a, avg(l_extendedprice) / 1000 AS n FROM lineitem GROUP BY ALL),
+o AS (SELECT *, 'rosetta' AS other, 0.01 * (k % 3) AS d FROM b UNION ALL SELECT *, 'pretrain', CASE WHEN level % 2 = 0 THEN 0.02 * (k % 5) END FROM b UNION ALL SELECT *, 'finetune', CASE WHEN k % 4 = 0 THEN -0.01 * (k % 2 + 1) END FROM b),
+l AS (SELECT level, other, p, y + d AS v, CASE WHEN d IS NOT NULL THEN y END AS y FROM o, LATERAL (VALUES ('theta_r', tr), ('theta_s', ts), ('alpha', a), ('n', n)) AS x(p, y))
+SELECT level, p AS param, other, count(y) AS n, round(1 - sum((v - y) ** 2) / nullif(var_pop(y) * count(y), 0), 6) AS r2, round(sqrt(avg((v - y) ** 2)), 6) AS rmse, round(avg(v - y), 6) AS bias FROM l GROUP BY ALL""")
+def sources_compared(t: Tables) -> DataFrame:
+    """All four parameters of three sources, each of other coverage, against the fitted ones by level."""
+    by, k = ["l_partkey", "level"], F.col("l_partkey")
+    fitted = t.lineitem.withColumnRenamed("l_linenumber", "level").groupBy(*by).agg(F.avg("l_discount").alias("theta_r"), (F.avg("l_quantity") / 100).alias("theta_s"), F.avg("l_tax").alias("alpha"), (F.avg("l_extendedprice") / 1000).alias("n"))
+    moved = lambda df, d: df.withColumns({p: F.col(p) + d for p in vg.PARAMS})
+    sources = {"station": fitted, "rosetta": moved(fitted, 0.01 * (k % 3)), "pretrain": moved(fitted.where("level % 2 = 0"), 0.02 * (k % 5)), "finetune": moved(fitted.where(k % 4 == 0), -0.01 * (k % 2 + 1))}
+    out = compare.agreement(compare.side_by_side(sources, by, list(vg.PARAMS)), "station", ["rosetta", "pretrain", "finetune"], list(vg.PARAMS), ["level"])
+    return out.select("level", "param", "other", "n", *[F.round(c, 6).alias(c) for c in ("r2", "rmse", "bias")])
+
+
 @query("""WITH o AS (SELECT o_custkey, count(*) AS n, count(o_totalprice) AS known FROM orders GROUP BY 1) SELECT c_custkey, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'missing' WHEN n < 5 THEN 'skipped' ELSE 'built' END AS status,
 CASE WHEN n IS NULL THEN 'no observations' WHEN n < 5 THEN 'fewer than 5 observations' END AS reason FROM customer LEFT JOIN o ON c_custkey = o_custkey""")
 def site_ledger(t: Tables) -> DataFrame:
