@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: GRS80 ellipsoid and the conic equal-area projection of the conterminous states
@@ -98,3 +98,29 @@ def texture_percent(sand: Column, silt: Column, clay: Column) -> tuple[Column, C
 def ternary(sand: Column, clay: Column) -> tuple[Column, Column]:
     """Triangle coordinates of percents: clay upwards, sand to the left."""
     return 100 - sand - clay / 2, clay * (math.sqrt(3) / 2)
+
+
+# fixed values: lines between the texture classes of three systems, from one (sand, clay, silt) to another
+CLASS_LINES = {
+    "USA": [
+        ((85, 0, 15), (90, 10, 0)), ((70, 0, 30), (85, 15, 0)), ((50, 0, 50), (23, 27, 50)), ((20, 0, 80), (10, 10, 80)), ((10, 10, 80), (0, 10, 90)), ((80, 20, 0), (52, 20, 28)),
+        ((52, 20, 28), (45, 27, 28)), ((45, 27, 28), (0, 27, 73)), ((52, 20, 28), (52, 6, 42)), ((52, 6, 42), (44, 6, 50)), ((45, 27, 28), (45, 55, 0)), ((65, 35, 0), (45, 35, 20)),
+        ((45, 40, 15), (0, 40, 60)), ((20, 27, 53), (20, 40, 40)), ((20, 40, 40), (0, 60, 40)),
+    ],
+    "Britain": [
+        ((85, 0, 15), (90, 10, 0)), ((70, 0, 30), (85, 15, 0)), ((82, 18, 0), (0, 18, 82)), ((70, 30, 0), (50, 30, 20)), ((50, 30, 20), (50, 0, 50)), ((20, 35, 45), (20, 0, 80)),
+        ((0, 55, 45), (20, 35, 45)), ((45, 35, 20), (0, 35, 65)), ((45, 35, 20), (50, 30, 20)), ((45, 35, 20), (45, 55, 0)),
+    ],
+    "Australia": [
+        ((0, 75, 25), (75, 0, 25)), ((35, 40, 25), (0, 40, 60)), ((50, 25, 25), (0, 25, 75)), ((50, 25, 25), (82, 18, 0)), ((35, 40, 25), (72, 28, 0)), ((92, 0, 8), (87, 9, 4)),
+        ((91.5, 8.5, 0), (63, 12, 25)), ((76.25, 10.5, 13.25), (50, 50, 0)),
+    ],
+}
+
+
+def class_lines(spark: SparkSession) -> DataFrame:
+    """(system, line, x0, y0, x1, y1): the lines between texture classes in triangle coordinates."""
+    rows = [(s, k, *map(float, (a[0], a[1], b[0], b[1]))) for s, lines in CLASS_LINES.items() for k, (a, b) in enumerate(lines, 1)]
+    df = spark.createDataFrame(rows, "system string, line int, s0 double, c0 double, s1 double, c1 double")
+    (x0, y0), (x1, y1) = ternary(F.col("s0"), F.col("c0")), ternary(F.col("s1"), F.col("c1"))
+    return df.select("system", "line", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))

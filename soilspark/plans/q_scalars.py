@@ -201,3 +201,12 @@ def ternary_coordinates(t: Tables) -> DataFrame:
 def buffer_select(t: Tables) -> DataFrame:
     d = geo.haversine(F.col("lon"), F.col("lat"), F.lit(-90.0), F.lit(40.0))
     return _points(t).withColumn("d", d).where("d <= 500000").select("c_custkey", F.round(F.col("d") / 1000, 3).alias("km"))
+
+
+LINES = ", ".join(f"('{s}', {k}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for s, lines in geo.CLASS_LINES.items() for k, (a, b) in enumerate(lines, 1))
+
+
+@query(f"""SELECT system, line, round(100 - s0 - c0 / 2.0, 6) AS x0, round(c0 * sqrt(3) / 2, 6) AS y0, round(100 - s1 - c1 / 2.0, 6) AS x1, round(c1 * sqrt(3) / 2, 6) AS y1
+FROM (SELECT system, line, s0::DOUBLE AS s0, c0::DOUBLE AS c0, s1::DOUBLE AS s1, c1::DOUBLE AS c1 FROM (VALUES {LINES}) AS v(system, line, s0, c0, s1, c1))""")
+def texture_class_lines(t: Tables) -> DataFrame:
+    return geo.class_lines(t.spark).select("system", "line", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
