@@ -232,6 +232,7 @@ def labelled_findings(seed: int = 7, n: int = 160) -> list[tuple[str, int, int,
     }
     harmless = {
         "digest": lambda: (f"{other()} ", some(hexes, int(rng.choice([32, 40, 64]))), ""), "digest assigned": lambda: (f"{other()}=", some(hexes, int(rng.choice([32, 40]))), ""),
+        "digest colon": lambda: (f"{other()}: ", some(hexes, int(rng.choice([32, 40, 64]))), ""), "dated slug": lambda: ("https://host.example/", f"20{some('012', 2)}/{some('01', 2)}/" + "-".join(word(2) for _ in range(5)), ""),
         "uuid": lambda: (f"{other()} ", "-".join(some(hexes, k) for k in (8, 4, 4, 4, 12)), ""), "number": lambda: ("", some("0123456789", int(rng.integers(16, 22))), ""), "long word": lambda: ("", word(int(rng.integers(7, 14))), ""),
         "shout": lambda: ("", word(int(rng.integers(7, 14))).upper(), "!!"), "title": lambda: ("", word(int(rng.integers(7, 14))).capitalize(), ","), "snake": lambda: ("", "_".join(word(2) for _ in range(5)), "()"),
         "camel": lambda: ("", "".join(word(2).capitalize() for _ in range(4)), ""), "path": lambda: ("/", "/".join(word(2) for _ in range(5)), ".html"), "slug": lambda: ("https://host.example/", "-".join(word(2) for _ in range(5)), "/"),
