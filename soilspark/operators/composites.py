@@ -132,3 +132,50 @@ def masked_positions(length: int, share: float, kind: str, key: Column, seed: in
         k = draw(F.lit("k")) % 3
         return F.when(k == 0, speckled).when(k == 1, patch).otherwise(end)
     return {"speckled": speckled, "patch": patch, "end": end}[kind]
+
+
+def radar_climatology(scenes: DataFrame, by: list[str], date: str, years: tuple[int, int] = (2015, 2024), mode: str = "IW") -> DataFrame:
+    """Mean and deviation of VV, VH and their ratio over the scenes (polarisations array, mode, VV, VH) of the years that have both polarisations and this mode."""
+    both = F.array_contains("polarisations", "VV") & F.array_contains("polarisations", "VH")
+    rows = scenes.where(both & (F.col("mode") == mode) & F.year(date).between(*years)).withColumn("VH_VV", F.try_divide("VH", "VV"))
+    return rows.groupBy(*by).agg(*[f(c).alias(f"{c}_{s}") for c in ("VV", "VH", "VH_VV") for s, f in (("mean", F.avg), ("stdDev", F.stddev_pop))])
+
+
+def slope_aspect(pixels: DataFrame, row: str, col: str, value: str, size: float) -> DataFrame:
+    """Adds slope and aspect in degrees, from the differences across a pixel of ``size`` metres; rows count southwards, aspect clockwise from north, downhill.
+    Null where a neighbour is missing; aspect is null where it is level."""
+    along, across = Window.partitionBy(row).orderBy(col), Window.partitionBy(col).orderBy(row)
+    near = lambda f, at, w: F.when(F.abs(f(at).over(w) - F.col(at)) == 1, f(value).over(w))
+    rows = pixels.withColumn("__dx", (near(F.lead, col, along) - near(F.lag, col, along)) / (2 * size)).withColumn("__dy", (near(F.lag, row, across) - near(F.lead, row, across)) / (2 * size))
+    slope = F.degrees(F.atan(F.sqrt(F.col("__dx") ** 2 + F.col("__dy") ** 2)))
+    aspect = F.when(F.col("slope") > 0, F.pmod(F.degrees(F.atan2(-F.col("__dx"), -F.col("__dy"))) + 360, F.lit(360.0)))
+    return rows.withColumn("slope", slope).withColumn("aspect", aspect).drop("__dx", "__dy")
+
+
+def class_of_year(layers: DataFrame, by: list[str], year: str, value: str, asked: int, span: tuple[int, int]) -> DataFrame:
+    """(by, value): the class of the asked year, or where that year has none the most frequent one of the ``span`` of years (the smallest of several)."""
+    own = layers.where(F.col(year) == asked).groupBy(*by).agg(F.min(value).alias("__own"))
+    counts = layers.where(F.col(year).between(*span) & F.col(value).isNotNull()).groupBy(*by, value).count()
+    usual = counts.groupBy(*by).agg(F.min_by(value, F.struct(-F.col("count"), F.col(value))).alias("__usual"))
+    return own.join(usual, by, "full").select(*by, F.coalesce("__own", "__usual").alias(value))
+
+
+def scene_means(pixels: DataFrame, site: str, scene: str, date: str, bands: list[str], clear: Column) -> DataFrame:
+    """(site, year, name, value): the mean of each band over the clear pixels of each scene, named ``<scene>_<band>``; bands without clear pixels are left out."""
+    means = pixels.where(clear).groupBy(site, scene, F.year(date).alias("year")).agg(*[F.avg(b).alias(b) for b in bands])
+    long = means.unpivot([site, scene, "year"], bands, "__band", "value").where("value is not null")
+    return long.select(site, "year", F.concat_ws("_", scene, "__band").alias("name"), "value")
+
+
+def ordered_scenes(scenes: DataFrame, by: str, scene: str, cloud: str, at_most: float, pattern: str = r"(\d{8})") -> DataFrame:
+    """(by, scene, n): the distinct scenes of little cloud of each site, numbered by the date in their names (those of one day by name)."""
+    kept = scenes.where(F.col(cloud) <= at_most).select(by, scene).distinct()
+    order = Window.partitionBy(by).orderBy(F.regexp_extract(scene, pattern, 1), scene)
+    return kept.withColumn("n", F.row_number().over(order))
+
+
+def period_statistics(df: DataFrame, by: list[str], date: str, how: dict[str, tuple[str, ...]], periods: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """One row a key: ``<column>_<statistic>_<period>`` for the statistics (mean, max, min) that each column asks for."""
+    names, f = list(periods or PERIODS), {"mean": F.avg, "max": F.max, "min": F.min}
+    aggs = [f[s](c).alias(f"{c}_{s}") for c, each in how.items() for s in each]
+    return by_period(df, date, periods).groupBy(*by).pivot("period", names).agg(*aggs).select(*by, *[(F.col(f"{p}_{c}_{s}") if len(aggs) > 1 else F.col(p)).alias(f"{c}_{s}_{p}") for c, each in how.items() for s in each for p in names])

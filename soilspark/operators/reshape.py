@@ -68,3 +68,11 @@ def union_common(frames: list[DataFrame]) -> DataFrame:
     for df in frames[1:]:
         out = out.unionByName(df.select(*names))
     return out
+
+
+def property_stack(df: DataFrame, by: list[str], variable: str, top: str, bottom: str, value: str, variables: list[str], depths: list[tuple[int, int]], prefix: str = "polaris") -> DataFrame:
+    """A row for each key with a column ``<prefix>_<variable>_<top>_<bottom>cm`` for each variable and depth: the mean of its values, null without any."""
+    names = [f"{v}_{a}_{z}cm" for v in variables for a, z in depths]
+    name = F.concat(F.col(variable), F.lit("_"), F.col(top).cast("int"), F.lit("_"), F.col(bottom).cast("int"), F.lit("cm"))
+    wide = df.withColumn("__name", name).groupBy(*by).pivot("__name", names).agg(F.avg(value))
+    return wide.select(*by, *[F.col(n).alias(f"{prefix}_{n}") for n in names])

@@ -119,3 +119,61 @@ def nearest_cell_series(t: Tables) -> DataFrame:
 def mask_patches(t: Tables) -> DataFrame:
     m = C.masked_positions(64, 0.25, "patch", F.col("vec_id"))
     return t.embeddings.select("vec_id", F.size(m).alias("n"), F.size(F.filter(m, lambda x: x)).alias("hidden"))
+
+
+@query("""SELECT l_suppkey, round(avg(vv), 6) AS "VV_mean", round(stddev_pop(vv), 6) AS "VV_stdDev", round(avg(vh), 6) AS "VH_mean", round(stddev_pop(vh), 6) AS "VH_stdDev", round(avg(vh / vv), 6) AS "VH_VV_mean", round(stddev_pop(vh / vv), 6) AS "VH_VV_stdDev"
+FROM (SELECT *, l_discount + 1 AS vv, l_tax + 1 AS vh FROM lineitem) WHERE l_linenumber % 3 <> 0 AND l_returnflag <> 'R' AND year(l_shipdate) BETWEEN 1993 AND 2010 GROUP BY l_suppkey""")
+def radar_means(t: Tables) -> DataFrame:
+    both = F.when(F.col("l_linenumber") % 3 != 0, F.array(F.lit("VV"), F.lit("VH"))).otherwise(F.array(F.lit("VV")))
+    scenes = t.lineitem.select("l_suppkey", "l_shipdate", both.alias("polarisations"), F.when(F.col("l_returnflag") == "R", "EW").otherwise("IW").alias("mode"), (F.col("l_discount") + 1).alias("VV"), (F.col("l_tax") + 1).alias("VH"))
+    out = C.radar_climatology(scenes, ["l_suppkey"], "l_shipdate", (1993, 2010))
+    return out.select("l_suppkey", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
+@query("""WITH g AS (SELECT (p_partkey // 20)::INT AS row, (p_partkey % 20)::INT AS col, p_retailprice AS v FROM part), d AS (SELECT g.row, g.col, (e.v - w.v) / 60 AS dx, (n.v - s.v) / 60 AS dy FROM g
+LEFT JOIN g e ON e.row = g.row AND e.col = g.col + 1 LEFT JOIN g w ON w.row = g.row AND w.col = g.col - 1 LEFT JOIN g n ON n.col = g.col AND n.row = g.row - 1 LEFT JOIN g s ON s.col = g.col AND s.row = g.row + 1)
+SELECT row, col, round(degrees(atan(sqrt(dx * dx + dy * dy))), 5) AS slope, CASE WHEN dx * dx + dy * dy > 0 THEN round((degrees(atan2(-dx, -dy)) + 360) % 360, 5) END AS aspect FROM d""")
+def terrain_slope(t: Tables) -> DataFrame:
+    g = t.part.select(F.expr("cast(p_partkey div 20 as int)").alias("row"), (F.col("p_partkey") % 20).cast("int").alias("col"), "p_retailprice")
+    return C.slope_aspect(g, "row", "col", "p_retailprice", 30.0).select("row", "col", F.round("slope", 5).alias("slope"), F.round("aspect", 5).alias("aspect"))
+
+
+@query("""WITH o AS (SELECT o_custkey, year(o_orderdate) AS y, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 5 ELSE 24 END AS class FROM orders), own AS (SELECT o_custkey, min(class) AS class FROM o WHERE y = 1995 GROUP BY o_custkey),
+c AS (SELECT o_custkey, class, count(*) AS n FROM o WHERE y BETWEEN 1992 AND 2024 GROUP BY ALL), usual AS (SELECT o_custkey, arg_min(class, (-n, class)) AS class FROM c GROUP BY o_custkey)
+SELECT o_custkey, coalesce(own.class, usual.class)::INT AS class FROM own FULL JOIN usual USING (o_custkey)""")
+def crop_of_year(t: Tables) -> DataFrame:
+    crop = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 5).otherwise(24)
+    layers = t.orders.select("o_custkey", F.year("o_orderdate").alias("year"), crop.alias("class"))
+    return C.class_of_year(layers, ["o_custkey"], "year", "class", 1995, (1992, 2024))
+
+
+@query("""WITH p AS (SELECT user_id, 's' || strftime(ts, '%Y%m%d') AS scene, year(ts) AS year, value AS b2, value * 2 + 1 AS b3 FROM events WHERE event_type <> 'click'), m AS (SELECT user_id, scene, year, avg(b2) AS b2, avg(b3) AS b3 FROM p GROUP BY ALL)
+SELECT user_id, year::INT AS year, scene || '_B2' AS name, round(b2, 6) AS value FROM m WHERE b2 IS NOT NULL UNION ALL SELECT user_id, year::INT, scene || '_B3', round(b3, 6) FROM m WHERE b3 IS NOT NULL""")
+def scene_band_means(t: Tables) -> DataFrame:
+    pixels = t.events.select("user_id", "ts", F.concat(F.lit("s"), F.date_format("ts", "yyyyMMdd")).alias("scene"), F.col("value").alias("B2"), (F.col("value") * 2 + 1).alias("B3"), "event_type")
+    return C.scene_means(pixels, "user_id", "scene", "ts", ["B2", "B3"], F.col("event_type") != "click").withColumn("value", F.round("value", 6))
+
+
+@query("""WITH k AS (SELECT DISTINCT l_suppkey, 'LC08_' || strftime(l_shipdate, '%Y%m%d') || '_' || l_linenumber AS scene FROM lineitem WHERE l_quantity <= 35)
+SELECT l_suppkey, scene, row_number() OVER (PARTITION BY l_suppkey ORDER BY regexp_extract(scene, '([0-9]{8})', 1), scene)::INT AS n FROM k""")
+def scenes_of_little_cloud(t: Tables) -> DataFrame:
+    scenes = t.lineitem.select("l_suppkey", "l_quantity", F.concat(F.lit("LC08_"), F.date_format("l_shipdate", "yyyyMMdd"), F.lit("_"), "l_linenumber").alias("scene"))
+    return C.ordered_scenes(scenes, "l_suppkey", "scene", "l_quantity", 35)
+
+
+@query("SELECT o_custkey, " + ", ".join(f"round({f}({c}) FILTER ({w}), 6) AS {c}_{s}_{p}" for c, each in (("o_totalprice", (("mean", "avg"), ("max", "max"))), ("o_orderkey", (("max", "max"),))) for s, f in each for p, w in SHOWN.items()) + " FROM orders GROUP BY o_custkey")
+def seasonal_extremes(t: Tables) -> DataFrame:
+    out = C.period_statistics(t.orders.withColumn("o_orderkey", F.col("o_orderkey").cast("double")), ["o_custkey"], "o_orderdate", {"o_totalprice": ("mean", "max"), "o_orderkey": ("max",)})
+    return out.select("o_custkey", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
+@query("SELECT l_suppkey, " + ", ".join(f"round(avg({c}) FILTER (l_linenumber = {k}), 6) AS polaris_{v}_{a}_{z}cm" for v, c in (("clay", "l_discount"), ("n", "l_tax")) for k, (a, z) in enumerate(((0, 5), (5, 15), (15, 30)), 1)) + " FROM lineitem GROUP BY l_suppkey")
+def property_columns(t: Tables) -> DataFrame:
+    from soilspark.operators import reshape
+
+    depths = [(0, 5), (5, 15), (15, 30)]
+    level = lambda i: F.coalesce(F.get(F.array(*[F.lit(d[i]) for d in depths]), F.col("l_linenumber") - 1), F.lit(999))
+    each = F.explode(F.array(F.struct(F.lit("clay").alias("variable"), F.col("l_discount").alias("value")), F.struct(F.lit("n").alias("variable"), F.col("l_tax").alias("value"))))
+    rows = t.lineitem.select("l_suppkey", level(0).alias("top"), level(1).alias("bottom"), each.alias("e")).select("l_suppkey", "top", "bottom", "e.*")
+    out = reshape.property_stack(rows, ["l_suppkey"], "variable", "top", "bottom", "value", ["clay", "n"], depths)
+    return out.select("l_suppkey", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
