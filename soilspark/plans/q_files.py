@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soilspark.functions import clean, depth
+from soilspark.plans import site
 from soilspark.plans.catalog import Tables, query
+from soilspark.plans.q_scalars import ALBERS, EDGES, RINGS, _points
 from soilspark.sources import files, scratch, sinks
 
 
@@ -120,12 +122,32 @@ def horizon_midpoints(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", depth.midpoint(top, bottom).alias("mid"))
 
 
-@query("""WITH r AS (SELECT user_id, CAST(ts AS DATE) AS date, CAST(round_even((event_id % 50 + event_id % 50 + 10) / 2.0, 0) AS INTEGER) AS depth_cm, value, event_type FROM events)
-SELECT user_id::VARCHAR AS station, date, depth_cm, round(coalesce(avg(value) FILTER (event_type = 'click'), avg(value)), 6) AS theta FROM r GROUP BY ALL""")
+@query("""WITH r AS (SELECT user_id, CAST(ts AS DATE) AS date, CAST(round_even((event_id % 50 + event_id % 50 + 10) / 2.0, 0) AS INTEGER) AS depth_cm, value, event_type FROM events WHERE event_id % 11 <> 0)
+SELECT user_id::VARCHAR AS station, date, depth_cm, round(coalesce(avg(value) FILTER (event_type = 'click'), avg(value)), 6) AS theta FROM r WHERE depth_cm BETWEEN 10 AND 40 GROUP BY ALL""")
 def network_daily(t: Tables) -> DataFrame:
-    """Daily means of flagged records by station and depth."""
-    from soilspark.plans import site
-
-    d = (F.col("event_id") % 50).cast("double")
+    """Daily means of flagged records by station and depth, of depths within a window; records without a depth go."""
+    d = F.when(F.col("event_id") % 11 != 0, F.col("event_id") % 50).cast("double")
     raw = t.events.select(F.col("user_id").cast("string").alias("station"), (d / 100).alias("depth_from"), ((d + 10) / 100).alias("depth_to"), F.col("ts").alias("date_time"), F.col("value").alias("soil_moisture"), F.col("event_type").alias("soil_moisture_flag"))
-    return site.network_days(raw, "click").withColumn("theta", F.round("theta", 6))
+    return site.network_days(raw, "click", (10, 40)).withColumn("theta", F.round("theta", 6))
+
+
+@query(f"""WITH p AS (SELECT c_custkey, lon, lat FROM {ALBERS}), e(tile, i, x1, y1, x2, y2) AS (VALUES {EDGES}),
+h AS (SELECT c_custkey, tile FROM p, e WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY c_custkey, tile HAVING count(*) % 2 = 1),
+o AS (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS prio FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey)
+SELECT p.c_custkey AS site_id, round(lon, 6) AS lon, round(lat, 6) AS lat, prio AS priority, tile FROM p JOIN (SELECT DISTINCT o_custkey FROM orders) s ON s.o_custkey = p.c_custkey LEFT JOIN o ON o.o_custkey = p.c_custkey LEFT JOIN h ON h.c_custkey = p.c_custkey""")
+def site_table_with_tiles(t: Tables) -> DataFrame:
+    """A row for each site of many observations: coordinates, the first known attribute, the tile."""
+    rows = t.orders.withColumnRenamed("o_custkey", "c_custkey").join(_points(t), "c_custkey")
+    rows = rows.select(F.col("c_custkey").alias("site_id"), "lon", "lat", F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")).alias("priority"), "o_orderkey")
+    tiles = t.spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in r]) for k, r in RINGS.items()], "tile string, ring array<struct<x:double,y:double>>")
+    out = site.site_table(rows, "site_id", "lon", "lat", ["priority"], "o_orderkey", tiles)
+    return out.select("site_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "priority", "tile")
+
+
+@query("""WITH l AS (SELECT l_suppkey, l_linenumber * 5 AS depth_cm, l_quantity * 3 * 0.01 AS theta FROM lineitem WHERE l_linenumber IN (1, 2, 4)), s AS (SELECT l_suppkey, depth_cm, CAST(floor(round(theta / 0.05, 9)) AS INT) AS bin, count(*) AS n FROM l WHERE theta BETWEEN 0 AND 1 AND depth_cm IN (5, 20) GROUP BY ALL)
+SELECT l_suppkey, depth_cm, bin, n, round(n / sum(n) OVER (PARTITION BY l_suppkey, depth_cm), 6) AS share FROM s""")
+def content_frequency_by_depth(t: Tables) -> DataFrame:
+    k, v = F.col("l_linenumber"), F.col("l_quantity") * 3
+    days = t.lineitem.select("l_suppkey", F.when(k == 1, v).alias("soil_vwc_0005"), F.when(k == 2, v).alias("soil_vwc_0010"), F.when(k == 4, v).alias("soil_vwc_0020"), v.alias("soil_vwc_units"))
+    curves = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.explode(F.array(F.lit(5.0), F.lit(20.2), F.lit(50.0))).alias("depth_cm"))
+    return site.content_by_depth(days, curves, "l_suppkey").withColumn("share", F.round("share", 6))

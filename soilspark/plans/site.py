@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soilspark.functions import clean, depth, vg
-from soilspark.operators import aggregates, series
+from soilspark.operators import aggregates, series, spatial
 from soilspark.sources.files import family
 
 
@@ -35,10 +37,12 @@ def with_suction(days: DataFrame, params: DataFrame, key: str = "site_id") -> Da
     return days.join(params.select(key, *vg.PARAMS), key, "left").withColumn("psi_cm", vg.psi(F.col("theta"), *[F.col(p) for p in vg.PARAMS])).drop(*vg.PARAMS)
 
 
-def network_days(raw: DataFrame, good: str = "G") -> DataFrame:
-    """(station, date, depth_cm, theta) of records with depth_from and depth_to in metres and a quality flag: the mean of good records, of all where none is good, over all sensors of a depth."""
+def network_days(raw: DataFrame, good: str = "G", window: tuple[float, float] | None = None) -> DataFrame:
+    """(station, date, depth_cm, theta) of records with depth_from and depth_to in metres and a quality flag: the mean of good records, of all where none is good, over all sensors of a depth.
+    Records without any depth go, and with a ``window`` in centimetres those whose middle lies outside it."""
     mid = F.bround(depth.midpoint(F.col("depth_from"), F.col("depth_to")) * 100).cast("int")
     rows = raw.withColumn("depth_cm", mid).withColumn("date", F.to_date("date_time")).where("depth_cm is not null")
+    rows = rows if window is None else rows.where(F.col("depth_cm").between(*window))
     return series.prefer_flagged(rows, ["station", "date", "depth_cm"], "soil_moisture", "soil_moisture_flag", good).withColumnRenamed("soil_moisture", "theta")
 
 
@@ -50,6 +54,32 @@ def station_table(raw: DataFrame) -> DataFrame:
     return attributes.join(extent, "station")
 
 
+def site_table(raw: DataFrame, key: str, lon: str, lat: str, attributes: list[str], order: str, tiles: DataFrame | None = None) -> DataFrame:
+    """One row a site: its coordinates, the first known value of each attribute, and with ``tiles`` (tile, ring) the tile that holds it, null outside all.
+
+    Two rows of a site with different coordinates are an error.
+    """
+    extent = raw.groupBy(key).agg(F.count_distinct(F.struct(lon, lat)).alias("n")).where("n > 1").limit(1).collect()
+    if extent:
+        raise ValueError(f"{key} {extent[0][key]} has several coordinates")
+    out = aggregates.first_known(raw, [key], [lon, lat, *attributes], order).drop("n")
+    return out if tiles is None else spatial.within(out, tiles, lon, lat, how="left")
+
+
+def content_by_depth(days: DataFrame, curves: DataFrame, by: str, scale: float = 0.01, width: float = 0.05) -> DataFrame:
+    """(by, depth_cm, bin, n, share): how often each water content was measured at the depths that retention curves are known of.
+
+    ``days`` has columns ``soil_vwc_<cm>`` in percent; ``curves`` (by, depth_cm); contents beyond 0 and 1 are left out; depths are compared as whole centimetres.
+    """
+    names = [c for c in days.columns if re.fullmatch(r"soil_vwc_\d+", c)]
+    long = days.unpivot([by], names, "__name", "theta").select(by, F.regexp_extract("__name", r"(\d+)$", 1).cast("int").alias("depth_cm"), (F.col("theta") * scale).alias("theta"))
+    wanted = curves.select(by, F.bround("depth_cm").cast("int").alias("depth_cm")).distinct()
+    seen = long.where(F.col("theta").between(0, 1)).join(wanted, [by, "depth_cm"])
+    counts = seen.groupBy(by, "depth_cm", F.floor(F.round(F.col("theta") / width, 9)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    total = counts.groupBy(by, "depth_cm").agg(F.sum("n").alias("__n"))
+    return counts.join(total, [by, "depth_cm"]).select(by, "depth_cm", "bin", "n", (F.col("n") / F.col("__n")).alias("share"))
+
+
 def wide_days(days: DataFrame, depths: list[int]) -> DataFrame:
     """A column ``soil_vwc_<cm, four digits>`` for each depth."""
     wide = days.groupBy("station", "date").pivot("depth_cm", depths).agg(F.avg("theta"))
