@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from soilspark.llm import bagminhash, decontaminate, fingerprint, html_extract, packing, secret_scan, sharding, toxicity, url_filter, warc
+from soilspark.llm import bagminhash, collocations, decontaminate, fingerprint, html_extract, packing, secret_scan, sharding, toxicity, url_filter, warc
 from soilspark.llm.storage import scratch
 
 SHARDS = 64
@@ -60,6 +60,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": op1_pack_sequences,
     "op2_near_duplicates": op2_near_duplicates,
@@ -71,10 +75,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_benchmark_windows": op9_benchmark_windows,
     "op10_fingerprints": op10_fingerprints,
+    "op11_collocations": op11_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_shard_documents": sharding.oracle_sql("documents", "doc_id", sharding.shard_names(SHARDS)),
     "op5_warc_round_trip": warc.ORACLE_SQL,
     "op9_benchmark_windows": decontaminate.ORACLE_SQL,
+    "op11_collocations": collocations.ORACLE_SQL,
 }
