@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from soilspark.llm import bagminhash, collocations, decontaminate, fingerprint, html_extract, packing, secret_scan, sharding, toxicity, url_filter, warc
+from soilspark.llm import bagminhash, collocations, decontaminate, fingerprint, html_extract, lexical_search, packing, secret_scan, sharding, suffix_dedup, toxicity, url_filter, warc
 from soilspark.llm.storage import scratch
 
 SHARDS = 64
@@ -64,6 +64,15 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return lexical_search.ranked(docs, benchmark)
+
+
+def op13_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": op1_pack_sequences,
     "op2_near_duplicates": op2_near_duplicates,
@@ -76,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_windows": op9_benchmark_windows,
     "op10_fingerprints": op10_fingerprints,
     "op11_collocations": op11_collocations,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_repeated_bytes": op13_repeated_bytes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -83,4 +94,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc_round_trip": warc.ORACLE_SQL,
     "op9_benchmark_windows": decontaminate.ORACLE_SQL,
     "op11_collocations": collocations.ORACLE_SQL,
+    "op12_ranked_search": lexical_search.ORACLE_SQL,
 }
