@@ -4,8 +4,8 @@ Each byte that lies in a string of ``length`` bytes that also starts anywhere el
 
 1. Windows are dealt to shards by content: a window's key is the smallest hash of the strings of ``gram`` bytes within it, so equal windows have equal keys. Windows
    side by side mostly share their key; such a run is a segment, some 170 windows long, known by its key, its place and a digest of its bytes.
-2. Keys are counted with the smallest and largest digest. A key of one segment repeats nothing; where all segments of a key are equal, each repeats whole. Of the
-   others each different segment is taken once, and those that occur several times repeat whole too.
+2. Keys are counted with the smallest and largest digest. A key of one segment repeats nothing, unless its string of ``gram`` bytes occurs twice in it; where
+   all segments of a key are equal, each repeats whole. Of the others each different segment is taken once, and those that occur several times repeat whole too.
 3. The different segments of a key come together, many keys a shard, and the shard's suffix array is induced (``suffix_array``). Suffixes that share
    ``length`` bytes are neighbours in it, and the common prefixes in text order say which windows those are.
 4. A key of more than ``MAX_GROUP`` different segments, as of a line that very many texts hold, is no single task's: its windows are counted one by one by
@@ -76,18 +76,27 @@ def _smallest(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1 : w - 1 + n])
 
 
-def _segments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, number of windows) of each segment of ``data``."""
+def _segments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first window, number of windows, whether the key's string occurs twice) of each segment of ``data``."""
     gram = _gram(length)
-    key = _smallest(_gram_hashes(data, gram), length - gram + 1)
-    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    count = np.diff(np.append(begin, len(key)))
+    each, w = _gram_hashes(data, gram), length - gram + 1
+    smallest = _smallest(each, w)
+    begin = np.flatnonzero(np.append(True, smallest[1:] != smallest[:-1]))
+    count, key = np.diff(np.append(begin, len(smallest))), smallest[begin]
+    at = np.flatnonzero(each <= key.max())  # of the few that can be a key, the segments that hold them
+    run, last = (np.searchsorted(begin, np.clip(x, 0, len(smallest) - 1), side="right") - 1 for x in (at - w + 1, at))
+    times, value = np.zeros(len(key), dtype=np.int64), each[at]
+    while len(run):
+        times += np.bincount(run[key[run] == value], minlength=len(key))
+        more = run < last
+        run, last, value = run[more] + 1, last[more], value[more]
+    again = times > 1
     parts = -(-count // MOST_WINDOWS)
     if (parts > 1).any():  # where a text repeats itself
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         count = np.minimum(np.repeat(count, parts) - nth * MOST_WINDOWS, MOST_WINDOWS)
-        begin = np.repeat(begin, parts) + nth * MOST_WINDOWS
-    return key[begin], begin, count
+        begin, key, again = np.repeat(begin, parts) + nth * MOST_WINDOWS, np.repeat(key, parts), np.repeat(again, parts)
+    return key, begin, count, again
 
 
 def _pieces(texts: pa.Array, length: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int]]]]:
@@ -106,22 +115,23 @@ def _found(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, places in _pieces(batch.column("text"), length):
-                rows, keys, at, windows, digests = [], [], [], [], []
+                rows, keys, at, windows, digests, twice = [], [], [], [], [], []
                 for row, shift, s, size in places:
                     part = data[s : s + size]
-                    key, begin, count = _segments(part, length)
+                    key, begin, count, again = _segments(part, length)
                     view = part.tobytes()
                     digests += [hashlib.blake2b(view[x : x + n + length - 1], digest_size=8).digest() for x, n in zip(begin.tolist(), count.tolist(), strict=True)]
                     rows.append(np.full(len(key), row))
                     keys.append(key)
                     at.append(begin + shift)
                     windows.append(count)
+                    twice.append(again)
                 if not rows:
                     continue
                 own = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(own), batch.column(_OWN).take(own), pa.array(np.concatenate(at).astype(np.int64)), pa.array(np.concatenate(windows).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.frombuffer(b"".join(digests), dtype=np.int64))],
-                    ["doc_id", _OWN, "at", "windows", "key", "digest"],
+                    [batch.column("doc_id").take(own), batch.column(_OWN).take(own), pa.array(np.concatenate(at).astype(np.int64)), pa.array(np.concatenate(windows).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.frombuffer(b"".join(digests), dtype=np.int64)), pa.array(np.concatenate(twice))],
+                    ["doc_id", _OWN, "at", "windows", "key", "digest", "again"],
                 )
 
     return run
@@ -233,9 +243,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_GROUP,
     spark = docs.sparkSession
     texts = _hashed(docs)
     kind = texts.schema["doc_id"].dataType.simpleString()
-    found = stored(texts.where(F.octet_length("text") >= length).mapInArrow(_found(length), f"doc_id {kind}, {_OWN} long, at long, windows int, key long, digest long"), "segments")
-    keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("n > 1").select("key", (F.col("lo") < F.col("hi")).alias("mixed"))
-    several = stored(found.join(keys, "key"), "repeated-segments")
+    found = stored(texts.where(F.octet_length("text") >= length).mapInArrow(_found(length), f"doc_id {kind}, {_OWN} long, at long, windows int, key long, digest long, again boolean"), "segments")
+    keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.max("again").alias("again"))
+    keys = keys.where("n > 1 or again").select("key", ((F.col("lo") < F.col("hi")) | (F.col("n") == 1)).alias("mixed"))
+    several = stored(found.drop("again").join(keys, "key"), "repeated-segments")
     one = [F.first(c).alias(c) for c in ("doc_id", _OWN, "at", "windows")]
     contents = stored(several.where("mixed").groupBy("key", "digest").agg(F.count("*").alias("n"), *one), "contents")
     groups = contents.groupBy("key").agg(F.count("*").alias("size"))
@@ -269,8 +280,8 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends = (flat.field(c).to_numpy() for c in ("start", "end"))
             order = np.argsort(starts, kind="stable")
             starts, ends = starts[order], np.maximum.accumulate(ends[order])
-            new = np.append(True, starts[1:] > ends[:-1])  # ranges that touch are one run
-            for s, e in zip(starts[new].tolist(), ends[np.append(new[1:], True)].tolist(), strict=True):
+            new = np.append(True, starts[1:] > ends[:-1])[: len(starts)]  # ranges that touch are one run
+            for s, e in zip(starts[new].tolist(), ends[np.append(new[1:], True)[: len(ends)]].tolist(), strict=True):
                 kept.update(raw[at:s])
                 at, gone, runs = e, gone + e - s, runs + 1
             kept.update(raw[at:])
