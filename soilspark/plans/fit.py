@@ -87,38 +87,67 @@ def levenberg(residual, p0: np.ndarray, low: np.ndarray, high: np.ndarray, round
 
 
 def nelder(residual, p0: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 800) -> np.ndarray:
-    """Downhill simplex on the same free parameters, group by group."""
-    return np.stack([_simplex(lambda p, k=k: residual(p[None], np.array([k]))[0], p0[k], low[k], high[k], rounds) for k in range(len(p0))]) if len(p0) else p0
-
-
-def _simplex(residual, p0, low, high, rounds: int) -> np.ndarray:
-    cost = lambda u: float(np.sum(residual(_bound(u, low, high)) ** 2))
+    """Downhill simplex on the same free parameters; the simplices of all groups move side by side, and those that have closed drop out."""
+    cost = lambda u, rows: (residual(_bound(u, low[rows], high[rows]), rows) ** 2).sum(axis=1)
     x0 = _free(p0, low, high)
-    s = np.vstack([x0, x0 + 0.5 * np.eye(len(x0))])
-    v = np.array([cost(x) for x in s])
+    size = x0.shape[1]
+    s = np.concatenate([x0[:, None, :], x0[:, None, :] + 0.5 * np.eye(size)], axis=1)
+    rows = np.arange(len(p0))
+    v = np.stack([cost(s[:, k], rows) for k in range(size + 1)], axis=1)
     for _ in range(rounds):
-        o = np.argsort(v)
-        s, v = s[o], v[o]
-        if v[-1] - v[0] < 1e-16 + 1e-10 * v[0]:
+        order = np.argsort(v[rows], axis=1)
+        s[rows], v[rows] = np.take_along_axis(s[rows], order[..., None], axis=1), np.take_along_axis(v[rows], order, axis=1)
+        rows = rows[~(v[rows, -1] - v[rows, 0] < 1e-16 + 1e-10 * v[rows, 0])]
+        if not len(rows):
             break
-        c = s[:-1].mean(axis=0)
-        x = c + (c - s[-1])
-        fx = cost(x)
-        if fx < v[0]:
-            y = c + 2 * (c - s[-1])
-            fy = cost(y)
-            s[-1], v[-1] = (y, fy) if fy < fx else (x, fx)
-        elif fx < v[-2]:
-            s[-1], v[-1] = x, fx
-        else:
-            y = c + 0.5 * ((x if fx < v[-1] else s[-1]) - c)
-            fy = cost(y)
-            if fy < min(fx, v[-1]):
-                s[-1], v[-1] = y, fy
-            else:
-                s[1:] = s[0] + 0.5 * (s[1:] - s[0])
-                v[1:] = [cost(x) for x in s[1:]]
-    return _bound(s[np.argmin(v)], low, high)
+        centre, worst = s[rows, :-1].mean(axis=1), s[rows, -1]
+        x = 2 * centre - worst
+        fx = cost(x, rows)
+        far, inner = fx < v[rows, 0], fx >= v[rows, -2]  # a step further, or back inside
+        y = np.where(far[:, None], 3 * centre - 2 * worst, centre + 0.5 * (np.where((fx < v[rows, -1])[:, None], x, worst) - centre))
+        fy = np.full(len(rows), np.inf)
+        tried = far | inner
+        fy[tried] = cost(y[tried], rows[tried])
+        second = (far & (fy < fx)) | (inner & (fy < np.minimum(fx, v[rows, -1])))
+        shrink = rows[inner & ~second]
+        moved = ~(inner & ~second)
+        s[rows[moved], -1] = np.where(second[:, None], y, x)[moved]
+        v[rows[moved], -1] = np.where(second, fy, fx)[moved]
+        if len(shrink):
+            s[shrink, 1:] = s[shrink, :1] + 0.5 * (s[shrink, 1:] - s[shrink, :1])
+            for k in range(1, size + 1):
+                v[shrink, k] = cost(s[shrink, k], shrink)
+    return _bound(s[np.arange(len(p0)), np.argmin(v, axis=1)], low, high)
+
+
+def evolution(residual, p0: np.ndarray, low: np.ndarray, high: np.ndarray, size: int = 24, rounds: int = 80) -> np.ndarray:
+    """Global search: differential evolution over the whole bounds (alpha by its logarithm), then damped least squares from the best member.
+
+    All groups draw the same random numbers, so a fit does not depend on the groups beside it.
+    """
+    rng = np.random.default_rng(7)
+    groups, k = p0.shape
+    lo, hi = low.copy(), high.copy()
+    lo[:, 2], hi[:, 2] = np.log(low[:, 2]), np.log(high[:, 2])
+    opened = lambda u: np.concatenate([u[..., :2], np.exp(u[..., 2:3]), u[..., 3:]], axis=-1)
+    rows = np.repeat(np.arange(groups), size)
+    cost = lambda u: np.nan_to_num((residual(opened(u).reshape(-1, k), rows) ** 2).sum(axis=1), nan=np.inf).reshape(groups, size)
+    u = lo[:, None] + (hi - lo)[:, None] * rng.random((size, k))
+    start = np.clip(p0, low, high)
+    start[:, 2] = np.log(start[:, 2])
+    u[:, 0] = start
+    v = cost(u)
+    for _ in range(rounds):
+        a, b = (rng.permutation(size) for _ in range(2))
+        best = np.take_along_axis(u, np.argmin(v, axis=1)[:, None, None], axis=1)
+        trial = u + 0.7 * (best - u) * rng.random((size, 1)) + 0.7 * (u[:, a] - u[:, b])
+        trial = np.where(rng.random((size, k)) < 0.9, trial, u)
+        trial = np.clip(trial, lo[:, None], hi[:, None])
+        w = cost(trial)
+        better = w < v
+        u, v = np.where(better[..., None], trial, u), np.where(better, w, v)
+    first = opened(np.take_along_axis(u, np.argmin(v, axis=1)[:, None, None], axis=1)[:, 0])
+    return levenberg(residual, np.clip(first, low + 1e-9, high - 1e-9), low, high)
 
 
 def multistart(residual, p0, low, high) -> np.ndarray:
@@ -135,7 +164,7 @@ def multistart(residual, p0, low, high) -> np.ndarray:
     return best
 
 
-METHODS = {"least_squares": levenberg, "nelder": nelder, "multistart": multistart}
+METHODS = {"least_squares": levenberg, "nelder": nelder, "multistart": multistart, "evolution": evolution}
 
 
 def fit_many(points: list[tuple[np.ndarray, np.ndarray]], method: str = "least_squares", inverse: bool | str = False) -> list[dict]:
@@ -181,17 +210,29 @@ def fit_many(points: list[tuple[np.ndarray, np.ndarray]], method: str = "least_s
     return [{k: v for k, v in o.items() if k[0] != "_"} for o in out]
 
 
+def gathered(obs: DataFrame, by: list[str], psi: str, theta: str) -> DataFrame:
+    """(by, __x, __y): the points of each key as two arrays, unknown ones NaN."""
+    point = F.struct(F.col(psi).cast("double").alias("x"), F.col(theta).cast("double").alias("y"))
+    rows = obs.groupBy(*by).agg(F.sort_array(F.collect_list(point)).alias("__p"))
+    known = lambda c: F.transform("__p", lambda p: F.coalesce(p[c], F.lit(float("nan"))))
+    return rows.select(*by, known("x").alias("__x"), known("y").alias("__y"))
+
+
+def spread(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Keys dealt to a stated number of tasks, four for each core, which adaptive execution leaves alone: the work on a key is out of proportion to its bytes."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 def fits(obs: DataFrame, by: list[str], methods: list[str] | None = None, inverse: bool | str = False, psi: str = "suction_cm", theta: str = "theta") -> DataFrame:
     """A row for each key and method: parameters, standard errors, chi squared, AIC and BIC; ``Failed`` below four observations.
 
     A key is one profile at one depth, tens of points: they are gathered in arrays, and the fits of a whole batch of keys run side by side in
-    vectorised least squares. Each (key, method) is a row of its own, so methods spread over tasks.
+    vectorised searches.
     """
     methods = methods or ["least_squares"]
     keys = [f"{f.name} {f.dataType.simpleString()}" for f in obs.select(*by).schema.fields]
-    point = F.struct(F.col(psi).cast("double").alias("x"), F.col(theta).cast("double").alias("y"))
-    rows = obs.groupBy(*by).agg(F.sort_array(F.collect_list(point)).alias("__p")).withColumn("__method", F.explode(F.array(*[F.lit(m) for m in methods])))
-    rows = rows.select(*by, "__method", F.transform("__p", lambda p: F.coalesce(p["x"], F.lit(float("nan")))).alias("__x"), F.transform("__p", lambda p: F.coalesce(p["y"], F.lit(float("nan")))).alias("__y"))
+    rows = spread(gathered(obs, by, psi, theta), by).withColumn("__method", F.explode(F.array(*[F.lit(m) for m in methods])))
     names = [*by, *[c.split()[0] for c in SCHEMA_TAIL.split(", ")]]
 
     def run(batches):
@@ -211,61 +252,3 @@ def compared(all_fits: DataFrame, by: list[str]) -> DataFrame:
     from soilspark.operators.series import top
 
     return top(all_fits.where("status = 'Success'"), by, ["aic", "method"], 100)
-
-
-THETA_S_UPPER = 0.99  # of curves without a measured series
-
-
-def series_bounds(days: DataFrame, by: list[str], theta: str = "theta", upper: float = 0.65) -> DataFrame:
-    """(by, theta_r_cap, theta_s_floor, theta_s_upper) from the least and the largest water content of each series: residual water is below what was ever measured,
-    saturation above it. Where the largest leaves no room below ``upper``, that is raised."""
-    ends = days.groupBy(*by).agg(F.min(theta).alias("lo"), F.max(theta).alias("hi")).where("lo is not null")
-    floor = F.greatest(F.lit(0.0), F.least(F.col("hi"), F.lit(0.99)))
-    room = F.when(floor >= upper - 1e-3, F.least(F.lit(0.99), floor + 0.02)).otherwise(F.lit(upper))
-    return ends.select(*by, F.greatest(F.lit(1e-6), F.col("lo") - 1e-5).alias("theta_r_cap"), floor.alias("theta_s_floor"), room.alias("theta_s_upper"))
-
-
-def posterior(obs: DataFrame, by: list[str], draws: int = 2000, tune: int = 1000, seed: int = 42, psi: str = "suction_cm", theta: str = "theta", bounds: DataFrame | None = None) -> DataFrame:
-    """(by, param, mean, q025, q975, n_obs): adaptive random-walk sampling of the four parameters and the noise.
-
-    Priors: theta_r normal(0.01, 0.05) and theta_s normal(0.45, 0.1), both cut to their bounds, log alpha normal(log 0.0098, 1), n - 1 half-normal(1), log noise flat. ``bounds`` are those of
-    ``series_bounds``; a key that they lack has 0 <= theta_r < theta_s <= ``THETA_S_UPPER`` only.
-    """
-    limits = ["theta_r_cap", "theta_s_floor", "theta_s_upper"]
-    rows = obs.select(*by, psi, theta)
-    rows = rows.join(bounds.select(*by, *limits), by, "left") if bounds is not None else rows.withColumns({c: F.lit(None).cast("double") for c in limits})
-    keys = [f"{f.name} {f.dataType.simpleString()}" for f in obs.select(*by).schema.fields]
-
-    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        x, y = group[psi].to_numpy(dtype=float), group[theta].to_numpy(dtype=float)
-        ok = np.isfinite(x) & np.isfinite(y) & (x >= 0)
-        x, y = x[ok], y[ok]
-        if len(x) < LEAST_POINTS:
-            return pd.DataFrame([], columns=[*by, "param", "mean", "q025", "q975", "n_obs"])
-        cap, floor, upper = (float(group[c].iloc[0]) for c in limits)
-        cap, floor, upper = cap if np.isfinite(cap) else 1.0, floor if np.isfinite(floor) else 0.0, upper if np.isfinite(upper) else THETA_S_UPPER
-        rng = np.random.default_rng([seed, len(x), int(abs(y.sum()) * 1e6) % 2**31])
-
-        def log_density(u: np.ndarray) -> float:
-            tr, ts, la, m, s = u
-            if not (0 <= tr < ts <= upper and tr <= cap and ts >= floor and 0.001 < m < 9 and -15 < s < 0):
-                return -np.inf
-            r = curve(np.array([tr, ts, np.exp(la), 1 + m]), x) - y
-            return float(-0.5 * (((tr - 0.01) / 0.05) ** 2 + ((ts - 0.45) / 0.1) ** 2 + (la - np.log(0.0098)) ** 2 + m**2) - len(x) * s - 0.5 * (r @ r) / np.exp(2 * s))
-
-        first = min(0.05, 0.5 * y.min(), 0.5 * cap)
-        u = np.array([first, min(max(y.max(), 0.06, floor + 1e-6, first + 1e-3), upper), np.log(0.0098), 0.5, -3.0])
-        now, chain, scale = log_density(u), [], np.diag([0.02, 0.02, 0.4, 0.2, 0.3]) ** 2
-        for i in range(draws + tune):
-            if 200 <= i <= tune and i % 100 == 0:
-                scale = np.cov(np.array(chain[i // 2 :]).T) * (2.38**2 / 5) + 1e-10 * np.eye(5)
-            new = rng.multivariate_normal(u, scale, method="cholesky")
-            p = log_density(new)
-            if np.log(rng.random()) < p - now:
-                u, now = new, p
-            chain.append(u)
-        s = np.array(chain[tune:])
-        values = np.column_stack([s[:, 0], s[:, 1], np.exp(s[:, 2]), 1 + s[:, 3]])
-        return pd.DataFrame([{**dict(zip(by, key, strict=True)), "param": c, "mean": v.mean(), "q025": np.quantile(v, 0.025), "q975": np.quantile(v, 0.975), "n_obs": len(x)} for c, v in zip(NAMES, values.T, strict=True)])
-
-    return rows.groupBy(*by).applyInPandas(one, ", ".join(keys) + ", param string, mean double, q025 double, q975 double, n_obs int")

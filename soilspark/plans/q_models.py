@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from soilspark.functions import vg
 from soilspark.operators import series, split
 from soilspark.plans import assemble, battery, fit, forest
+from soilspark.plans import posterior as posteriors
 from soilspark.plans.catalog import Tables, query
 
 # fixed values: suctions (cm) of a measured curve
@@ -41,7 +42,7 @@ def inverse_fit(t: Tables) -> DataFrame:
 
 @query()
 def posterior_fit(t: Tables) -> DataFrame:
-    return fit.posterior(curves(t), ["p_partkey", "depth_cm"])
+    return posteriors.posterior(curves(t), ["p_partkey", "depth_cm"])
 
 
 @query()
@@ -111,4 +112,4 @@ def site_battery(t: Tables) -> DataFrame:
 def posterior_fit_bounded(t: Tables) -> DataFrame:
     """Posteriors held to what a measured series of the same part shows."""
     days = curves(t).select("p_partkey", "depth_cm", "theta")
-    return fit.posterior(curves(t), ["p_partkey", "depth_cm"], bounds=fit.series_bounds(days, ["p_partkey", "depth_cm"]))
+    return posteriors.posterior(curves(t), ["p_partkey", "depth_cm"], bounds=posteriors.series_bounds(days, ["p_partkey", "depth_cm"]))
