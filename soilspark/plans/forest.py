@@ -30,8 +30,10 @@ def trained(df: DataFrame, target: str, features: list[str], trees: int = 250, d
     from pyspark.ml.regression import RandomForestRegressor
 
     more = {"weightCol": weight} if weight else {}
-    forest = RandomForestRegressor(featuresCol="features", labelCol=target, predictionCol=f"{target}_pred", numTrees=trees, maxDepth=depth, seed=seed, **more)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), forest]).fit(df.na.drop("any", subset=[target, *features]))
+    forest = RandomForestRegressor(featuresCol="features", labelCol=target, predictionCol=f"{target}_pred", numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=512, **more)
+    known = df.na.drop("any", subset=[target, *features])
+    known = known.repartition(2 * known.sparkSession.sparkContext.defaultParallelism)  # the work on a row is far beyond reading it: all cores, however few files there are
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), forest]).fit(known)
 
 
 def inferred(model, df: DataFrame) -> DataFrame:

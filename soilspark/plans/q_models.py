@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soilspark.functions import vg
-from soilspark.operators import series, split
+from soilspark.operators import metrics, series, split
 from soilspark.plans import assemble, battery, fit, forest
 from soilspark.plans import posterior as posteriors
+from soilspark.plans import vector_forest
 from soilspark.plans.catalog import Tables, query
+from soilspark.sources import scratch
 
 # fixed values: suctions (cm) of a measured curve
 SUCTIONS = [1.0, 10.0, 30.0, 60.0, 100.0, 330.0, 500.0, 1000.0, 3000.0, 5000.0, 10000.0, 15000.0]
@@ -55,17 +57,20 @@ def _table(t: Tables) -> DataFrame:
     return split.by_number(rows, F.col("station"), 0.3)
 
 
+FEATURES = ["l_quantity", "l_discount", "l_tax"]
+
+
 @query()
 def rf_train_metrics(t: Tables) -> DataFrame:
     rows = _table(t)
-    model = forest.trained(rows.where("role = 'train'"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
-    return forest.scored(forest.inferred(model, rows.where("role = 'test'")), ["l_extendedprice"])
+    model = vector_forest.grown(rows.where("role = 'train'"), ["l_extendedprice"], FEATURES)
+    return forest.scored(vector_forest.inferred(model, rows.where("role = 'test'")), ["l_extendedprice"])
 
 
 @query()
 def rf_importance(t: Tables) -> DataFrame:
-    model = forest.trained(_table(t), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
-    return forest.importances(model, t.spark)
+    model = vector_forest.grown(_table(t), ["l_extendedprice"], FEATURES)
+    return vector_forest.importances(model, t.spark).where("target = 'all'").drop("target").orderBy(F.desc("importance"), "feature")
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_tax > 0.02 THEN l_tax END AS l_tax, CASE WHEN l_orderkey % 5 <> 0 THEN l_returnflag END AS l_returnflag,
@@ -113,3 +118,41 @@ def posterior_fit_bounded(t: Tables) -> DataFrame:
     """Posteriors held to what a measured series of the same part shows."""
     days = curves(t).select("p_partkey", "depth_cm", "theta")
     return posteriors.posterior(curves(t), ["p_partkey", "depth_cm"], bounds=posteriors.series_bounds(days, ["p_partkey", "depth_cm"]))
+
+
+def _levels(t: Tables) -> DataFrame:
+    """Two targets by three levels, with null features and targets, and weights."""
+    kinds = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)
+    price, tax = F.when(F.col("l_orderkey") % 11 != 0, F.col("l_extendedprice") / 1000), F.when(F.col("l_orderkey") % 7 != 0, F.col("l_tax"))
+    weight = F.when(F.col("l_linenumber") == 1, 2.0).otherwise(1.0)
+    return _table(t).withColumns({"level": kinds, "price": price, "l_tax": tax, "charge": F.col("l_quantity") * (1 - F.col("l_discount")), "weight": weight})
+
+
+@query()
+def forest_levels_metrics(t: Tables) -> DataFrame:
+    """Forests of two targets for each level, weighted, judged on stations that they were not grown from."""
+    rows = _levels(t)
+    forests = vector_forest.grown_levels(rows.where("role = 'train'"), "level", ["price", "charge"], FEATURES, trees=100, weight="weight")
+    got = vector_forest.inferred_levels(forests, rows.where("role = 'test'"), "level")
+    each = F.explode(F.array(*[F.struct(F.lit(y).alias("target"), F.col(y).alias("y"), F.col(f"{y}_pred").alias("p")) for y in ("price", "charge")]))
+    return got.select("level", each.alias("m")).select("level", "m.*").groupBy("level", "target").agg(*metrics.regression_metrics(F.col("y"), F.col("p")))
+
+
+@query()
+def forest_levels_importance(t: Tables) -> DataFrame:
+    """What each feature says of each target, level by level."""
+    out = None
+    for level, model in vector_forest.grown_levels(_levels(t), "level", ["price", "charge"], FEATURES, trees=100).items():
+        one = vector_forest.importances(model, t.spark).withColumn("level", F.lit(level))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def forest_read_back(t: Tables) -> DataFrame:
+    """Predictions for every row by a forest that was written and read again; rows with an unknown feature have none."""
+    rows = _levels(t)
+    path = scratch.folder(t.spark, "forest")
+    vector_forest.saved(vector_forest.grown(rows, ["price", "charge"], FEATURES, trees=50, depth=6), t.spark, path)
+    got = vector_forest.inferred(vector_forest.loaded(t.spark, path), rows)
+    return got.select("l_orderkey", "l_linenumber", F.round("price_pred", 6).alias("price_pred"), F.round("charge_pred", 6).alias("charge_pred"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from soilspark.plans import fit, posterior, q_models
+from soilspark.plans import fit, posterior, q_models, vector_forest
 from soilspark.plans.catalog import Tables
 
 PSI = np.array([1.0, 30.0, 100.0, 330.0, 1000.0, 5000.0, 15000.0])
@@ -101,3 +101,103 @@ def test_model_queries_spread_over_tasks(spark):
     for query in (q_models.vg_fit_grouped, q_models.posterior_fit_bounded):
         parts = query(t).select(F.spark_partition_id().alias("p")).distinct().count()
         assert parts >= 8
+
+
+def brute_tree(x, y, w, depth, node=0):
+    """Nodes {heap number: (feature, cut, values)} of a tree grown by trying every cut."""
+    total = float(w.sum())
+    values = (w[:, None] * y).sum(axis=0) / total
+    best = None
+    if depth:
+        for f in range(x.shape[1]):
+            known = np.unique(x[:, f])
+            for c in (known[1:] + known[:-1]) / 2:
+                left = x[:, f] <= c
+                if not w[left].any() or not w[~left].any():
+                    continue
+                error = lambda part: (w[part, None] * (y[part] - np.average(y[part], axis=0, weights=w[part])) ** 2).sum()  # noqa: E731, B023
+                gain = error(w > 0) - error(left & (w > 0)) - error(~left & (w > 0))
+                if gain > 1e-6 and (best is None or gain > best[0] + 1e-9):
+                    best = gain, f, c, left
+    if best is None:
+        return {node: (-1, 0.0, values)}
+    _, f, c, left = best
+    return {node: (f, c, values)} | brute_tree(x[left], y[left], w[left], depth - 1, 2 * node + 1) | brute_tree(x[~left], y[~left], w[~left], depth - 1, 2 * node + 2)
+
+
+@pytest.fixture(scope="module")
+def grid_rows():
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.integers(0, 9, 160), rng.integers(0, 6, 160)], axis=1).astype(float)
+    y = np.stack([3 * (x[:, 0] > 4) + x[:, 1] + rng.integers(0, 3, 160), 7 * (x[:, 1] > 2) - x[:, 0] + rng.integers(0, 2, 160)], axis=1).astype(float)
+    return x, y
+
+
+def table(spark, x, y, extra=()):
+    rows = [(*map(float, a), *map(float, b), 1.0 + k % 2) for k, (a, b) in enumerate(zip(x, y, strict=True))]
+    return spark.createDataFrame([*rows, *extra], "u double, v double, p double, q double, w double").coalesce(1)
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_forest_of_two_targets_equals_brute_force_growth(spark, grid_rows, weight, monkeypatch):
+    x, y = grid_rows
+    df = table(spark, x, y, [(None, 1.0, 1.0, 1.0, 1.0), (1.0, 1.0, None, 1.0, 1.0)])
+    for held in (vector_forest.HELD, 3000):  # nodes all at once, and a few at a time
+        monkeypatch.setattr(vector_forest, "HELD", held)
+        got = vector_forest.grown(df, ["p", "q"], ["u", "v"], trees=4, depth=3, weight=weight)
+        for t in range(4):
+            w = vector_forest.row_weights(np.arange(len(x)), t, 42) * (1.0 + np.arange(len(x)) % 2 if weight else 1.0)
+            want = brute_tree(x, y, w, 3)
+            assert {n for n in range(15) if not np.isnan(got.value[t, n, 0])} == set(want)
+            for n, (f, c, v) in want.items():
+                assert got.feature[t, n] == f and got.value[t, n] == pytest.approx(v)
+                if f >= 0:
+                    right = x[:, f] > got.cut[t, n]
+                    reached = w > 0
+                    for a in path(n):
+                        reached &= (x[:, got.feature[t, a[0]]] > got.cut[t, a[0]]) == a[1]
+                    assert (right == (x[:, f] > c))[reached].all()
+
+
+def path(n):
+    out = []
+    while n:
+        parent = (n - 1) // 2
+        out.append((parent, n == 2 * parent + 2))
+        n = parent
+    return out
+
+
+def test_forest_predicts_saves_and_tells_importances(spark, grid_rows, tmp_path):
+    x, y = grid_rows
+    df = table(spark, x, y)
+    forest = vector_forest.grown(df, ["p", "q"], ["u", "v"], trees=20, depth=5)
+    vector_forest.saved(forest, spark, str(tmp_path / "f"))
+    back = vector_forest.loaded(spark, str(tmp_path / "f"))
+    asked = df.unionByName(spark.createDataFrame([(None, 1.0, 0.0, 0.0, 1.0), (float("nan"), 1.0, 0.0, 0.0, 1.0)], df.schema))
+    rows = vector_forest.inferred(back, asked).collect()
+    direct = forest.predicted(x)
+    assert [r["p_pred"] for r in rows[:160]] == pytest.approx(direct[:, 0].tolist()) and [r["q_pred"] for r in rows[:160]] == pytest.approx(direct[:, 1].tolist())
+    assert all(r["p_pred"] is None and r["q_pred"] is None for r in rows[160:])
+    assert (np.corrcoef(direct.T, y.T)[[0, 1], [2, 3]] > 0.95).all()
+    share = {(r["target"], r["feature"]): r["importance"] for r in vector_forest.importances(back, spark).collect()}
+    assert share["q", "v"] > 0.5 and all(sum(v for (t, _), v in share.items() if t == name) == pytest.approx(1) for name in ("all", "p", "q"))
+    with pytest.raises(ValueError, match="lacks the features u"):
+        vector_forest.inferred(back, df.drop("u"))
+    with pytest.raises(ValueError, match="no row"):
+        vector_forest.grown(df.where("u < 0"), ["p"], ["u"], trees=2, depth=1)
+
+
+def test_weights_are_poisson():
+    w = vector_forest.row_weights(np.arange(200_000), 3, 1)
+    assert w.mean() == pytest.approx(1, abs=0.02) and w.var() == pytest.approx(1, abs=0.03)
+    assert abs(np.corrcoef(w, vector_forest.row_weights(np.arange(200_000), 4, 1))[0, 1]) < 0.02
+
+
+def test_forests_by_level(spark, grid_rows):
+    x, y = grid_rows
+    df = table(spark, x, y).withColumn("level", F.when(F.col("u") > 7, 3).when(F.col("u") > 3, 2).otherwise(1))
+    forests = vector_forest.grown_levels(df, "level", ["p", "q"], ["u", "v"], least_rows=40, trees=3, depth=2)
+    assert sorted(forests) == [1, 2]
+    got = vector_forest.inferred_levels(forests, df, "level")
+    assert got.count() == df.where("level < 3").count() and got.where("p_pred is null").count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from soilspark.functions import clean, depth, geo, vg
 from soilspark.operators import aggregates, joins, metrics, reshape, series, spatial, split
-from soilspark.plans import assemble, compare, fit, forest, posterior, standardize
+from soilspark.plans import assemble, compare, fit, forest, posterior, standardize, vector_forest
 from soilspark.sources import files, sinks
 
 
@@ -460,14 +460,14 @@ def test_registered_forests_are_of_full_size(spark, monkeypatch):
     from soilspark.plans import q_models
     from soilspark.plans.catalog import Tables
 
-    sizes, train = [], forest.trained
+    sizes, grow = [], vector_forest.grown
 
     def spied(*args, **more):
-        model = train(*args, **more)
-        sizes.append((model.stages[1].getNumTrees, model.stages[1].getMaxDepth()))
+        model = grow(*args, **more)
+        sizes.append(model.feature.shape)
         return model
 
-    monkeypatch.setattr(forest, "trained", spied)
+    monkeypatch.setattr(vector_forest, "grown", spied)
     t = Tables(spark, "/root/testdata/sf0.001")
     assert q_models.rf_train_metrics(t).count() == 1 and q_models.rf_importance(t).count() == 3
-    assert sizes == [(250, 8)] * 2
+    assert sizes == [(250, (2 << 8) - 1)] * 2
