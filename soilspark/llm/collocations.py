@@ -36,7 +36,9 @@ SHARE = 100  # percent of a phrase's occurrences within a longer one from which
 MAX_BROADCAST = 1_000_000
 BLOCK = 1 << 16  # positions from which a block ends at the next piece's end
 SLICE = 1 << 20  # bytes of a text split at once
-FLUSH = 200_000  # counts held by a task before they are sent on
+FLUSH = 100_000  # counts of words held by a task before they are sent on
+PAIRS = 1_000_000  # occurrences of pairs held before they are counted
+ROWS = 16  # blocks that are merge-joined at once
 _SALTS = 64
 
 # fixed values: what ends a piece (. , ; : ! ? and U+000A to U+000D), and the second of the two characters between words
@@ -71,6 +73,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _words_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, Counter] = defaultdict(Counter)
+    held = 0
 
     def flushed() -> pa.RecordBatch:
         rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items() if w not in (b"", b"\n")]
@@ -79,12 +82,14 @@ def _words_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-            c = counts[lang.as_py()]
+            name = lang.as_py()
             for part, _ in _slices(text.as_py()):
-                c.update(_split(part))
-                if len(c) > FLUSH:
+                held -= len(counts[name])
+                counts[name].update(_split(part))
+                held += len(counts[name])
+                if held > FLUSH:
                     yield flushed()
-                    c = counts[lang.as_py()]
+                    held = 0
     yield flushed()
 
 
@@ -124,7 +129,7 @@ def _relation_near(ids: dict[str, dict[bytes, int]]):
         held = np.flatnonzero(got >= 0)
         return held, got[held], len(got)
 
-    return lambda batches: (_block(p, v, pa.int64()) for p, v in _blocks(batches, number))
+    return lambda batches: (_block(p, v, pa.int32()) for p, v in _blocks(batches, number))
 
 
 def _relation_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +143,11 @@ def _relation_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     return (_block(p, v, pa.binary()) for p, v in _blocks(batches, number))
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, as a row holds a whole block."""
+    return (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS))
+
+
 def _adjacent(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The merge-join of each block with itself on the next position: row, position and both groups, by row and position."""
     pos, gid = batch.column("pos"), batch.column("gid")
@@ -148,7 +158,7 @@ def _adjacent(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _packed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a << np.int64(32)) | b
+    return (a.astype(np.int64) << 32) | b.astype(np.int64)
 
 
 def _pairs_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,10 +169,10 @@ def _pairs_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF), pa.array(n.astype(np.int64))], ["a", "b", "n"])
 
-    for batch in batches:
+    for batch in _few(batches):
         _, _, a, b = _adjacent(batch)
         held.append(_packed(a, b))
-        if sum(map(len, held)) > 10 * FLUSH:
+        if sum(map(len, held)) > PAIRS:
             yield flushed()
     yield flushed()
 
@@ -171,7 +181,7 @@ def _extended(keys: np.ndarray, gids: np.ndarray):
     """The next relation: of what stands side by side the occurrences whose pair is among the sorted ``keys``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             row, p, a, b = _adjacent(batch)
             key = _packed(a, b)
             at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
@@ -202,7 +212,7 @@ def _regrouped(rows: DataFrame) -> DataFrame:
     return rows.groupBy("block").agg(both.alias("o")).select(F.col("o.pos").alias("pos"), F.col("o.gid").alias("gid"))
 
 
-RELATION = "pos array<int>, gid array<long>"
+RELATION = "pos array<int>, gid array<int>"
 
 
 def _first_relation(docs: DataFrame, words: DataFrame, n: int, near: bool) -> DataFrame:
@@ -212,11 +222,11 @@ def _first_relation(docs: DataFrame, words: DataFrame, n: int, near: bool) -> Da
         for r in words.select("lang", "word", "gid").toLocalIterator():
             ids[r["lang"]][bytes(r["word"])] = r["gid"]
         held = spark.sparkContext.broadcast(dict(ids))
-        return _texts(docs).mapInArrow(lambda batches: _relation_near(held.value)(batches), "pos array<int>, value array<long>").withColumnRenamed("value", "gid")
+        return _texts(docs).mapInArrow(lambda batches: _relation_near(held.value)(batches), "pos array<int>, value array<int>").withColumnRenamed("value", "gid")
     each = _texts(docs).mapInArrow(_relation_far, "pos array<int>, value array<binary>").withColumn("block", F.monotonically_increasing_id())
     each = each.select("block", F.explode(F.arrays_zip("pos", "value")).alias("o")).select("block", "o.pos", F.col("o.value").alias("key"))
     keyed = words.select(F.concat(F.col("lang").cast("binary"), F.lit(b"\n"), F.col("word")).alias("key"), "gid")
-    return _regrouped(each.join(keyed, "key").select("block", "pos", "gid"))
+    return _regrouped(each.join(keyed, "key").select("block", "pos", F.col("gid").cast("int").alias("gid")))
 
 
 def _next_relation(relation: DataFrame, groups: DataFrame, near: bool) -> DataFrame:
@@ -225,12 +235,12 @@ def _next_relation(relation: DataFrame, groups: DataFrame, near: bool) -> DataFr
         table = groups.select("a", "b", "gid").toPandas()
         key = _packed(table["a"].to_numpy(np.int64), table["b"].to_numpy(np.int64))
         order = np.argsort(key)
-        held = spark.sparkContext.broadcast((key[order], table["gid"].to_numpy(np.int64)[order]))
+        held = spark.sparkContext.broadcast((key[order], table["gid"].to_numpy(np.int32)[order]))
         return relation.mapInArrow(lambda batches: _extended(*held.value)(batches), RELATION).where("size(pos) > 0")
     each = relation.withColumn("block", F.monotonically_increasing_id())
-    after = F.transform(F.sequence(F.lit(1), F.size("pos") - 1), lambda i: F.struct(F.get("pos", i - 1).alias("pos"), F.get("pos", i).alias("to"), F.get("gid", i - 1).alias("a"), F.get("gid", i).alias("b")))
+    after = F.transform(F.sequence(F.lit(1), F.size("pos") - 1), lambda i: F.struct(F.get("pos", i - 1).alias("pos"), F.get("pos", i).alias("to"), F.get("gid", i - 1).cast("long").alias("a"), F.get("gid", i).cast("long").alias("b")))
     side = each.where("size(pos) > 1").select("block", F.explode(after).alias("o")).select("block", "o.*").where("to = pos + 1")
-    return _regrouped(side.join(groups.select("a", "b", "gid"), ["a", "b"]).select("block", "pos", "gid"))
+    return _regrouped(side.join(groups.select("a", "b", "gid"), ["a", "b"]).select("block", "pos", F.col("gid").cast("int").alias("gid")))
 
 
 def levels(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, max_broadcast: int = MAX_BROADCAST) -> tuple[DataFrame, list[DataFrame]]:
