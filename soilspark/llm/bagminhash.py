@@ -61,6 +61,17 @@ def multisets(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, n
     return (key >> np.uint64(ELEMENT_BITS)).astype(np.int64), key & np.uint64((1 << ELEMENT_BITS) - 1), count
 
 
+def multisets_of(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``multisets`` of any number of texts, a chunk's words at a time."""
+    parts = []
+    for a, z in chunks(texts):
+        doc, element, count = multisets(Words(texts.slice(a, z - a)), k)
+        parts.append(((doc + a).astype(np.int32), element, count.astype(np.int32)))
+    if not parts:
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
 def signatures(doc: np.ndarray, element: np.ndarray, count: np.ndarray, n_docs: int, components: int = COMPONENTS) -> np.ndarray:
     """The earliest time of each component, ``n_docs`` x ``components``; infinite for a document without elements."""
     parts = [(doc, element, np.zeros(len(doc), dtype=np.uint64), np.ones(len(doc)), np.ones(len(doc)))]
@@ -274,7 +285,7 @@ def _alike(group: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
 
 def overlaps(texts: pa.Array, k: int = SHINGLE) -> np.ndarray:
     """The exact weighted Jaccard similarity of each two texts."""
-    doc, element, count = multisets(Words(texts), k)
+    doc, element, count = multisets_of(texts, k)
     total = np.bincount(doc, weights=count, minlength=len(texts))
     copies = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)  # a shingle's second copy is an element of its own
     doc, element = np.repeat(doc, count), mix64(np.repeat(element, count) + mix64(copies.astype(np.uint64)))

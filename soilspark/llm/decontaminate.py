@@ -61,8 +61,8 @@ def _document_tokens(docs: DataFrame, lengths: list[int]) -> DataFrame:
     return turned.select("doc_id", "words", "pos", *([F.lit(0).alias("kind"), tokens[0].alias("token")] if len(tokens) == 1 else [each]))
 
 
-def _found(docs: DataFrame, windows: DataFrame, max_broadcast: int) -> DataFrame:
-    """doc_id, start, length, key: each occurrence of each of the ``windows`` (key, win; distinct), and n_words alone for each row of ``docs``."""
+def _found(docs: DataFrame, windows: DataFrame, window: int, max_broadcast: int) -> DataFrame:
+    """doc_id, start, length, key: each occurrence of each of the ``windows`` (key, win; distinct, of at most ``window`` words), and n_words alone for each row of ``docs``."""
     n = windows.count()
     near = F.broadcast if n <= max_broadcast else lambda df: df
     counted = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("string").alias("key"))
@@ -84,8 +84,8 @@ def _found(docs: DataFrame, windows: DataFrame, max_broadcast: int) -> DataFrame
         own = F.col("key").isNull() & (F.col("kind") == 0) & (F.col("pos") == F.size("words"))
         both = seen.join(F.broadcast(prefix), fits, "left").where(own | F.col("key").isNotNull())
         return both.select("doc_id", F.when(own, F.size("words")).cast("long").alias("n_words"), start.alias("start"), F.when(~own, length).alias("length"), "key")
-    begin = F.greatest(F.col("pos") - (WINDOW - 1), F.lit(0))
-    around = seen.where("doc_id is not null").select("doc_id", "pos", "token", begin.alias("begin"), F.slice("words", begin + 1, 2 * WINDOW - 1).alias("around"))
+    begin = F.greatest(F.col("pos") - (window - 1), F.lit(0))
+    around = seen.where("doc_id is not null").select("doc_id", "pos", "token", begin.alias("begin"), F.slice("words", begin + 1, 2 * window - 1).alias("around"))
     first = start - F.col("begin")
     held = F.slice("around", F.greatest(first, F.lit(0)) + 1, length)
     hits = around.join(prefix, (around["token"] == prefix["token"]) & (first >= 0) & (held == F.col("win")))
@@ -96,7 +96,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """A row for each row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     windows = stored(item_windows(benchmark, window), "windows")
     docs = docs.select("doc_id", "text")
-    found = stored(_found(docs, windows.groupBy("key").agg(F.first("win").alias("win")), max_broadcast_windows), "found")
+    found = stored(_found(docs, windows.groupBy("key").agg(F.first("win").alias("win")), window, max_broadcast_windows), "found")
     hits = found.where("key is not null and doc_id is not null")
     before = Window.partitionBy("doc_id").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("length")
@@ -119,7 +119,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """The rows of ``docs`` without any hit, all columns as they are. Rows that share a doc_id go together; rows without id stay."""
     windows = stored(item_windows(benchmark, window), "windows")
-    found = _found(docs.select("doc_id", "text"), windows.groupBy("key").agg(F.first("win").alias("win")), max_broadcast_windows)
+    found = _found(docs.select("doc_id", "text"), windows.groupBy("key").agg(F.first("win").alias("win")), window, max_broadcast_windows)
     bad = stored(found.where("key is not null and doc_id is not null").select("doc_id").distinct(), "contaminated")
     return docs.join(_near(bad, MAX_BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
 

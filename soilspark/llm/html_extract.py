@@ -9,7 +9,8 @@ so there all of them cost next to nothing.
 
 Elements that are never content (menus, forms, scripts, notices ...), by name or by the words of their
 class, id or role, are passed over inside and outside the region: neither their texts nor their tags score. An element of this kind that is never
-closed ends at the next block; one that holds the page's article is passed over as little as the article.
+closed ends at the next block; one that holds the page's article is passed over as little as the article. A header element is one of them
+wherever it stands, so a title inside an article's own header is left out.
 """
 
 from __future__ import annotations
@@ -35,10 +36,14 @@ INSIDE = -0.01  # of a word's weight: what a tag costs that stands in articles o
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 NEVER_CONTENT = set("aside button canvas datalist dialog footer form head header iframe menu nav noscript object option script select style svg template textarea title".split())
+# of a class: hints that count as its first or last part, and those that as its first part may name what a text is about
 HINTS = set(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer masthead menu menubar nav navbar navigation newsletter "
-    "notice notification pagination pager popup promo promotion promoted related replies reply share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
+    "pagination pager popup promo related sidebar sponsor sponsored subscribe toolbar widget".split()
 )
+LAST_HINTS = set("notice notification promotion promoted replies reply share sharing social".split())
+AD_HOLDERS = set("banner block box container frame sense slot space spot unit wrap wrapper zone".split())  # after ad, in one word
+ABOUT = set("active article closed free layout open page policy recipe recipes story".split())  # last parts that make more of a first part than a hint
 COMMENTS = set("comment comments disqus replies reply".split())
 # of a class: what only says that something is held, and what says how a page looks
 HOLDERS = set("area bar block body box btn button buttons container content count form group head header holder icons inner item items link links list panel row section text title wrap wrapper".split())
@@ -46,30 +51,66 @@ STATES = set("has hide is no not show with without".split())
 NEVER_SKIPPED = set("html body article main".split())
 ROLES = set("banner navigation complementary contentinfo search form menu menubar toolbar alert dialog".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-z][^\s/>]*)(?P<rest2>[^>]*)>",
-    re.I | re.S,
-)
+_OPENS = re.compile(r"<(?=[a-z/!?])", re.I)
+_NAME = re.compile(r"<(/?)([a-z][^\s/>]*)", re.I)
+_STOP = re.compile(r"[>\"']")
+_RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
 _MARKED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_PARTS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+
+
+def _closing(page: str, at: int, dead: set[int]) -> int:
+    """Where the tag whose attributes begin at ``at`` ends: the next ``>`` outside quotes, or if there is none the next one at all; one is there.
+
+    ``dead`` are quotes from which no such end was found before, so that no part of a page is gone through again and again.
+    """
+    here, seen = at, []
+    while (stop := _STOP.search(page, here)) is not None:
+        if stop[0] == ">":
+            return stop.start()
+        if stop.start() in dead:
+            break
+        seen.append(stop.start())
+        here = page.find(stop[0], stop.end()) + 1
+        if not here:
+            break
+    dead.update(seen)
+    return page.find(">", at)
 
 
 def tokens(page: str) -> list[tuple[str, str, bool]]:
     """(name, text or attributes, opens): a tag's name with ``/`` before it if it closes, or ``""`` and a text. Comments, scripts and styles are left out."""
     out: list[tuple[str, str, bool]] = []
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            out.append(("", page[at : m.start()], False))
-        at = m.end()
-        name = m["name"] or m["name2"]
-        if name:
-            closes = bool(m["end"] or m["end2"])
-            rest = m["rest"] if m["name"] else m["rest2"]
-            out.append(("/" * closes + name.lower(), rest, not closes and not rest.endswith("/") and name.lower() not in VOID))
+    at, last, dead = 0, page.rfind(">"), set()
+    look = 0
+    while (m := _OPENS.search(page, look)) is not None:
+        begin = m.start()
+        tag = _NAME.match(page, begin)
+        name = tag[2].lower() if tag else ""
+        if page.startswith("<!--", begin):
+            to = page.find("-->", begin + 4) + 3
+            to, found = (to if to > 2 else len(page)), ("!", "", False)
+        elif begin > last:  # no tag ends any more
+            look = page.find("<!--", begin)
+            if look < 0:
+                break
+            continue
+        elif tag is None:
+            if page[begin + 1] == "/":
+                look = begin + 1
+                continue
+            to, found = page.find(">", begin) + 1, ("!", "", False)
+        elif name in _RAW and not tag[1]:
+            to = page.find(">", tag.end())
+            to, found = (m.end() if (m := _RAW[name].search(page, to)) else len(page)), ("!", "", False)
         else:
-            out.append(("!", "", False))
+            end = _closing(page, tag.end(), dead)
+            rest = page[tag.end() : end]
+            to, found = end + 1, (tag[1] + name, rest, not tag[1] and not rest.endswith("/") and name not in VOID)
+        if begin > at:
+            out.append(("", page[at:begin], False))
+        out.append(found)
+        at = look = to
     if at < len(page):
         out.append(("", page[at:], False))
     return out
@@ -78,18 +119,26 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
 def _kind(attributes: str) -> str:
     """``comments`` or ``other`` if a class, id or role names something that is never content, else nothing.
 
-    Of a class or id like ``site-footer`` or ``share-buttons`` the last part has to be a hint, or the first one before a part that only says what holds it;
-    ``share-price`` and ``has-sidebar`` name neither.
+    Of a class or id like ``site-footer``, ``ad-slot`` or ``relatedPosts`` the first or last part has to be a hint; ``cookie-recipe`` (``ABOUT``), ``share-price``
+    (``LAST_HINTS``: as a first part a hint only before a part that says what holds it, like ``share-buttons``) and ``has-sidebar`` (``STATES``) name none.
     """
     found = ""
     for m in _MARKED.finditer(attributes):
-        for token in (m[2] or m[3] or m[4] or "").lower().split():
-            words = _PARTS.findall(token)
+        for token in (m[2] or m[3] or m[4] or "").split():
+            words = [w.lower() for w in _PARTS.findall(token)]
+            if not words:
+                continue
+            first, last = words[0], words[-1]
             if m[1].lower() == "role":
-                hint = words[0] if words and words[0] in ROLES else ""
+                hint = first if first in ROLES else ""
+            elif first in STATES:
+                hint = ""
+            elif last in HINTS or last in LAST_HINTS:
+                hint = last
+            elif first in HINTS and last not in ABOUT or first in LAST_HINTS and last in HOLDERS:
+                hint = first
             else:
-                ends = [words[-1], words[0] if words[-1] in HOLDERS else ""] if words and words[0] not in STATES else []
-                hint = next((w for w in ends if w in HINTS), "")
+                hint = "ad" if first.startswith("ad") and first[2:] in AD_HOLDERS else ""
             if hint in COMMENTS:
                 return "comments"
             found = found or ("other" if hint else "")
