@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from soilspark.functions import vg
 from soilspark.operators import metrics
+from soilspark.operators.quantiles import quantiles
 
 
 def side_by_side(sources: dict[str, DataFrame], by: list[str], params: list[str]) -> DataFrame:
@@ -30,14 +31,14 @@ def distributions(sources: dict[str, DataFrame], by: list[str], value: str) -> D
     for name, df in sources.items():
         one = df.select(F.lit(name).alias("source"), *by, value)
         out = one if out is None else out.unionByName(one)
-    q = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    got = out.where(F.col(value).isNotNull()).groupBy("source", *by).agg(F.count("*").alias("n"), q.alias("q"))
+    got = quantiles(out, ["source", *by], value, [0.1, 0.5, 0.9])
     return got.select("source", *by, "n", *[F.get("q", F.lit(k)).alias(c) for k, c in enumerate(("p10", "p50", "p90"))])
 
 
 def influence(params: DataFrame, name: str, points: int = 100, decades: float = 5.0) -> DataFrame:
     """(stat, i, psi, theta): the curve at ``points`` suctions with one parameter at its mean and its 10, 50 and 90 % quantiles, the others at their means."""
-    stats = params.agg(*[F.avg(p).alias(p) for p in vg.PARAMS], F.percentile(name, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("__q"))
+    means = params.agg(*[F.avg(p).alias(p) for p in vg.PARAMS])
+    stats = means.crossJoin(quantiles(params, [], name, [0.1, 0.5, 0.9]).select(F.col("q").alias("__q")))  # a row each
     options = F.array(F.struct(F.lit("mean").alias("stat"), F.col(name).alias("v")), *[F.struct(F.lit(s).alias("stat"), F.get("__q", F.lit(k)).alias("v")) for k, s in enumerate(("p10", "p50", "p90"))])
     rows = stats.select(*[p for p in vg.PARAMS if p != name], F.inline(options)).withColumnRenamed("v", name)
     rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("psi", F.pow(F.lit(10.0), F.col("i") * decades / (points - 1)))

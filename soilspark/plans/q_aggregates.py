@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soilspark.operators import aggregates, metrics
+from soilspark.operators.quantiles import quantiles
 from soilspark.operators.series import season
 from soilspark.plans.catalog import Tables, query
 
@@ -50,8 +51,7 @@ def extents_and_spread(t: Tables) -> DataFrame:
 
 @query("""SELECT l_linenumber, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY l_linenumber""")
 def quantiles_linear(t: Tables) -> DataFrame:
-    q = F.percentile("l_extendedprice", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return t.lineitem.groupBy("l_linenumber").agg(q.alias("q")).select("l_linenumber", *[F.round(F.get("q", F.lit(k)), 4).alias(n) for k, n in enumerate(("p10", "p50", "p90"))])
+    return quantiles(t.lineitem, ["l_linenumber"], "l_extendedprice", [0.1, 0.5, 0.9]).select("l_linenumber", *[F.round(F.get("q", F.lit(k)), 4).alias(n) for k, n in enumerate(("p10", "p50", "p90"))])
 
 
 @query("""WITH m AS (SELECT p_type, p_size, row_number() OVER (PARTITION BY p_type ORDER BY count(*) DESC, p_size) AS r FROM part WHERE p_partkey % 5 <> 0 GROUP BY p_type, p_size)

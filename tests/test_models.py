@@ -201,3 +201,27 @@ def test_forests_by_level(spark, grid_rows):
     assert sorted(forests) == [1, 2]
     got = vector_forest.inferred_levels(forests, df, "level")
     assert got.count() == df.where("level < 3").count() and got.where("p_pred is null").count() == 0
+
+
+@pytest.mark.parametrize("bins", [32, 4096])
+def test_quantiles_by_refinement_equal_sorting(spark, bins):
+    from soilspark.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(bins)
+    groups = {
+        "normal": rng.standard_normal(700), "ties": rng.integers(0, 3, 500).astype(float), "one": np.array([4.5]), "two": np.array([1.0, 2.0]), "equal": np.full(50, -7.25), "wide": np.array([-1.7e308, 1.7e308, 0.0, 1.0, 5e-324, 2.0]),
+        "steep": 10.0 ** rng.uniform(-250, 250, 20), None: rng.exponential(size=90),
+    }
+    rows = [(k, float(v), 1) for k, x in groups.items() for v in x] + [("normal", None, 1), ("normal", float("nan"), 1), ("none", None, 1)]
+    df = spark.createDataFrame(rows, "g string, v double, n int").repartition(3)
+    probs = [0.0, 0.025, 0.1, 0.5, 0.9, 1.0]
+    got = {r["g"]: (r["n"], r["q"]) for r in quantiles(df, ["g"], "v", probs, bins).collect()}
+    assert set(got) == set(groups)
+    for k, x in groups.items():
+        assert got[k][0] == len(x)
+        if k != "wide":
+            assert got[k][1] == pytest.approx(np.quantile(x, probs).tolist(), rel=1e-12)
+    assert [got["wide"][1][k] for k in (0, 5)] == [-1.7e308, 1.7e308]
+    whole = np.concatenate([x for k, x in groups.items() if k != "wide"])
+    assert quantiles(df.where("g is null or g <> 'wide'"), [], "v", probs, bins).first()["q"] == pytest.approx(np.quantile(whole, probs).tolist(), rel=1e-9)
+    assert quantiles(df.limit(0), ["g"], "v", probs).count() == 0
