@@ -9,7 +9,7 @@ from soilspark.functions import clean, depth
 from soilspark.plans import site
 from soilspark.plans.catalog import Tables, query
 from soilspark.plans.q_scalars import ALBERS, EDGES, RINGS, _points
-from soilspark.sources import files, scratch, sinks
+from soilspark.sources import files, scratch, sinks, state
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders")
@@ -57,13 +57,23 @@ def folder_for_each_group(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path)
 
 
-@query("SELECT 'part-' || r_regionkey AS key, r_regionkey FROM region")
+@query("SELECT 'customer-' || c_nationkey AS key, c_custkey FROM customer")
 def file_name_as_key(t: Tables) -> DataFrame:
+    """Files of names of their own: the name without ending is the key of each row."""
     path = scratch.folder(t.spark, "named")
-    rows = t.region.select("r_regionkey", F.concat(F.lit("part-"), "r_regionkey").alias("name"))
-    sinks.by_group(rows, "name", path, "csv")
-    back = files.csv(t.spark, path, "r_regionkey int, name string")
-    return back.select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder"), "r_regionkey").select(F.element_at(F.split("folder", "="), 2).alias("key"), "r_regionkey")
+    sinks.named_files(t.customer.select(F.concat(F.lit("customer-"), "c_nationkey").alias("name"), "c_custkey"), "name", path)
+    return files.keyed_by_name(files.csv(t.spark, path, "c_custkey long"), "key").select("key", "c_custkey")
+
+
+@query("""SELECT user_id, CAST(ts AS DATE) AS date, round(avg(value), 6) AS theta, count(value) AS n FROM events GROUP BY ALL""")
+def stored_daily_states(t: Tables) -> DataFrame:
+    """Records that come in three batches, one of them twice, merged into a stored state."""
+    root, by = scratch.folder(t.spark, "state"), ["user_id", "date"]
+    rows = t.events.select("user_id", F.to_date("ts").alias("date"), F.col("value").alias("theta"), (F.col("event_id") % 3).alias("part"))
+    for k in (2, 0, 2, 1):
+        state.merge(sinks.daily_state(rows.where(F.col("part") == k), by, ["theta"]), root, by, batch=f"part-{k}", buckets=8)
+    back = state.read(t.spark, root)
+    return sinks.state_means(back, by).join(back.select(*by, F.col("theta_n").alias("n")), by).select(*by, F.round("theta", 6).alias("theta"), "n")
 
 
 @query("""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS date, sum(value) AS s, count(value) AS n, sum(value) FILTER (event_id % 3 = 1) AS s2, count(value) FILTER (event_id % 3 = 1) AS n2 FROM events GROUP BY ALL)
@@ -89,14 +99,14 @@ def geojson_points(t: Tables) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT 'p/' || p_partkey AS path, CASE p_partkey % 3 WHEN 0 THEN 'u' || p_partkey WHEN 1 THEN 'u' || (p_partkey // 2) || '_' || p_size ELSE 'x-u' || p_partkey || '-y' END AS name FROM part),
-i AS (SELECT 'u' || p_partkey AS id FROM part WHERE p_partkey <= 100), b AS (SELECT id, path, name, CASE WHEN name = id THEN 1 WHEN starts_with(name, id || '_') THEN 2 WHEN contains(name, id) THEN 3 END AS r FROM i JOIN f ON contains(name, id))
+i AS (SELECT 'u' || p_partkey AS id FROM part), b AS (SELECT id, path, name, CASE WHEN name = id THEN 1 WHEN starts_with(name, id || '_') THEN 2 WHEN contains(name, id) THEN 3 END AS r FROM i JOIN f ON contains(name, id))
 SELECT id, arg_min(path, r || name) AS path FROM b WHERE r < 3 GROUP BY id UNION ALL SELECT id, arg_min(path, name) FROM b WHERE id NOT IN (SELECT id FROM b WHERE r < 3) GROUP BY id
 UNION ALL SELECT id, NULL FROM i WHERE id NOT IN (SELECT id FROM b)""")
 def file_of_each_id(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
     name = F.when(k % 3 == 0, F.concat(F.lit("u"), k)).when(k % 3 == 1, F.concat(F.lit("u"), F.floor(k / 2), F.lit("_"), "p_size")).otherwise(F.concat(F.lit("x-u"), k, F.lit("-y")))
     found = t.part.select(F.concat(F.lit("p/"), k).alias("path"), name.alias("name"))
-    return files.for_ids(t.part.where("p_partkey <= 100").select(F.concat(F.lit("u"), k).alias("id")), found, "id")
+    return files.for_ids(t.part.select(F.concat(F.lit("u"), k).alias("id")), found, "id")
 
 
 @query("SELECT 'm_r2=' || (p_partkey % 97) || '.' || (p_partkey % 10) AS name, ((p_partkey % 97) || '.' || (p_partkey % 10))::DOUBLE AS score FROM part ORDER BY score DESC, p_partkey DESC LIMIT 1")

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from soilspark.functions import clean
 from soilspark.operators import joins, reshape
+from soilspark.sources.scratch import kept
 
 FIT_DOCUMENT = (
     "map<string, struct<status: string, n_obs: int, chi_squared: double, reduced_chi_squared: double, aic: double, bic: double, "
     "parameters: map<string, struct<value: double, stderr: double, q025: double, q975: double>>, data: struct<suction_cm: array<double>, theta: array<double>>>>"
 )
-MAX_COMPARED = 10_000_000
+GRAM = 4  # characters of the pieces by which ids are looked for in names
 METADATA = "struct<metadata: map<string, map<string, string>>>"
 
 
@@ -55,9 +56,14 @@ def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]+)?$", 1)
 
 
+def decoded(name: Column) -> Column:
+    """A file's name as it was given; Spark tells it as part of a URI."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def keyed_by_name(df: DataFrame, key: str, first: bool = False, order: str | None = None) -> DataFrame:
     """The file's name without ending as a column; ``first`` keeps one row of each file."""
-    out = df.select("*", file_stem(F.col("_metadata.file_name")).alias(key))
+    out = df.select("*", file_stem(decoded(F.col("_metadata.file_name"))).alias(key))
     return joins.first_row(out, [key], [order]) if first else out
 
 
@@ -67,7 +73,7 @@ def fit_documents(spark: SparkSession, path: str, key: str = "profile_id") -> Da
     The id is the metadata's ``key``, else its station, else its profile_id, else the file's name. Keys that are not numbers are passed over;
     without observations data_ct is -9999; infinite values are null.
     """
-    text = spark.read.option("wholetext", True).text(path).select("value", file_stem(F.col("_metadata.file_name")).alias("__name"))
+    text = spark.read.option("wholetext", True).text(path).select("value", file_stem(decoded(F.col("_metadata.file_name"))).alias("__name"))
     fit = text.select("__name", F.from_json("value", METADATA)["metadata"].alias("__m"), F.explode(F.map_entries(F.from_json("value", FIT_DOCUMENT))).alias("e"))
     fit = fit.withColumn("depth_cm", F.expr("try_cast(e.key AS double)")).where("depth_cm is not null and e.value.status = 'Success'")
     meta = F.try_element_at(F.col("__m"), F.col("e.key"))
@@ -107,20 +113,36 @@ def candidates(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
 def for_ids(ids: DataFrame, files: DataFrame, key: str) -> DataFrame:
     """Each id with the file that is named as it, else the first that begins with it and ``_``, else the first that holds it, else null.
 
-    The first two are joins on the beginnings of names. Only ids that these leave are looked for within names, which compares each with every file: more than
-    ``MAX_COMPARED`` such comparisons are an error, and ids then have to be told from names by a rule of their own.
+    The first two are joins on the beginnings of names. Ids that these leave are looked for within names by an index: a string that holds an id holds the
+    id's pieces of ``GRAM`` characters, so the id meets only the names that hold its rarest one. Null ids are passed over; an empty id is in every name.
     """
     parts = F.split("name", "_")
     begins = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "_"))
     named = files.select("path", "name", F.explode(begins).alias(key))
-    first = F.min_by("path", F.struct(F.col("name") != F.col(key), "name")).alias("path")
-    found = ids.select(key).distinct().join(named, key, "left").groupBy(key).agg(first)
+    first = F.min_by("path", F.struct(F.col("name") != F.col(key), "name", "path")).alias("path")
+    found = kept(ids.select(F.col(key).cast("string").alias(key)).where(F.col(key).isNotNull()).distinct().join(named, key, "left").groupBy(key).agg(first), "named")
     rest = found.where("path is null").select(key)
-    n, m = rest.count(), files.count()
-    if n * m > MAX_COMPARED:
-        raise ValueError(f"{n} ids without a file of their name and {m} files")
-    held = rest.join(F.broadcast(files), F.col("name").contains(F.col(key)), "left").groupBy(key).agg(F.min_by("path", "name").alias("path"))
-    return found.where("path is not null").unionByName(held)
+    return found.where("path is not null").unionByName(_within(rest, files, key))
+
+
+def grams(text: Column, size: Column | int) -> Column:
+    """All different pieces of ``size`` characters."""
+    last = F.char_length(text) - size + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda k: F.substr(text, k, F.lit(size) if isinstance(size, int) else size)))).otherwise(F.array())
+
+
+def _within(ids: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """Each id with the first file whose name holds it, else null."""
+    size = F.least(F.char_length(key), F.lit(GRAM))
+    of_ids = ids.where(F.char_length(key) > 0).select(key, F.explode(grams(F.col(key), size)).alias("gram"))
+    wanted = kept(of_ids, "grams-of-ids")
+    held = files.select("path", "name", F.explode(F.flatten(F.array(*[grams(F.col("name"), k) for k in range(1, GRAM + 1)]))).alias("gram"))
+    held = held.join(wanted.select("gram").distinct(), "gram", "left_semi")  # of the few kinds that ids have
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = wanted.join(counts, "gram", "left").groupBy(key).agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    met = held.join(rarest, "gram").where(F.col("name").contains(F.col(key))).groupBy(key).agg(F.min_by("path", F.struct("name", "path")).alias("path"))
+    least = files.agg(F.min_by("path", F.struct("name", "path")).alias("least"))
+    return ids.join(met, key, "left").join(F.broadcast(least)).select(key, F.when(F.char_length(key) == 0, F.col("least")).otherwise(F.col("path")).alias("path"))
 
 
 def tower_site(name: Column) -> Column:
