@@ -67,32 +67,33 @@ def _by_bucket(t: np.ndarray, up: np.ndarray, lms: np.ndarray, k: int) -> np.nda
 
 def _one_by_one(t: np.ndarray, up: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
     """The same, for many symbols."""
+    n = len(t)
     sizes = np.bincount(t, minlength=k)
     ends = np.cumsum(sizes)
-    text, is_up, n = t.tolist(), up.tolist(), len(t)
+    # of each suffix the symbol of the one before it in the text, if that one is to be induced; an entry more, for places not filled yet (-1)
+    lower, upper = (np.concatenate([[-1], np.where(kind, t, -1)[:-1], [-1]]).tolist() for kind in (~up, up))
     out = [-1] * n
     tail = ends.tolist()
-    for p in lms[::-1].tolist():
-        c = text[p]
+    for p, c in zip(lms[::-1].tolist(), t[lms[::-1]].tolist(), strict=True):
         tail[c] -= 1
         out[tail[c]] = p
     head = (ends - sizes).tolist()
-    c = text[n - 1]
+    c = int(t[-1])
     out[head[c]] = n - 1
     head[c] += 1
-    for i in range(n):
-        p = out[i] - 1
-        if p >= 0 and not is_up[p]:
-            c = text[p]
-            out[head[c]] = p
-            head[c] += 1
+    for p in out:  # places are filled ahead of where they are read
+        c = lower[p]
+        if c >= 0:
+            at = head[c]
+            out[at] = p - 1
+            head[c] = at + 1
     tail = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        p = out[i] - 1
-        if p >= 0 and is_up[p]:
-            c = text[p]
-            tail[c] -= 1
-            out[tail[c]] = p
+    for p in reversed(out):
+        c = upper[p]
+        if c >= 0:
+            at = tail[c] - 1
+            out[at] = p - 1
+            tail[c] = at
     return np.array(out, dtype=np.int64)
 
 
