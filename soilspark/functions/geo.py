@@ -124,3 +124,8 @@ def class_lines(spark: SparkSession) -> DataFrame:
     df = spark.createDataFrame(rows, "system string, line int, s0 double, c0 double, s1 double, c1 double")
     (x0, y0), (x1, y1) = ternary(F.col("s0"), F.col("c0")), ternary(F.col("s1"), F.col("c1"))
     return df.select("system", "line", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+
+
+def side_of(x: Column, y: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """1 left of the line from (x0, y0) to (x1, y1), -1 right of it, 0 on it (to a millionth)."""
+    return F.signum(F.round((x1 - x0) * (y - y0) - (y1 - y0) * (x - x0), 6)).cast("int")

@@ -120,9 +120,9 @@ def dated_columns(df: DataFrame, ids: list[str], pattern: str = r"(.+)_(\d{8})$"
 
 
 def masked_positions(length: int, share: float, kind: str, key: Column, seed: int = 42) -> Column:
-    """array<boolean>: hidden positions of a series, drawn by hash and so the same everywhere. speckled: single ones; patch: one run; end: the last ones; mixed: by key one of these."""
+    """array<boolean>: hidden positions of a series, drawn by MD5 of key, seed and place and so the same everywhere. speckled: single ones; patch: one run; end: the last ones; mixed: by key one of these."""
     n = max(1, round(length * share))
-    draw = lambda *x: F.pmod(F.xxhash64(key, F.lit(seed), *x), F.lit(1_000_000))
+    draw = lambda *x: F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)), *[v.cast("string") for v in x])), 1, 12), 16, 10).cast("long") % 1_000_000
     pos = F.sequence(F.lit(0), F.lit(length - 1))
     begin = F.floor(draw(F.lit("p")) * (length - n + 1) / 1_000_000)
     speckled = F.transform(pos, lambda i: draw(i) < int(share * 1_000_000))

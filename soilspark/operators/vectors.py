@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +35,82 @@ def cosine_pairs(df: DataFrame, key: str, vector: str, by: str, every: int = 50,
     held = rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).alias("b")
     both = asked.join(held, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.block") == F.col("b.block")) & (F.col(f"a.{key}") != F.col(f"b.{key}")))
     return both.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), F.try_divide(dot(F.col(f"a.{vector}"), F.col(f"b.{vector}")), F.col("a.norm") * F.col("b.norm")).alias("cosine"))
+
+
+SIDE = 512  # vectors of a block
+
+
+def _rows(column: pa.ListArray) -> np.ndarray:
+    """Unit vectors, row by row; a vector of length 0 stays."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    x = flat.reshape(len(column), -1)
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-12)[:, None]
+
+
+def contrastive(df: DataFrame, batch: str, key: str, vector: str, label: str, temperature: float = 0.1, side: int = SIDE) -> DataFrame:
+    """(batch, loss, n): over the ``n`` vectors of a batch that share their label with another one the mean of minus the logarithm of what those of its label weigh among all others of the batch.
+    A vector weighs the exponential of its cosine over ``temperature``.
+
+    Vectors are dealt to blocks of about ``side`` by their key, and each block meets each other one as two matrices; of a meeting only the sums of each vector are kept, as a largest exponent and
+    a sum relative to it, so nothing overflows and no pair becomes a row. The work grows with the square of a batch, as its pairs do. All vectors are of one length; rows with a null are passed over.
+    """
+    rows = df.select(batch, F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), F.col(label).cast("string").alias("label")).na.drop("any")
+    sizes = rows.groupBy(batch).agg(F.ceil(F.count("*") / side).cast("int").alias("blocks"))
+    own = rows.join(sizes, batch).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    met = own.select(batch, "own", "key", "vector", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    both = met.select(batch, "key", "vector", "label", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("left")).unionByName(met.select(batch, "key", "vector", "label", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("left")))
+    kinds = {f.name: f.dataType.simpleString() for f in both.select(batch, "key").schema.fields}
+
+    def work(group: pa.Table) -> pa.Table:
+        left = group.column("left").to_numpy()
+        labels = np.array(group.column("label").to_pylist(), dtype=object)
+        keys = group.column("key").to_numpy()
+        x = _rows(group.column("vector").combine_chunks())
+        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        s = x[a] @ x[b].T / temperature
+        s[keys[a][:, None] == keys[b][None, :]] = -np.inf  # itself
+        kin = labels[a][:, None] == labels[b][None, :]
+        out = {batch: group.column(batch).take(pa.array(a)), "key": pa.array(keys[a])}
+        for name, held in (("all", s), ("kin", np.where(kin, s, -np.inf))):
+            top = held.max(axis=1, initial=-np.inf)
+            out[f"{name}_top"] = pa.array(top)
+            out[f"{name}_sum"] = pa.array(np.where(np.isfinite(top), np.exp(held - np.where(np.isfinite(top), top, 0)[:, None]).sum(axis=1), 0.0))
+        return pa.table(out)
+
+    sums = both.groupBy(batch, "i", "j").applyInArrow(work, f"{batch} {kinds[batch]}, key {kinds['key']}, all_top double, all_sum double, kin_top double, kin_sum double")
+    tops = sums.groupBy(batch, "key").agg(F.max("all_top").alias("all_most"), F.max("kin_top").alias("kin_most"))
+    grown = sums.join(tops, [batch, "key"])
+    part = lambda n: F.sum(F.when(F.col(f"{n}_sum") > 0, F.col(f"{n}_sum") * F.exp(F.col(f"{n}_top") - F.col(f"{n}_most"))).otherwise(0.0))
+    each = grown.groupBy(batch, "key", "all_most", "kin_most").agg(part("all").alias("a"), part("kin").alias("k")).where("k > 0")
+    return each.groupBy(batch).agg(F.avg(F.col("all_most") + F.log("a") - F.col("kin_most") - F.log("k")).alias("loss"), F.count("*").alias("n"))
+
+
+def alignment(df: DataFrame, batch: str, vector: str, other: str) -> DataFrame:
+    """(batch, loss): the mean squared difference, over all ordered pairs of different rows of a batch, of the cosines of their vectors and those of their other vectors.
+
+    Sums over pairs of squared products are sums of squares of the products of the matrices of vectors with themselves and each other, so each task adds up three small matrices and no pair is formed.
+    """
+    rows = df.select(batch, F.col(vector).cast("array<double>").alias("z"), F.col(other).cast("array<double>").alias("s")).na.drop("any")
+    kind = rows.schema[batch].dataType.simpleString()
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            names = b.column(batch)
+            for name in names.unique():
+                at = pa.array(np.flatnonzero([x == name for x in names]))
+                z, s = _rows(b.column("z").take(at)), _rows(b.column("s").take(at))
+                own = (z * z).sum(axis=1) - (s * s).sum(axis=1)  # what a row has with itself: 0 but for vectors of length 0
+                parts = [z.T @ z, z.T @ s, s.T @ s, np.array([[float(len(z)), float((own * own).sum())]])]
+                before = held.get(name.as_py())
+                held[name.as_py()] = parts if before is None else [p + q for p, q in zip(before, parts, strict=True)]
+        rows = [(name, k, p.ravel().tolist()) for name, parts in held.items() for k, p in enumerate(parts)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], names_type), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], [batch, "k", "m"])
+
+    names_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    cells = rows.mapInArrow(summed, f"{batch} {kind}, k int, m array<double>").select(batch, "k", F.posexplode("m").alias("at", "v"))
+    total = cells.groupBy(batch, "k", "at").agg(F.sum("v").alias("v"))
+    of = lambda k: F.sum(F.when(F.col("k") == k, F.col("v") * F.col("v")))
+    last = lambda at: F.sum(F.when((F.col("k") == 3) & (F.col("at") == at), F.col("v")))
+    sums = total.groupBy(batch).agg((of(0) - 2 * of(1) + of(2) - last(1)).alias("square"), last(0).alias("n"))
+    return sums.select(batch, F.try_divide("square", F.col("n") * (F.col("n") - 1)).alias("loss"))

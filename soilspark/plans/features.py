@@ -40,7 +40,7 @@ NAMED = {
     "WRB_PHASES": "WRB phases", "WRB2_CODE": "WRB2 soil code", "FAO90": "FAO 1990 soil unit", "KOPPEN": "K\u00f6ppen climate class", "TEXTURE_USDA": "USDA soil texture class",
     "REF_BULK_DENSITY": "Reference bulk density", "BULK_DENSITY": "Bulk density", "DRAINAGE": "Soil drainage class", "ROOT_DEPTH": "Rooting depth", "AWC": "Available water capacity",
 }
-# what a name looks like, its label, and how each of its parts (the groups) is shown
+# fixed values: what a name looks like, its label, and how each of its parts (the groups) is shown
 PATTERNS = [
     (r"^(B2|B3|B4|B5|B6|B7|B10|nd|nw|evi|gi)_(mean|stdDev)_(gs|[1234])$", "{} {} ({})", (BANDS, STATISTICS, QUARTERS)),
     (r"^(pr|eto|tmmn|tmmx|tmean)_(mean|stdDev)_(winter|spring|summer|autumn)$", "gridMET {} {} ({})", (CLIMATE, STATISTICS, {})),
@@ -55,7 +55,7 @@ PATTERNS = [
     (r"^ssurgo_(awc|clay|ksat|sand)$", "SSURGO {}", ({},)),
     (r"^(ppt|tmin|tmax|tmean|tdmean|vpdmin|vpdmax)$", "PRISM normals 1991\u20132020 {}", (NORMALS,)),
     (r"^embedding_0*(\d+)$", "Google Satellite Embedding {}", ({},)),
-    (r"^e0*(\d+)$", "Headwaters Hydrology Project Embedding {}", ({},)),
+    (r"^e0*(\d+)$", "Site embedding {}", ({},)),
     (r"^A0*(\d+)$", "AlphaEarth Foundations Satellite Embedding {}", ({},)),
 ]
 

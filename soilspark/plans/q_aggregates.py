@@ -146,3 +146,11 @@ def best_lag(t: Tables) -> DataFrame:
 @query("""SELECT floor(c_acctbal / 1000)::BIGINT AS zone, round(avg(c_acctbal), 6) AS mean, count(*) AS n FROM customer GROUP BY 1""")
 def zonal_mean(t: Tables) -> DataFrame:
     return t.customer.groupBy(F.floor(F.col("c_acctbal") / 1000).alias("zone")).agg(F.round(F.avg("c_acctbal"), 6).alias("mean"), F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT l_linenumber, l_quantity::DOUBLE AS v FROM lineitem WHERE l_quantity IS NOT NULL), s AS (SELECT l_linenumber, count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS h, min(v) AS lo, max(v) AS hi FROM r GROUP BY ALL),
+g AS (SELECT l_linenumber, n, h, i, lo - 3 * h + i * ((hi - lo + 6 * h) / 49) AS x FROM s, (SELECT unnest(range(50)) AS i) WHERE h > 0)
+SELECT g.l_linenumber, i::INTEGER AS i, round(x, 6) AS x, round(sum(exp(-0.5 * ((x - v) / h) ** 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 8) AS density FROM g JOIN r USING (l_linenumber) GROUP BY g.l_linenumber, i, x""")
+def kernel_densities(t: Tables) -> DataFrame:
+    out = aggregates.kernel_density(t.lineitem, ["l_linenumber"], "l_quantity", points=50)
+    return out.select("l_linenumber", "i", F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))

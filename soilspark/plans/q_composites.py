@@ -99,7 +99,7 @@ def band_harmonise(t: Tables) -> DataFrame:
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'NDVI ' || CASE WHEN p_partkey % 2 = 0 THEN 'mean' ELSE 'std dev' END || ' (Q' || (p_partkey % 4 + 1) || ')'
-WHEN 1 THEN 'SoilGrids bulk density std dev (' || p_size || '-200cm)' ELSE 'Headwaters Hydrology Project Embedding ' || p_size END AS label FROM part""")
+WHEN 1 THEN 'SoilGrids bulk density std dev (' || p_size || '-200cm)' ELSE 'Site embedding ' || p_size END AS label FROM part""")
 def feature_labels(t: Tables) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size").cast("string")
     index = F.concat(F.lit("nd_"), F.when(k % 2 == 0, "mean").otherwise("stdDev"), F.lit("_"), (k % 4 + 1).cast("string"))
@@ -115,10 +115,17 @@ def nearest_cell_series(t: Tables) -> DataFrame:
     return out.select("p_partkey", "date", F.round("c_acctbal", 4).alias("value"))
 
 
-@query("""SELECT vec_id, 64 AS n, 16 AS hidden FROM embeddings""")
+_DRAW = "CAST('0x' || substr(md5(vec_id || ':42:' || {}), 1, 12) AS BIGINT) % 1000000"
+
+
+@query(f"""WITH p AS (SELECT vec_id, {_DRAW.format("'k'")} % 3 AS kind, {_DRAW.format("'p'")} * 49 // 1000000 AS begin FROM embeddings),
+m AS (SELECT vec_id, kind, i, CASE kind WHEN 0 THEN {_DRAW.format("i")} < 250000 WHEN 1 THEN i >= begin AND i < begin + 16 ELSE i >= 48 END AS hidden FROM p, (SELECT unnest(range(64)) AS i))
+SELECT m.vec_id, i::INTEGER AS i, round(embedding[i + 1]::DOUBLE, 6) AS value FROM m JOIN embeddings USING (vec_id) WHERE hidden""")
 def mask_patches(t: Tables) -> DataFrame:
-    m = C.masked_positions(64, 0.25, "patch", F.col("vec_id"))
-    return t.embeddings.select("vec_id", F.size(m).alias("n"), F.size(F.filter(m, lambda x: x)).alias("hidden"))
+    """The places and values that masks of all three kinds hide of each vector's first 64."""
+    m = C.masked_positions(64, 0.25, "mixed", F.col("vec_id"))
+    rows = t.embeddings.select("vec_id", F.posexplode(m).alias("i", "hidden"), "embedding").where("hidden")
+    return rows.select("vec_id", "i", F.round(F.get("embedding", F.col("i")).cast("double"), 6).alias("value"))
 
 
 @query("""SELECT l_suppkey, round(avg(vv), 6) AS "VV_mean", round(stddev_pop(vv), 6) AS "VV_stdDev", round(avg(vh), 6) AS "VH_mean", round(stddev_pop(vh), 6) AS "VH_stdDev", round(avg(vh / vv), 6) AS "VH_VV_mean", round(stddev_pop(vh / vv), 6) AS "VH_VV_stdDev"

@@ -206,7 +206,43 @@ def buffer_select(t: Tables) -> DataFrame:
 LINES = ", ".join(f"('{s}', {k}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for s, lines in geo.CLASS_LINES.items() for k, (a, b) in enumerate(lines, 1))
 
 
-@query(f"""SELECT system, line, round(100 - s0 - c0 / 2.0, 6) AS x0, round(c0 * sqrt(3) / 2, 6) AS y0, round(100 - s1 - c1 / 2.0, 6) AS x1, round(c1 * sqrt(3) / 2, 6) AS y1
-FROM (SELECT system, line, s0::DOUBLE AS s0, c0::DOUBLE AS c0, s1::DOUBLE AS s1, c1::DOUBLE AS c1 FROM (VALUES {LINES}) AS v(system, line, s0, c0, s1, c1))""")
+@query(f"""WITH l AS (SELECT system, line, 100 - s0 - c0 / 2.0 AS x0, c0 * sqrt(3) / 2 AS y0, 100 - s1 - c1 / 2.0 AS x1, c1 * sqrt(3) / 2 AS y1
+FROM (SELECT system, line, s0::DOUBLE AS s0, c0::DOUBLE AS c0, s1::DOUBLE AS s1, c1::DOUBLE AS c1 FROM (VALUES {LINES}) AS v(system, line, s0, c0, s1, c1))),
+p AS (SELECT p_partkey, 100 - a - c / 2 AS x, c * sqrt(3) / 2 AS y FROM (SELECT p_partkey, (p_partkey % 61)::DOUBLE AS a, (p_size % 40)::DOUBLE AS c FROM part))
+SELECT p_partkey, system, string_agg(CASE sign(round((x1 - x0) * (y - y0) - (y1 - y0) * (x - x0), 6)) WHEN 1 THEN '+' WHEN -1 THEN '-' ELSE '0' END, '' ORDER BY line) AS sides FROM p, l GROUP BY ALL""")
 def texture_class_lines(t: Tables) -> DataFrame:
-    return geo.class_lines(t.spark).select("system", "line", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    """On which side of each system's lines between texture classes each sample lies."""
+    x, y = geo.ternary((F.col("p_partkey") % 61).cast("double"), (F.col("p_size") % 40).cast("double"))
+    lines = F.broadcast(geo.class_lines(t.spark).groupBy("system").agg(F.sort_array(F.collect_list(F.struct("line", "x0", "y0", "x1", "y1"))).alias("lines")))  # a row a system
+    side = lambda q: geo.side_of(F.col("x"), F.col("y"), q["x0"], q["y0"], q["x1"], q["y1"])
+    told = F.array_join(F.transform("lines", lambda q: F.when(side(q) > 0, "+").when(side(q) < 0, "-").otherwise("0")), "")
+    return t.part.select("p_partkey", x.alias("x"), y.alias("y")).join(lines, F.lit(True)).select("p_partkey", "system", told.alias("sides"))
+
+
+@query(f"""WITH p AS (SELECT c_custkey, lon, lat, (lon < -85)::INTEGER AS tile FROM {ALBERS}), b AS (SELECT tile, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM p GROUP BY tile),
+c AS (SELECT c_custkey, tile, least(floor((lon - x0) / (x1 - x0) * 64), 63)::INTEGER AS i, least(floor((lat - y0) / (y1 - y0) * 64), 63)::INTEGER AS j FROM p JOIN b USING (tile)),
+d AS (SELECT c_custkey, tile, array_to_string(list_transform(range(1, 7), lambda k: ((i >> (6 - k)) & 1) + 2 * ((j >> (6 - k)) & 1)), '') AS cell FROM c),
+u AS (SELECT tile, k, cell[1 : k] AS q, count(*) AS n FROM d, (SELECT unnest(range(7)) AS k) GROUP BY ALL)
+SELECT c_custkey, tile || CASE WHEN q = '' THEN '' ELSE '-' || q END AS part, n::BIGINT AS n FROM (SELECT d.c_custkey, u.tile, u.q, u.n, row_number() OVER (PARTITION BY c_custkey ORDER BY u.k) AS r
+FROM d JOIN u ON u.tile = d.tile AND u.q = d.cell[1 : u.k] WHERE u.n <= 40 OR u.k = 6) WHERE r = 1""")
+def tiles_in_quadrants(t: Tables) -> DataFrame:
+    """Tiles split until a part has at most 40 points, written as a folder a part and read again."""
+    from soilspark.operators import spatial
+    from soilspark.sources import scratch, sinks
+
+    parts = spatial.quadrants(_points(t).withColumn("tile", (F.col("lon") < -85).cast("int")), "tile", "lon", "lat", 40, 6)
+    path = scratch.folder(t.spark, "parts")
+    sinks.by_group(parts.select("c_custkey", "part"), "part", path)
+    back = t.spark.read.schema("c_custkey long, part string").parquet(path)
+    return back.join(back.groupBy("part").agg(F.count("*").alias("n")), "part")
+
+
+@query("""WITH e AS (SELECT vec_id, vec_id % 3 AS batch, label, embedding::DOUBLE[] AS z, embedding[1:16]::DOUBLE[] AS s FROM embeddings), p AS (SELECT a.batch, a.vec_id, a.label = b.label AS kin, list_cosine_similarity(a.z, b.z) AS cz, list_cosine_similarity(a.s, b.s) AS cs
+FROM e a JOIN e b ON a.batch = b.batch AND a.vec_id <> b.vec_id), r AS (SELECT batch, vec_id, sum(exp(cz / 0.1)) AS w, sum(exp(cz / 0.1)) FILTER (kin) AS k FROM p GROUP BY ALL)
+SELECT batch::BIGINT AS batch, round(c, 6) AS contrastive, n::BIGINT AS n, round(a, 6) AS alignment FROM (SELECT batch, avg(-ln(k / w)) AS c, count(*) AS n FROM r WHERE k > 0 GROUP BY batch) JOIN (SELECT batch, avg((cz - cs) ** 2) AS a FROM p GROUP BY batch) USING (batch)""")
+def embedding_losses(t: Tables) -> DataFrame:
+    from soilspark.operators import vectors
+
+    rows = t.embeddings.withColumns({"batch": F.col("vec_id") % 3, "static": F.slice("embedding", 1, 16)})
+    one, two = vectors.contrastive(rows, "batch", "vec_id", "embedding", "label", side=64), vectors.alignment(rows, "batch", "embedding", "static")
+    return one.select("batch", F.round("loss", 6).alias("contrastive"), "n").join(two.select("batch", F.round("loss", 6).alias("alignment")), "batch")

@@ -402,7 +402,7 @@ def test_feature_families(spark):
         "vegetation_water_content_pm_mean": "SMAP L3 VWC (PM) mean", "sm_rootzone_mean": "SMAP L4 Rootzone soil moisture mean", "soc_15-30cm_sd": "SoilGrids SOC std dev (15-30cm)", "wc_tmin_spring": "WorldClim tmin (spring)",
         "eto_summer": "Global ET0 (summer)", "eto_yearly_sd": "Global ET0 yearly (std dev)", "clay_mean": "SoilGrids clay (mean)", "n_mean": "POLARIS van Genuchten n (mean)", "hhs_wcsat_M_50": "HiHydroSoil v2 wcsat M 50",
         "cdl_simple_crop_mode": "CDL simple crop (mode)", "ssurgo_awc": "SSURGO awc", "tdmean": "PRISM normals 1991\u20132020 dewpoint mean", "A07": "AlphaEarth Foundations Satellite Embedding 7",
-        "e00": "Headwaters Hydrology Project Embedding 0", "embedding_12": "Google Satellite Embedding 12", "lat": "Latitude", "odd": "odd", "tpi_10000": "Topographic position index (10 km)",
+        "e00": "Site embedding 0", "embedding_12": "Google Satellite Embedding 12", "lat": "Latitude", "odd": "odd", "tpi_10000": "Topographic position index (10 km)",
     }
     df = spark.createDataFrame([(c,) for c in [*shown, None]], "c string")
     assert dict(values(df, "c", features.label(F.col("c")))) == shown | {None: None}
