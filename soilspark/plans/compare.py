@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from soilspark.functions import vg
-from soilspark.operators import metrics
+from soilspark.functions import depth, vg
+from soilspark.operators import joins, metrics
 from soilspark.operators.quantiles import quantiles
 
 
@@ -25,6 +25,25 @@ def agreement(both: DataFrame, base: str, others: list[str], params: list[str],
     return both.select(*by, each.alias("m")).select(*by, "m.*").groupBy(*by, "param", "other").agg(*metrics.regression_metrics(F.col("y"), F.col("p")))
 
 
+def by_level(fits: DataFrame, key: str, at: str = "depth_cm") -> DataFrame:
+    """Of the fits of a station at several depths the one nearest to the centre of each level that they lie in (of two as near the upper one), with level and centre."""
+    rows = fits.withColumn("level", depth.level(F.col(at))).where("level is not null")
+    rows = rows.join(F.broadcast(depth.level_table(fits.sparkSession).select("level", "centre")), "level")
+    return joins.first_row(rows, [key, "level"], [F.abs(F.col(at) - F.col("centre")), F.col(at)])
+
+
+def stations_side_by_side(fits: DataFrame, modelled: DataFrame, mapped: DataFrame, key: str, at: str = "depth_cm") -> DataFrame:
+    """(key, level, depth, <parameter>_station, _modelled, _mapped): fitted curves of stations beside a model's by level (key, level, parameters) and a map's
+    by band (key, lo, hi, parameters; the band that holds the level's centre). Sources that lack a station or level leave nulls."""
+    own = by_level(fits, key, at)
+    base = own.select(key, "level", "centre", at, *[F.col(p).alias(f"{p}_station") for p in vg.PARAMS])
+    other = modelled.select(key, "level", *[F.col(p).alias(f"{p}_modelled") for p in vg.PARAMS])
+    bands = mapped.select(F.col(key).alias("__key"), "lo", "hi", *[F.col(p).alias(f"{p}_mapped") for p in vg.PARAMS])
+    both = base.join(other, [key, "level"], "left")
+    held = (both[key] == bands["__key"]) & (both["centre"] >= bands["lo"]) & (both["centre"] < bands["hi"])
+    return both.join(bands, held, "left").drop("__key", "lo", "hi", "centre")
+
+
 def distributions(sources: dict[str, DataFrame], by: list[str], value: str) -> DataFrame:
     """(source, by, n, p10, p50, p90) of the known values."""
     out = None

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soilspark.functions import clean, depth
-from soilspark.plans import site
+from soilspark.plans import compare, site
 from soilspark.plans.catalog import Tables, query
 from soilspark.plans.q_scalars import ALBERS, EDGES, RINGS, _points
 from soilspark.sources import files, scratch, sinks, state
@@ -161,3 +161,53 @@ def content_frequency_by_depth(t: Tables) -> DataFrame:
     days = t.lineitem.select("l_suppkey", F.when(k == 1, v).alias("soil_vwc_0005"), F.when(k == 2, v).alias("soil_vwc_0010"), F.when(k == 4, v).alias("soil_vwc_0020"), v.alias("soil_vwc_units"))
     curves = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.explode(F.array(F.lit(5.0), F.lit(20.2), F.lit(50.0))).alias("depth_cm"))
     return site.content_by_depth(days, curves, "l_suppkey").withColumn("share", F.round("share", 6))
+
+
+FITTED = "SELECT l_suppkey, (l_partkey % 40) * 6.0 AS depth_cm, avg(l_discount) AS theta_r, 0.3 + avg(l_tax) AS theta_s, 0.01 + avg(l_tax) / 10 AS alpha, 1.1 + avg(l_discount) AS n, count(*) AS n_obs FROM lineitem GROUP BY ALL"
+
+
+def _documents(t: Tables) -> DataFrame:
+    """Curves of stations at several depths, written as a JSON document a station and scanned."""
+    by = [F.col("l_suppkey").alias("station"), ((F.col("l_partkey") % 40) * 6.0).alias("depth_cm")]
+    rows = t.lineitem.groupBy(*by).agg(
+        F.avg("l_discount").alias("theta_r"), (0.3 + F.avg("l_tax")).alias("theta_s"), (0.01 + F.avg("l_tax") / 10).alias("alpha"), (1.1 + F.avg("l_discount")).alias("n"), F.count("*").cast("int").alias("n_obs")
+    )
+    none = F.lit(None).cast("double")
+    status = F.when(F.col("n_obs") % 7 == 0, "Failed").otherwise("Success")
+    rows = rows.withColumns({"status": status, "aic": -F.col("n_obs").cast("double"), "theta_r_stderr": F.lit(0.5)} | {c: none for c in ("chi_squared", "reduced_chi_squared", "bic", "theta_s_stderr", "alpha_stderr", "n_stderr")})
+    path = scratch.folder(t.spark, "documents")
+    sinks.fit_documents(rows, "station", path)
+    return files.fit_documents(t.spark, path, "station")
+
+
+@query(f"SELECT CAST(l_suppkey AS VARCHAR) AS station, depth_cm, round(theta_r, 9) AS theta_r, round(theta_s, 9) AS theta_s, round(alpha, 9) AS alpha, round(n, 9) AS n, 0.5 AS theta_r_stderr, n_obs::INTEGER AS n_obs, -n_obs::DOUBLE AS aic, -9999 AS data_ct FROM ({FITTED}) WHERE n_obs % 7 <> 0")
+def fit_documents_scan(t: Tables) -> DataFrame:
+    return _documents(t).select("station", "depth_cm", *[F.round(c, 9).alias(c) for c in ("theta_r", "theta_s", "alpha", "n")], "theta_r_stderr", "n_obs", "aic", "data_ct")
+
+
+_BANDS = "(VALUES (0.0, 5.0), (5.0, 15.0), (15.0, 30.0), (30.0, 60.0), (60.0, 100.0)) AS b(lo, hi)"
+_LEVELS = "(VALUES (1, 0.0, 2.5), (2, 2.5, 10.0), (3, 10.0, 22.5), (4, 22.5, 45.0), (5, 45.0, 80.0), (6, 80.0, 150.0), (7, 150.0, 250.0)) AS v(level, a, b)"
+
+
+@query(f"""WITH f AS (SELECT * FROM ({FITTED}) JOIN {_LEVELS} ON depth_cm >= a AND depth_cm < b WHERE n_obs % 7 <> 0), o AS (SELECT *, (a + b) / 2 AS centre, row_number() OVER (PARTITION BY l_suppkey, level ORDER BY abs(depth_cm - (a + b) / 2), depth_cm) AS r FROM f),
+m AS (SELECT s_suppkey, level, 0.02 + 0.005 * level AS tr, 0.35 + s_acctbal / 100000 AS ts, 0.01 + 0.001 * level AS al, 1.1 + s_suppkey % 7 / 20.0 AS n FROM supplier, {_LEVELS} WHERE s_suppkey % 3 <> 0),
+p AS (SELECT s_suppkey, lo, hi, 0.03 + lo / 10000 AS tr, 0.4 + hi / 10000 AS ts, 0.02 AS al, 1.2 + s_suppkey % 5 / 10.0 AS n FROM supplier, {_BANDS} WHERE s_suppkey % 4 <> 0),
+j AS (SELECT o.level, x.param, x.y, x.m, x.p FROM o LEFT JOIN m ON m.s_suppkey = o.l_suppkey AND m.level = o.level LEFT JOIN p ON p.s_suppkey = o.l_suppkey AND centre >= lo AND centre < hi,
+  LATERAL (VALUES ('theta_r', o.theta_r, m.tr, p.tr), ('theta_s', o.theta_s, m.ts, p.ts), ('alpha', o.alpha, m.al, p.al), ('n', o.n, m.n, p.n)) AS x(param, y, m, p) WHERE r = 1),
+l AS (SELECT level, param, 'modelled' AS other, y, m AS v FROM j UNION ALL SELECT level, param, 'mapped', y, p FROM j)
+SELECT level, param, other, count(v) AS n, round(1 - sum((v - y) ** 2) / nullif(var_pop(y) FILTER (v IS NOT NULL) * count(v), 0), 5) AS r2, round(sqrt(avg((v - y) ** 2)), 6) AS rmse, round(avg(v - y), 6) AS bias FROM l GROUP BY ALL""")
+def stations_compared(t: Tables) -> DataFrame:
+    """Fitted curves of stations, scanned from their documents, against a model's by level and a map's by band, parameter by parameter."""
+    k = F.col("s_suppkey")
+    station = k.cast("string").alias("station")
+    modelled = t.supplier.where("s_suppkey % 3 <> 0").select("*", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("level")).select(
+        station, "level", (0.02 + 0.005 * F.col("level")).alias("theta_r"), (0.35 + F.col("s_acctbal") / 100000).alias("theta_s"), (0.01 + 0.001 * F.col("level")).alias("alpha"), (1.1 + k % 7 / 20.0).alias("n")
+    )
+    bands = F.broadcast(depth.band_table(t.spark).where("band <= 5").drop("band"))  # five rows
+    mapped = t.supplier.where("s_suppkey % 4 <> 0").join(bands, F.lit(True)).select(
+        station, "lo", "hi", (0.03 + F.col("lo") / 10000).alias("theta_r"), (0.4 + F.col("hi") / 10000).alias("theta_s"), F.lit(0.02).alias("alpha"), (1.2 + k % 5 / 10.0).alias("n")
+    )
+    both = compare.stations_side_by_side(_documents(t), modelled, mapped, "station")
+    out = compare.agreement(both, "station", ["modelled", "mapped"], ["theta_r", "theta_s", "alpha", "n"], ["level"])
+    return out.select("level", "param", "other", "n", F.round("r2", 5).alias("r2"), *[F.round(c, 6).alias(c) for c in ("rmse", "bias")])
+

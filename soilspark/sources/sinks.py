@@ -22,31 +22,35 @@ def by_group(df: DataFrame, key: str, path: str, kind: str = "parquet", spread:
     writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)
 
 
-def named_files(df: DataFrame, key: str, path: str) -> None:
-    """A CSV file ``<key>.csv`` for each key (``-`` for ``/``), without the key's column. What a key's rows need is that they end in one file, so a task holds one key's rows at a time; its files are
-    written to a folder of the job and moved by name once all are there."""
-    spark = df.sparkSession
+def _named(writer, key: str, path: str, ending: str, spark) -> None:
+    """Files ``<key>.<ending>`` from a writer whose rows of a key lie in one task: written to a folder of the job first, and moved by name once all are there."""
     before = f"{path}/.{uuid.uuid4().hex}"
-    df = df.withColumn(key, F.translate(F.col(key).cast("string"), "/", "-"))
-    df.repartition(F.col(key)).sortWithinPartitions(key).write.partitionBy(key).option("header", True).csv(before)
+    writer.partitionBy(key).format("csv" if ending == "csv" else "text").save(before)
     of = spark._jvm.org.apache.hadoop.fs.Path
     fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
     for folder in fs.listStatus(of(before)):
         if folder.isDirectory():
             (file,) = [s.getPath() for s in fs.listStatus(folder.getPath()) if s.getPath().getName().startswith("part-")]
             name = spark._jvm.java.net.URLDecoder.decode(folder.getPath().getName().partition("=")[2], "UTF-8")
-            fs.rename(file, of(of(path), f"{name}.csv"))
+            fs.rename(file, of(of(path), f"{name}.{ending}"))
     fs.delete(of(before), True)
 
 
+def named_files(df: DataFrame, key: str, path: str) -> None:
+    """A CSV file ``<key>.csv`` for each key (``-`` for ``/``), without the key's column. A file is one task's work, so keys are to be of bounded size, like a station's record."""
+    df = df.withColumn(key, F.translate(F.col(key).cast("string"), "/", "-"))
+    _named(df.repartition(F.col(key)).sortWithinPartitions(key).write.option("header", True), key, path, "csv", df.sparkSession)
+
+
 def fit_documents(fits: DataFrame, key: str, path: str) -> None:
-    """A JSON document for each key: depth -> status, statistics and parameters. Depths of one profile are few."""
+    """A JSON document ``<key>.json`` for each key: depth -> status, statistics and parameters. Depths of one profile are few."""
     parameter = lambda p: F.struct(F.col(p).alias("value"), F.col(f"{p}_stderr").alias("stderr"))
     names = ("theta_r", "theta_s", "alpha", "n")
     params = F.create_map(*[x for p in names for x in (F.lit(p), parameter(p))])
     one = F.struct("status", "n_obs", "chi_squared", "reduced_chi_squared", "aic", "bic", params.alias("parameters"))
     docs = fits.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("depth_cm").cast("string").alias("k"), one.alias("v")))).alias("d"))
-    docs.select(F.col(key), F.to_json("d").alias("value")).repartition(F.col(key)).write.mode("overwrite").partitionBy(key).text(path)
+    docs = docs.select(F.translate(F.col(key).cast("string"), "/", "-").alias(key), F.to_json("d").alias("value"))
+    _named(docs.repartition(F.col(key)).sortWithinPartitions(key).write, key, path, "json", fits.sparkSession)
 
 
 def merged_daily(existing: DataFrame, new: DataFrame, by: list[str], value: str) -> DataFrame:
