@@ -9,7 +9,7 @@ from soilspark.functions import clean, depth
 from soilspark.plans import compare, site
 from soilspark.plans.catalog import Tables, query
 from soilspark.plans.q_scalars import ALBERS, EDGES, RINGS, _points
-from soilspark.sources import files, scratch, sinks, state
+from soilspark.sources import archives, files, scratch, shapes, sinks, state
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders")
@@ -211,3 +211,33 @@ def stations_compared(t: Tables) -> DataFrame:
     out = compare.agreement(both, "station", ["modelled", "mapped"], ["theta_r", "theta_s", "alpha", "n"], ["level"])
     return out.select("level", "param", "other", "n", F.round("r2", 5).alias("r2"), *[F.round(c, 6).alias(c) for c in ("rmse", "bias")])
 
+
+
+@query("""SELECT p_partkey, p_brand, p_retailprice, 5::BIGINT AS places, round((p_partkey % 180) - p_size / 10.0, 6) AS x0, round((p_partkey % 90) + p_size / 5.0, 6) AS y1
+FROM part WHERE (p_partkey % 180) - p_size / 10.0 >= 20 AND (p_partkey % 90) + p_size / 5.0 < 70""")
+def shapes_in_a_box(t: Tables) -> DataFrame:
+    """Polygons written as shapefiles, and those of them read that lie in a box."""
+    x, y, a, b = (F.col("p_partkey") % 180).cast("double"), (F.col("p_partkey") % 90).cast("double"), F.col("p_size") / 10.0, F.col("p_size") / 5.0
+    at = lambda u, v: F.struct((x + u).alias("x"), (y + v).alias("y"))
+    path = scratch.folder(t.spark, "shapes")
+    shapes.write(t.part.select("p_partkey", "p_brand", F.col("p_retailprice").alias("price"), F.array(F.array(at(-a, -b), at(-a, b), at(a, b), at(a, -b), at(-a, -b))).alias("rings")), path)
+    back = shapes.read(t.spark, path, partitionRecords="500").where("x0 >= 20 and y1 < 70")
+    return back.select("p_partkey", "p_brand", F.col("price").alias("p_retailprice"), F.size(F.get("rings", F.lit(0))).cast("long").alias("places"), F.round("x0", 6).alias("x0"), F.round("y1", 6).alias("y1"))
+
+
+@query("""WITH r AS (SELECT 's' || user_id AS station, date_trunc('minute', ts) AS minute, (event_id % 4) * 0.05 AS lo, event_type, value, CASE WHEN event_id % 3 = 0 THEN 'G' END AS flag FROM events WHERE event_type <> 'error' AND (event_id % 4) * 0.05 < 0.12)
+SELECT station, round(lo, 2) AS depth_from, event_type AS variable, count(*) AS n, count(value) AS known, count(flag) AS good, round(avg(value), 6) AS mean, min(minute) AS first, max(minute) AS last FROM r GROUP BY ALL""")
+def station_archives(t: Tables) -> DataFrame:
+    """Records written as archives of a member a sensor, and those of some variables and depths read."""
+    lo = (F.col("event_id") % 4) * 0.05
+    none = F.lit(0.0)
+    rows = t.events.select(
+        F.lit("net").alias("network"), F.concat(F.lit("s"), "user_id").alias("station"), F.col("event_type").alias("variable"), lo.alias("depth_from"), (lo + 0.05).alias("depth_to"), F.lit("probe_1").alias("sensor"),
+        none.alias("latitude"), none.alias("longitude"), none.alias("elevation"), F.col("ts").cast("timestamp").alias("date_time"), "value", F.when(F.col("event_id") % 3 == 0, "G").alias("flag"),
+    )
+    path = scratch.folder(t.spark, "archives")
+    archives.write(rows, path)
+    back = archives.read(t.spark, path).where("variable <> 'error' and depth_from < 0.12")
+    by = ["station", F.round("depth_from", 2).alias("depth_from"), "variable"]
+    at = F.col("date_time").cast("timestamp_ntz")
+    return back.groupBy(*by).agg(F.count("*").alias("n"), F.count("value").alias("known"), F.count("flag").alias("good"), F.round(F.avg("value"), 6).alias("mean"), F.min(at).alias("first"), F.max(at).alias("last"))

@@ -114,3 +114,61 @@ def test_files_by_name(spark, tmp_path):
     got = files.keyed_by_name(files.csv(spark, f"{tmp_path}/n", "v int"), "key").select("key", "v")
     assert sorted(map(tuple, got.collect())) == sorted((n.replace("/", "-"), v) for n, v in rows)
     assert got.where(F.col("v") == 3).first()["key"] == "é"
+
+
+def test_shapefiles_round_trip_and_prune(spark, tmp_path, monkeypatch):
+    from datetime import date
+
+    from soilspark.sources import shapes
+
+    ring = lambda *p: [{"x": float(a), "y": float(b)} for a, b in p]
+    square = ring((0, 0), (0, 2), (2, 2), (2, 0), (0, 0))
+    rows = [
+        (1, "é ä", 0.1, date(2020, 2, 29), True, [square, ring((0.5, 0.5), (1, 0.5), (1, 1), (0.5, 0.5))]), (2, None, None, None, None, None), (-(10**17), "x" * 254, -1.5e-300, date(1999, 1, 1), False, [ring((10, 10), (11, 12), (12, 10), (10, 10))]),
+        *[(k, str(k), k / 7, None, None, [ring((k, k), (k, k + 1), (k + 1, k), (k, k))]) for k in range(20, 60)],
+    ]
+    schema = "id long, name string, v double, day date, ok boolean, rings array<array<struct<x: double, y: double>>>"
+    path = f"file://{tmp_path}/s"
+    shapes.write(spark.createDataFrame(rows, schema).repartition(3), path, fileRecords=9)
+    back = shapes.read(spark, path, partitionRecords="4")
+    got = back.select("id", "name", "v", "day", "ok", "rings").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, spark.createDataFrame(rows, schema).collect()))
+    near = back.where("x0 >= 30 and y1 <= 41")
+    assert sorted(r["id"] for r in near.collect()) == list(range(30, 41))
+    assert back.where("x0 is null").count() == 1
+    reader = shapes.ShapeReader({"path": path, "partitionrecords": "4"}, [])
+    assert list(reader.pushFilters([shapes.GreaterThanOrEqual(("x0",), 30.0), shapes.EqualTo(("id",), 31)])) == [shapes.EqualTo(("id",), 31)]
+    seen, whole = [], shapes.unpacked
+    monkeypatch.setattr(shapes, "unpacked", lambda c: seen.append(1) or whole(c))
+    parts = reader.partitions()
+    assert len(parts) >= 11 and sum(p.count for p in parts) == len(rows)
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == 30 == len(seen)
+    shapes.write(spark.createDataFrame([(7, [ring((3, 4))])], "id long, rings array<array<struct<x: double, y: double>>>"), f"{tmp_path}/p", kind=shapes.POINT)
+    (point,) = shapes.read(spark, f"{tmp_path}/p").collect()
+    assert (point["kind"], point["x0"], point["y1"], point["id"]) == (1, 3.0, 4.0, 7)
+    with pytest.raises(Exception, match="at most 10"):
+        shapes.write(spark.createDataFrame([(7, [square])], "a_very_long_name long, rings array<array<struct<x: double, y: double>>>"), f"{tmp_path}/q")
+
+
+def test_archives_round_trip_and_open_only_what_is_wanted(spark, tmp_path, monkeypatch):
+    from datetime import datetime, timezone
+
+    from soilspark.sources import archives
+
+    at = lambda m: datetime(2020, 1, 1, 0, m, tzinfo=timezone.utc)
+    rows = [
+        ("net", st, var, lo, lo + 0.1, "pro_be", 1.5, -2.25, 3.0, at(m), None if m == 2 else m / 7, "G" if m % 2 else None)
+        for st in ("a", "b_c") for var in ("soil_moisture", "air_temperature") for lo in (0.0, 0.25) for m in range(4)
+    ]
+    df = spark.createDataFrame(rows, archives.SCHEMA)
+    path = f"file://{tmp_path}/z"
+    archives.write(df, path)
+    back = archives.read(spark, path, partitionBytes="1")
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
+    some = back.where("variable = 'soil_moisture' and depth_from > 0.1 and station like 'b%' and value > 0.2")
+    assert sorted(r["value"] for r in some.collect()) == [3 / 7]
+    reader = archives.ArchiveReader({"path": path, "partitionbytes": "1"})
+    assert list(reader.pushFilters([archives.EqualTo(("variable",), "soil_moisture"), archives.GreaterThan(("value",), 0.2)])) == [archives.GreaterThan(("value",), 0.2)]
+    parts = reader.partitions()
+    assert len(parts) == 4 and all("soil_moisture" in name for p in parts for _, name in p.members)
+    assert archives.told("readme.txt") is None and archives.told("n/s/n_x_v_0_1_p_1_2.stm") is None
