@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,23 +114,39 @@ def scored(df: DataFrame, targets: list[str]) -> DataFrame:
 
 
 def multi_regression_cv(rows: DataFrame, by: list[str], features: list[str], target: str) -> DataFrame:
-    """(by, r2_mean, rmse_mean, folds) of linear regressions on several features over rows with fold and role; a group is one site's days."""
+    """(by, r2_mean, rmse_mean, folds) of linear regressions on several features over rows with fold and role; of what can't be told apart the least.
+
+    A regression and its errors on other rows follow from means and covariances, so these are aggregated by fold and role, partially first, and only they reach Python, many folds at once.
+    A fold needs two rows to learn from and one to be judged by; r2 is null where the judged rows do not vary.
+    """
+    names = [*features, target]
+    known = rows.select(*by, "fold", "role", *[F.col(c).cast("double").alias(c) for c in names]).na.drop("any", subset=names)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    moments = [F.count("*").alias("n"), F.array(*[F.avg(c) for c in names]).alias("mean"), F.array(*[F.covar_pop(a, b) for a, b in pairs]).alias("cov")]
+    parts = known.groupBy(*by, "fold", "role").agg(*moments)
+    of = lambda role: F.max(F.when(F.col("role") == role, F.struct("n", "mean", "cov"))).alias(role)  # noqa: E731  there is one
+    folds = parts.groupBy(*by, "fold").agg(of("train"), of("test")).select(*by, *[F.col(f"{r}.{c}").alias(f"{r}_{c}") for r in ("train", "test") for c in ("n", "mean", "cov")])
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields)
-
-    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        r2, rmse = [], []
-        for _, part in group.sort_values("fold").groupby("fold"):
-            train, test = part[part.role == "train"], part[part.role == "test"]
-            if len(train) < 2 or not len(test):
-                continue
-            x, z = train[features].to_numpy(dtype=float), train[target].to_numpy(dtype=float)
-            beta = np.linalg.lstsq(x - x.mean(axis=0), z - z.mean(), rcond=None)[0]  # of what can't be told apart the least
-            y = test[target].to_numpy(dtype=float)
-            err = y - z.mean() - (test[features].to_numpy(dtype=float) - x.mean(axis=0)) @ beta
-            spread = ((y - y.mean()) ** 2).sum()
-            r2.append(1 - (err**2).sum() / spread if spread > 0 else np.nan)
-            rmse.append(np.sqrt((err**2).mean()))
-        known = [v for v in r2 if np.isfinite(v)]
-        return pd.DataFrame([{**dict(zip(by, key, strict=True)), "r2_mean": np.mean(known) if known else None, "rmse_mean": np.mean(rmse) if rmse else None, "folds": len(rmse)}])
-
-    return rows.select(*by, "fold", "role", target, *features).na.drop("any", subset=[target, *features]).groupBy(*by).applyInPandas(one, keys + ", r2_mean double, rmse_mean double, folds int")
+    k = len(features)
+    at = np.zeros((k + 1, k + 1), dtype=int)
+    for i, (a, b) in enumerate(pairs):
+        at[names.index(a), names.index(b)] = at[names.index(b), names.index(a)] = i
+
+    def solved(batches):
+        for batch in batches:
+            out = batch[by].assign(r2=np.nan, rmse=np.nan)
+            able = np.flatnonzero((batch["train_n"].fillna(0) >= 2) & (batch["test_n"].fillna(0) >= 1))
+            if len(able):
+                part = batch.iloc[able]
+                (m, c), (u, d) = ((np.stack(part[f"{r}_mean"]), np.stack(part[f"{r}_cov"])[:, at]) for r in ("train", "test"))
+                beta = (np.linalg.pinv(c[:, :k, :k], rcond=1e-10, hermitian=True) @ c[:, :k, k:])[..., 0]
+                off = u[:, k] - m[:, k] - ((u[:, :k] - m[:, :k]) * beta).sum(axis=1)
+                square = d[:, k, k] - 2 * (beta * d[:, :k, k]).sum(axis=1) + np.einsum("gi,gij,gj->g", beta, d[:, :k, :k], beta) + off**2
+                spread = d[:, k, k]
+                varied = spread > 1e-14 * np.maximum(u[:, k] ** 2, 1e-300)
+                out.iloc[able, out.columns.get_loc("r2")] = np.where(varied, 1 - square / np.where(varied, spread, 1), np.nan)
+                out.iloc[able, out.columns.get_loc("rmse")] = np.sqrt(np.maximum(square, 0))
+            yield out
+
+    told = folds.mapInPandas(solved, keys + ", r2 double, rmse double").withColumns({c: F.nanvl(F.col(c), F.lit(None)) for c in ("r2", "rmse")})
+    return told.groupBy(*by).agg(F.avg("r2").alias("r2_mean"), F.avg("rmse").alias("rmse_mean"), F.count("rmse").cast("int").alias("folds"))
