@@ -9,7 +9,7 @@ from soilspark.functions import clean, depth
 from soilspark.plans import compare, site
 from soilspark.plans.catalog import Tables, query
 from soilspark.plans.q_scalars import ALBERS, EDGES, RINGS, _points
-from soilspark.sources import archives, files, scratch, shapes, sinks, state
+from soilspark.sources import archives, files, rasters, scratch, shapes, sinks, state
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders")
@@ -241,3 +241,14 @@ def station_archives(t: Tables) -> DataFrame:
     by = ["station", F.round("depth_from", 2).alias("depth_from"), "variable"]
     at = F.col("date_time").cast("timestamp_ntz")
     return back.groupBy(*by).agg(F.count("*").alias("n"), F.count("value").alias("known"), F.count("flag").alias("good"), F.round(F.avg("value"), 6).alias("mean"), F.min(at).alias("first"), F.max(at).alias("last"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN p_partkey % 13 <> 0 THEN p_retailprice END AS value FROM lineitem LEFT JOIN part ON p_partkey = l_partkey + l_suppkey % 3""")
+def raster_sampled(t: Tables) -> DataFrame:
+    """A raster of the parts' prices, some unknown, written as tiled files, and its values at many points, some outside."""
+    k = F.col("p_partkey")
+    path, grid = scratch.folder(t.spark, "raster"), rasters.Grid(-120.0, 50.0, 0.25, 0.5)
+    rasters.write(t.part.select(F.floor(k / 40).alias("row"), (k % 40).alias("col"), F.when(k % 13 != 0, F.col("p_retailprice")).alias("value")), path, grid, side=32, tile=16)
+    cell = F.col("l_partkey") + F.col("l_suppkey") % 3
+    x, y = -120 + (cell % 40) * 0.25 + F.col("l_linenumber") / 40.0, 50 - F.floor(cell / 40) * 0.5 - F.col("l_linenumber") / 20.0
+    return rasters.sampled(t.lineitem.select("l_orderkey", "l_linenumber", x.alias("x"), y.alias("y")), path, "x", "y").select("l_orderkey", "l_linenumber", "value")

@@ -172,3 +172,56 @@ def test_archives_round_trip_and_open_only_what_is_wanted(spark, tmp_path, monke
     parts = reader.partitions()
     assert len(parts) == 4 and all("soil_moisture" in name for p in parts for _, name in p.members)
     assert archives.told("readme.txt") is None and archives.told("n/s/n_x_v_0_1_p_1_2.stm") is None
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_rasters_are_sampled_and_only_blocks_with_points_are_read(spark, tmp_path, monkeypatch, most):
+    import numpy as np
+
+    from soilspark.sources import rasters
+
+    rng = np.random.default_rng(1)
+    values = rng.normal(size=(70, 50)).round(3)
+    values[5, 7] = np.nan
+    path, grid = f"file://{tmp_path}/r", rasters.Grid(-10.0, 20.0, 0.5, 0.25)
+    pixels = [(i, j, None if np.isnan(v) else float(v)) for i, row in enumerate(values) for j, v in enumerate(row) if (i, j) != (60, 40)]
+    rasters.write(spark.createDataFrame(pixels, "row int, col int, value double").repartition(3), path, grid, side=32, tile=16)
+    back = {(r["row"], r["col"]): r["value"] for r in rasters.rows_of(rasters.read(spark, path, partitionBlocks="3")).where("value is not null").collect()}
+    assert back == {(i, j): v for i, j, v in pixels if v is not None}
+    points = [(k, -10 + (j + 0.5) * 0.5, 20 - (i + 0.5) * 0.25, (i, j)) for k, (i, j) in enumerate([(0, 0), (69, 49), (31, 32), (5, 7), (60, 40), (33, 1)])]
+    df = spark.createDataFrame([p[:3] for p in points] + [(90, -10.01, 20.0), (91, 1000.0, 0.0), (92, None, 3.0)], "k int, x double, y double")
+    got = {r["k"]: r["value"] for r in rasters.sampled(df, path, "x", "y", most).collect()}
+    assert got == {k: back.get(at) for k, _, _, at in points} | {90: None, 91: None, 92: None}
+    reader = rasters.RasterReader({"path": path})
+    assert list(reader.pushFilters([rasters.In(("block",), ("0:0", "32:16")), rasters.GreaterThan(("band",), 3)])) == [rasters.GreaterThan(("band",), 3)]
+    assert [b[4:6] for p in reader.partitions() for b in p.blocks] == [(0, 0), (32, 16)]
+
+
+def test_rasters_of_other_forms(tmp_path):
+    import io
+    import struct
+
+    import numpy as np
+
+    from soilspark.sources import rasters
+
+    x = np.arange(24, dtype=">i2").reshape(4, 3, 2)  # strips of two rows, two bands in turn, differences along rows, big-endian, eight-byte places
+    steps = np.concatenate([x[:, :1], x[:, 1:] - x[:, :-1]], axis=1).astype(">i2")
+    strips = [steps[:2].tobytes(), steps[2:].tobytes()]
+    tags = [(256, 3, [3]), (257, 3, [4]), (258, 3, [16, 16]), (259, 3, [1]), (273, 16, [16, 40]), (277, 3, [2]), (278, 3, [2]), (279, 16, [24, 24]), (317, 3, [2]), (339, 3, [2, 2])]
+    body, at, entries = b"".join(strips), 64, []
+    for tag, kind, v in tags:
+        raw = struct.pack(f">{len(v)}{rasters._KINDS[kind]}", *v)
+        entries.append(struct.pack(">HHQ", tag, kind, len(v)) + (raw.ljust(8, b"\0") if len(raw) <= 8 else struct.pack(">Q", at)))
+        if len(raw) > 8:
+            body, at = body + raw, at + len(raw)
+    file = struct.pack(">2sHHHQ", b"MM", 43, 8, 0, at) + body + struct.pack(">Q", len(entries)) + b"".join(entries)
+    (tmp_path / "b.tif").write_bytes(file)
+    tags = rasters.directory(io.BytesIO(file))
+    assert tags[256] == (3,) and tags[273] == (16, 40)
+    reader = rasters.RasterReader({"path": str(tmp_path / "b.tif")})
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert [(r["band"], r["row0"]) for r in rows] == [(0, 0), (1, 0), (0, 2), (1, 2)]
+    assert rows[3]["values"] == x[2:, :, 1].ravel().tolist()
+    with pytest.raises(ValueError, match="no TIFF"):
+        rasters.directory(io.BytesIO(b"PK" + b"\0" * 30))
