@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from soilspark.functions import clean, depth
-from soilspark.plans import compare, site
+from soilspark.plans import assemble, compare, site
 from soilspark.plans.catalog import Tables, query
 from soilspark.plans.q_scalars import ALBERS, EDGES, RINGS, _points
 from soilspark.sources import archives, files, rasters, scratch, shapes, sinks, state
@@ -252,3 +252,42 @@ def raster_sampled(t: Tables) -> DataFrame:
     cell = F.col("l_partkey") + F.col("l_suppkey") % 3
     x, y = -120 + (cell % 40) * 0.25 + F.col("l_linenumber") / 40.0, 50 - F.floor(cell / 40) * 0.5 - F.col("l_linenumber") / 20.0
     return rasters.sampled(t.lineitem.select("l_orderkey", "l_linenumber", x.alias("x"), y.alias("y")), path, "x", "y").select("l_orderkey", "l_linenumber", "value")
+
+
+@query("""WITH k AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events),
+r AS (SELECT 'us-' || user_id AS site_id, CAST(TIMESTAMP '2024-01-01' + to_minutes(CAST(30 * k AS INTEGER)) AS DATE) AS date, CASE WHEN value = 0 OR value = -99.99 OR value <= -9999 THEN NULL ELSE value END AS v FROM k),
+q AS (SELECT site_id, quantile_cont(v, 0.9) AS p FROM r GROUP BY site_id)
+SELECT site_id, date, round(avg(CASE WHEN p > 1.2 THEN v / 100 ELSE v END), 6) AS theta, round(sum(v * 1800 / 2450000), 8) AS et FROM r JOIN q USING (site_id) GROUP BY ALL HAVING coalesce(sum(v * 1800 / 2450000), 0) <> 0""")
+def tower_files_to_days(t: Tables) -> DataFrame:
+    """Half-hourly files of towers, with comment lines before their headers, told apart by their names and made daily."""
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    at = lambda n: F.date_format(F.timestamp_add("MINUTE", 30 * n, F.lit("2024-01-01 00:00:00").cast("timestamp")), "yyyyMMddHHmm")
+    measured = F.coalesce(F.col("value").cast("string"), F.lit("-9999"))
+    rows = t.events.select("user_id", "value", k.alias("k")).select("user_id", "k", F.concat_ws(",", at(F.col("k")), at(F.col("k") + 1), measured, measured).alias("line"))
+    heads = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(x).alias("line")) for i, x in ((-3, "# Site"), (-2, "# Version"), (-1, "TIMESTAMP_START,TIMESTAMP_END,SWC_1,LE_F"))])
+    lines = rows.unionByName(t.events.select("user_id").distinct().select("user_id", F.inline(heads)))
+    path = scratch.folder(t.spark, "towers")
+    sinks.named_lines(lines.withColumn("name", F.concat(F.lit("AMF_US-"), F.col("user_id").cast("string"), F.lit("_BASE_HH"))), "name", "k", "line", path)
+    days = site.tower_days(files.half_hourly(t.spark, path))
+    return days.select("site_id", "date", F.round("theta", 6).alias("theta"), F.round("ET", 8).alias("et"))
+
+
+@query("""SELECT 's' || user_id AS station, arg_min(CASE WHEN event_id % 3 <> 0 THEN 'n' || event_type END, ts) FILTER (event_id % 3 <> 0) AS network, arg_min(user_id / 10.0, ts) AS latitude, arg_min(-user_id / 4.0, ts) FILTER (event_id % 2 = 0) AS longitude,
+count(DISTINCT CASE WHEN event_id % 5 = 4 THEN NULL ELSE event_id % 5 END) AS depths, min(ts)::DATE AS start, max(ts)::DATE AS stop FROM events GROUP BY user_id""")
+def stations_summary(t: Tables) -> DataFrame:
+    """A row a station of a network's records: first known attributes, the number of its depths, first and last day."""
+    k, at = F.col("event_id"), (F.col("event_id") % 5) * 0.1
+    rows = t.events.select(
+        F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("station"), F.when(k % 3 != 0, F.concat(F.lit("n"), "event_type")).alias("network"), (F.col("user_id") / 10.0).alias("latitude"), F.when(k % 2 == 0, -F.col("user_id") / 4.0).alias("longitude"),
+        F.when(k % 5 != 4, at).alias("depth_from"), F.when(k % 5 != 4, at + 0.1).alias("depth_to"), F.col("ts").alias("date_time"),
+    )
+    return site.station_table(rows)
+
+
+@query("SELECT p_partkey, p_size AS depth_cm, p_retailprice * 2 AS lat_wet, p_partkey % 7 AS slope FROM part")
+def selected_features(t: Tables) -> DataFrame:
+    """The features that a model takes: no ids but the key, no targets, no excluded names or families, and of the two depths the continuous one."""
+    k = F.col("p_partkey")
+    rows = t.part.select("p_partkey", F.col("p_name").alias("profile_id"), F.col("p_size").alias("depth_cm"), (k % 3).alias("rosetta_level"), F.col("p_retailprice").alias("theta_s"), (F.col("p_retailprice") * 2).alias("lat_wet"), (k % 5).alias("soil_clay"), (k % 7).alias("slope"), (k % 2).alias("lat"))
+    names = assemble.feature_names(rows.columns, ["theta_s"], ["p_partkey", "profile_id"], "continuous", ("lat",), ("soil",))
+    return rows.select("p_partkey", *names)

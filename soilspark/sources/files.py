@@ -85,18 +85,19 @@ def fit_documents(spark: SparkSession, path: str, key: str = "profile_id") -> Da
     return fit.select(known.alias(key), "depth_cm", *cols, *[value[c].alias(c) for c in ("n_obs", "chi_squared", "reduced_chi_squared", "aic", "bic")], count.alias("data_ct"))
 
 
-def half_hourly(spark: SparkSession, path: str, site: str) -> DataFrame:
-    """Tower files with two comment lines before the header: ts and the columns as numbers; 0, -99.99 and -9999 are missing."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("#"))
+def half_hourly(spark: SparkSession, path: str, site: str | None = None) -> DataFrame:
+    """Tower files with comment lines before the header, all of the same columns: site, ts and the columns as numbers; 0, -99.99 and -9999 are missing. Without ``site`` it is told by each file's name."""
+    own = F.lit(site) if site is not None else tower_site(file_stem(decoded(F.col("_metadata.file_name"))))
+    lines = spark.read.text(path).select("value", own.alias("site_id")).where(~F.col("value").startswith("#"))
     header = lines.where(F.col("value").startswith("TIMESTAMP")).first()
     if header is None:
         raise ValueError(f"no header in {path}")
     names = header["value"].split(",")
-    parts = lines.where(~F.col("value").startswith("TIMESTAMP")).select(F.split("value", ",").alias("p"))
-    rows = parts.select(*[F.expr(f"try_cast(p[{k}] AS double)").alias(c) if not c.startswith("TIMESTAMP") else F.get("p", F.lit(k)).alias(c) for k, c in enumerate(names)])
+    parts = lines.where(~F.col("value").startswith("TIMESTAMP")).select("site_id", F.split("value", ",").alias("p"))
+    rows = parts.select("site_id", *[F.expr(f"try_cast(p[{k}] AS double)").alias(c) if not c.startswith("TIMESTAMP") else F.get("p", F.lit(k)).alias(c) for k, c in enumerate(names)])
     numbers = [c for c in names if not c.startswith("TIMESTAMP")]
     out = clean.missing_to_null(rows, numbers, at_most=clean.SENTINEL, equal=(0.0, -99.99))
-    return out.select(F.lit(site).alias("site_id"), F.try_to_timestamp(F.col("TIMESTAMP_START"), F.lit("yyyyMMddHHmm")).alias("ts"), *numbers)
+    return out.select("site_id", F.try_to_timestamp(F.col("TIMESTAMP_START"), F.lit("yyyyMMddHHmm")).alias("ts"), *numbers)
 
 
 def family(df: DataFrame, prefix: str) -> list[str]:

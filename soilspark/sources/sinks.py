@@ -22,10 +22,10 @@ def by_group(df: DataFrame, key: str, path: str, kind: str = "parquet", spread:
     writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)
 
 
-def _named(writer, key: str, path: str, ending: str, spark) -> None:
+def _named(writer, key: str, path: str, ending: str, spark, kind: str = "text") -> None:
     """Files ``<key>.<ending>`` from a writer whose rows of a key lie in one task: written to a folder of the job first, and moved by name once all are there."""
     before = f"{path}/.{uuid.uuid4().hex}"
-    writer.partitionBy(key).format("csv" if ending == "csv" else "text").save(before)
+    writer.partitionBy(key).format(kind).save(before)
     of = spark._jvm.org.apache.hadoop.fs.Path
     fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
     for folder in fs.listStatus(of(before)):
@@ -39,7 +39,13 @@ def _named(writer, key: str, path: str, ending: str, spark) -> None:
 def named_files(df: DataFrame, key: str, path: str) -> None:
     """A CSV file ``<key>.csv`` for each key (``-`` for ``/``), without the key's column. A file is one task's work, so keys are to be of bounded size, like a station's record."""
     df = df.withColumn(key, F.translate(F.col(key).cast("string"), "/", "-"))
-    _named(df.repartition(F.col(key)).sortWithinPartitions(key).write.option("header", True), key, path, "csv", df.sparkSession)
+    _named(df.repartition(F.col(key)).sortWithinPartitions(key).write.option("header", True), key, path, "csv", df.sparkSession, "csv")
+
+
+def named_lines(df: DataFrame, key: str, order: str, line: str, path: str, ending: str = "csv") -> None:
+    """A text file ``<key>.<ending>`` for each key, its lines in order."""
+    rows = df.repartition(F.col(key)).sortWithinPartitions(key, order).select(key, F.col(line).cast("string").alias("value"))
+    _named(rows.write, key, path, ending, df.sparkSession)
 
 
 def fit_documents(fits: DataFrame, key: str, path: str) -> None:
