@@ -47,7 +47,8 @@ def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], bins
         inside = rows.join(s, _met(rows, s, by) & F.col("__v").between(F.col("__lo"), F.col("__hi")))
         scale = F.when(F.greatest(F.abs("__lo"), F.abs("__hi")) > 8e307, 0.5).otherwise(1.0)  # else the width may be beyond the largest number
         at = F.least(F.floor((F.col("__v") * scale - F.col("__lo") * scale) / (F.col("__hi") * scale - F.col("__lo") * scale) * bins), F.lit(bins - 1))
-        counted = inside.select(*by, F.col("__lo").alias("lo"), F.col("__hi").alias("hi"), at.alias("bin"), "__v").groupBy(*where, "bin").agg(F.count("*").alias("c"), F.min("__v").alias("least"), F.max("__v").alias("most"))
+        binned = inside.select(*by, F.col("__lo").alias("lo"), F.col("__hi").alias("hi"), at.alias("bin"), "__v")
+        counted = binned.groupBy(*where, "bin").agg(F.count("*").alias("c"), F.min("__v").alias("least"), F.max("__v").alias("most"))
         upto = Window.partitionBy(*where).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         h = _other(counted.withColumn("past", F.sum("c").over(upto)), [*where, "c", "past", "least", "most"])
         begin = F.col("before") + F.col("__past") - F.col("__c")

@@ -58,7 +58,8 @@ def contrastive(df: DataFrame, batch: str, key: str, vector: str, label: str, te
     sizes = rows.groupBy(batch).agg(F.ceil(F.count("*") / side).cast("int").alias("blocks"))
     own = rows.join(sizes, batch).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     met = own.select(batch, "own", "key", "vector", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    both = met.select(batch, "key", "vector", "label", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("left")).unionByName(met.select(batch, "key", "vector", "label", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("left")))
+    side_of = lambda i, j, left: met.select(batch, "key", "vector", "label", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(left).alias("left"))
+    both = side_of("own", "other", True).unionByName(side_of("other", "own", False))
     kinds = {f.name: f.dataType.simpleString() for f in both.select(batch, "key").schema.fields}
 
     def work(group: pa.Table) -> pa.Table:

@@ -9,7 +9,7 @@ from soilspark.functions import clean, depth
 from soilspark.plans import assemble, compare, site
 from soilspark.plans.catalog import Tables, query
 from soilspark.plans.q_scalars import ALBERS, EDGES, RINGS, _points
-from soilspark.sources import archives, files, rasters, scratch, shapes, sinks, state
+from soilspark.sources import archives, files, grids, rasters, scratch, shapes, sinks, state
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders")
@@ -291,3 +291,18 @@ def selected_features(t: Tables) -> DataFrame:
     rows = t.part.select("p_partkey", F.col("p_name").alias("profile_id"), F.col("p_size").alias("depth_cm"), (k % 3).alias("rosetta_level"), F.col("p_retailprice").alias("theta_s"), (F.col("p_retailprice") * 2).alias("lat_wet"), (k % 5).alias("soil_clay"), (k % 7).alias("slope"), (k % 2).alias("lat"))
     names = assemble.feature_names(rows.columns, ["theta_s"], ["p_partkey", "profile_id"], "continuous", ("lat",), ("soil",))
     return rows.select("p_partkey", *names)
+
+
+@query("""WITH c AS (SELECT p_partkey % 60 AS t, (p_partkey // 60) % 12 AS i, p_partkey // 720 AS j, avg(p_retailprice) AS v FROM part GROUP BY ALL), g AS (SELECT max(p_partkey // 720) AS w FROM part), n AS (SELECT count(DISTINCT t) AS n FROM c),
+p AS (SELECT s_suppkey, s_suppkey % 12 AS i, least(s_suppkey % 5, w) AS j FROM supplier, g), s AS (SELECT DISTINCT t FROM c)
+SELECT s_suppkey, s.t::DOUBLE AS t, round(v, 6) AS value FROM p CROSS JOIN s LEFT JOIN c ON c.t = s.t AND c.i = p.i AND c.j = p.j""")
+def grid_series(t: Tables) -> DataFrame:
+    """Prices on a grid of rows and columns over steps, written as NetCDF files, and the series of the cells nearest to many points."""
+    k = F.col("p_partkey")
+    cells = t.part.groupBy((k % 60).alias("t"), (F.floor(k / 60) % 12).alias("i"), F.floor(k / 720).alias("j")).agg(F.avg("p_retailprice").alias("value"))
+    wide = t.part.agg(F.max(F.floor(k / 720))).first()[0] + 1
+    path = scratch.folder(t.spark, "grid")
+    grids.write(cells, path, "price", [49.0 - 0.5 * r for r in range(12)], [-120.0 + 0.25 * c for c in range(wide)], steps=16)
+    s = F.col("s_suppkey")
+    points = t.supplier.select("s_suppkey", (-120 + 0.25 * (s % 5) + 0.1).alias("x"), (49 - 0.5 * (s % 12) - 0.2).alias("y"))
+    return grids.series(points, path, "price", "x", "y").select("s_suppkey", "t", F.round("value", 6).alias("value"))

@@ -91,7 +91,8 @@ def _binned(df: DataFrame, features: list[str], targets: list[str], edges: list[
     spark = df.sparkSession
     known = df.na.drop("any", subset=[*targets, *features])
     tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    each = known.select(*[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)], *[F.col(c).cast("double").alias(f"y{k}") for k, c in enumerate(targets)], (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+    numbered = [F.col(c).cast("double").alias(f"{kind}{k}") for kind, names in (("x", features), ("y", targets)) for k, c in enumerate(names)]
+    each = known.select(*numbered, (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +142,8 @@ def _level(rows: DataFrame, open_nodes: dict[int, list[int]], depth: int, featur
         for t, ns in nodes.items():
             some = np.flatnonzero(sums[t][0].any(axis=1))
             flat = sums[t].transpose(1, 0, 2)[some].reshape(len(some), width)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), t, dtype=np.int32)), pa.array(np.array(ns, dtype=np.int32)[some]), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * width), pa.array(flat.ravel()))], ["tree", "node", "sums"])
+            own = [pa.array(np.full(len(some), t, dtype=np.int32)), pa.array(np.array(ns, dtype=np.int32)[some])]
+            yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * width), pa.array(flat.ravel()))], ["tree", "node", "sums"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}

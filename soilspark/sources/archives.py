@@ -17,7 +17,8 @@ from datetime import datetime
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, LessThan, LessThanOrEqual, StringStartsWith
 from pyspark.sql.types import StructType
 
 from soilspark.sources.shapes import _at
@@ -25,7 +26,8 @@ from soilspark.sources.shapes import _at
 PART_BYTES = 32 << 20  # of members' compressed bytes in a partition
 SCHEMA = "network string, station string, variable string, depth_from double, depth_to double, sensor string, latitude double, longitude double, elevation double, date_time timestamp, value double, flag string"
 _ARROW = pa.schema(
-    [(c, pa.string()) for c in ("network", "station", "variable")] + [(c, pa.float64()) for c in ("depth_from", "depth_to")] + [("sensor", pa.string())] + [(c, pa.float64()) for c in ("latitude", "longitude", "elevation")]
+    [(c, pa.string()) for c in ("network", "station", "variable")] + [(c, pa.float64()) for c in ("depth_from", "depth_to")]
+    + [("sensor", pa.string())] + [(c, pa.float64()) for c in ("latitude", "longitude", "elevation")]
     + [("date_time", pa.timestamp("us", tz="UTC")), ("value", pa.float64()), ("flag", pa.string())]
 )
 NAMED = ("network", "station", "variable", "depth_from", "depth_to", "sensor")

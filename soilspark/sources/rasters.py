@@ -246,7 +246,8 @@ def write(pixels: DataFrame, path: str, grid: Grid, nodata: float = -9999.0, sid
         own.move(before, f"{where}/{name}")
         return pa.table({"name": [name]})
 
-    keyed = pixels.select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("value").cast("double"), F.floor(F.col("row") / side).cast("long").alias("i"), F.floor(F.col("col") / side).cast("long").alias("j"))
+    files = [F.floor(F.col(c) / side).cast("long").alias(k) for c, k in (("row", "i"), ("col", "j"))]
+    keyed = pixels.select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("value").cast("double"), *files)
     keyed.groupBy("i", "j").applyInArrow(file, "name string").write.format("noop").mode("overwrite").save()
 
 
@@ -259,7 +260,8 @@ def packed(x: np.ndarray, grid: Grid, nodata: float, tile: int = TILE) -> bytes:
     places = np.cumsum([at, *map(len, blocks)])
     at = int(places[-1])
     tags: list[tuple[int, int, list | bytes]] = [
-        (WIDTH, 4, [width]), (HEIGHT, 4, [height]), (BITS, 3, [64]), (PACKING, 3, [8]), (262, 3, [1]), (BANDS, 3, [1]), (PLANAR, 3, [1]), (TILE_WIDTH, 4, [tile]), (TILE_HEIGHT, 4, [tile]), (TILES, 4, places[:-1].tolist()),
+        (WIDTH, 4, [width]), (HEIGHT, 4, [height]), (BITS, 3, [64]), (PACKING, 3, [8]), (262, 3, [1]), (BANDS, 3, [1]), (PLANAR, 3, [1]), (TILE_WIDTH, 4, [tile]), (TILE_HEIGHT, 4, [tile]),
+        (TILES, 4, places[:-1].tolist()),
         (TILE_SIZES, 4, [len(b) for b in blocks]), (FORMAT, 3, [3]), (SCALE, 12, [grid.width, grid.height, 0.0]), (TIE, 12, [0.0, 0.0, 0.0, grid.left, grid.top, 0.0]), (NODATA, 2, text),
     ]
     for tag, kind, value in tags:

@@ -225,3 +225,48 @@ def test_rasters_of_other_forms(tmp_path):
     assert rows[3]["values"] == x[2:, :, 1].ravel().tolist()
     with pytest.raises(ValueError, match="no TIFF"):
         rasters.directory(io.BytesIO(b"PK" + b"\0" * 30))
+
+
+def test_grids_are_read_by_cells_and_steps(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from soilspark.sources import grids
+
+    rng = np.random.default_rng(2)
+    full = rng.normal(size=(10, 5, 7))
+    full[3, 2, 2] = np.nan
+    y, x = [50.0 - k * 0.5 for k in range(5)], [-100.0 + k * 0.25 for k in range(7)]
+    rows = [(t, i, j, None if np.isnan(v) else float(v)) for t, a in enumerate(full) for i, b in enumerate(a) for j, v in enumerate(b)]
+    path = f"file://{tmp_path}/g"
+    grids.write(spark.createDataFrame(rows, "t int, i int, j int, value double").repartition(3), path, "pr", y, x, steps=4)
+    back = grids.read(spark, path, "pr", partitionSteps="3")
+    assert {(int(r["t"]), r["i"], r["j"]): r["value"] for r in back.collect()} == {r[:3]: r[3] for r in rows}
+    some = back.where("i = 2 and j >= 5 and t > 6")
+    assert {(int(r["t"]), r["j"], r["value"]) for r in some.collect()} == {(t, j, float(full[t, 2, j])) for t in (7, 8, 9) for j in (5, 6)}
+    points = spark.createDataFrame([(1, -100.1, 49.1), (2, -98.9, 48.1), (3, -500.0, 90.0), (4, None, 1.0)], "k int, x double, y double")
+    for most in (0, 100):
+        got = {(r["k"], int(r["t"])): r["value"] for r in grids.series(points, path, "pr", "x", "y", most).collect()}
+        assert got == {(k, t): float(full[t, i, j]) for k, i, j in ((1, 2, 0), (2, 4, 4), (3, 0, 0)) for t in range(10)}
+    read, asked = grids.values, []
+    monkeypatch.setattr(grids, "values", lambda f, h, n, *more: asked.append((n, more)) or read(f, h, n, *more))
+    reader = grids.GridReader({"path": path, "variable": "pr"})
+    assert list(reader.pushFilters([grids.In(("cell",), ("2:1", "2:4", "9:9")), grids.GreaterThan(("value",), 0)])) == [grids.GreaterThan(("value",), 0)]
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 20
+    assert {more[1:] for n, more in asked if n == "pr"} == {(2 * 7 + 1, 4)}
+
+
+def test_packed_numbers_of_grids():
+    import io
+    import struct
+
+    from soilspark.sources import grids
+
+    text = lambda s: struct.pack(">i", len(s)) + s.encode() + b"\0" * (-len(s) % 4)
+    number = lambda k, v: text(k) + struct.pack(">iid", 6, 1, v)
+    more = struct.pack(">ii", 12, 3) + number("scale_factor", 0.1) + number("add_offset", 5.0) + text("_FillValue") + struct.pack(">iihxx", 3, 1, -1)
+    head = b"CDF\1" + struct.pack(">iii", 0, 10, 2) + text("y") + struct.pack(">i", 1) + text("x") + struct.pack(">i", 3) + struct.pack(">iiii", 0, 0, 11, 1) + text("v") + struct.pack(">iii", 2, 0, 1) + more + struct.pack(">ii", 3, 8)
+    file = io.BytesIO(head + struct.pack(">i", len(head) + 4) + struct.pack(">3h", 10, -1, 0))
+    got = grids.values(file, grids.header(file), "v").tolist()
+    assert got[0] == 6.0 and got[1] != got[1] and got[2] == 5.0
+    with pytest.raises(ValueError, match="NetCDF"):
+        grids.header(io.BytesIO(b"HDF5...."))
