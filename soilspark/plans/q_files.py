@@ -176,7 +176,7 @@ def _documents(t: Tables) -> DataFrame:
     status = F.when(F.col("n_obs") % 7 == 0, "Failed").otherwise("Success")
     rows = rows.withColumns({"status": status, "aic": -F.col("n_obs").cast("double"), "theta_r_stderr": F.lit(0.5)} | {c: none for c in ("chi_squared", "reduced_chi_squared", "bic", "theta_s_stderr", "alpha_stderr", "n_stderr")})
     path = scratch.folder(t.spark, "documents")
-    sinks.fit_documents(rows, "station", path)
+    sinks.named_documents(rows, "station", path)
     return files.fit_documents(t.spark, path, "station")
 
 

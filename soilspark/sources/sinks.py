@@ -48,15 +48,23 @@ def named_lines(df: DataFrame, key: str, order: str, line: str, path: str, endin
     _named(rows.write, key, path, ending, df.sparkSession)
 
 
-def fit_documents(fits: DataFrame, key: str, path: str) -> None:
-    """A JSON document ``<key>.json`` for each key: depth -> status, statistics and parameters. Depths of one profile are few."""
+def _documents(fits: DataFrame, key: str) -> DataFrame:
     parameter = lambda p: F.struct(F.col(p).alias("value"), F.col(f"{p}_stderr").alias("stderr"))
     names = ("theta_r", "theta_s", "alpha", "n")
     params = F.create_map(*[x for p in names for x in (F.lit(p), parameter(p))])
     one = F.struct("status", "n_obs", "chi_squared", "reduced_chi_squared", "aic", "bic", params.alias("parameters"))
     docs = fits.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("depth_cm").cast("string").alias("k"), one.alias("v")))).alias("d"))
-    docs = docs.select(F.translate(F.col(key).cast("string"), "/", "-").alias(key), F.to_json("d").alias("value"))
-    _named(docs.repartition(F.col(key)).sortWithinPartitions(key).write, key, path, "json", fits.sparkSession)
+    return docs.select(F.translate(F.col(key).cast("string"), "/", "-").alias(key), F.to_json("d").alias("value")).repartition(F.col(key))
+
+
+def fit_documents(fits: DataFrame, key: str, path: str) -> None:
+    """A folder ``<key>=...`` for each key with its JSON document: depth -> status, statistics and parameters. Depths of one profile are few."""
+    _documents(fits, key).write.mode("overwrite").partitionBy(key).text(path)
+
+
+def named_documents(fits: DataFrame, key: str, path: str) -> None:
+    """The same as files ``<key>.json``."""
+    _named(_documents(fits, key).sortWithinPartitions(key).write, key, path, "json", fits.sparkSession)
 
 
 def merged_daily(existing: DataFrame, new: DataFrame, by: list[str], value: str) -> DataFrame:
