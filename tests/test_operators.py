@@ -249,14 +249,13 @@ def test_states_merge_in_any_order(spark):
     assert sorted(values(sinks.state_means(one, ["k"]), "k", "v", "w")) == sorted(values(sinks.state_means(two, ["k"]), "k", "v", "w")) == [("a", 3.0, 3.0), ("b", None, None)]
 
 
-def test_categories_and_comparisons_are_bounded(spark, monkeypatch):
+def test_categories_are_bounded_and_comparisons_are_not(spark, monkeypatch):
     monkeypatch.setattr(assemble, "MAX_CODES", 3)
-    monkeypatch.setattr(files, "MAX_COMPARED", 5)
     df = spark.range(4).select(F.col("id").cast("string").alias("c"))
     with pytest.raises(ValueError):
         assemble.category_codes(df, "c")
-    with pytest.raises(ValueError):
-        files.for_ids(df.withColumnRenamed("c", "id"), spark.createDataFrame([("p", "zz"), ("q", "yy")], "path string, name string"), "id")
+    got = files.for_ids(df.withColumnRenamed("c", "id"), spark.createDataFrame([("p", "zz"), ("q", "y3y"), ("r", "x3")], "path string, name string"), "id")
+    assert sorted(map(tuple, got.collect())) == [("0", None), ("1", None), ("2", None), ("3", "r")]
 
 
 def test_forest_checks_its_features(spark):
