@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 

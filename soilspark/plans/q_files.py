@@ -180,7 +180,7 @@ def _documents(t: Tables) -> DataFrame:
     return files.fit_documents(t.spark, path, "station")
 
 
-@query(f"SELECT CAST(l_suppkey AS VARCHAR) AS station, depth_cm, round(theta_r, 9) AS theta_r, round(theta_s, 9) AS theta_s, round(alpha, 9) AS alpha, round(n, 9) AS n, 0.5 AS theta_r_stderr, n_obs::INTEGER AS n_obs, -n_obs::DOUBLE AS aic, -9999 AS data_ct FROM ({FITTED}) WHERE n_obs % 7 <> 0")
+@query(f"SELECT CAST(l_suppkey AS VARCHAR) AS station, depth_cm::DOUBLE AS depth_cm, round(theta_r, 9) AS theta_r, round(theta_s, 9) AS theta_s, round(alpha, 9) AS alpha, round(n, 9) AS n, 0.5::DOUBLE AS theta_r_stderr, n_obs::INTEGER AS n_obs, -n_obs::DOUBLE AS aic, -9999 AS data_ct FROM ({FITTED}) WHERE n_obs % 7 <> 0")
 def fit_documents_scan(t: Tables) -> DataFrame:
     return _documents(t).select("station", "depth_cm", *[F.round(c, 9).alias(c) for c in ("theta_r", "theta_s", "alpha", "n")], "theta_r_stderr", "n_obs", "aic", "data_ct")
 
@@ -226,7 +226,7 @@ def shapes_in_a_box(t: Tables) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT 's' || user_id AS station, date_trunc('minute', ts) AS minute, (event_id % 4) * 0.05 AS lo, event_type, value, CASE WHEN event_id % 3 = 0 THEN 'G' END AS flag FROM events WHERE event_type <> 'error' AND (event_id % 4) * 0.05 < 0.12)
-SELECT station, round(lo, 2) AS depth_from, event_type AS variable, count(*) AS n, count(value) AS known, count(flag) AS good, round(avg(value), 6) AS mean, min(minute) AS first, max(minute) AS last FROM r GROUP BY ALL""")
+SELECT station, round(lo::DOUBLE, 2) AS depth_from, event_type AS variable, count(*) AS n, count(value) AS known, count(flag) AS good, round(avg(value), 6) AS mean, min(minute) AS first, max(minute) AS last FROM r GROUP BY ALL""")
 def station_archives(t: Tables) -> DataFrame:
     """Records written as archives of a member a sensor, and those of some variables and depths read."""
     lo = (F.col("event_id") % 4) * 0.05
