@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from soilspark.sources.scratch import kept
 
-BINS = 4096
+BINS = 16_384
+FEW = 5_000  # groups whose intervals the driver holds between rounds
 MAX_BROADCAST = 200_000  # intervals looked for at once, some 100 bytes each
 
 
@@ -26,17 +27,21 @@ def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], bins
 
     Order statistics are found by rounds of refinement: the interval that holds a rank is cut into ``bins`` of equal width, a partial aggregation counts them with their smallest and largest values, and the
     bin of the rank is the next interval, until its values are all equal. A round takes the smallest and largest values apart at least and mostly leaves a few thousandth, so two to four
-    passes over the rows are usual; no task holds a group's values.
+    passes over the rows are usual. Between rounds the driver holds the intervals of at most ``FEW`` groups, those of more are written; no task holds a group's values.
     """
     known = F.col(value).cast("double")
     rows = df.select(*by, known.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    ends = kept(rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi")), "extents")
+    ends = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    some = ends.limit(FEW + 1).collect()
+    few = len(some) <= FEW
+    spark = df.sparkSession
+    ends = spark.createDataFrame(some, ends.schema) if few else kept(ends, "extents")
     place = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
     wanted = F.array_distinct(F.array(*[f(x).cast("long") for x in place for f in (F.floor, F.ceil)]))
     state = ends.select(*by, F.explode(wanted).alias("rank"), F.lit(0).cast("long").alias("before"), "lo", "hi")
     where = [*by, "lo", "hi"]
     while True:
-        state = kept(state, "ranks")
+        state = spark.createDataFrame(state.collect(), state.schema) if few else kept(state, "ranks")
         done, open_ = state.where("lo = hi"), state.where("lo < hi")
         spans = open_.select(*where).distinct()
         n = spans.count()

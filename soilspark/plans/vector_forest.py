@@ -106,6 +106,18 @@ def _binned(df: DataFrame, features: list[str], targets: list[str], edges: list[
     return spark.read.schema(shape + ", number long").parquet(path)
 
 
+def _larger(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """The batches put together to about ``rows`` rows, as every tree's work on a batch has a cost of its own."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _level(rows: DataFrame, open_nodes: dict[int, list[int]], depth: int, feature: np.ndarray, bin_: np.ndarray, sizes: list[int], k: int, seed: int, least: float) -> list:
     """(tree, node, feature, bin, sums left, sums right) of the best split of each open node, None where none lowers the errors; sums are of weights and targets."""
     spark = rows.sparkSession
@@ -116,7 +128,7 @@ def _level(rows: DataFrame, open_nodes: dict[int, list[int]], depth: int, featur
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, feats, bins = held.value
         sums = {t: np.zeros((k + 1, len(ns), int(at[-1]))) for t, ns in nodes.items()}
-        for batch in batches:
+        for batch in _larger(batches):
             x = np.stack([batch.column(f"b{f}").to_numpy() for f in range(len(sizes))]).astype(np.int64)
             y = [batch.column(f"y{j}").to_numpy() for j in range(k)]
             w0, number = batch.column("w").to_numpy(), batch.column("number").to_numpy()

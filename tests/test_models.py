@@ -225,3 +225,13 @@ def test_quantiles_by_refinement_equal_sorting(spark, bins):
     whole = np.concatenate([x for k, x in groups.items() if k != "wide"])
     assert quantiles(df.where("g is null or g <> 'wide'"), [], "v", probs, bins).first()["q"] == pytest.approx(np.quantile(whole, probs).tolist(), rel=1e-9)
     assert quantiles(df.limit(0), ["g"], "v", probs).count() == 0
+
+
+def test_quantiles_of_more_groups_than_the_driver_holds(spark, monkeypatch):
+    from soilspark.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW", 3)
+    df = spark.range(900).selectExpr("id % 9 AS g", "CAST(id * id % 97 AS DOUBLE) AS v")
+    got = {r["g"]: r["q"] for r in quantiles.quantiles(df, ["g"], "v", [0.1, 0.5], 64).collect()}
+    for g in range(9):
+        assert got[g] == pytest.approx(np.quantile([k * k % 97 for k in range(g, 900, 9)], [0.1, 0.5]).tolist())
