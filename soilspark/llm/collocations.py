@@ -34,11 +34,11 @@ LONGEST = 5
 TOP = 2000
 SHARE = 100  # percent of a phrase's occurrences within a longer one from which it is dropped
 MAX_BROADCAST = 1_000_000
-BLOCK = 1 << 16  # positions from which a block ends at the next piece's end
+BLOCK = 1 << 13  # positions from which a block ends at the next piece's end
 SLICE = 1 << 20  # bytes of a text split at once
-FLUSH = 100_000  # counts of words held by a task before they are sent on
-PAIRS = 1_000_000  # occurrences of pairs held before they are counted
-ROWS = 16  # blocks that are merge-joined at once
+FLUSH = 60_000  # counts of words held by a task before they are sent on
+PAIRS = 500_000  # occurrences of pairs held before they are counted
+ROWS = 256  # blocks, or texts, that a task is handed at once
 _SALTS = 64
 
 # fixed values: what ends a piece (. , ; : ! ? and U+000A to U+000D), and the second of the two characters between words
@@ -143,11 +143,6 @@ def _relation_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     return (_block(p, v, pa.binary()) for p, v in _blocks(batches, number))
 
 
-def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of few rows, as a row holds a whole block."""
-    return (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS))
-
-
 def _adjacent(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The merge-join of each block with itself on the next position: row, position and both groups, by row and position."""
     pos, gid = batch.column("pos"), batch.column("gid")
@@ -169,7 +164,7 @@ def _pairs_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF), pa.array(n.astype(np.int64))], ["a", "b", "n"])
 
-    for batch in _few(batches):
+    for batch in batches:
         _, _, a, b = _adjacent(batch)
         held.append(_packed(a, b))
         if sum(map(len, held)) > PAIRS:
@@ -181,7 +176,7 @@ def _extended(keys: np.ndarray, gids: np.ndarray):
     """The next relation: of what stands side by side the occurrences whose pair is among the sorted ``keys``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _few(batches):
+        for batch in batches:
             row, p, a, b = _adjacent(batch)
             key = _packed(a, b)
             at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
@@ -194,7 +189,7 @@ def _extended(keys: np.ndarray, gids: np.ndarray):
 
 def _numbered(df: DataFrame, label: str) -> DataFrame:
     """``df`` with gid: numbers from 0 without gaps, kept with the rows. Partitions are counted, their few sums are added up on the driver."""
-    rows = stored(df.withColumn("__id", F.monotonically_increasing_id()), label)
+    rows = stored(df.withColumn("__id", F.monotonically_increasing_id()), label, ROWS)
     part = F.shiftrightunsigned("__id", 33)
     sizes = sorted(rows.groupBy(part.alias("p")).count().collect())
     begin, total = {}, 0
@@ -246,14 +241,14 @@ def _next_relation(relation: DataFrame, groups: DataFrame, near: bool) -> DataFr
 def levels(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, max_broadcast: int = MAX_BROADCAST) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n) of all words, and for each length the frequent phrases: gid, a, b (the groups of their first and their last words but one), lang, phrase, last, f,
     pre and suf (occurrences of their first and last 1, 2, ... words), fa and fb."""
-    counts = stored(_texts(docs).mapInArrow(_words_counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    counts = stored(_texts(docs).mapInArrow(_words_counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words", ROWS)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
     words = _numbered(counts.where(F.col("n") >= least), "groups")
     none = F.array().cast("array<long>")
     word = F.col("word").cast("string")
     found = [words.select("gid", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "lang", word.alias("phrase"), word.alias("last"), F.col("n").alias("f"), none.alias("pre"), none.alias("suf"), *[F.lit(None).cast("long").alias(c) for c in ("fa", "fb")])]
     n = words.count()
-    relation = stored(_first_relation(docs, words, n, n <= max_broadcast), "occurrences")
+    relation = stored(_first_relation(docs, words, n, n <= max_broadcast), "occurrences", ROWS)
     for k in range(2, longest + 1):
         pairs = relation.mapInArrow(_pairs_counted, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         groups = _numbered(pairs, "groups")
@@ -268,7 +263,7 @@ def levels(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, max_broa
         if not n:
             break
         if k < longest:
-            relation = stored(_next_relation(relation, groups, n <= max_broadcast), "occurrences")
+            relation = stored(_next_relation(relation, groups, n <= max_broadcast), "occurrences", ROWS)
     return totals, found
 
 

@@ -31,11 +31,24 @@ def scratch(spark: SparkSession, label: str) -> str:
     return _written[-1]
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: its lineage is cut, and a lost executor costs a re-read only."""
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: its lineage is cut, and a lost executor costs a re-read only.
+
+    ``batch_rows``: while this is written, Python is handed so many rows at a time at most, for rows that are large.
+    """
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    try:
+        if batch_rows:
+            spark.conf.set(_BATCH, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
