@@ -41,10 +41,11 @@ def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], bins
     state = ends.select(*by, F.explode(wanted).alias("rank"), F.lit(0).cast("long").alias("before"), "lo", "hi")
     where = [*by, "lo", "hi"]
     while True:
-        state = spark.createDataFrame(state.collect(), state.schema) if few else kept(state, "ranks")
+        held = state.collect() if few else None
+        state = spark.createDataFrame(held, state.schema) if few else kept(state, "ranks")
         done, open_ = state.where("lo = hi"), state.where("lo < hi")
         spans = open_.select(*where).distinct()
-        n = spans.count()
+        n = sum(r["lo"] < r["hi"] for r in held) if few else spans.count()
         if not n:
             break
         s = _other(spans, where)
