@@ -239,3 +239,31 @@ def test_suffix_arrays_and_common_prefixes(few, monkeypatch):
                 while max(a, b) + n < len(t) and t[a + n] == t[b + n]:
                     n += 1
                 assert before[b] == a and common[b] == n
+
+
+def test_large_rows_are_written_and_decoded_in_parts(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from soilspark.llm import storage
+
+    seen = []
+    real = spark.range(300, numPartitions=1).select(F.transform(F.sequence(F.lit(1), F.lit(30_000)), lambda i: F.xxhash64(i, "id")).alias("value"))
+
+    class Asked:
+        sparkSession, schema = spark, real.schema
+
+        @property
+        def write(self):
+            seen.append({spark.conf.get(c) for c in ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")})
+            return real.write
+
+    before = spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+    back = storage.stored(Asked(), "large", 16)
+    assert seen == [{"16"}] and spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == before
+    path = back.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    groups = [pq.ParquetFile(f).metadata for f in glob.glob(f"{path}/*.parquet")]
+    assert sum(g.num_row_groups for g in groups) >= 3  # 72 MB
+    assert back.count() == 300
