@@ -91,9 +91,17 @@ def decoded_days(days: Column, origin: str) -> Column:
 
 
 def cell_series(cells: DataFrame, points: DataFrame, x: str, y: str, width: float, key: list[str], order: list) -> DataFrame:
-    """The series of the cell nearest to each point of a regular grid, one row a time, the first of repeated ones."""
+    """The series of the cell nearest to each point of a regular grid, one row a time, the first of repeated ones.
+
+    Where the key and the order are the points' and the cells' own columns, the first row of each cell is found before the join, so repeated rows of a cell do not meet its points.
+    """
     at = lambda c: F.bround(F.col(c) / width).cast("long")
     grid = cells.withColumn("__i", at("x")).withColumn("__j", at("y")).drop("x", "y")
+    own, named = [k for k in key if k in grid.columns], [c for c in order if isinstance(c, str)]
+    if len(named) == len(order) and set(named) <= set(grid.columns) and all((k in grid.columns) != (k in points.columns) for k in key):
+        rest = F.struct(*named, *[c for c in grid.columns if c not in (*named, *own, "__i", "__j")])
+        nearest = grid.groupBy("__i", "__j", *own).agg(F.min_by(rest, F.struct(*named)).alias("__c"))
+        grid = nearest.select("__i", "__j", *own, "__c.*")
     both = points.withColumn("__i", at(x)).withColumn("__j", at(y)).join(grid, ["__i", "__j"]).drop("__i", "__j")
     w = Window.partitionBy(*key).orderBy(*order)
     return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

@@ -470,3 +470,17 @@ def test_registered_forests_are_of_full_size(spark, monkeypatch):
     t = Tables(spark, "/root/testdata/sf0.001")
     assert q_models.rf_train_metrics(t).count() == 1 and q_models.rf_importance(t).count() == 3
     assert sizes == [(250, (2 << 8) - 1)] * 2
+
+
+def test_repeated_cells_do_not_meet_their_points(spark):
+    from soilspark.operators import composites
+
+    cells = spark.createDataFrame([(0.0, 0.0, n, n * 1.5) for n in range(5, 0, -1)] + [(10.0, 0.0, 9, 7.0), (10.0, 0.0, None, 8.0)], "x double, y double, n int, v double")
+    points = spark.createDataFrame([(1, 2.0, 0.0), (2, 4.0, 1.0), (3, 11.0, 0.0), (4, 90.0, 0.0)], "k int, px double, py double")
+    out = composites.cell_series(cells, points, "px", "py", 10.0, ["k"], ["n"])
+    assert sorted(values(out, "k", "v")) == [(1, 1.5), (2, 1.5), (3, 8.0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.find("Aggregate") > plan.find("Join") > 0
+    times = cells.withColumn("t", F.col("n") % 2).where("n is not null")
+    out = composites.cell_series(times, points, "px", "py", 10.0, ["k", "t"], ["n"])
+    assert sorted(values(out, "k", "t", "v")) == [(1, 0, 3.0), (1, 1, 1.5), (2, 0, 3.0), (2, 1, 1.5), (3, 1, 7.0)]
