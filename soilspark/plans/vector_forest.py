@@ -5,6 +5,9 @@ trees grown so far and sums, for each open node, feature and bin, the weights an
 by which the squared errors of all targets together fall most (ties: the first feature, the lowest cut). Open nodes are taken in parts of ``HELD`` bytes of sums, so a
 task's memory does not grow with trees, depth or features. The driver holds the trees, whose size the parameters bound.
 
+Where the bins of all features make at most ``CELLS`` combinations, whose sums of all trees are within ``HELD``, all that a tree can learn of the rows are the sums of each combination. Then rows are read once, for all levels: tasks sum them by tree and
+combination, sums meet by tree, and a tree is grown from its own. Trees are the same either way but for the order in which numbers are added. Predictions are looked up by the combination of intervals likewise.
+
 Every tree has its own weights of rows, Poisson by a hash of the row's number and the tree's. Rows with an unknown target or feature do not train, and have no prediction.
 """
 
@@ -24,6 +27,7 @@ from soilspark.sources import scratch
 
 BINS = 32
 HELD = 48 << 20  # bytes of sums that a task holds at once
+CELLS = 1 << 15  # combinations of bins up to which rows are summed by them, in one pass
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 # fixed values: the Poisson distribution of mean 1, added up
 _POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)])
@@ -42,6 +46,21 @@ class Forest:
 
     def predicted(self, x: np.ndarray) -> np.ndarray:
         """(rows, targets): means over the trees."""
+        if "_held" not in self.__dict__:
+            edges = [np.unique(self.cut[self.feature == f]) for f in range(len(self.features))]
+            table = None
+            if np.prod([len(e) + 1.0 for e in edges]) <= CELLS:  # a value of each interval stands for it
+                table = self._walked(np.stack([g.ravel() for g in np.meshgrid(*[np.append(e, np.inf) for e in edges], indexing="ij")], axis=1))
+            object.__setattr__(self, "_held", (edges, table))
+        edges, table = self.__dict__["_held"]
+        if table is None:
+            return self._walked(x)
+        at = np.zeros(len(x), dtype=np.int64)
+        for f, e in enumerate(edges):
+            at = at * (len(e) + 1) + np.searchsorted(e, x[:, f], side="left")
+        return table[at]
+
+    def _walked(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), len(self.targets)))
         row = np.arange(len(x))
         for f, c, v in zip(self.feature, self.cut, self.value, strict=True):
@@ -87,7 +106,7 @@ def cuts(df: DataFrame, features: list[str], bins: int = BINS) -> list[np.ndarra
     return out
 
 
-def _binned(df: DataFrame, features: list[str], targets: list[str], edges: list[np.ndarray], weight: str | None) -> DataFrame:
+def _binned(df: DataFrame, features: list[str], targets: list[str], edges: list[np.ndarray], weight: str | None, kept: bool = True) -> DataFrame:
     spark = df.sparkSession
     known = df.na.drop("any", subset=[*targets, *features])
     tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -100,9 +119,12 @@ def _binned(df: DataFrame, features: list[str], targets: list[str], edges: list[
             yield pa.RecordBatch.from_arrays([*cols, *[batch.column(f"y{k}") for k in range(len(targets))], batch.column("w")], [*[f"b{k}" for k in range(len(edges))], *[f"y{k}" for k in range(len(targets))], "w"])
 
     shape = ", ".join([f"b{k} short" for k in range(len(features))] + [f"y{k} double" for k in range(len(targets))] + ["w double"])
-    path = scratch.folder(spark, "binned")
     # the work on a row is far beyond reading it, so rows are dealt to all cores, however few files they come from
-    each.mapInArrow(run, shape).withColumn("number", F.monotonically_increasing_id()).repartition(tasks).write.parquet(path)
+    dealt = each.mapInArrow(run, shape).withColumn("number", F.monotonically_increasing_id()).repartition(tasks, "number")
+    if not kept:
+        return dealt
+    path = scratch.folder(spark, "binned")
+    dealt.write.parquet(path)
     return spark.read.schema(shape + ", number long").parquet(path)
 
 
@@ -118,6 +140,87 @@ def _larger(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def _best(sums: np.ndarray, whole: np.ndarray, at: np.ndarray, least: float) -> tuple | None:
+    """(gain, feature, bin, sums left, sums right, falls) of the best split of a node with ``sums`` (weights and targets, bins of all features), None where none lowers the errors."""
+    best = None
+    for f in range(len(at) - 1):
+        left = np.cumsum(sums[:, at[f] : at[f + 1]], axis=1)[:, :-1]
+        right = whole[:, None] - left
+        able = (left[0] >= least) & (right[0] >= least) & (left[0] > 0) & (right[0] > 0)
+        if not able.any():
+            continue
+        nl, nr = np.where(able, left[0], 1.0), np.where(able, right[0], 1.0)
+        fall = left[1:] ** 2 / nl + right[1:] ** 2 / nr - (whole[1:] ** 2 / whole[0])[:, None]
+        gain = np.where(able, fall.sum(axis=0), -np.inf)
+        b = int(np.argmax(gain))
+        if gain[b] > 1e-9 * max(1.0, float((whole[1:] ** 2).sum() / whole[0])) and (best is None or gain[b] > best[0] * (1 + 1e-12)):
+            best = gain[b], f, b, left[:, b], right[:, b], fall[:, b]
+    return best
+
+
+def _from_cells(rows: DataFrame, sizes: list[int], k: int, trees: int, depth: int, seed: int, least: float) -> list:
+    """(tree, node, feature, bin, sums left, sums right, falls) of all nodes that were open at any level, from one pass over ``rows``."""
+    cells, at = int(np.prod(sizes)), np.append(0, np.cumsum(sizes))
+    width = cells * (k + 1)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((trees, k + 1, cells))
+        for batch in _larger(batches, 20_000):
+            x = np.zeros(batch.num_rows, dtype=np.int64)
+            for f, size in enumerate(sizes):
+                x = x * size + batch.column(f"b{f}").to_numpy()
+            w0, number = batch.column("w").to_numpy(), batch.column("number").to_numpy()
+            values = [w0, *[w0 * batch.column(f"y{j}").to_numpy() for j in range(k)]]
+            for t in range(trees):
+                w = row_weights(number, t, seed)
+                for j, v in enumerate(values):
+                    sums[t, j] += np.bincount(x, weights=v * w, minlength=cells)
+        for t in range(trees):
+            whole = pa.ListArray.from_arrays(pa.array([0, width], pa.int32()), pa.array(sums[t].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), whole], ["tree", "sums"])
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            flat = batch.column("sums").flatten().to_numpy().reshape(batch.num_rows, width)
+            for t, v in zip(batch.column("tree").to_pylist(), flat, strict=True):
+                if t in total:
+                    total[t] += v
+                else:
+                    total[t] = v.copy()
+        out = []
+        for t, v in sorted(total.items()):
+            whole_table = v.reshape(k + 1, *sizes)
+            nodes = [(0, np.array([[0, size] for size in sizes]))]  # with the bins that reach them
+            for _ in range(depth):
+                after = []
+                for n, box in nodes:
+                    here = whole_table[(slice(None), *[slice(a, z) for a, z in box])]
+                    sums = np.zeros((k + 1, int(at[-1])))
+                    for f, (a, z) in enumerate(box):
+                        sums[:, at[f] + a : at[f] + z] = here.sum(axis=tuple(1 + g for g in range(len(sizes)) if g != f))
+                    if not sums[0].any():
+                        continue
+                    whole = sums[:, at[0] : at[1]].sum(axis=1)
+                    best = _best(sums, whole, at, least)
+                    if best is None:
+                        out.append((t, n, -1, -1, whole.tolist(), None, None))
+                        continue
+                    _, f, b, left, right, fall = best
+                    out.append((t, n, f, b, left.tolist(), right.tolist(), fall.tolist()))
+                    for child, side in ((2 * n + 1, 1), (2 * n + 2, 0)):
+                        own = box.copy()
+                        own[f, side] = b + 1
+                        after.append((child, own))
+                nodes = after
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), *[pa.list_(pa.float64())] * 3)
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], ["tree", "node", "feature", "bin", "left", "right", "fall"])
+
+    spark = rows.sparkSession
+    shared = rows.mapInArrow(summed, "tree int, sums array<double>").repartition(2 * spark.sparkContext.defaultParallelism, "tree")
+    return shared.mapInArrow(grow, "tree int, node int, feature int, bin int, left array<double>, right array<double>, fall array<double>").collect()
+
+
 def _level(rows: DataFrame, open_nodes: dict[int, list[int]], depth: int, feature: np.ndarray, bin_: np.ndarray, sizes: list[int], k: int, seed: int, least: float) -> list:
     """(tree, node, feature, bin, sums left, sums right) of the best split of each open node, None where none lowers the errors; sums are of weights and targets."""
     spark = rows.sparkSession
@@ -169,20 +272,8 @@ def _level(rows: DataFrame, open_nodes: dict[int, list[int]], depth: int, featur
         out = []
         for (t, n), v in sorted(total.items()):
             sums = v.reshape(k + 1, int(at[-1]))
-            best = None
             whole = sums[:, at[0] : at[1]].sum(axis=1)
-            for f in range(len(sizes)):
-                left = np.cumsum(sums[:, at[f] : at[f + 1]], axis=1)[:, :-1]
-                right = whole[:, None] - left
-                able = (left[0] >= least) & (right[0] >= least) & (left[0] > 0) & (right[0] > 0)
-                if not able.any():
-                    continue
-                nl, nr = np.where(able, left[0], 1.0), np.where(able, right[0], 1.0)
-                fall = left[1:] ** 2 / nl + right[1:] ** 2 / nr - (whole[1:] ** 2 / whole[0])[:, None]
-                gain = np.where(able, fall.sum(axis=0), -np.inf)
-                b = int(np.argmax(gain))
-                if gain[b] > 1e-9 * max(1.0, float((whole[1:] ** 2).sum() / whole[0])) and (best is None or gain[b] > best[0] * (1 + 1e-12)):
-                    best = gain[b], f, b, left[:, b], right[:, b], fall[:, b]
+            best = _best(sums, whole, at, least)
             out.append((t, n, *((best[1], best[2], best[3].tolist(), best[4].tolist(), best[5].tolist()) if best else (-1, -1, whole.tolist(), None, None))))
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), *[pa.list_(pa.float64())] * 3)
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], ["tree", "node", "feature", "bin", "left", "right", "fall"])
@@ -194,11 +285,32 @@ def _level(rows: DataFrame, open_nodes: dict[int, list[int]], depth: int, featur
 def grown(df: DataFrame, targets: list[str], features: list[str], trees: int = 250, depth: int = 8, bins: int = BINS, least: float = 1.0, seed: int = 42, weight: str | None = None) -> Forest:
     """A forest of all ``targets`` together, every split over all ``features``. ``least`` is the weight that either side of a split keeps."""
     edges = cuts(df.na.drop("any", subset=[*targets, *features]), features, bins)
-    rows = _binned(df, features, targets, edges, weight)
     sizes, k, nodes = [len(e) + 1 for e in edges], len(targets), (2 << depth) - 1
+    cells = np.prod(np.array(sizes, dtype=float))
+    whole = cells <= CELLS and 8 * trees * (k + 1) * cells <= HELD
+    rows = _binned(df, features, targets, edges, weight, kept=not whole)
     feature, bin_ = np.full((trees, nodes), -1, dtype=np.int32), np.zeros((trees, nodes), dtype=np.int32)
     value, fall = np.full((trees, nodes, k), np.nan), np.zeros((trees, nodes, k))
-    open_: list[tuple[int, int]] = [(t, 0) for t in range(trees)]
+
+    def took(found: list) -> list[tuple[int, int]]:
+        after = []
+        for r in found:
+            t, n = r["tree"], r["node"]
+            left = np.array(r["left"])
+            if r["feature"] < 0:
+                value[t, n] = left[1:] / left[0]
+                continue
+            right = np.array(r["right"])
+            value[t, n] = (left + right)[1:] / (left + right)[0]
+            feature[t, n], bin_[t, n], fall[t, n] = r["feature"], r["bin"], r["fall"]
+            for child, s in ((2 * n + 1, left), (2 * n + 2, right)):
+                value[t, child] = s[1:] / s[0]
+                after.append((t, child))
+        return after
+
+    if whole:
+        took(sorted(_from_cells(rows, sizes, k, trees, depth, seed, least), key=lambda r: (r["tree"], r["node"])))
+    open_: list[tuple[int, int]] = [] if whole else [(t, 0) for t in range(trees)]
     a_time = max(1, HELD // (8 * sum(sizes) * (k + 1)))
     for level in range(depth):
         after = []
@@ -206,18 +318,7 @@ def grown(df: DataFrame, targets: list[str], features: list[str], trees: int = 2
             part: dict[int, list[int]] = {}
             for t, n in open_[at : at + a_time]:
                 part.setdefault(t, []).append(n)
-            for r in _level(rows, part, level, feature, bin_, sizes, k, seed, least):
-                t, n = r["tree"], r["node"]
-                left = np.array(r["left"])
-                if r["feature"] < 0:
-                    value[t, n] = left[1:] / left[0]
-                    continue
-                right = np.array(r["right"])
-                value[t, n] = (left + right)[1:] / (left + right)[0]
-                feature[t, n], bin_[t, n], fall[t, n] = r["feature"], r["bin"], r["fall"]
-                for child, s in ((2 * n + 1, left), (2 * n + 2, right)):
-                    value[t, child] = s[1:] / s[0]
-                    after.append((t, child))
+            after += took(_level(rows, part, level, feature, bin_, sizes, k, seed, least))
         open_ = sorted(after)
     if np.isnan(value[:, 0]).any():
         raise ValueError("no row has all targets and features")

@@ -235,3 +235,21 @@ def test_quantiles_of_more_groups_than_the_driver_holds(spark, monkeypatch):
     got = {r["g"]: r["q"] for r in quantiles.quantiles(df, ["g"], "v", [0.1, 0.5], 64).collect()}
     for g in range(9):
         assert got[g] == pytest.approx(np.quantile([k * k % 97 for k in range(g, 900, 9)], [0.1, 0.5]).tolist())
+
+
+def test_few_combinations_of_bins_take_one_pass(spark, grid_rows, monkeypatch):
+    x, y = grid_rows
+    df = table(spark, x, y)
+    levels = []
+    level = vector_forest._level
+    monkeypatch.setattr(vector_forest, "_level", lambda *a: levels.append(1) or level(*a))
+    one = vector_forest.grown(df, ["p", "q"], ["u", "v"], trees=6, depth=4, weight="w")
+    assert not levels
+    monkeypatch.setattr(vector_forest, "CELLS", 1)
+    two = vector_forest.grown(df, ["p", "q"], ["u", "v"], trees=6, depth=4, weight="w")
+    assert len(levels) == 4 and (one.feature == two.feature).all() and (one.cut == two.cut).all()
+    assert np.allclose(one.value, two.value, equal_nan=True) and np.allclose(one.fall, two.fall)
+    asked = np.random.default_rng(1).uniform(-2, 11, (500, 2))
+    walked = two.predicted(asked)
+    monkeypatch.undo()
+    assert np.allclose(one.predicted(asked), walked)
