@@ -33,17 +33,46 @@ def series_bounds(days: DataFrame, by: list[str], theta: str = "theta", upper: f
 
 def log_density(u: np.ndarray, psi: np.ndarray, theta: np.ndarray, seen: np.ndarray, limits: np.ndarray) -> np.ndarray:
     """Of points ``u`` (keys, chains, 5: theta_r, theta_s, log alpha, n - 1, log sigma), up to a constant of each key; -inf outside the bounds (keys, 3)."""
-    tr, ts, la, m, s = (u[..., k] for k in range(5))
-    cap, floor, upper = (limits[:, None, k] for k in range(3))
-    inside = (tr >= 0) & (tr <= cap) & (ts >= np.maximum(floor, tr + 1e-6)) & (ts <= upper) & (m > N_LOW - 1) & (m < N_HIGH - 1) & (s > -20) & (s < 2)
-    n = 1 + np.clip(m, 1e-3, N_HIGH)
-    x = np.clip(la, -40, 10)[..., None] + np.log(np.maximum(psi, 1e-9))[:, None, :]
-    fitted = tr[..., None] + (ts - tr)[..., None] * np.exp(-(1 - 1 / n)[..., None] * np.logaddexp(0, n[..., None] * x))
-    r = np.where(seen[:, None, :], fitted - theta[:, None, :], 0.0)
-    s = np.clip(s, -20, 2)
-    prior = ((tr - THETA_R) / THETA_R_SD) ** 2 + ((ts - THETA_S) / THETA_S_SD) ** 2 + ((la - np.log(ALPHA)) / LOG_ALPHA_SD) ** 2 + (m / N_SD) ** 2 + (np.exp(s) / SIGMA_SD) ** 2
-    out = -0.5 * prior + s - seen.sum(axis=1)[:, None] * s - 0.5 * (r * r).sum(axis=-1) * np.exp(-2 * s)
-    return np.where(inside, out, -np.inf)
+    chains = u.shape[1]
+    return _density(psi, theta, seen, limits, chains)(np.ascontiguousarray(u.reshape(-1, 5).T)).reshape(u.shape[:2])
+
+
+def _density(psi: np.ndarray, theta: np.ndarray, seen: np.ndarray, limits: np.ndarray, chains: int):
+    """``log_density`` of points (5, keys x chains): points of the curves come first and all chains last, and only what lies within the bounds is computed."""
+    wide = lambda x: np.repeat(x, chains, axis=0)
+    log_psi, theta, there = (np.ascontiguousarray(wide(x).T) for x in (np.log(np.maximum(psi, 1e-9)), theta, seen.astype(float)))
+    whole = bool(seen.all())
+    count = wide(seen.sum(axis=1)).astype(float)
+    cap, floor, upper = (np.ascontiguousarray(wide(limits[:, k])) for k in range(3))
+    low = np.array([0.0, -np.inf, -np.inf, np.nextafter(N_LOW - 1, 2), np.nextafter(-20, 0)])[:, None]
+    high = np.stack([cap, upper, np.full(len(cap), np.inf), np.full(len(cap), np.nextafter(N_HIGH - 1, 0)), np.full(len(cap), np.nextafter(2, 0))])
+    centre, width = np.array([[THETA_R], [THETA_S], [np.log(ALPHA)], [0.0]]), np.array([[THETA_R_SD], [THETA_S_SD], [LOG_ALPHA_SD], [N_SD]])
+
+    def density(u: np.ndarray) -> np.ndarray:
+        out = np.full(u.shape[1], -np.inf)
+        at = np.flatnonzero(((u >= low) & (u <= high)).all(axis=0) & (u[1] >= np.maximum(floor, u[0] + 1e-6)))
+        v = u[:, at]
+        tr, ts, la, m, s = v
+        n = 1 + m
+        x = log_psi[:, at]
+        x += np.clip(la, -40, 10)
+        x *= n
+        np.exp(x, out=x)  # at most some exp(180)
+        x += 1
+        np.log(x, out=x)
+        x *= 1 / n - 1
+        np.exp(x, out=x)
+        x *= ts - tr
+        x += tr
+        x -= theta[:, at]
+        if not whole:
+            x *= there[:, at]
+        sigma = np.exp(s)
+        prior = (((v[:4] - centre) / width) ** 2).sum(axis=0) + (sigma / SIGMA_SD) ** 2
+        out[at] = -0.5 * prior + s - count[at] * s - 0.5 * np.einsum("pc,pc->c", x, x) / (sigma * sigma)
+        return out
+
+    return density
 
 
 def sampled(psi: np.ndarray, theta: np.ndarray, seen: np.ndarray, limits: np.ndarray, seeds: list[int], draws: int, tune: int, chains: int = CHAINS) -> np.ndarray:
@@ -66,29 +95,38 @@ def sampled(psi: np.ndarray, theta: np.ndarray, seen: np.ndarray, limits: np.nda
     low = np.maximum(floor, start_r + 1e-6)
     start_s = np.clip(top + 0.02 * (first[..., 1] - 0.5), low, np.maximum(low, upper))
     u = np.stack([start_r, start_s, np.log(ALPHA) + 2 * (first[..., 2] - 0.5), 0.1 + 1.5 * first[..., 3], np.log(0.02) + 2 * (first[..., 4] - 0.5)], axis=-1)
-    now = log_density(u, psi, theta, seen, limits)
+    density = _density(psi, theta, seen, limits, chains)
+    u = np.ascontiguousarray(u.reshape(-1, 5).T)
+    now = density(u)
     step = np.broadcast_to(np.diag([0.01, 0.01, 0.3, 0.15, 0.3]), (keys, 5, 5)).copy()
-    chain = np.empty((tune + draws, keys, chains, 5))
-    taken = np.zeros((keys, chains))
+    chain = np.empty((tune + draws, 5, keys * chains))
+    e = e.reshape(tune + draws, -1)
+    taken = np.zeros(keys * chains)
     scale = np.ones(keys)
+    first_of = 0
     for i in range(tune + draws):
         if i and i <= tune and i % 50 == 0:
-            rate = taken.mean(axis=1) / 50
+            rate = taken.reshape(keys, chains).mean(axis=1) / 50
             taken[:] = 0
             scale = np.clip(scale * np.exp(rate - 0.3), 0.05, 5)  # about every third step is taken
             if i >= 100:
-                held = chain[i // 2 : i].transpose(1, 0, 2, 3).reshape(keys, -1, 5)
+                held = chain[i // 2 : i].reshape(-1, 5, keys, chains).transpose(2, 0, 3, 1).reshape(keys, -1, 5)
                 held = held - held.mean(axis=1, keepdims=True)
-                cov = np.einsum("knp,knq->kpq", held, held) / held.shape[1] * (2.38**2 / 5) + 1e-10 * np.eye(5)
+                cov = np.matmul(held.transpose(0, 2, 1), held) / held.shape[1] * (2.38**2 / 5) + 1e-10 * np.eye(5)
                 step = np.linalg.cholesky(cov)
-        new = u + scale[:, None, None] * np.einsum("kpq,kcq->kcp", step, z[i])
-        p = log_density(new, psi, theta, seen, limits)
+        if i % 50 == 0:  # moves of all steps until the next change
+            part = z[i : i + 50]
+            each = part.transpose(1, 0, 2, 3).reshape(keys, -1, 5)
+            move = np.matmul(each, step.transpose(0, 2, 1) * scale[:, None, None]).reshape(keys, len(part), chains, 5)
+            move, first_of = np.ascontiguousarray(move.transpose(1, 3, 0, 2).reshape(len(part), 5, -1)), i
+        new = u + move[i - first_of]
+        p = density(new)
         yes = e[i] < p - now
-        u = np.where(yes[..., None], new, u)
+        u = np.where(yes, new, u)
         now = np.where(yes, p, now)
         taken += yes
         chain[i] = u
-    return chain[tune:].transpose(1, 2, 0, 3)
+    return chain[tune:].reshape(draws, 5, keys, chains).transpose(2, 3, 0, 1)
 
 
 def r_hat(x: np.ndarray) -> np.ndarray:
@@ -104,10 +142,10 @@ def effective(x: np.ndarray) -> np.ndarray:
     c, n = x.shape[-2:]
     centred = x - x.mean(axis=-1, keepdims=True)
     f = np.fft.rfft(centred, n=2 * n, axis=-1)
-    cov = np.fft.irfft(f * np.conj(f), axis=-1)[..., :n] / n
-    within = cov[..., 0].mean(axis=-1) * n / (n - 1)
+    cov = np.fft.irfft((f.real**2 + f.imag**2).mean(axis=-2), axis=-1)[..., :n] / n  # mean over the chains
+    within = cov[..., 0] * n / (n - 1)
     spread = within * (n - 1) / n + (x.mean(axis=-1).var(axis=-1, ddof=1) if c > 1 else 0.0)
-    rho = 1 - (within[..., None] - cov.mean(axis=-2)) / np.maximum(spread, 1e-300)[..., None]
+    rho = 1 - (within[..., None] - cov) / np.maximum(spread, 1e-300)[..., None]
     rho[..., 0] = 1.0
     pairs = rho[..., 0 : n - n % 2 : 2] + rho[..., 1 : n - n % 2 + 1 : 2]
     pairs = np.where(np.cumprod(pairs > 0, axis=-1) > 0, pairs, 0.0)

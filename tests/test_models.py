@@ -253,3 +253,26 @@ def test_few_combinations_of_bins_take_one_pass(spark, grid_rows, monkeypatch):
     walked = two.predicted(asked)
     monkeypatch.undo()
     assert np.allclose(one.predicted(asked), walked)
+
+
+def test_density_of_many_chains_side_by_side():
+    rng = np.random.default_rng(4)
+    keys, chains = 3, 5
+    psi, theta = np.tile(PSI, (keys, 1)), np.tile(vg((0.03, 0.5, 0.02, 1.5), PSI), (keys, 1))
+    seen = np.ones(psi.shape, dtype=bool)
+    seen[1, 4:] = False
+    limits = np.array([[0.05, 0.45, 0.65]] * keys)
+    low, high = np.array([-0.01, 0.44, -6, 0.01, -4]), np.array([0.06, 0.67, -2, 6, -1])
+    u = low + (high - low) * rng.random((keys, chains, 5))
+    got = posterior._density(psi, theta, seen, limits, chains)(np.ascontiguousarray(u.reshape(-1, 5).T)).reshape(keys, chains)
+    assert np.isinf(got).any() and np.isfinite(got).any()
+    for k in range(keys):
+        for c in range(chains):
+            tr, ts, la, m, s = u[k, c]
+            if not (0 <= tr <= 0.05 and 0.45 <= ts <= 0.65):
+                assert got[k, c] == -np.inf
+                continue
+            x, y = psi[k, seen[k]], theta[k, seen[k]]
+            r = vg((tr, ts, np.exp(la), 1 + m), x) - y
+            prior = ((tr - 0.01) / 0.05) ** 2 + ((ts - 0.45) / 0.15) ** 2 + (la - np.log(0.0098)) ** 2 + m**2 + (np.exp(s) / 0.05) ** 2
+            assert got[k, c] == pytest.approx(-prior / 2 + s - len(x) * s - (r**2).sum() / 2 * np.exp(-2 * s), rel=1e-9)
