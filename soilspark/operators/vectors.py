@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from soilspark.sources import scratch
+
 
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda t, x: t + x.cast("double"))
@@ -36,7 +38,8 @@ def cosine_pairs(df: DataFrame, key: str, vector: str, by: str, every: int = 50,
     return both.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), F.try_divide(dot(F.col(f"a.{vector}"), F.col(f"b.{vector}")), F.col("a.norm") * F.col("b.norm")).alias("cosine"))
 
 
-SIDE = 512  # vectors of a block
+SIDE = 512  # vectors that meet a block at once
+BLOCK = 4096  # vectors of a block, at most
 
 
 def _rows(column: pa.ListArray) -> np.ndarray:
@@ -50,38 +53,92 @@ def contrastive(df: DataFrame, batch: str, key: str, vector: str, label: str, te
     """(batch, loss, n): over the ``n`` vectors of a batch that share their label with another one the mean of minus the logarithm of what those of its label weigh among all others of the batch.
     A vector weighs the exponential of its cosine over ``temperature``.
 
-    Vectors are dealt to blocks of about ``side`` by their key, and each block meets each other one as two matrices; of a meeting only the sums of each vector are kept, as a largest exponent and
-    a sum relative to it, so nothing overflows and no pair becomes a row. The work grows with the square of a batch, as its pairs do. All vectors are of one length; rows with a null are passed over.
+    Vectors are dealt by their key to blocks of at least ``side``, which are stored once, a row each; tasks read parts of them side by side (a product without a shuffle), so disk grows with the vectors and not
+    with their pairs. Of what a block meets in a task only the sums of each vector are kept, as a largest exponent and a sum relative to it, so nothing overflows and no pair becomes a row; ``side`` vectors meet a
+    block at once. The work grows with the square of a batch, as its pairs do. All vectors are of one length; rows with a null are passed over.
     """
-    rows = df.select(batch, F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), F.col(label).cast("string").alias("label")).na.drop("any")
-    sizes = rows.groupBy(batch).agg(F.ceil(F.count("*") / side).cast("int").alias("blocks"))
+    spark = df.sparkSession
+    double = df.schema[vector].dataType.elementType.simpleString() == "double"
+    kept = F.col(vector) if double else F.col(vector).cast("array<float>")
+    rows = df.select(batch, F.col(key).alias("key"), kept.alias("vector"), F.col(label).cast("string").alias("label")).na.drop("any")
+    count = F.count("*")
+    sizes = rows.groupBy(batch).agg(F.ceil(count / F.greatest(F.lit(side), F.least(F.lit(BLOCK), F.ceil(count / 32)))).cast("int").alias("blocks"))
     own = rows.join(sizes, batch).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    met = own.select(batch, "own", "key", "vector", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    side_of = lambda i, j, left: met.select(batch, "key", "vector", "label", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(left).alias("left"))
-    both = side_of("own", "other", True).unionByName(side_of("other", "own", False))
-    kinds = {f.name: f.dataType.simpleString() for f in both.select(batch, "key").schema.fields}
-
-    def work(group: pa.Table) -> pa.Table:
-        left = group.column("left").to_numpy()
-        labels = np.array(group.column("label").to_pylist(), dtype=object)
-        keys = group.column("key").to_numpy()
-        x = _rows(group.column("vector").combine_chunks())
-        a, b = np.flatnonzero(left), np.flatnonzero(~left)
-        s = x[a] @ x[b].T / temperature
-        s[keys[a][:, None] == keys[b][None, :]] = -np.inf  # itself
-        kin = labels[a][:, None] == labels[b][None, :]
-        out = {batch: group.column(batch).take(pa.array(a)), "key": pa.array(keys[a])}
-        for name, held in (("all", s), ("kin", np.where(kin, s, -np.inf))):
-            top = held.max(axis=1, initial=-np.inf)
-            out[f"{name}_top"] = pa.array(top)
-            out[f"{name}_sum"] = pa.array(np.where(np.isfinite(top), np.exp(held - np.where(np.isfinite(top), top, 0)[:, None]).sum(axis=1), 0.0))
-        return pa.table(out)
-
-    sums = both.groupBy(batch, "i", "j").applyInArrow(work, f"{batch} {kinds[batch]}, key {kinds['key']}, all_top double, all_sum double, kin_top double, kin_sum double")
-    tops = sums.groupBy(batch, "key").agg(F.max("all_top").alias("all_most"), F.max("kin_top").alias("kin_most"))
-    grown = sums.join(tops, [batch, "key"])
-    part = lambda n: F.sum(F.when(F.col(f"{n}_sum") > 0, F.col(f"{n}_sum") * F.exp(F.col(f"{n}_top") - F.col(f"{n}_most"))).otherwise(0.0))
-    each = grown.groupBy(batch, "key", "all_most", "kin_most").agg(part("all").alias("a"), part("kin").alias("k")).where("k > 0")
+    kinds = {f.name: f.dataType.simpleString() for f in own.select(batch, "key").schema.fields}
+    kind = np.float64 if double else np.float32
+
+    def packed(group: pa.Table) -> pa.Table:
+        flat = group.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
+        whole = lambda c: pa.ListArray.from_arrays(pa.array([0, len(group)], pa.int32()), group.column(c).combine_chunks())
+        return pa.table({batch: group.column(batch)[:1], "own": group.column("own")[:1], "keys": whole("key"), "labels": whole("label"), "x": pa.array([flat.tobytes()], pa.binary())})
+
+    path = scratch.folder(spark, "blocks")
+    shape = f"{batch} {kinds[batch]}, own int, keys array<{kinds['key']}>, labels array<string>, x binary"
+    own.select(batch, "own", "key", "vector", "label").groupBy(batch, "own").applyInArrow(packed, shape).write.option("parquet.block.size", 16 << 20).parquet(path)
+    held = lambda n: spark.read.schema(shape).parquet(path).select(*[F.col(c).alias(f"{n}_{c}") for c in (batch, "own", "keys", "labels", "x")])
+    a, b = F.col(f"a_{batch}"), F.col(f"b_{batch}")
+    met = held("a").join(held("b"), ~(a < b) & ~(a > b))  # equal, but not a key to be shuffled by
+    apart = 2 / temperature > 600  # exponents may lie too far apart to share their largest
+
+    def merged(before: list | None, top: np.ndarray, total: np.ndarray) -> list:
+        if before is None:
+            return [top, total]
+        most = np.maximum(before[0], top)
+        base = np.where(np.isfinite(most), most, 0)
+        return [most, before[1] * np.exp(before[0] - base) + total * np.exp(top - base)]
+
+    def weighed(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Largest exponents, and all relative to them in place."""
+        top = s.max(axis=1, initial=-np.inf)
+        s -= np.where(np.isfinite(top), top, 0)[:, None]
+        np.exp(s, out=s)
+        return top, s
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, {}
+
+        def told() -> pa.RecordBatch:
+            parts = [np.concatenate([sums[at, n][k] for at in sorted(at for at, m in sums if m == "all")]) for n in ("all", "kin") for k in (0, 1)]
+            name, keys = now[0], now[2]
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(keys), group_type), keys, *map(pa.array, parts)], [batch, "key", "all_top", "all_sum", "kin_top", "kin_sum"])
+
+        for rows in batches:
+            for r in range(rows.num_rows):
+                of = lambda c: rows.column(c)[r]  # noqa: B023, E731
+                at = of(f"a_{batch}").as_py(), of("a_own").as_py()
+                if now is None or now[:2] != at:
+                    if now is not None:
+                        yield told()
+                    sums = {}
+                    x = np.frombuffer(of("a_x").as_py(), dtype=kind).astype(float).reshape(len(of("a_keys")), -1)
+                    now = (*at, of("a_keys").values, x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-12)[:, None], of("a_labels").values)
+                keys, x = now[2], now[3]
+                y = np.frombuffer(of("b_x").as_py(), dtype=kind).astype(float).reshape(len(of("b_keys")), -1)
+                y = y / np.maximum(np.sqrt((y * y).sum(axis=1)), 1e-12)[:, None] / temperature
+                code = pa.concat_arrays([now[4], of("b_labels").values]).dictionary_encode().indices.to_numpy()
+                mine, other = code[: len(keys)], code[len(keys) :]
+                same = at[1] == of("b_own").as_py()  # equal keys are of one block
+                left, right = (keys.to_numpy(zero_copy_only=False), of("b_keys").values.to_numpy(zero_copy_only=False)) if same else (None, None)
+                for k in range(0, len(keys), side):
+                    s = x[k : k + side] @ y.T
+                    if same:
+                        s[left[k : k + side, None] == right[None, :]] = -np.inf  # itself
+                    kin = mine[k : k + side, None] == other[None, :]
+                    near = weighed(np.where(kin, s, -np.inf)) if apart else None
+                    top, e = weighed(s)
+                    sums[k, "all"] = merged(sums.get((k, "all")), top, e.sum(axis=1))
+                    if near is None:
+                        e *= kin
+                        near = top, e
+                    sums[k, "kin"] = merged(sums.get((k, "kin")), near[0], near[1].sum(axis=1) * np.isfinite(near[0]))
+        if now is not None:
+            yield told()
+
+    group_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[batch]]
+    parts = met.mapInArrow(work, f"{batch} {kinds[batch]}, key {kinds['key']}, all_top double, all_sum double, kin_top double, kin_sum double")
+    each = parts.groupBy(batch, "key").agg(*[F.max(F.when(F.col(f"{n}_sum") > 0, F.col(f"{n}_top"))).alias(f"{n}_most") for n in ("all", "kin")], F.collect_list(F.struct("all_top", "all_sum", "kin_top", "kin_sum")).alias("p"))
+    grown = lambda n: F.aggregate("p", F.lit(0.0), lambda t, q: t + F.when(q[f"{n}_sum"] > 0, q[f"{n}_sum"] * F.exp(q[f"{n}_top"] - F.col(f"{n}_most"))).otherwise(0.0))
+    each = each.select(batch, "all_most", "kin_most", grown("all").alias("a"), grown("kin").alias("k")).where("k > 0")
     return each.groupBy(batch).agg(F.avg(F.col("all_most") + F.log("a") - F.col("kin_most") - F.log("k")).alias("loss"), F.count("*").alias("n"))
 
 

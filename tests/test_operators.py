@@ -484,3 +484,26 @@ def test_repeated_cells_do_not_meet_their_points(spark):
     times = cells.withColumn("t", F.col("n") % 2).where("n is not null")
     out = composites.cell_series(times, points, "px", "py", 10.0, ["k", "t"], ["n"])
     assert sorted(values(out, "k", "t", "v")) == [(1, 0, 3.0), (1, 1, 1.5), (2, 0, 3.0), (2, 1, 1.5), (3, 1, 7.0)]
+
+
+@pytest.mark.parametrize("temperature", [0.1, 0.001])
+def test_contrastive_losses_store_no_pairs(spark, temperature):
+    import numpy as np
+
+    from soilspark.operators import vectors
+
+    rng = np.random.default_rng(2)
+    x, label = rng.normal(size=(200, 6)).astype(np.float32), rng.integers(0, 4, 200)
+    label[7] = 99  # alone
+    df = spark.createDataFrame([(k % 2, k, x[k].tolist(), int(label[k])) for k in range(200)], "b int, k long, v array<float>, l int")
+    got = vectors.contrastive(df, "b", "k", "v", "l", temperature, side=16)
+    u = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(axis=1))[:, None]
+    for r in got.collect():
+        at = np.arange(200) % 2 == r["b"]
+        s, kin = u[at] @ u[at].T / temperature, label[at][:, None] == label[at][None, :]
+        np.fill_diagonal(s, -np.inf)
+        weight = lambda t: np.log(np.exp(t - t.max(axis=1, keepdims=True)).sum(axis=1)) + t.max(axis=1)
+        some = (kin.sum(axis=1) > 1).nonzero()[0]
+        assert r["n"] == len(some) and r["loss"] == pytest.approx((weight(s[some]) - weight(np.where(kin, s, -np.inf)[some])).mean())
+    met = vectors.contrastive(df, "b", "k", "v", "l", temperature, side=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in met.lower() and "Generate" not in met  # vectors are not copied for each block that they meet
