@@ -96,6 +96,25 @@ def test_all_methods_find_the_least_squares_and_rank_by_aic(noisy):
     assert {r["k"] for r in ranked} == {"a", "b", "c"}
 
 
+def test_fits_take_slopes_and_run_side_by_side(monkeypatch):
+    """A round costs one curve, not nine, and a batch is fitted at once for each method; slopes equal differences, and neighbours change nothing."""
+    rng = np.random.default_rng(5)
+    series = [(PSI[: 7 - k % 2], vg((0.03, 0.5, 0.01 * (1 + k % 5), 1.2 + k % 7 / 10), PSI[: 7 - k % 2]) + 0.002 * rng.standard_normal(7 - k % 2)) for k in range(60)]
+    psi, theta = (np.stack([np.append(s[k], [1.0] * (7 - len(s[k]))) for s in series], axis=1) for k in (0, 1))
+    curves = fit.Curves(psi, theta, np.arange(7)[:, None] < [len(x) for x, _ in series])
+    p, every = np.tile([[0.05], [0.45], [0.02], [1.6]], 60), np.arange(60)
+    for one, other in zip(curves.slopes(p, every)[1], fit._differences(lambda v: curves(v, every), p), strict=True):
+        assert one == pytest.approx(other, rel=1e-5, abs=1e-7)
+    calls, whole = [], fit.Curves.slopes
+    monkeypatch.setattr(fit.Curves, "slopes", lambda self, p, rows: calls.append(len(rows)) or whole(self, p, rows))
+    tables = fit.fit_many(series, list(fit.METHODS))
+    assert len(tables) == 4 and all(len(t) == 60 and (t["status"] == "Success").all() for t in tables) and calls.count(60) >= 10
+    for method, table in zip(fit.METHODS, tables, strict=True):
+        (alone,) = fit.fit_many(series[7:8], [method])
+        assert alone["chi_squared"][0] == pytest.approx(table["chi_squared"][7], rel=1e-6)
+        assert table["chi_squared"].to_numpy() == pytest.approx(tables[0]["chi_squared"].to_numpy(), rel=1e-2), method
+
+
 def test_model_queries_spread_over_tasks(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     for query in (q_models.vg_fit_grouped, q_models.posterior_fit_bounded):
