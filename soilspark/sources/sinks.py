@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from soilspark.sources.shapes import _at
+
+UNNAMED = "__HIVE_DEFAULT_PARTITION__"  # as Spark's writers call the folder of keys that are null or empty
+
 
 def parquet(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "error").parquet(path)
@@ -22,30 +29,67 @@ def by_group(df: DataFrame, key: str, path: str, kind: str = "parquet", spread:
     writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)
 
 
-def _named(writer, key: str, path: str, ending: str, spark, kind: str = "text") -> None:
-    """Files ``<key>.<ending>`` from a writer whose rows of a key lie in one task: written to a folder of the job first, and moved by name once all are there."""
-    before = f"{path}/.{uuid.uuid4().hex}"
-    writer.partitionBy(key).format(kind).save(before)
-    of = spark._jvm.org.apache.hadoop.fs.Path
-    fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for folder in fs.listStatus(of(before)):
-        if folder.isDirectory():
-            (file,) = [s.getPath() for s in fs.listStatus(folder.getPath()) if s.getPath().getName().startswith("part-")]
-            name = spark._jvm.java.net.URLDecoder.decode(folder.getPath().getName().partition("=")[2], "UTF-8")
-            fs.rename(file, of(of(path), f"{name}.{ending}"))
-    fs.delete(of(before), True)
+def _named(rows: DataFrame, path: str, ending: str, head: str | None = None) -> None:
+    """Files ``<key>.<ending>`` of the lines of ``rows`` (key, line), whose keys lie side by side in one task each, ``head`` before them.
+
+    Tasks write to folders of their own below one of the job; once all are there, further tasks move the files of those that Spark took to their place, so
+    the driver handles a path a task and not a file.
+    """
+    store, folder = _at(path)
+    job = f"{folder}/.{uuid.uuid4().hex}"
+    store.create_dir(job, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, own = _at(path)[0], f"{job}/{uuid.uuid4().hex}"
+        at, out = None, None
+        for batch in batches:
+            for key, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                name = key or UNNAMED
+                if out is None or name != at:
+                    if out is None:
+                        store.create_dir(own)
+                    else:
+                        out.close()
+                    at, out = name, store.open_output_stream(f"{own}/{name}.{ending}", buffer_size=1 << 16)
+                    if head is not None:
+                        out.write(head.encode() + b"\n")
+                out.write((line or "").encode() + b"\n")
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_pydict({"folder": [own]})
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = _at(path)[0]
+        for batch in batches:
+            for own in batch.column(0).to_pylist():
+                for x in store.get_file_info(fs.FileSelector(own)):
+                    try:
+                        store.move(x.path, f"{folder}/{x.base_name}")
+                    except FileNotFoundError:  # another run of this task was first
+                        if store.get_file_info(f"{folder}/{x.base_name}").type != fs.FileType.File:
+                            raise
+            yield batch.slice(0, 0)
+
+    try:
+        made = rows.mapInArrow(write, "folder string").collect()
+        if made:
+            rows.sparkSession.createDataFrame(made, "folder string").repartition(len(made)).mapInArrow(move, "folder string").collect()
+    finally:
+        store.delete_dir(job)
 
 
 def named_files(df: DataFrame, key: str, path: str) -> None:
     """A CSV file ``<key>.csv`` for each key (``-`` for ``/``), without the key's column. A file is one task's work, so keys are to be of bounded size, like a station's record."""
-    df = df.withColumn(key, F.translate(F.col(key).cast("string"), "/", "-"))
-    _named(df.repartition(F.col(key)).sortWithinPartitions(key).write.option("header", True), key, path, "csv", df.sparkSession, "csv")
+    rest = [c for c in df.columns if c != key]
+    rows = df.select(F.translate(F.col(key).cast("string"), "/", "-").alias("key"), F.to_csv(F.struct(*rest)).alias("line"))
+    quoted = lambda c: '"' + c.replace("\\", "\\\\").replace('"', '\\"') + '"' if set(c) & set(',"\n\r') else c
+    _named(rows.repartition("key").sortWithinPartitions("key"), path, "csv", ",".join(map(quoted, rest)))
 
 
 def named_lines(df: DataFrame, key: str, order: str, line: str, path: str, ending: str = "csv") -> None:
     """A text file ``<key>.<ending>`` for each key, its lines in order."""
-    rows = df.repartition(F.col(key)).sortWithinPartitions(key, order).select(key, F.col(line).cast("string").alias("value"))
-    _named(rows.write, key, path, ending, df.sparkSession)
+    rows = df.withColumn(key, F.translate(F.col(key).cast("string"), "/", "-"))
+    _named(rows.repartition(F.col(key)).sortWithinPartitions(key, order).select(key, F.col(line).cast("string")), path, ending)
 
 
 def _documents(fits: DataFrame, key: str) -> DataFrame:
@@ -64,7 +108,7 @@ def fit_documents(fits: DataFrame, key: str, path: str) -> None:
 
 def named_documents(fits: DataFrame, key: str, path: str) -> None:
     """The same as files ``<key>.json``."""
-    _named(_documents(fits, key).sortWithinPartitions(key).write, key, path, "json", fits.sparkSession)
+    _named(_documents(fits, key).sortWithinPartitions(key), path, "json")
 
 
 def merged_daily(existing: DataFrame, new: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -116,6 +116,31 @@ def test_files_by_name(spark, tmp_path):
     assert got.where(F.col("v") == 3).first()["key"] == "é"
 
 
+def test_named_files_are_moved_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver asks its file system for nothing a file, all keys get their files, and nothing of the job stays; a job that fails leaves no file."""
+    import os
+
+    from pyspark.sql import DataFrame
+
+    rows = [(f"k{k}", v, f"{k} {v}") for k in range(300) for v in (2, 1, 3)] + [(None, 1, "x"), ("a/b", 1, "y"), ("a/b", 2, None)]
+    df = spark.createDataFrame(rows, "name string, v int, line string").repartition(5)
+    sent, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    sinks.named_lines(df, "name", "v", "line", f"{tmp_path}/l", "txt")
+    assert sum(map(len, sent)) <= 16
+    want = {f"k{k}.txt": f"{k} 1\n{k} 2\n{k} 3\n" for k in range(300)} | {f"{sinks.UNNAMED}.txt": "x\n", "a-b.txt": "y\n\n"}
+    assert {x.name: x.read_text() for x in (tmp_path / "l").iterdir()} == want
+    odd = spark.createDataFrame([("a", 'x,"y', None, ""), ("a", "é", 1.5, "z")], 'name string, `p,q` string, v double, w string')
+    sinks.named_files(odd, "name", f"{tmp_path}/c")
+    back = spark.read.option("header", True).schema("`p,q` string, v double, w string").csv(f"{tmp_path}/c/a.csv")
+    odd.drop("name").write.option("header", True).csv(f"{tmp_path}/plain")
+    plain = spark.read.option("header", True).schema(back.schema).csv(f"{tmp_path}/plain")
+    assert back.columns == ["p,q", "v", "w"] and sorted(map(repr, back.collect())) == sorted(map(repr, plain.collect()))
+    with pytest.raises(Exception, match="told to fail"):
+        sinks.named_lines(df.withColumn("line", F.when(F.col("name") == "k7", F.raise_error(F.lit("told to fail"))).otherwise(F.col("line"))), "name", "v", "line", f"{tmp_path}/f")
+    assert os.listdir(tmp_path / "f") == []
+
+
 def test_shapefiles_round_trip_and_prune(spark, tmp_path, monkeypatch):
     from datetime import date
 
