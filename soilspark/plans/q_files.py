@@ -268,7 +268,7 @@ def tower_files_to_days(t: Tables) -> DataFrame:
     lines = rows.unionByName(t.events.select("user_id").distinct().select("user_id", F.inline(heads)))
     path = scratch.folder(t.spark, "towers")
     sinks.named_lines(lines.withColumn("name", F.concat(F.lit("AMF_US-"), F.col("user_id").cast("string"), F.lit("_BASE_HH"))), "name", "k", "line", path)
-    days = site.tower_days(files.half_hourly(t.spark, path))
+    days = site.tower_days(scratch.kept(files.half_hourly(t.spark, path).repartition("site_id"), "half-hours"))  # read four times: steps, percents, means and fluxes
     return days.select("site_id", "date", F.round("theta", 6).alias("theta"), F.round("ET", 8).alias("et"))
 
 

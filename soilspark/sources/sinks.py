@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from soilspark.sources.shapes import _at
 
 UNNAMED = "__HIVE_DEFAULT_PARTITION__"  # as Spark's writers call the folder of keys that are null or empty
+HELD = 2000  # lines of a file that a task holds
 
 
 def parquet(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -41,7 +42,12 @@ def _named(rows: DataFrame, path: str, ending: str, head: str | None = None) ->
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, own = _at(path)[0], f"{job}/{uuid.uuid4().hex}"
-        at, out = None, None
+        at, out, lines = None, None, []
+
+        def flushed() -> None:
+            out.write("".join(f"{x}\n" for x in lines).encode())
+            lines.clear()
+
         for batch in batches:
             for key, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 name = key or UNNAMED
@@ -49,12 +55,16 @@ def _named(rows: DataFrame, path: str, ending: str, head: str | None = None) ->
                     if out is None:
                         store.create_dir(own)
                     else:
+                        flushed()
                         out.close()
-                    at, out = name, store.open_output_stream(f"{own}/{name}.{ending}", buffer_size=1 << 16)
+                    at, out = name, store.open_output_stream(f"{own}/{name}.{ending}")
                     if head is not None:
-                        out.write(head.encode() + b"\n")
-                out.write((line or "").encode() + b"\n")
+                        lines.append(head)
+                lines.append(line or "")
+                if len(lines) == HELD:
+                    flushed()
         if out is not None:
+            flushed()
             out.close()
             yield pa.RecordBatch.from_pydict({"folder": [own]})
 
