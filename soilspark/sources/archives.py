@@ -1,7 +1,8 @@
 """Archives of station files as a Spark data source: zip files whose members are a sensor's record each.
 
 A member is named ``<network>/<station>/<network>_<station>_<variable>_<from>_<to>_<sensor>_<first>_<last>.stm`` (depths in metres); its first line repeats network and station
-and adds latitude, longitude, elevation, depths and sensor; each further line is ``yyyy/mm/dd hh:mm value flag``. Archives' directories are read on the driver and members are dealt to partitions by their size.
+and adds latitude, longitude, elevation, depths and sensor; each further line is ``yyyy/mm/dd hh:mm value flag``. The driver reads the directories of a few small archives and deals their
+members to partitions by their size; larger or more ones it deals by ranges of their bytes, and tasks read the directories and take the members that begin in their range.
 Bounds on what a name tells (network, station, variable, depths, sensor) are pushed down: members outside them are not opened, and none is read beyond its header for nothing.
 """
 
@@ -13,6 +14,7 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -24,6 +26,8 @@ from pyspark.sql.types import StructType
 from soilspark.sources.shapes import _at
 
 PART_BYTES = 32 << 20  # of members' compressed bytes in a partition
+LISTED_BYTES = 1 << 20  # of archives in all, up to which the driver reads their directories
+BATCH = 5000  # rows handed on at once, of one member or several
 SCHEMA = "network string, station string, variable string, depth_from double, depth_to double, sensor string, latitude double, longitude double, elevation double, date_time timestamp, value double, flag string"
 _ARROW = pa.schema(
     [(c, pa.string()) for c in ("network", "station", "variable")] + [(c, pa.float64()) for c in ("depth_from", "depth_to")]
@@ -63,6 +67,7 @@ def told(name: str) -> dict | None:
 @dataclass
 class Members(InputPartition):
     members: list[tuple[str, str]] = field(default_factory=list)  # archive and member
+    ranges: list[tuple[str, int, int]] = field(default_factory=list)  # archive and bytes in which members begin
 
 
 class ArchiveReader(DataSourceReader):
@@ -84,7 +89,17 @@ class ArchiveReader(DataSourceReader):
     def partitions(self):
         store, _ = _at(self.path)
         out, room = [], 0
-        for path in _archives(self.path):
+        found = _archives(self.path)
+        if sum(size for _, size in found) > LISTED_BYTES:
+            for path, size in found:
+                for at in range(0, size, self.part):
+                    if not out or room <= 0:
+                        out.append(Members())
+                        room = self.part
+                    out[-1].ranges.append((path, at, min(at + self.part, size)))
+                    room -= min(self.part, size - at)
+            return out
+        for path, _ in found:
             with store.open_input_file(path) as f, zipfile.ZipFile(f) as z:
                 for x in z.infolist():
                     if self.wanted(x.filename) is None:
@@ -96,48 +111,67 @@ class ArchiveReader(DataSourceReader):
                     room -= x.compress_size
         return out or [Members([])]
 
-    def read(self, partition: Members):
+    def opened(self, partition: Members) -> Iterator[tuple[dict, zipfile.ZipExtFile]]:
+        """What the names of a partition's members say, and the members, one after another."""
         store, _ = _at(self.path)
-        at = 0
-        while at < len(partition.members):
-            path = partition.members[at][0]
+        by_path: dict[str, list] = {}
+        for path, name in partition.members:
+            by_path.setdefault(path, []).append(name)
+        ranges = [(path, lambda z, names=names: names) for path, names in by_path.items()]
+        ranges += [(path, lambda z, a=a, b=b: [x for x in z.infolist() if a <= x.header_offset < b]) for path, a, b in partition.ranges]
+        for path, chosen in ranges:
             with store.open_input_file(path) as f, zipfile.ZipFile(f) as z:
-                while at < len(partition.members) and partition.members[at][0] == path:
-                    name = partition.members[at][1]
-                    with z.open(name) as member:
-                        yield from _rows(told(name), member)
-                    at += 1
+                for x in chosen(z):
+                    told_of = self.wanted(x if isinstance(x, str) else x.filename)
+                    if told_of is not None:
+                        with z.open(x) as member:
+                            yield told_of, member
 
-
-def _rows(found: dict, member) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Members):
+        held = {c: [] for c in _ARROW.names}
+        for found, member in self.opened(partition):
+            for times, values, flags, place in _lines(member):
+                for c, v in (found | place).items():
+                    held[c] += [v] * len(times)
+                held["date_time"] += times
+                held["value"] += values
+                held["flag"] += flags
+                if len(held["value"]) >= BATCH:
+                    yield pa.RecordBatch.from_pydict(held, schema=_ARROW)
+                    held = {c: [] for c in _ARROW.names}
+        if held["value"]:
+            yield pa.RecordBatch.from_pydict(held, schema=_ARROW)
+
+
+def _lines(member) -> Iterator[tuple[list, list, list, dict]]:
+    """Times, values and flags of up to ``BATCH`` lines of a member, and where its sensor is."""
     head = member.readline().decode().split()
-    place = dict(zip(("latitude", "longitude", "elevation"), map(float, head[2:5]), strict=False))
-    rows: list[dict] = []
-    for line in member:
-        p = line.decode().split()
-        if len(p) < 3:
-            continue
-        value = float(p[2])
-        rows.append(found | place | {"date_time": datetime.strptime(f"{p[0]} {p[1]} +0000", TIME + " %z"), "value": None if value != value else value, "flag": p[3] if len(p) > 3 else None})
-        if len(rows) == 5000:
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-            rows = []
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+    place: dict = dict.fromkeys(("latitude", "longitude", "elevation")) | dict(zip(("latitude", "longitude", "elevation"), map(float, head[2:5]), strict=False))
+    while lines := list(islice(member, BATCH)):
+        parts = [p for p in (x.decode().split() for x in lines) if len(p) >= 3]
+        numbers = [float(p[2]) for p in parts]
+        values = [None if v != v else v for v in numbers]
+        yield [_time(p[0], p[1]) for p in parts], values, [p[3] if len(p) > 3 else None for p in parts], place
 
 
-def _archives(path: str) -> list[str]:
-    """The archives to be read: of those that this module wrote the ones that a manifest names, all others."""
+def _time(day: str, minute: str) -> datetime:
+    if len(day) == 10 and len(minute) == 5:  # as the format has them; isoformat is read many times faster
+        return datetime.fromisoformat(f"{day.replace('/', '-')}T{minute}+00:00")
+    return datetime.strptime(f"{day} {minute} +0000", TIME + " %z")
+
+
+def _archives(path: str) -> list[tuple[str, int]]:
+    """The archives to be read and their sizes: of those that this module wrote the ones that a manifest names, all others."""
     store, at = _at(path)
     if at.endswith(".zip"):
-        return [at]
+        return [(at, store.get_file_info(at).size)]
     found = store.get_file_info(fs.FileSelector(at, recursive=True))
     named: set[str] = set()
     for x in found:
         if x.base_name.startswith("_archives-"):
             with store.open_input_stream(x.path) as f:
                 named |= set(json.loads(f.read()))
-    return sorted(x.path for x in found if x.path.endswith(".zip") and (not x.base_name.startswith("part-") or x.base_name in named))
+    return sorted((x.path, x.size) for x in found if x.path.endswith(".zip") and (not x.base_name.startswith("part-") or x.base_name in named))
 
 
 @dataclass
@@ -151,19 +185,24 @@ class ArchiveWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]):
         store, folder = _at(self.path)
-        name = f"part-{self.job}-{uuid.uuid4().hex}.zip"
-        with store.open_output_stream(f"{folder}/{name}") as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
-            own, lines = None, []
-            for row in (r for b in iterator for r in b.to_pylist()):
-                key = tuple(row[c] for c in NAMED)
-                if lines and key != own:
-                    _member(z, lines)
-                    lines = []
-                own = key
-                lines.append(row)
-            if lines:
-                _member(z, lines)
-        return Written([name])
+        names: list[str] = []
+        z = f = None
+        try:
+            for rows in _sensors(iterator):
+                if z is not None and f.tell() >= PART_BYTES:  # so that a range is a whole archive, and its directory is read once
+                    z.close()
+                    f.close()
+                    z = None
+                if z is None:
+                    names.append(f"part-{self.job}-{uuid.uuid4().hex}.zip")
+                    f = store.open_output_stream(f"{folder}/{names[-1]}")
+                    z = zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED)
+                _member(z, rows)
+        finally:
+            if z is not None:
+                z.close()
+                f.close()
+        return Written(names)
 
     def commit(self, messages):
         store, folder = _at(self.path)
@@ -177,6 +216,20 @@ class ArchiveWriter(DataSourceArrowWriter):
                 store.delete_file(f"{folder}/{n}")
 
 
+def _sensors(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each sensor's record, one after another."""
+    own, rows = None, []
+    for row in (r for b in batches for r in b.to_pylist()):
+        key = tuple(row[c] for c in NAMED)
+        if rows and key != own:
+            yield rows
+            rows = []
+        own = key
+        rows.append(row)
+    if rows:
+        yield rows
+
+
 def _member(z: zipfile.ZipFile, rows: list[dict]) -> None:
     a = rows[0]
     depths = f"{a['depth_from']:.6f}_{a['depth_to']:.6f}"
@@ -184,7 +237,8 @@ def _member(z: zipfile.ZipFile, rows: list[dict]) -> None:
     name = f"{a['network']}/{a['station']}/{a['network']}_{a['station']}_{a['variable']}_{depths}_{a['sensor']}_{days}{ENDING}"
     head = " ".join(map(str, (a["network"], a["station"], a["latitude"], a["longitude"], a["elevation"], a["depth_from"], a["depth_to"], a["sensor"])))
     value = lambda r: "nan" if r["value"] is None else repr(r["value"])
-    z.writestr(name, "\n".join([head, *(f"{r['date_time']:{TIME}} {value(r)} {r['flag'] or ''}".rstrip() for r in rows)]) + "\n")
+    minute = lambda t: t.isoformat(" ", "minutes")[:16].replace("-", "/")
+    z.writestr(name, "\n".join([head, *(f"{minute(r['date_time'])} {value(r)} {r['flag'] or ''}".rstrip() for r in rows)]) + "\n")
 
 
 class Archives(DataSource):

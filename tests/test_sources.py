@@ -210,6 +210,38 @@ def test_archives_round_trip_and_open_only_what_is_wanted(spark, tmp_path, monke
     assert archives.told("readme.txt") is None and archives.told("n/s/n_x_v_0_1_p_1_2.stm") is None
 
 
+def test_large_archives_are_dealt_by_ranges_and_small_members_share_batches(spark, tmp_path, monkeypatch):
+    """The driver opens no archive then; each member is read by the one range that it begins in, and rows of many members are handed on at once."""
+    import zipfile
+    from datetime import datetime, timezone
+
+    from soilspark.sources import archives
+
+    rows = [("net", f"s{k:03d}", var, 0.0, 0.1, "p", 1.0, 2.0, 3.0, datetime(2020, 1, 1 + m, 5, tzinfo=timezone.utc), k + m / 7, None) for k in range(40) for var in ("a", "b") for m in range(2)]
+    df = spark.createDataFrame(rows, archives.SCHEMA)
+    path = f"file://{tmp_path}/z"
+    archives.write(df.coalesce(1), path)
+    reader = archives.ArchiveReader({"path": path, "partitionbytes": "700"})
+    assert list(reader.pushFilters([archives.EqualTo(("variable",), "a")])) == []
+    monkeypatch.setattr(archives, "LISTED_BYTES", 0)
+    opened, whole = [], zipfile.ZipFile
+    monkeypatch.setattr(archives.zipfile, "ZipFile", lambda *a, **k: opened.append(a) or whole(*a, **k))
+    parts = reader.partitions()
+    assert len(parts) > 3 and not opened and not any(p.members for p in parts)
+    batches = [list(reader.read(p)) for p in parts]
+    assert all(len(b) <= 1 for b in batches)
+    got = sorted((r["station"], r["date_time"], r["value"]) for b in batches for x in b for r in x.to_pylist())
+    assert got == sorted((r[1], r[9], r[10]) for r in rows if r[2] == "a")
+    monkeypatch.setattr(archives, "PART_BYTES", 2000)
+    monkeypatch.setattr(archives.zipfile, "ZipFile", whole)
+    writer = archives.ArchiveWriter({"path": f"file://{tmp_path}/w"})
+    (tmp_path / "w").mkdir()
+    names = [c.split()[0] for c in archives.SCHEMA.split(", ")]
+    done = writer.write(iter([archives.pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in sorted(rows, key=lambda r: r[:6])], schema=archives._ARROW)]))
+    writer.commit([done])
+    assert len(done.names) > 2 and archives.read(spark, f"file://{tmp_path}/w").count() == len(rows)
+
+
 @pytest.mark.parametrize("most", [0, 100])
 def test_rasters_are_sampled_and_only_blocks_with_points_are_read(spark, tmp_path, monkeypatch, most):
     import numpy as np
