@@ -224,6 +224,23 @@ def test_repeats_of_an_empty_table(spark, repeating):
     assert suffix_dedup.without_repeats(df.limit(0)).count() == 0
 
 
+def test_planted_passages_are_told_by_bytes_removed(spark, tmp_path):
+    from soilspark.llm.queries import op13_repeated_bytes
+
+    rng = random.Random(5)
+    words = lambda n, least, most: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(least, most))) for _ in range(n))
+    long, short, shouted = words(60, 8, 9), words(55, 4, 5), words(80, 8, 9)
+    just = words(60, 8, 9)[:400]
+    assert len(short) < 400 < len(long)
+    rows = [(k, f"{words(40, 3, 9)} {k}{p}{k} {words(40, 3, 9)}") for k, p in enumerate([long, long, just, just, just[:399] + "z", short, short, "", "", shouted + "!" + shouted])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in op13_repeated_bytes(spark, str(tmp_path)).collect())
+    assert got == [(i, *r) for (i, _), r in zip(rows, cut([t.encode() for _, t in rows], 400), strict=True)]
+    # n_bytes is the length of any document; passages below 400 bytes stay, and a document's own repeats go
+    assert [r[2] for r in got] == [len(long), len(long), 400, 400, 0, 0, 0, 0, 0, 2 * len(shouted)]
+    assert all(r[1] == len(t) for r, (_, t) in zip(got, rows, strict=True))
+
+
 @pytest.mark.parametrize("few", [0, suffix_array.FEW])
 def test_suffix_arrays_and_common_prefixes(few, monkeypatch):
     monkeypatch.setattr(suffix_array, "FEW", few)
