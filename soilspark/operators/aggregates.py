@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from soilspark.sources.scratch import kept
+
 
 def first_known(df: DataFrame, by: list[str], columns: list[str], order: str, empty: tuple = ()) -> DataFrame:
     """For each key the first non-null value of each column by ``order``; values in ``empty`` count as null. Also n, the number of rows."""
@@ -85,11 +87,13 @@ def kernel_density(df: DataFrame, by: list[str], value: str, points: int = 100,
     """(by, i, x, density): Gaussian kernel densities at ``points`` places from ``margin`` widths below a group's least value to as many above its largest.
 
     The width is n^(-1/5) sample deviations. Values are counted in bins of a ``FINE``-th of it, each with the mean of its values, and the counts are folded with the kernel at the places within
-    ``REACH`` widths, so the work after the counting does not grow with the rows. A group of less than two different known values has no density.
+    ``REACH`` widths, so the work after the counting does not grow with the rows. A group of less than two different known values has no density. Widths are written once and read by all that
+    follows: computed anew they differ in their last digits with the order in which parts arrive, and places would not meet.
     """
     known = F.col(value).cast("double")
     rows = df.select(*by, known.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     stats = rows.groupBy(*by).agg(F.count("*").alias("__n"), (F.stddev_samp("__v") * F.pow(F.count("*"), F.lit(-0.2))).alias("__h"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")).where("__h > 0")
+    stats = kept(stats, "widths")
     r = stats.withColumnsRenamed({c: f"__{c}" for c in by})
     same = F.lit(True)
     for c in by:

@@ -507,3 +507,28 @@ def test_contrastive_losses_store_no_pairs(spark, temperature):
         assert r["n"] == len(some) and r["loss"] == pytest.approx((weight(s[some]) - weight(np.where(kin, s, -np.inf)[some])).mean())
     met = vectors.contrastive(df, "b", "k", "v", "l", temperature, side=4)._jdf.queryExecution().optimizedPlan().toString()
     assert "explode" not in met.lower() and "Generate" not in met  # vectors are not copied for each block that they meet
+
+
+def test_kernel_densities_whose_rows_come_in_another_order_each_time(spark):
+    """Deviations differ in their last digits with the order of rows; the places of a group stay one row each."""
+    import numpy as np
+
+    def shuffled(batches):
+        rng = np.random.default_rng()
+        for batch in batches:
+            yield batch.iloc[rng.permutation(len(batch))]
+
+    values_of = [[g, float(v)] for g in range(8) for v in np.random.default_rng(g).normal(size=400)]
+    df = spark.createDataFrame(values_of, "g int, v double").repartition(4).mapInPandas(shuffled, "g int, v double")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = aggregates.kernel_density(df, ["g"], "v", points=20).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert sorted((r["g"], r["i"]) for r in got) == [(g, i) for g in range(8) for i in range(20)]
+    v = np.array(values_of).reshape(8, 400, 2)[..., 1]
+    h = v.std(axis=1, ddof=1) * 400**-0.2
+    for r in got:
+        a, k = v[r["g"]], h[r["g"]]
+        x = a.min() - 3 * k + r["i"] * (a.max() - a.min() + 6 * k) / 19
+        assert r["density"] == pytest.approx(np.exp(-(((x - a) / k) ** 2) / 2).sum() / (400 * k * np.sqrt(2 * np.pi)), rel=1e-3, abs=1e-4)
