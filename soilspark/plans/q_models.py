@@ -86,8 +86,8 @@ def tabular_preparation(t: Tables) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", "role", F.round("l_quantity", 6).alias("l_quantity"), F.round("l_tax", 6).alias("l_tax"), "l_returnflag")
 
 
-def _site_days(t: Tables) -> DataFrame:
-    days = series.daily(t.events, ["user_id"], "ts", "value")
+def _site_days(t: Tables, how: str = "mean") -> DataFrame:
+    days = series.daily(t.events, ["user_id"], "ts", "value", how=how)
     n = t.events.groupBy("user_id", F.to_date("ts").alias("date")).agg(F.count("*").cast("double").alias("n"))
     return days.join(n, ["user_id", "date"], "left").where("value is not null").withColumn("doy", F.dayofyear("date").cast("double"))
 
@@ -109,7 +109,7 @@ def cv_multi_feature(t: Tables) -> DataFrame:
 @query()
 def site_battery(t: Tables) -> DataFrame:
     """Numbers of events a day explained by their mean value and two transforms of it, alone, with covariates, and lagged."""
-    days = _site_days(t).withColumns({"psi_cm_a": F.log10(1 + F.abs("value")), "psi_cm_b": F.sqrt(F.abs("value")), "dow": F.dayofweek("date").cast("double")})
+    days = _site_days(t, "ordered").withColumns({"psi_cm_a": F.log10(1 + F.abs("value")), "psi_cm_b": F.sqrt(F.abs("value")), "dow": F.dayofweek("date").cast("double")})
     return battery.battery(days, ["user_id"], "date", ["n"], "value", ["psi_cm_a", "psi_cm_b"], ["doy", "dow"], below=0.6, least=1)
 
 

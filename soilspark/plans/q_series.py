@@ -14,8 +14,8 @@ s AS (SELECT user_id, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE
 x AS (SELECT s.user_id, s.date, d.v AS value FROM s LEFT JOIN d USING (user_id, date))"""
 
 
-def _days(t: Tables) -> DataFrame:
-    return series.daily(t.events, ["user_id"], "ts", "value")
+def _days(t: Tables, how: str = "mean") -> DataFrame:
+    return series.daily(t.events, ["user_id"], "ts", "value", how=how)
 
 
 @query(f"WITH {DAYS} SELECT user_id, date, round(value, 6) AS value FROM x")
@@ -49,12 +49,12 @@ f AS (SELECT *, coalesce(value < q AND slope < 0, FALSE) AS m FROM m), i AS (SEL
 
 @query(f"WITH {MASK} SELECT user_id, date, m AND count(*) OVER (PARTITION BY user_id, m, i) >= 2 AS drydown FROM i")
 def drydown_mask(t: Tables) -> DataFrame:
-    return series.drydown(_days(t), ["user_id"], "date", "value", below=0.6, least=2).select("user_id", "date", "drydown")
+    return series.drydown(_days(t, "ordered"), ["user_id"], "date", "value", below=0.6, least=2).select("user_id", "date", "drydown")
 
 
 @query(f"WITH {MASK} SELECT user_id, min(date) AS start, max(date) AS stop, count(*) AS n FROM i WHERE m GROUP BY user_id, i")
 def run_lengths(t: Tables) -> DataFrame:
-    return series.runs(series.drydown(_days(t), ["user_id"], "date", "value", below=0.6, least=1), ["user_id"], "date", F.col("drydown"))
+    return series.runs(series.drydown(_days(t, "ordered"), ["user_id"], "date", "value", below=0.6, least=1), ["user_id"], "date", F.col("drydown"))
 
 
 @query(f"""WITH {DAYS}, y AS (SELECT x.user_id, x.date, coalesce(x.value, 0) AS a, coalesce(c.n, 0)::DOUBLE AS b FROM x LEFT JOIN (SELECT user_id, CAST(ts AS DATE) AS date, count(*) AS n FROM events GROUP BY ALL) c USING (user_id, date)),

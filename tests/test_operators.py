@@ -532,3 +532,40 @@ def test_kernel_densities_whose_rows_come_in_another_order_each_time(spark):
         a, k = v[r["g"]], h[r["g"]]
         x = a.min() - 3 * k + r["i"] * (a.max() - a.min() + 6 * k) / 19
         assert r["density"] == pytest.approx(np.exp(-(((x - a) / k) ** 2) / 2).sum() / (400 * k * np.sqrt(2 * np.pi)), rel=1e-3, abs=1e-4)
+
+
+def test_a_flat_stretch_does_not_fall_however_its_rows_are_dealt(spark):
+    """105.34, 12.66 and 25.73 have the mean 47.91, or one of a last digit more where the first comes last; between equal days the slope is then 1.8e-15 or -3.6e-15."""
+    rows = [(6, 11, 46.77), (6, 18, 2.57), (7, 3, 105.34), (7, 10, 12.66), (7, 15, 25.73), (8, 16, 27.75), (8, 18, 21.59), (9, 1, 90.0), (10, 1, 95.0)]
+    schema, masks, means = "k int, t timestamp, v double", [], []
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        data = ", ".join(f"(1, TIMESTAMP '2024-01-{d:02} {h:02}:00:00', {v}D)" for d, h, v in order)
+        df = spark.sql(f"SELECT * FROM VALUES {data} AS x(k, t, v)").to(spark.createDataFrame([], schema).schema).coalesce(1)
+        days = series.daily(df, ["k"], "t", "v", how="ordered")
+        means.append(values(days, "date", "v"))
+        masks.append(values(series.drydown(days, ["k"], "date", "v", below=0.6, least=1), "date", "drydown"))
+    assert means[0] == means[1] == means[2] and masks[0] == masks[1] == masks[2]
+    assert [m for _, m in sorted(masks[0])] == [False, False, False, False, False]
+    assert sorted(means[0])[1][1] == (105.34 + 12.66 + 25.73) / 3
+    empty = spark.sql("SELECT 1 AS k, TIMESTAMP '2024-01-01 05:00:00' AS t, CAST(NULL AS DOUBLE) AS v UNION ALL SELECT 1, TIMESTAMP '2024-01-03 05:00:00', 4D")
+    assert [v for _, v in sorted(values(series.daily(empty, ["k"], "t", "v", how="ordered"), "date", "v"))] == [None, None, 4.0]
+
+
+def test_masks_of_files_cut_within_a_day(spark, tmp_path):
+    """The same rows in one file, and in two cut after the first observation of a day."""
+    from soilspark.plans import q_models, q_series
+    from soilspark.plans.catalog import Tables
+
+    rows = [(6, 11, 46.77), (6, 18, 2.57), (7, 3, 105.34), (7, 10, 12.66), (7, 15, 25.73), (8, 16, 27.75), (8, 18, 21.59), (9, 1, 20.0), (10, 1, 95.0), (11, 1, 96.0)]
+    data = ", ".join(f"(TIMESTAMP '2024-01-{d:02} {h:02}:00:00', 1L, {v}D)" for d, h, v in rows)
+    df = spark.sql(f"SELECT * FROM VALUES {data} AS x(ts, user_id, value)")
+    early = F.col("ts") < F.lit("2024-01-07 05:00:00").cast("timestamp")
+    got = []
+    for name, parts in (("one", [df.coalesce(1).sortWithinPartitions("ts")]), ("two", [df.where(~early).coalesce(1), df.where(early).coalesce(1)])):
+        path = str(tmp_path / name)
+        for part in parts:
+            part.write.mode("append").parquet(f"{path}/events.parquet")
+        t = Tables(spark, path)
+        got.append((values(q_series.drydown_mask(t), "date", "drydown"), values(q_series.run_lengths(t), "start", "n"), values(q_models.site_battery(t), "model", "scope", "lag", "r2_mean")))
+    assert sorted(got[0][0]) == sorted(got[1][0]) and got[0][1] == got[1][1] and len(got[0][1]) == 1
+    assert not any(m for d, m in got[0][0] if d.day == 8)
